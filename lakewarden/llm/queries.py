@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name to the module of this package that holds ``query(spark, sf_dir)`` and ``SQL``.
 MODULES = {
+    "op4_langid": "langid_query",
     "op9_pii": "pii_query",
 }
 
