@@ -148,9 +148,9 @@ def tables(profile: Profile) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         to = np.array([t for m in moves for t in m.values()], np.int64)
         root = np.full(width, at, np.int64)  # unknown to the whole sample: a phrase of its own
         root[keys[states == 0]] = at + to[states == 0]
-        grid = np.tile((root * width) * 2 + 1, (len(moves), 1))
+        grid = np.tile(((root * width) * 2 + 1).astype(np.int32), (len(moves), 1))
         grid[states, keys] = ((at + to) * width) * 2
-        parts.append(grid.astype(np.int32))
+        parts.append(grid)
         roots.append(at * width)
         at += len(moves)
     sizes = np.log2([max(2, len(s)) for s in coded])
@@ -199,7 +199,7 @@ def predict(docs: DataFrame, profile: Profile, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = tables(profile)[3]
-        for batch in batches:
+        for batch in textvec.portions(batches):
             data, offsets = textvec.flat(batch.column(batch.num_columns - 1))
             counts, sizes = phrases(profile, data, offsets)
             known = np.diff(offsets) > 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -115,3 +116,16 @@ def shingles(hashes: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np
             total = (total * 0x100000001B3 + h) & (2**64 - 1)
         out[out_at[i]] = mixed(np.array([total], np.uint64))[0]
     return out, out_at
+
+
+def portions(batches: Iterator[pa.RecordBatch], column: int = -1, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that the texts of a column take about ``size`` bytes or a single row: memory then follows the longest text, not the number of rows."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        _, offsets = flat(batch.column(column % batch.num_columns))
+        at = 0
+        while at < batch.num_rows:
+            until = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
+            yield batch.slice(at, until - at)
+            at = until
