@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op1_toxicity": "toxicity_query",
     "op4_langid": "langid_query",
+    "op7_jaccard": "jaccard_query",
     "op9_pii": "pii_query",
 }
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,3 +31,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Most ids that are sent to every executor: at 16 bytes each, some 16 MB.
+MOST_SENT = 1_000_000
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """Joins rows with a written table of ids: sent to the rows if their count allows, else both are shuffled."""
+    return rows.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids.hint("merge"), key, how)
