@@ -199,7 +199,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Lexico
     one, two = (_pruned([(r.stem, r.n, round(r.weight, 6)) for r in top if r.times == times]) for times in (1, 2))
     lexicon = Lexicon(tuple((stem, one.get(stem, 0.0), two.get(stem, 0.0)) for stem in sorted(one.keys() | two.keys())))
     names = ["weight", "repeat", "rate"]
-    seen = features(train.select("toxic", "text"), lexicon).select("toxic", *names).orderBy("toxic", *names).toPandas()
+    seen = features(train.select("toxic", "text"), lexicon).select("toxic", *names).toPandas().sort_values(["toxic", *names])
     x = np.column_stack([np.log1p(seen.weight), seen["repeat"], np.minimum(seen.rate, MOST_RATE)])
     return Lexicon(lexicon.stems, lexicon.exceptions, _fitted(x, seen.toxic.to_numpy(float)))
 
