@@ -12,6 +12,7 @@ MODULES = {
     "op1_toxicity": "toxicity_query",
     "op3_packing": "packing_query",
     "op4_langid": "langid_query",
+    "op5_media": "media_query",
     "op7_jaccard": "jaccard_query",
     "op8_decontaminate": "decontaminate_query",
     "op9_pii": "pii_query",
