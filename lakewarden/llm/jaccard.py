@@ -8,11 +8,12 @@ candidates. The prefix starts at :data:`DEEPEST` values and is shortened until
 a pair exactly at the threshold meets in some tree with the target recall.
 
 Verification is exact and emits no pairs. Candidates are laid out in blocks of
-bounded size, neighbours in the forest next to each other; for two blocks (or
-one with itself) that share a prefix, one task intersects all their sets, and
-returns for each text how many links it has there and the least text that it
-is connected with. Connected components join the latter into groups. A group
-of any size is thus spread over tasks by pairs of blocks.
+bounded size, neighbours in the forest next to each other. One task intersects
+all sets of a block; for two blocks, one task intersects those of their texts
+that share a prefix across them. It returns for each text how many links it
+has there and the least text that it is connected with. Connected components
+join the latter into groups. A group of any size is thus spread over tasks by
+pairs of blocks.
 
 Defined results: a text without words (or null) has no links and is a group of
 its own; a text of fewer than n words has one n-gram, all its words. A row
@@ -37,7 +38,7 @@ from lakewarden.llm import components, store, textvec
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEEPEST, RECALL = 24, 12, 0.999
 #: A block is closed at so many texts, or when its sets hold so many hashes.
-BLOCK_TEXTS, BLOCK_HASHES = 256, 300_000
+BLOCK_TEXTS, BLOCK_HASHES = 1024, 300_000
 
 
 def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, deepest: int = DEEPEST) -> int:
@@ -211,9 +212,14 @@ def join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, trees: i
     shared = store.written(leaves.join(buckets, "key"), "buckets")
     labels = shared.groupBy("rep").agg(F.min("low").alias("label"))
     blocks = store.written(_blocked(labels.join(classes.select("rep", "size", "copies"), "rep")), "blocks")
-    in_block = shared.join(blocks.select("rep", "block"), "rep").select("key", "block").distinct()
-    other = in_block.withColumnRenamed("block", "second")
-    pairs = in_block.withColumnRenamed("block", "first").join(other, "key").where("first <= second").select("first", "second").distinct()
+    placed = shared.join(blocks.select("rep", "block"), "rep").select("key", "rep", "block")
+    spread = placed.groupBy("key").agg(F.min("block").alias("low"), F.max("block").alias("high")).where("low < high").select("key")
+    across = placed.join(spread, "key")  # buckets of more than one block
+    in_block = across.select("key", "block").distinct()
+    other = in_block.withColumnRenamed("block", "other")
+    alone = blocks.select("rep", F.col("block").alias("first"), F.col("block").alias("second"))
+    apart = across.join(in_block.join(other, "key").where("block <> other"), ["key", "block"])
+    sides = alone.unionByName(apart.select("rep", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second")).distinct())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textvec.portions(batches, size=1 << 20):
@@ -223,8 +229,7 @@ def join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, trees: i
     texts = docs.select(F.col("doc_id").alias("rep"), F.lower(F.coalesce("text", F.lit(""))).alias("text")).dropna(subset="rep")
     chosen = store.with_ids(texts, blocks, "rep", "inner").select("rep", "copies", "block", "text")
     full = store.written(chosen.mapInArrow(sets, "rep long, copies long, block long, set binary").dropDuplicates(["rep"]), "sets")
-    sides = pairs.select("first", "second", F.explode(F.array_distinct(F.array("first", "second"))).alias("block"))
-    links = sides.join(full, "block").groupBy("first", "second").applyInPandas(_verified(threshold), "rep long, root long, texts long, docs long")
+    links = sides.join(full, "rep").groupBy("first", "second").applyInPandas(_verified(threshold), "rep long, root long, texts long, docs long")
     links = store.written(links, "links")
     groups = components.components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("rep").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
