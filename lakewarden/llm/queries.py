@@ -16,6 +16,7 @@ MODULES = {
     "op7_jaccard": "jaccard_query",
     "op8_decontaminate": "decontaminate_query",
     "op9_pii": "pii_query",
+    "op10_render": "render_query",
 }
 
 
