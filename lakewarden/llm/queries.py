@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name to the module of this package that holds ``query(spark, sf_dir)`` and ``SQL``.
 MODULES = {
     "op1_toxicity": "toxicity_query",
+    "op2_licenses": "licenses_query",
     "op3_packing": "packing_query",
     "op4_langid": "langid_query",
     "op5_media": "media_query",
