@@ -14,6 +14,7 @@ MODULES = {
     "op3_packing": "packing_query",
     "op4_langid": "langid_query",
     "op5_media": "media_query",
+    "op6_warc": "warc_query",
     "op7_jaccard": "jaccard_query",
     "op8_decontaminate": "decontaminate_query",
     "op9_pii": "pii_query",
