@@ -188,12 +188,17 @@ def phrases(profile: Profile, data: np.ndarray, offsets: np.ndarray) -> tuple[np
     return total, sizes
 
 
-def predict(docs: DataFrame, profile: Profile, text: str = "text") -> DataFrame:
-    """Adds ``lang_pred``, ``score`` (one less the ratio of the least entropy to the second least) and ``entropy`` (bits per symbol)."""
+def predict(docs: DataFrame, profile: Profile, text: str = "text", prefix: str = "") -> DataFrame:
+    """Adds ``lang_pred``, ``score`` (one less the ratio of the least entropy to the second least) and ``entropy`` (bits per symbol).
+
+    ``prefix`` goes before these names; columns of the input that have them are replaced.
+    """
     names = [lang for lang, _ in profile.samples]
+    kinds = {f"{prefix}lang_pred": T.StringType(), f"{prefix}score": T.DoubleType(), f"{prefix}entropy": T.DoubleType()}
+    docs = docs.drop(*kinds)
     if not names:
-        return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0), "entropy": F.lit(0.0)})
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("entropy", T.DoubleType())]
+        return docs.withColumns(dict(zip(kinds, (F.lit(UNDETERMINED), F.lit(0.0), F.lit(0.0)), strict=True)))
+    added = [T.StructField(name, kind) for name, kind in kinds.items()]
     ready = docs.withColumn("__text", F.when(docs[text].rlike(r"\p{L}"), F.concat(F.lit(" "), F.lower(docs[text]), F.lit(" "))).otherwise(""))
     schema = T.StructType([*docs.schema.fields, *added])
 
@@ -216,5 +221,5 @@ def predict(docs: DataFrame, profile: Profile, text: str = "text") -> DataFrame:
 
 def accepted(docs: DataFrame, profile: Profile) -> DataFrame:
     """The documents whose language can be told: all but the undetermined ones, with the columns of the input."""
-    rows = predict(docs, profile)
-    return rows.where(rows.lang_pred != UNDETERMINED).select(*docs.columns)
+    rows = predict(docs, profile, prefix="__")
+    return rows.where(F.col("__lang_pred") != UNDETERMINED).select(*docs.columns)

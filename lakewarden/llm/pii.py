@@ -8,8 +8,7 @@ Defined results: a null text counts as empty; an empty text has no spans.
 Offsets are code points, the end is exclusive. Within a kind spans are
 leftmost and do not overlap; spans of different kinds may overlap. Rows are
 never merged, so repeated rows give repeated results; further columns of the
-input stay as they are, and :func:`find` and :func:`redact` refuse nothing but
-an input column that they would overwrite.
+input stay as they are.
 
 Every pattern scans a text in linear time: the greedy parts are possessive and
 can only begin where a run of their characters begins (or where the last match
@@ -117,9 +116,9 @@ def spans_of(kind: str, text: Column) -> Column:
     return F.when(possible & text.rlike(PATTERNS[kind]), found).otherwise(F.array().cast(SPAN))
 
 
-def find(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``pii_<kind>``, an array of spans, for each kind; texts are read once and nothing is shuffled."""
-    return docs.withColumns({f"pii_{kind}": spans_of(kind, F.coalesce(docs[text], F.lit(""))) for kind in PATTERNS})
+def find(docs: DataFrame, text: str = "text", prefix: str = "pii_") -> DataFrame:
+    """Adds ``<prefix><kind>``, an array of spans, for each kind; texts are read once and nothing is shuffled. Columns of these names are replaced."""
+    return docs.withColumns({f"{prefix}{kind}": spans_of(kind, F.coalesce(docs[text], F.lit(""))) for kind in PATTERNS})
 
 
 def joined(spans: Column) -> Column:
@@ -132,9 +131,9 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     A null text stays null. The columns are those of the input.
     """
-    found = find(docs, text)
+    found = find(docs, text, "__pii_")
     spans = F.array_sort(
-        F.concat(*(found[f"pii_{k}"] for k in PATTERNS)),
+        F.concat(*(found[f"__pii_{k}"] for k in PATTERNS)),
         lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]),
     )
     body = F.col(text)
@@ -149,10 +148,10 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     masked = F.aggregate(
-        F.col("pii_all"), start, step,
+        F.col("__pii_all"), start, step,
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(body, acc["at"] + 1, F.length(body))),
     )
-    out = found.withColumn("pii_all", spans).withColumn(text, F.when(body.isNull() | (F.size("pii_all") == 0), body).otherwise(masked))
+    out = found.withColumn("__pii_all", spans).withColumn(text, F.when(body.isNull() | (F.size("__pii_all") == 0), body).otherwise(masked))
     return out.select(*docs.columns)
 
 

@@ -55,7 +55,7 @@ def folded(text: Column) -> Column:
     """Folded text between spaces; null counts as empty."""
     low = F.lower(F.coalesce(text, F.lit("")))
     low = F.translate(low, LOOKALIKES[0] + SUBSTITUTES[0], LOOKALIKES[1] + SUBSTITUTES[1])
-    return F.concat(F.lit(" "), F.regexp_replace(low, r"[^\p{L}\p{M}]+", " "), F.lit(" "))
+    return F.regexp_replace(F.concat(F.lit(" "), low, F.lit(" ")), r"[^\p{L}\p{M}]+", " ")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -116,7 +116,8 @@ def matched(lexicon: Lexicon, text: str) -> tuple[int, float, float]:
 
 
 def features(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
-    """Adds ``hits``, ``weight`` and ``repeat`` as :func:`matched` has them, and ``rate``, the sum of both by 100 words."""
+    """Adds ``hits``, ``weight`` and ``repeat`` as :func:`matched` has them, and ``rate``, the sum of both by 100 words. Columns of these names are replaced."""
+    docs = docs.drop("hits", "weight", "repeat", "rate", "score")
     ready = docs.withColumn("__text", folded(docs[text]))
     added = [T.StructField("hits", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("weight", "repeat", "rate"))]
     schema = T.StructType([*docs.schema.fields, *added])
