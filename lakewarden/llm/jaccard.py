@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,22 +106,32 @@ def signatures(docs: DataFrame, n: int, trees: int, length: int) -> DataFrame:
 
 
 def _blocked(members: DataFrame) -> DataFrame:
-    """Numbers blocks of bounded size over members in the order of (label, id)."""
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """(rep, copies, block): members in the order of (label, id), cut into blocks of bounded size.
+
+    Each takes its set's size as room, or its share of a block of most texts
+    if that is more. Tasks add up their own part of the order; what the parts
+    before them take is added after.
+    """
+    spark = members.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = -(-BLOCK_HASHES // BLOCK_TEXTS)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first, texts, hashes = None, 0, 0
+        part, taken = TaskContext.get().partitionId(), 0
         for frame in frames:
-            blocks = np.empty(len(frame), np.int64)
-            for i, (rep, size) in enumerate(zip(frame.rep.to_numpy(), frame["size"].to_numpy(), strict=True)):
-                if first is None or texts >= BLOCK_TEXTS or hashes + size > BLOCK_HASHES:
-                    first, texts, hashes = rep, 0, 0  # a block is named after its first member
-                texts, hashes = texts + 1, hashes + size
-                blocks[i] = first
-            yield pd.DataFrame({"rep": frame.rep, "copies": frame.copies, "block": blocks})
+            room = np.maximum(frame["size"].to_numpy(np.int64), least)
+            until = taken + np.cumsum(room)
+            yield pd.DataFrame({"rep": frame.rep, "copies": frame.copies, "part": part, "begin": until - room, "until": until})
+            taken = int(until[-1]) if len(until) else taken
 
     ordered = members.repartitionByRange(parts, "label", "rep").sortWithinPartitions("label", "rep")
-    return ordered.select("rep", "size", "copies").mapInPandas(run, "rep long, copies long, block long")
+    own = store.written(ordered.select("rep", "size", "copies").mapInPandas(run, "rep long, copies long, part int, begin long, until long"), "order")
+    taken, before = [], 0
+    for r in own.groupBy("part").agg(F.max("until").alias("until")).orderBy("part").collect():  # a row for each task
+        taken.append((r.part, before))
+        before += r.until
+    shifts = F.broadcast(spark.createDataFrame(taken, "part int, shift long"))
+    return own.join(shifts, "part").select("rep", "copies", F.floor((F.col("begin") + F.col("shift")) / BLOCK_HASHES).cast("long").alias("block"))
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
