@@ -40,6 +40,8 @@ WORDS, THRESHOLD = 5, 0.8
 TREES, DEEPEST, RECALL = 24, 12, 0.999
 #: A block is closed at so many texts, or when its sets hold so many hashes.
 BLOCK_TEXTS, BLOCK_HASHES = 1024, 300_000
+#: Sets of a block that are intersected at once.
+TILE = 256
 
 
 def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, deepest: int = DEEPEST) -> int:
@@ -134,36 +136,47 @@ def _blocked(members: DataFrame) -> DataFrame:
     return own.join(shifts, "part").select("rep", "copies", F.floor((F.col("begin") + F.col("shift")) / BLOCK_HASHES).cast("long").alias("block"))
 
 
-def intersections(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
-    """How many hashes each set on the left shares with each on the right (or on the left itself)."""
-    sets = left if right is None else left + right
-    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    flat = np.concatenate(sets)
-    order = np.argsort(flat, kind="stable")
-    flat, rows = flat[order], rows[order]
-    edge = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-    counts = np.diff(np.concatenate([edge, [len(flat)]]))
-    size = len(sets)
-    total = np.zeros(size * size, np.int64)
-    of = np.repeat(counts, counts)
-    few = rows[(of > 1) & (of < 16)]
-    group = np.repeat(np.arange(len(counts)), counts)[(of > 1) & (of < 16)]
-    for step in range(1, 16):  # pairs of rows that share a hash that few rows have
-        same = np.flatnonzero(group[step:] == group[:-step])
-        if not len(same):
-            break
-        total += np.bincount(few[same] * size + few[same + step], minlength=size * size)
-    total = total.reshape(size, size)
-    shared = (total + total.T).astype(np.float32)
-    often = np.flatnonzero(counts >= 16)
-    for low in range(0, len(often), 4096):  # hashes that many rows have, as a matrix product
-        part = often[low : low + 4096]
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set on the left shares with each on the right."""
+    hashes = np.concatenate([*left, *right])
+    rows = np.repeat(np.arange(len(left) + len(right), dtype=np.int32), [len(s) for s in (*left, *right)])
+    order = np.argsort(hashes, kind="stable")  # so the left rows of a hash come before the right ones
+    hashes, rows = hashes[order], rows[order]
+    edge = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+    counts = np.diff(np.concatenate([edge, [len(hashes)]]))
+    lefts = np.add.reduceat((rows < len(left)).astype(np.int64), edge)
+    shared = np.zeros((len(left), len(right)), np.float32)
+    both = (lefts > 0) & (lefts < counts)
+    few = np.flatnonzero(both & (counts < 16))  # hashes of few rows: their pairs
+    pairs = lefts[few] * (counts[few] - lefts[few])
+    within = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+    width = np.repeat(counts[few] - lefts[few], pairs)
+    first = np.repeat(edge[few], pairs)
+    a = rows[first + within // width] if len(within) else rows[:0]
+    b = rows[first + np.repeat(lefts[few], pairs) + within % width] - len(left) if len(within) else rows[:0]
+    shared += np.bincount(a.astype(np.int64) * len(right) + b, minlength=shared.size).reshape(shared.shape)
+    often = np.flatnonzero(both & (counts >= 16))
+    for low in range(0, len(often), 2048):  # hashes of many rows: a matrix product
+        part = often[low : low + 2048]
         column = np.repeat(np.arange(len(part)), counts[part])
-        place = np.repeat(edge[part], counts[part]) + np.arange(len(column)) - np.repeat(np.cumsum(counts[part]) - counts[part], counts[part])
-        grid = np.zeros((size, len(part)), np.float32)
+        place = np.repeat(edge[part] - (np.cumsum(counts[part]) - counts[part]), counts[part]) + np.arange(len(column))
+        grid = np.zeros((len(left) + len(right), len(part)), np.float32)
         grid[rows[place], column] = 1
-        shared += grid @ grid.T
-    return shared[: len(left)] if right is None else shared[: len(left), len(left) :]
+        shared += grid[: len(left)] @ grid[len(left) :].T
+    return shared
+
+
+def links_of(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the sets on both sides that are similar enough, a tile of sets at a time."""
+    found = []
+    for i in range(0, len(left), TILE):
+        for j in range(0, len(right), TILE):
+            a, b = left[i : i + TILE], right[j : j + TILE]
+            shared = intersections(a, b)
+            union = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])[None, :] - shared
+            x, y = np.nonzero(shared >= threshold * union - 1e-6)
+            found.append((x + i, y + j))
+    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
 def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -181,27 +194,19 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 def _verified(threshold: float):
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         first, second = key
-        frame = frame.sort_values(["block", "rep"])
-        sides = [frame[frame.block == first]] if first == second else [frame[frame.block == first], frame[frame.block == second]]
-        sets = [[np.frombuffer(s, np.uint64) for s in side["set"]] for side in sides]
-        sizes = [np.array([len(s) for s in x]) for x in sets]
-        shared = intersections(sets[0], sets[1] if len(sets) > 1 else None)
-        union = sizes[0][:, None] + sizes[-1][None, :] - shared
-        linked = shared >= threshold * union - 1e-6
-        if first == second:
-            np.fill_diagonal(linked, False)
-        a, b = np.nonzero(linked)
-        reps = np.concatenate([s.rep.to_numpy() for s in sides])
-        copies = [s.copies.to_numpy() for s in sides]
-        shift = 0 if first == second else len(sides[0])
-        order = np.argsort(reps, kind="stable")
-        place = np.argsort(order)
-        root = reps[order][_roots(place[a], place[b + shift], len(reps))][place]
-        texts, docs = linked.sum(1), linked @ copies[-1]
-        if first != second:
-            texts, docs = np.concatenate([texts, linked.sum(0)]), np.concatenate([docs, copies[0] @ linked])
+        frame = frame.sort_values("rep", ignore_index=True)
+        reps, copies = frame.rep.to_numpy(), frame.copies.to_numpy()
+        sets = [np.frombuffer(s, np.uint64) for s in frame["set"]]
+        left, right = (np.flatnonzero(frame.block.to_numpy() == block) for block in (first, second))
+        x, y = links_of([sets[k] for k in left], [sets[k] for k in right], threshold)
+        a, b = left[x], right[y]
+        if first == second:  # each link is found from both ends
+            a, b = a[a != b], b[a != b]
+        else:
+            a, b = np.concatenate([a, b]), np.concatenate([b, a])
+        texts, docs = np.bincount(a, minlength=len(reps)), np.bincount(a, copies[b], len(reps)).astype(np.int64)
         keep = texts > 0
-        return pd.DataFrame({"rep": reps[keep], "root": root[keep], "texts": texts[keep].astype(np.int64), "docs": docs[keep].astype(np.int64)})
+        return pd.DataFrame({"rep": reps[keep], "root": reps[_roots(a, b, len(reps))][keep], "texts": texts[keep], "docs": docs[keep]})
 
     return run
 
