@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm import textvec
+from lakewarden.llm import store, textvec
 
 GRAM, WINDOW = 3, 8
 THRESHOLD = 0.5
@@ -184,7 +184,7 @@ def _frequencies(docs: DataFrame, items: Items) -> Items:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], names=["gram", "n"])
 
-    counts = {r.gram: r.n for r in _texts(docs).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}  # as many as the block's n-grams at most
+    counts = {r.gram: r.n for r in store.mapped(_texts(docs), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}  # as many as the block's n-grams at most
     grams = _index(items).grams
     return Items(items.ids, items.texts, grams.tobytes(), np.array([counts.get(k, 0) for k in range(len(grams))], np.int64).tobytes())
 
@@ -214,6 +214,6 @@ def search(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "similarity", "first_word", "end_word"])
 
-        part = _texts(docs).mapInArrow(run, schema)
+        part = store.mapped(_texts(docs), run, schema)
         found = part if found is None else found.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if found is None else found

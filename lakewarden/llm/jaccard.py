@@ -104,7 +104,7 @@ def signatures(docs: DataFrame, n: int, trees: int, length: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(at), _signed(np.ascontiguousarray(keys).ravel()))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _signed(d1), _signed(d2), pa.array(sizes.astype(np.int32)), lists], names=["doc_id", "d1", "d2", "size", "keys"])
 
-    return docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(run, "doc_id long, d1 long, d2 long, size int, keys array<long>")
+    return store.mapped(docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text")), run, "doc_id long, d1 long, d2 long, size int, keys array<long>")
 
 
 def _blocked(members: DataFrame) -> DataFrame:
@@ -244,7 +244,7 @@ def join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, trees: i
 
     texts = docs.select(F.col("doc_id").alias("rep"), F.lower(F.coalesce("text", F.lit(""))).alias("text")).dropna(subset="rep")
     chosen = store.with_ids(texts, blocks, "rep", "inner").select("rep", "copies", "block", "text")
-    full = store.written(chosen.mapInArrow(sets, "rep long, copies long, block long, set binary").dropDuplicates(["rep"]), "sets")
+    full = store.written(store.mapped(chosen, sets, "rep long, copies long, block long, set binary").dropDuplicates(["rep"]), "sets")
     links = sides.join(full, "rep").groupBy("first", "second").applyInPandas(_verified(threshold), "rep long, root long, texts long, docs long")
     links = store.written(links, "links")
     groups = components.components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from lakewarden.llm import textvec
+from lakewarden.llm import store, textvec
 
 BLOCK = 1024
 #: Bounds of the training sample: rows of each language, characters of an excerpt, and symbols of all languages together.
@@ -216,7 +216,7 @@ def predict(docs: DataFrame, profile: Profile, text: str = "text", prefix: str =
             picked = [names[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(picked, pa.string()), pa.array(margin), pa.array(np.where(known, least, 0.0))], names=schema.names)
 
-    return ready.mapInArrow(run, schema)
+    return store.mapped(ready, run, schema)
 
 
 def accepted(docs: DataFrame, profile: Profile) -> DataFrame:

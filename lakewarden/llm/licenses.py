@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm import textvec
+from lakewarden.llm import store, textvec
 
 GRAM, WINDOW = 3, 4
 COVERAGE = 0.8
@@ -170,4 +170,4 @@ def scan(docs: DataFrame, templates: Templates = TEMPLATES, threshold: float = C
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return ready.mapInArrow(run, "doc_id long, license string, coverage double, matched_words long, spans string")
+    return store.mapped(ready, run, "doc_id long, license string, coverage double, matched_words long, spans string")

@@ -154,7 +154,7 @@ def stored(docs: DataFrame, folder: str) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["digest", "shard", "offset", "length"])
 
     own = store.with_ids(docs.select("doc_id", "text"), spare, "doc_id", "left_anti")
-    entries = own.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "digest string, shard string, offset long, length long")
+    entries = store.mapped(own.select(F.coalesce("text", F.lit("")).alias("text")), run, "digest string, shard string, offset long, length long")
     # rows that repeat an id may store a payload twice; one entry counts
     return store.written(store.written(entries, "entries").groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("e")).select("digest", "e.*"), "catalogue")
 
@@ -180,7 +180,7 @@ def metadata(entries: DataFrame, folder: str) -> DataFrame:
             extra = [pa.array([r[c] for r in rows], pa.int64()) for c in ("width", "height", "bit_depth", "channels")]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "width", "height", "bit_depth", "channels"])
 
-    return entries.mapInArrow(run, "digest string, shard string, offset long, length long, width long, height long, bit_depth long, channels long")
+    return store.mapped(entries, run, "digest string, shard string, offset long, length long, width long, height long, bit_depth long, channels long")
 
 
 def feature(payload: bytes) -> str:
@@ -211,7 +211,7 @@ def described(entries: DataFrame, folder: str) -> DataFrame:
             extra = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *fields])
 
-    return entries.mapInArrow(run, schema)
+    return store.mapped(entries, run, schema)
 
 
 def columns(docs: DataFrame, folder: str | None = None) -> DataFrame:

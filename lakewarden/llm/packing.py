@@ -155,7 +155,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
+    return store.mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), run, schema)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> dict[str, np.ndarray]:
@@ -225,7 +225,7 @@ def placed(rows: DataFrame, found: dict[str, np.ndarray]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(sequence), pa.array(found["offset"][at])], names=[*names, "sequence_id", "offset"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "rank")
-    return rows.mapInArrow(run, f"{fields}, sequence_id long, offset long")
+    return store.mapped(rows, run, f"{fields}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:

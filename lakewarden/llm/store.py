@@ -40,3 +40,15 @@ MOST_SENT = 1_000_000
 def with_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     """Joins rows with a written table of ids: sent to the rows if their count allows, else both are shuffled."""
     return rows.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids.hint("merge"), key, how)
+
+
+#: Rows and bytes of an Arrow batch: with Spark's own bounds a batch of long texts takes a large part of a worker's memory, several times over.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
+def mapped(rows: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` with smaller Arrow batches, which the session keeps from then on."""
+    conf = rows.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return rows.mapInArrow(function, schema)

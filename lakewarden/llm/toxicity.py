@@ -130,7 +130,7 @@ def features(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame
             rate = 100 * (got[:, 1] + got[:, 2]) / words
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got[:, 0].astype(np.int64)), pa.array(got[:, 1]), pa.array(got[:, 2]), pa.array(rate)], names=schema.names)
 
-    return ready.mapInArrow(run, schema)
+    return store.mapped(ready, run, schema)
 
 
 def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +189,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Lexico
 
     def counted(toxic: int) -> DataFrame:
         rows = train.where(train.toxic == toxic).select("toxic", "folded")
-        return rows.mapInArrow(_stem_counts, "stem string, times int, n long").groupBy("stem", "times").agg(F.sum("n").alias("n"))
+        return store.mapped(rows, _stem_counts, "stem string, times int, n long").groupBy("stem", "times").agg(F.sum("n").alias("n"))
 
     frequent = store.written(counted(1).where(F.col("n") >= SUPPORT), "toxicity-stems")
     clean = counted(0).withColumnRenamed("n", "m")

@@ -107,7 +107,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ready = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     ordered = ready.repartitionByRange(tasks, "page_id", "url").sortWithinPartitions("page_id", "url", "html")
-    return store.written(ordered.mapInArrow(run, MANIFEST), "manifest")
+    return store.written(store.mapped(ordered, run, MANIFEST), "manifest")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -138,7 +138,7 @@ def hashed(manifest: DataFrame, folder: str) -> DataFrame:
 
     tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = manifest.select("file", "number", "offset", "length").repartitionByRange(tasks, "file", "number").sortWithinPartitions("file", "number")
-    return ranges.mapInArrow(run, "file string, number long, offset long, length long, sha256 string")
+    return store.mapped(ranges, run, "file string, number long, offset long, length long, sha256 string")
 
 
 def tree(leaves: DataFrame) -> DataFrame:
