@@ -22,7 +22,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +55,11 @@ class Index:
     maybe: np.ndarray  # by the low bits of a gram: whether it can be one of them
 
 
-@lru_cache(maxsize=2)
 def _index(items: Items) -> Index:
+    return store.held("decontaminate.index", (items.ids, items.texts), lambda: _indexed(items))
+
+
+def _indexed(items: Items) -> Index:
     hashes, _, _, at = textvec.words(pa.array(items.texts, pa.string()))
     grams, _ = textvec.shingles(hashes, at, GRAM)
     distinct = np.unique(grams)
@@ -66,8 +68,11 @@ def _index(items: Items) -> Index:
     return Index(np.split(hashes, at[1:-1]), distinct, maybe)
 
 
-@lru_cache(maxsize=2)
 def _seeds(items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return store.held("decontaminate.seeds", items, lambda: _chosen(items))
+
+
+def _chosen(items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sorted seeds, with the item and the place of each, and the filter of their low bits."""
     counted = dict(zip(np.frombuffer(items.grams, np.uint64).tolist(), np.frombuffer(items.frequencies, np.int64).tolist(), strict=True))
     hashes, _, _, at = textvec.words(pa.array(items.texts, pa.string()))
@@ -184,7 +189,7 @@ def _frequencies(docs: DataFrame, items: Items) -> Items:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], names=["gram", "n"])
 
-    counts = {r.gram: r.n for r in store.mapped(_texts(docs), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}  # as many as the block's n-grams at most
+    counts = {r.gram: r.n for r in store.mapped(_texts(docs), run, "gram long, n long", "decontaminate").groupBy("gram").agg(F.sum("n").alias("n")).collect()}  # as many as the block's n-grams at most
     grams = _index(items).grams
     return Items(items.ids, items.texts, grams.tobytes(), np.array([counts.get(k, 0) for k in range(len(grams))], np.int64).tobytes())
 
@@ -214,6 +219,6 @@ def search(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "similarity", "first_word", "end_word"])
 
-        part = store.mapped(_texts(docs), run, schema)
+        part = store.mapped(_texts(docs), run, schema, "decontaminate")
         found = part if found is None else found.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if found is None else found

@@ -193,6 +193,7 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 def _verified(threshold: float):
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        store.dropped("jaccard")
         first, second = key
         frame = frame.sort_values("rep", ignore_index=True)
         reps, copies = frame.rep.to_numpy(), frame.copies.to_numpy()

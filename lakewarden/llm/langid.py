@@ -21,7 +21,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -90,7 +89,9 @@ def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     got = SYMBOL[data]
     keep = np.ones(len(got), bool)
     keep[1:] = (got[1:] != 0) | (got[:-1] != 0)
-    return got[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
+    before = np.zeros(len(got) + 1, np.int32)
+    np.cumsum(keep, out=before[1:])
+    return got[keep], before[offsets].astype(np.int64)
 
 
 def automaton(sample: np.ndarray) -> list[dict[int, int]]:
@@ -124,7 +125,6 @@ def automaton(sample: np.ndarray) -> list[dict[int, int]]:
     return moves
 
 
-@lru_cache(maxsize=2)
 def tables(profile: Profile) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All automata as one table of moves.
 
@@ -159,7 +159,7 @@ def tables(profile: Profile) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 def phrases(profile: Profile, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The number of phrases of each text (rows) in each language (columns), and of symbols."""
-    table, column, roots, _ = tables(profile)
+    table, column, roots, _ = store.held("langid", profile, lambda: tables(profile))
     coded, at = symbols(data, offsets)
     sizes = np.diff(at)
     blocks = -(-sizes // BLOCK)
@@ -203,7 +203,7 @@ def predict(docs: DataFrame, profile: Profile, text: str = "text", prefix: str =
     schema = T.StructType([*docs.schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = tables(profile)[3]
+        bits = store.held("langid", profile, lambda: tables(profile))[3]
         for batch in textvec.portions(batches):
             data, offsets = textvec.flat(batch.column(batch.num_columns - 1))
             counts, sizes = phrases(profile, data, offsets)
@@ -216,7 +216,7 @@ def predict(docs: DataFrame, profile: Profile, text: str = "text", prefix: str =
             picked = [names[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(picked, pa.string()), pa.array(margin), pa.array(np.where(known, least, 0.0))], names=schema.names)
 
-    return store.mapped(ready, run, schema)
+    return store.mapped(ready, run, schema, "langid")
 
 
 def accepted(docs: DataFrame, profile: Profile) -> DataFrame:

@@ -25,7 +25,6 @@ import zlib
 from array import array
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +42,11 @@ REMEMBERED = 300_000
 GROUPS, ROWS_PER_GROUP = 256, 100_000
 
 
-@lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    return store.held("packing", path, lambda: _loaded(path))
+
+
+def _loaded(path: str):
     """The tokenizer of a file; an encoder with the same ranks, which takes a fraction of its time; and what a worker remembers.
 
     In a byte-level vocabulary a token's id is its rank, and its characters
@@ -155,7 +157,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
-    return store.mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), run, schema)
+    return store.mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), run, schema, "packing")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> dict[str, np.ndarray]:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,9 +51,54 @@ def with_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
 
-def mapped(rows: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow`` with smaller Arrow batches, which the session keeps from then on."""
+#: Of a Python worker: name to (key, object).
+_HELD: dict[str, tuple[Any, Any]] = {}
+
+
+def _returned() -> None:
+    """Gives a Python worker's free memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def dropped(operator: str, also: str = "") -> None:
+    """Drops what this worker holds of other operators than the one named, and the object of the name ``also``."""
+    for name in [k for k in _HELD if k == also or k.split(".")[0] != operator]:
+        del _HELD[name]
+
+
+def held(operator: str, key: Any, make: Callable[[], Any]) -> Any:
+    """What ``make`` returns, held by a Python worker for the tasks that follow.
+
+    Workers outlive stages. So that memory does not add up, one holds only the
+    newest object of each name, and only those of the operator at work.
+    """
+    known, value = _HELD.get(operator, (None, None))
+    if known is not key:
+        if known != key:
+            dropped(operator.split(".")[0], operator)
+            _returned()
+            value = make()
+        _HELD[operator] = (key, value)  # the same object again is then known without a comparison
+    return value
+
+
+def mapped(rows: DataFrame, function, schema, operator: str = "") -> DataFrame:
+    """``mapInArrow`` with smaller Arrow batches, which the session keeps from then on.
+
+    Its tasks drop what workers hold of other operators, and return free
+    memory when they end.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dropped(operator)
+        yield from function(batches)
+        _returned()
+
     conf = rows.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return rows.mapInArrow(function, schema)
+    return rows.mapInArrow(run, schema)

@@ -25,7 +25,6 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -71,8 +70,11 @@ class Lexicon:
     curve: tuple[float, ...] = field(default=(-20.0, 0.0, 0.0, 0.0))
 
 
-@lru_cache(maxsize=4)
 def _automaton(lexicon: Lexicon) -> ahocorasick.Automaton | None:
+    return store.held("toxicity", lexicon, lambda: _made(lexicon))
+
+
+def _made(lexicon: Lexicon) -> ahocorasick.Automaton | None:
     """Patterns with the space before them: (is an exception, length, number of the stem)."""
     found = ahocorasick.Automaton()
     for k, (stem, _, _) in enumerate(lexicon.stems):
@@ -130,7 +132,7 @@ def features(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame
             rate = 100 * (got[:, 1] + got[:, 2]) / words
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got[:, 0].astype(np.int64)), pa.array(got[:, 1]), pa.array(got[:, 2]), pa.array(rate)], names=schema.names)
 
-    return store.mapped(ready, run, schema)
+    return store.mapped(ready, run, schema, "toxicity")
 
 
 def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
