@@ -37,7 +37,7 @@ CAPACITY, SEPARATOR = 2048, 0
 #: Fixed value: how byte-level vocabularies of this family split a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct stretches of text whose token ids a worker remembers at most; it forgets all when there are more.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 #: Salted groups of a size, and the rows for which one more is used.
 GROUPS, ROWS_PER_GROUP = 256, 100_000
 
