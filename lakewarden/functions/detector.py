@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, replace
+from re import _parser as parser
 
 #: Classes of data by category; what is not listed is personal data.
 CLASS_OF = {
@@ -182,3 +183,60 @@ def java_pattern(detector: Detector) -> tuple[str, int]:
         return translated(REWRITTEN[detector.id], detector.flags), 1
     pattern = detector.pattern.removesuffix("[\"']?") if detector.group else detector.pattern  # the value ends the match
     return translated(pattern, detector.flags), detector.group
+
+
+#: Cheap properties of a text, one of which a text needs for many patterns to match: the pattern of each.
+PROPERTIES = {"digit": "[0-9]", "at": "@", "setter": "[:=]", "run": "[A-Za-z0-9_/+=.~-]{16}"}
+_DIGITS, _SETTERS, _RUN = frozenset("0123456789"), frozenset(":="), frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_/+=.~-")
+
+
+def _characters(op, arg) -> frozenset[str] | None:
+    """The characters that an element of a parsed pattern takes, if they are few and listed."""
+    if op is parser.LITERAL:
+        return frozenset(chr(arg))
+    if op is not parser.IN:
+        return None
+    out: set[str] = set()
+    for kind, value in arg:
+        if kind is parser.LITERAL:
+            out.add(chr(value))
+        elif kind is parser.RANGE and value[1] < 128:
+            out.update(map(chr, range(value[0], value[1] + 1)))
+        elif kind is parser.CATEGORY and value is parser.CATEGORY_DIGIT:
+            out |= _DIGITS
+        else:
+            return None
+    return frozenset(out)
+
+
+def _needed(tree) -> set[str]:
+    """The properties that whatever a parsed pattern matches has."""
+    out: set[str] = set()
+    for op, arg in tree:
+        times = 1
+        if op in (parser.MAX_REPEAT, parser.MIN_REPEAT):
+            times, _, inner = arg
+            if not times:
+                continue
+            if len(inner) > 1 or _characters(*inner[0]) is None:
+                out |= _needed(inner)
+                continue
+            op, arg = inner[0]
+        if op is parser.SUBPATTERN:
+            out |= _needed(arg[3])
+        elif op is parser.BRANCH:
+            out |= set.intersection(*(_needed(b) for b in arg[1]))
+        elif chars := _characters(op, arg):
+            out |= {name for name, of in (("digit", _DIGITS), ("at", frozenset("@")), ("setter", _SETTERS)) if chars <= of}
+            if times >= 16 and chars <= _RUN:
+                out.add("run")
+    return out
+
+
+def needs(detector: Detector) -> set[str]:
+    """Properties without which a text cannot hold a match; what Python cannot parse needs none."""
+    pattern = REWRITTEN.get(detector.id, detector.pattern)
+    try:
+        return _needed(parser.parse(pattern, re.ASCII))
+    except re.error:
+        return set()

@@ -5,13 +5,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value: characters without width that are dropped before a scan.
 ZERO_WIDTH = "​‌‍﻿­⁠᠎"
 MASK, MASK_LEAST, MASK_MOST = "X", 4, 32
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _composed(texts: pd.Series) -> pd.Series:
     return texts.str.normalize("NFC")
 

@@ -3,8 +3,10 @@
 All of it is one narrow stage of built-in expressions. Each detector that the
 policy leaves on is an expression with its pattern as a literal; it yields the
 pieces between its matches only where its literal gate and its pattern hold,
-so texts without matches cost one search a detector. What follows is written
-once for all detectors, over the array of those that matched.
+so texts without matches cost one search a detector at most: a few properties
+of a text, such as whether it has a digit, rule most detectors out before
+that. What follows is written once for all detectors, over the array of those
+that matched.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lakewarden.functions import text as texts
 from lakewarden.functions.catalogue import DETECTORS
-from lakewarden.functions.detector import Detector, java_pattern
+from lakewarden.functions.detector import PROPERTIES, Detector, java_pattern, needs
 from lakewarden.functions.validators import VALIDATORS
 
 #: Most matches of one detector in one text.
@@ -33,6 +35,8 @@ def _candidate(ordinal: int, d: Detector, text: Column, lower: Column) -> Column
     gate = text.rlike(pattern)
     if d.literal:
         gate = F.contains(lower, F.lit(d.literal)) & gate
+    for name in sorted(needs(d)):
+        gate = F.col(f"__has_{name}") & gate
     fields = {
         "ordinal": F.lit(ordinal), "rule_id": F.lit(d.id), "label": F.lit(d.label), "category": F.lit(d.category or d.family), "classification": F.lit(d.data_class),
         "severity": F.lit(d.severity), "rank": F.lit(d.rank), "secret": F.lit(d.secret), "low": F.lit(d.low),
@@ -138,11 +142,11 @@ def scan(docs: DataFrame, text: str = "text", enabled: Sequence[str] | None = No
     """
     detectors = [(k, d) for k, d in enumerate(only) if (d.on if enabled is None else d.id in set(enabled))]
     ready = texts.normalized(docs, text, "scanned") if normalize else docs.withColumn("scanned", F.col(text))
-    ready = ready.withColumn("__lower", F.lower("scanned"))
+    ready = ready.withColumns({"__lower": F.lower("scanned")} | {f"__has_{name}": F.col("scanned").rlike(pattern) for name, pattern in PROPERTIES.items()})
     body = F.col("scanned")
-    empty = F.array().cast(f"array<{FINDING}>")
+    empty, extra = F.array().cast(f"array<{FINDING}>"), [f"__has_{name}" for name in PROPERTIES]
     if not detectors:
-        return ready.drop("__lower").withColumn("findings", empty)
+        return ready.drop("__lower", *extra).withColumn("findings", empty)
     rows = ready.withColumn("__matched", candidates(body, F.col("__lower"), detectors))
     runs = F.regexp_extract_all(body, F.lit("X{4,}"), F.lit(0))
     gaps = F.split(body, "X{4,}", -1)
@@ -157,4 +161,9 @@ def scan(docs: DataFrame, text: str = "text", enabled: Sequence[str] | None = No
     codes = countries(docs) if any(d.id == "SWIFT_BIC" for _, d in detectors) else ["AD"]
     spans = F.transform("__matched", lambda c: F.transform(F.filter(_placed(c), lambda s: _kept(c, s, body, F.col("__masks"), detectors, codes)), lambda s: _finding(c, s)))
     rows = rows.withColumn("findings", F.when(F.size("__matched") > 0, _resolved(F.flatten(spans).cast(f"array<{FINDING}>"))).otherwise(empty))
-    return rows.drop("__lower", "__matched", "__masks")
+    return rows.drop("__lower", "__matched", "__masks", *extra)
+
+
+def exploded(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, f): a row for each finding. Outer, and filtered after: a filter on the array itself would run the scan a second time below it."""
+    return rows.select(*keys, F.explode_outer("findings").alias("f")).where(F.col("f").isNotNull())
