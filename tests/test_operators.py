@@ -1,0 +1,195 @@
+"""Operators against plain Python, known values, and odd rows."""
+
+import gzip
+import io
+import json
+import re
+import zipfile
+import zlib
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from lakewarden.functions import catalogue
+from lakewarden.functions.detector import needs
+from lakewarden.functions.validators import VALIDATORS
+from lakewarden.operators import audit, captures, files, forward, sanitize, scan
+from lakewarden.sources import shared
+from lakewarden.streaming import jobs
+
+TEXT = [
+    ("mail me@example.org or call, card 4111 1111 1111 1111.", "mail XXXXXXXXXXXXXX or call, card XXXXXXXXXXXXXXXXXXX.", "mask"),
+    ("nothing to see here", "nothing to see here", "allow"),
+    ("", "", "allow"),
+    (None, None, "allow"),
+    ("password: Hunter2Real! and 999.999.1.1", "password: XXXXXXXXXXXX and 999.999.1.1", "mask"),
+    ("already XXXXXXXX masked", "already XXXXXXXX masked", "allow"),
+    ("z​ero m​e@example.org", "zero XXXXXXXXXXXXXX", "mask"),
+]
+
+
+def test_sanitize(spark):
+    docs = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(TEXT)], "id long, text string")
+    got = {r.id: r for r in sanitize.sanitize(docs).collect()}
+    assert [(got[k].sanitized, got[k].action) for k in range(len(TEXT))] == [(s, a) for _, s, a in TEXT]
+    again = sanitize.sanitize(spark.createDataFrame([(k, got[k].sanitized) for k in got], "id long, text string"))
+    assert again.where("n_findings > 0").count() == 0  # masks are final
+
+
+def test_policy(spark):
+    docs = spark.createDataFrame([(1, "write to me@example.org")], "id long, text string")
+    block = sanitize.normalized_policy({"patterns": {"EMAIL": {"block": True}}})
+    assert sanitize.sanitize(docs, policy=block).first().action == "block"
+    warn = sanitize.enforced(sanitize.default_policy(), "monitor")
+    assert sanitize.sanitize(docs, policy=warn).first().action == "warn"
+    off = sanitize.normalized_policy({"patterns": {"EMAIL": False, "IN_UPI_ID": False}})
+    assert sanitize.sanitize(docs, policy=off).first().action == "allow"
+    named = sanitize.normalized_policy({"labeling": True, "labeler": "us"})
+    assert sanitize.sanitize(docs, policy=named).first().sanitized.endswith("\n\n[Data Classification: Personal Data — sanitized by us]")
+
+
+def test_properties_rule_out_no_sample(spark):
+    from lakewarden.functions.detector import PROPERTIES
+
+    for d in catalogue.DETECTORS:
+        if d.sample and re.search(d.pattern, d.sample, re.I | re.M):
+            assert all(re.search(PROPERTIES[p], d.sample) for p in needs(d)), d.id
+
+
+def test_samples_match_their_detectors(spark):
+    some = [(d.id, d.sample) for d in catalogue.DETECTORS if d.sample]
+    docs = spark.createDataFrame(some, "id string, text string")
+    on = [(k, d) for k, d in enumerate(catalogue.DETECTORS) if d.sample]
+    assert len(on) >= 130
+    ready = docs.withColumns({"low": F.lower("text")} | {f"__has_{p}": F.lit(True) for p in ("digit", "at", "setter", "run")})
+    rows = ready.select("id", F.transform(scan.candidates(F.col("text"), F.col("low"), on), lambda c: c["rule_id"]).alias("found")).collect()
+    assert [r.id for r in rows if r.id not in r.found] in ([], ["LIB_RU_PASSPORT"])
+
+
+@pytest.mark.parametrize(("name", "value", "valid"), [("luhn", "4111111111111111", True), ("luhn", "4111111111111112", False), ("aadhaar", "2341 2341 2346", True), ("iban", "GB82 WEST 1234 5698 7654 32", True), ("iban", "GB82 WEST 1234 5698 7654 33", False), ("library_isin", "US0378331005", True), ("library_imo", "IMO 9074729", True), ("library_vin", "1HGBH41JXMN109186", True)])
+def test_validators(spark, name, value, valid):
+    assert spark.createDataFrame([(value,)], "v string").select(VALIDATORS[name](F.col("v")).alias("ok")).first().ok is valid
+
+
+def test_scores(spark):
+    rows = [  # n, worst, secrets, firm, identities, bytes, masquerade; score, band, action
+        ((0, 0, 0, 0, 0, 100, True), (0, "LOW", "allow")), ((1, 4, 1, 1, 0, 100, False), (80, "CRITICAL", "quarantine")), ((1, 4, 1, 0, 0, 100, False), (62, "HIGH", "quarantine")),
+        ((2, 3, 0, 0, 2, 100, False), (31, "MODERATE", "notify")), ((25, 2, 0, 0, 3, 100, True), (59, "HIGH", "quarantine")), ((100, 1, 0, 0, 2, 100, False), (80, "CRITICAL", "quarantine")),
+    ]
+    table = spark.createDataFrame([(k, *v) for k, (v, _) in enumerate(rows)], "id int, n long, worst int, secrets long, firm long, identities long, n_bytes long, masquerade boolean")
+    got = {r.id: (r.score, r.band, r.file_action) for r in sanitize.scored(table).collect()}
+    assert got == {k: w for k, (_, w) in enumerate(rows)}
+
+
+def turns(spark, rows):
+    start = datetime(2024, 1, 1)
+    return spark.createDataFrame([(f"{k:05d}", t, c, tool, start + timedelta(minutes=17 * k), None, star) for k, (t, c, tool, star) in enumerate(rows)], "id string, type string, content string, tool string, ts timestamp, session_url string, starred boolean")
+
+
+def test_retention(spark):
+    rows = [("prompt", "x" * (37 * k % 900), "Claude", k % 5 == 0) for k in range(300)]
+    kept, taken, count = {}, 0, 0
+    for k in reversed(range(300)):
+        cost = len(rows[k][1]) + 320
+        if count < 60 and taken + cost <= 30_000:
+            kept[f"{k:05d}"], count = False, count + 1
+        elif rows[k][3] and taken + cost <= 38_000:
+            kept[f"{k:05d}"] = True
+        else:
+            continue
+        taken += cost
+    got = captures.retained(turns(spark, rows), 60, 30_000, 8_000, step=7)
+    assert {r.id: r.overflow for r in got.collect()} == kept
+    assert captures.retained(turns(spark, rows).limit(0)).count() == 0
+
+
+def test_repeats(spark):
+    rows = [("prompt", c, "Claude", False) for c in "aabbbacca"] + [("response", "a", "Claude", False)]
+    assert [r.id[-1] for r in captures.without_repeats(turns(spark, rows)).orderBy("id").collect()] == list("02568") + ["9"]
+
+
+def test_tags_and_clamp(spark):
+    got = spark.createDataFrame([("How do I fix this sql error in html with tailwind?",), ("plain",), ("def f(): return 1 ",)], "t string").select(captures.tags(F.col("t")).alias("tags"), captures.clamped(F.col("t"), 5).alias("c")).collect()
+    assert [r.tags for r in got] == [["HTML", "CSS", "Database", "AI/ML"], ["AI/ML"], ["Code"]]
+    assert got[0].c == "How d\n\n[… truncated: 45 more characters]"
+
+
+def log(spark):
+    return spark.createDataFrame([(1, datetime(2024, 1, 1), "file-block", "A|b", "u=1", "HIGH", ["X"], 2, [("L=1\n", "X", 2)]), (2, None, "warn", None, None, None, [], 0, [])], "id long, ts timestamp, action string, tool string, url string, max_severity string, classifications array<string>, total_findings long, items array<struct<label:string,classification:string,count:long>>")
+
+
+def test_forms(spark):
+    events = forward.events(log(spark))
+    lines = {r.id: r.line for r in events.select("id", forward.cef("v|w").alias("line")).collect()}
+    assert lines[1] == "CEF:0|v\\|w|text-protection|1.0|dlp.file|dlp.file block|7|rt=1704067200000 act=block outcome=block cat=X cnt=2 request=u\\=1 cs1Label=aiTool cs1=A|b cs2Label=detectors cs2=L\\=1\\nx2"
+    assert lines[2].startswith("CEF:0|v\\|w|text-protection|1.0|dlp.warn|dlp.warn warn|2|act=warn")
+    for name, form in forward.FORMS.items():
+        made = events.select(form().alias("line")).collect()
+        assert len(made) == 2 and (name in ("cef", "leef") or all(json.loads(r.line) for r in made))
+    assert json.loads(events.where("id = 1").select(forward.template('{"u":"%%url%%","d":%%json%%,"n":"%%nothing%%"}').alias("b")).first().b)["u"] == "u=1"
+
+
+def test_batches(spark):
+    events = forward.events(log(spark))
+    rows = forward.spooled(forward.fan_out(events, [forward.Profile("p"), forward.Profile("q", min_severity="HIGH")]))
+    bodies = {r.profile: (r.n, r.body) for r in forward.serialized(rows, "json").collect()}
+    assert bodies["p"][0] == 2 and len(json.loads(bodies["p"][1])["events"]) == 2 and json.loads(bodies["q"][1])["id"] == 1
+    assert len(forward.signed(forward.serialized(rows), "key").first().headers["X-Signature"]) == 64
+    assert forward.headers({"type": "basic", "username": "a", "password": "b"}) == {"Authorization": "Basic YTpi"}
+    hosts = [("http://localhost/x", True), ("https://10.1.2.3", True), ("https://[::1]:8/", True), ("https://172.20.0.1", True), ("https://siem.example.com/in", False), ("", True)]
+    assert [r.p for r in spark.createDataFrame(hosts, "url string, want boolean").select(forward.private_host(F.col("url")).alias("p")).collect()] == [w for _, w in hosts]
+
+
+def zipped(**parts):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in parts.items():
+            z.writestr(name.replace("__", "/") + ".xml", data)
+    return out.getvalue()
+
+
+def test_files(spark):
+    docx = io.BytesIO()
+    with zipfile.ZipFile(docx, "w") as z:
+        z.writestr("[Content_Types].xml", "<Types/>")
+        z.writestr("word/document.xml", "<w:p>one &amp; two</w:p><w:p>three</w:p>")
+        z.writestr("word/other.xml", "<w:p>no</w:p>")
+    pdf = b"%PDF-1.4\n<< /Title (A \\(b\\)) >>\nstream\n" + zlib.compress(b"BT (me@example.org) Tj [(sp) -3 (lit)] TJ ET") + b"\nendstream"
+    deep = b"x"
+    for _ in range(6):
+        deep = gzip.compress(deep)
+    rows = [("a.docx", docx.getvalue()), ("b.pdf", pdf), ("c.txt.gz", gzip.compress(b"hello")), ("d.png", b"plain text"), ("e.png", b"\x89PNG\r\n\x1a\n\x00"), ("f.bin", b"\x00\x01\x02"), ("g.gz", deep), ("h.zip", b"PK\x03\x04broken"), ("i.txt", b""), ("j", None), ("k.zip", zipped(a="<a>1</a>", b="<a>2</a>"))]
+    table = spark.createDataFrame(rows, "path string, content binary")
+    kinds = {r.path: (r.true_type, r.masquerade) for r in files.typed(table).collect()}
+    assert [kinds[k][0] for k, _ in rows[:9]] == ["zip", "pdf", "gzip", "text", "png", "unknown", "gzip", "zip", "unknown"] and [k for k in kinds if kinds[k][1]] == ["d.png"]
+    got = {}
+    for r in files.segments(table).collect():
+        got.setdefault(r.path, []).append((r.segment, r.text, r.skipped, r.truncated))
+    assert got["a.docx"] == [("a.docx!word/document.xml", "one & two\nthree\n", None, False)]
+    assert got["b.pdf"][0][1] == "me@example.org\nsplit\nA \\(b\\)" and got["c.txt.gz"] == [("c.txt", "hello", None, False)]
+    assert got["g.gz"] == [(None, None, "no text", True)] and got["h.zip"][0][2] == "unreadable" and got["j"][0][2] == "unreadable" and len(got["k.zip"]) == 2
+    tight = files.segments(table.where("path = 'k.zip'"), budget=files.Budget(most_entries=1)).collect()
+    assert [(r.text, r.truncated) for r in tight] == [("1", True)]
+
+
+def test_delivery_from_a_stream(spark, tmp_path):
+    path = shared.new_path(spark, "in")
+    log(spark).where("id = 1").write.parquet(path)
+    stream = forward.events(jobs.table(spark, path, log(spark).schema))
+    out = tmp_path / "sent"
+    out.mkdir()
+
+    def deliver(profile, number, body, folder=str(out)):
+        with open(f"{folder}/{profile}-{number}", "a") as f:
+            f.write(body)
+
+    jobs.delivered(stream, [forward.Profile("p")], deliver, shared.new_path(spark, "state")).awaitTermination()
+    assert json.loads((out / "p-0").read_text())["type"] == "dlp.file"
+
+
+def test_empty_tables(spark):
+    empty = log(spark).limit(0)
+    assert audit.stats(empty).first().n_entries == 0 and audit.hits(empty, datetime(2024, 1, 1)).count() == 0
+    docs = spark.createDataFrame([], "id long, text string")
+    assert sanitize.sanitize(docs).count() == 0 and sanitize.risk(scan.scan(docs), "id", F.octet_length("text")).count() == 0
