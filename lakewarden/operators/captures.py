@@ -32,10 +32,18 @@ def keyword_pattern(words: str) -> str:
     return "|".join(w.replace("_", " ").replace(".", r"\.") for w in words.split())
 
 
-def tags(text: Column) -> Column:
+def holds(low: Column, words: str) -> Column:
+    """Whether a lower-cased text holds one of some words: byte searches, which take a fraction of a pattern's time."""
+    found = F.lit(False)
+    for w in words.split():
+        found = found | F.contains(low, F.lit(w.replace("_", " ")))
+    return found
+
+
+def tags(text: Column, low: Column | None = None) -> Column:
     """The first tags of a text: by keyword, then by form; ``General`` if it has none."""
-    low = F.lower(text)
-    found = [F.when(low.rlike(keyword_pattern(words)), tag) for tag, words in KEYWORDS]
+    low = F.lower(text) if low is None else low
+    found = [F.when(holds(low, words), tag) for tag, words in KEYWORDS]
     found += [F.when(text.rlike(CODE), "Code"), F.when(F.trim(text).rlike(QUESTION), "Question"), F.when(low.rlike(EXPLAIN), "Explanation")]
     some = F.slice(F.array_distinct(F.filter(F.array(*found), lambda t: t.isNotNull())), 1, MOST_TAGS)
     return F.when(F.size(some) > 0, some).otherwise(F.array(F.lit("General")))
@@ -56,7 +64,8 @@ def clamped(text: Column, most: int = MOST_CONTENT) -> Column:
 
 def enriched(captures: DataFrame) -> DataFrame:
     """Clamped turns of two characters or more, with ``tokens`` and ``tags``."""
-    return captures.where(F.length("content") >= 2).withColumns({"content": clamped(F.col("content")), "tokens": tokens(F.col("content")), "tags": tags(F.col("content"))})
+    rows = captures.where(F.length("content") >= 2).withColumn("__low", F.lower("content"))
+    return rows.withColumns({"content": clamped(F.col("content")), "tokens": tokens(F.col("content")), "tags": tags(F.col("content"), F.col("__low"))}).drop("__low")
 
 
 def tool_class(tool: Column) -> Column:
