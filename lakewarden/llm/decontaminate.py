@@ -1,16 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Of each benchmark item some word n-grams serve as seeds: in every window of
-:data:`WINDOW` consecutive n-grams the one that the fewest documents hold. A
-copied stretch of ``WINDOW + n - 1`` words thus holds a seed, whatever is
-edited around it, and common phrases are no seeds where a rarer one is near.
-Where a document holds a seed, the words around it are aligned with the item
-(match +2, mismatch or gap -1); the best local score, over that of the whole
-item, is the similarity. An edited or paraphrased copy keeps most of it.
+Every word n-gram of a benchmark item is a seed, be it rare or common. Where a
+document holds a seed, the words around it are aligned with the item (match
++2, mismatch or gap -1); the best local score, over that of the whole item, is
+the similarity. An edited or paraphrased copy keeps most of it. An alignment
+that reaches the threshold is found if n words in a row of it are unedited,
+and is found whole: the stretch around a seed has room for as many inserted
+words as the threshold allows. An item is left out without an alignment only
+where the document has too few of its words to reach the threshold.
 
 Documents are never shuffled: the items, whose size is checked, are sent to
 the tasks in blocks of at most :data:`BLOCK_WORDS` words, one pass a block.
-Frequencies count all documents.
 
 Defined results: null and empty texts, and items without words, match
 nothing. An item of fewer than n words matches only a document of just these
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lakewarden.llm import store, textvec
 
-GRAM, WINDOW = 3, 8
+GRAM = 3
 THRESHOLD = 0.5
 #: Words of the items that are sent to the tasks at once (8 bytes each, and about 40 with their index).
 BLOCK_WORDS = 1_000_000
@@ -40,54 +40,34 @@ _FILTER = 1 << 20
 
 @dataclass(frozen=True)
 class Items:
-    """A block of items by text, and (once they are known) the document frequencies of its n-grams."""
+    """A block of items by text."""
 
     ids: tuple[int, ...]
     texts: tuple[str, ...]
-    grams: bytes = b""
-    frequencies: bytes = b""
 
 
 @dataclass
 class Index:
     words: list[np.ndarray]  # of each item
-    grams: np.ndarray  # sorted distinct
-    maybe: np.ndarray  # by the low bits of a gram: whether it can be one of them
+    seeds: np.ndarray  # sorted n-grams of all items
+    owners: np.ndarray  # the item of each seed
+    places: np.ndarray  # and its place there
+    maybe: np.ndarray  # by the low bits of a gram: whether it can be a seed
 
 
 def _index(items: Items) -> Index:
-    return store.held("decontaminate.index", (items.ids, items.texts), lambda: _indexed(items))
+    return store.held("decontaminate.index", items, lambda: _indexed(items))
 
 
 def _indexed(items: Items) -> Index:
-    hashes, _, _, at = textvec.words(pa.array(items.texts, pa.string()))
-    grams, _ = textvec.shingles(hashes, at, GRAM)
-    distinct = np.unique(grams)
-    maybe = np.zeros(_FILTER, bool)
-    maybe[(distinct & np.uint64(_FILTER - 1)).astype(np.int64)] = True
-    return Index(np.split(hashes, at[1:-1]), distinct, maybe)
-
-
-def _seeds(items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return store.held("decontaminate.seeds", items, lambda: _chosen(items))
-
-
-def _chosen(items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted seeds, with the item and the place of each, and the filter of their low bits."""
-    counted = dict(zip(np.frombuffer(items.grams, np.uint64).tolist(), np.frombuffer(items.frequencies, np.int64).tolist(), strict=True))
     hashes, _, _, at = textvec.words(pa.array(items.texts, pa.string()))
     grams, offsets = textvec.shingles(hashes, at, GRAM)
-    found: list[tuple[int, int, int]] = []
-    for item, (low, high) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-        own = grams[low:high].tolist()
-        rare = [(counted.get(g, 0), k) for k, g in enumerate(own)]
-        chosen = {min(rare[k : k + WINDOW])[1] for k in range(max(1, len(rare) - WINDOW + 1))} if rare else set()
-        found += [(own[k], item, k) for k in chosen]
-    found.sort()
-    seeds = np.array([g for g, _, _ in found], np.uint64)
+    order = np.argsort(grams, kind="stable")
+    owners = np.searchsorted(offsets, order, "right") - 1
+    seeds = grams[order]
     maybe = np.zeros(_FILTER, bool)
     maybe[(seeds & np.uint64(_FILTER - 1)).astype(np.int64)] = True
-    return seeds, np.array([i for _, i, _ in found], np.int64), np.array([k for _, _, k in found], np.int64), maybe
+    return Index(np.split(hashes, at[1:-1]), seeds, owners, order - offsets[owners], maybe)
 
 
 def _present(grams: np.ndarray, maybe: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -124,31 +104,32 @@ def aligned(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     return (best, best_row[1], best_row[0]) if best_row else (0, 0, 0)
 
 
-def _matches(items: Items, words: np.ndarray, hits: np.ndarray, grams: np.ndarray, threshold: float) -> Iterator[tuple[int, float, int, int]]:
+def _matches(index: Index, words: np.ndarray, hits: np.ndarray, grams: np.ndarray, threshold: float) -> Iterator[tuple[int, float, int, int]]:
     """Of one document the items that it holds: (item, similarity, first word, end)."""
-    seeds, owners, places, _ = _seeds(items)
-    index = _index(items)
-    low, high = np.searchsorted(seeds, grams[hits], "left"), np.searchsorted(seeds, grams[hits], "right")
-    regions: dict[int, list[tuple[int, int]]] = {}
-    for hit, a, b in zip(hits.tolist(), low.tolist(), high.tolist(), strict=True):
-        for k in range(a, b):
-            item = int(owners[k])
-            size = len(index.words[item])
-            slack = size // 4 + 4
-            begin = hit - int(places[k])
-            regions.setdefault(item, []).append((max(0, begin - slack), min(len(words), begin + size + slack)))
-    for item, spans in sorted(regions.items()):
-        spans.sort()
-        merged = [spans[0]]
-        for s in spans[1:]:
-            if s[0] <= merged[-1][1] and s[1] - merged[-1][0] <= 4 * len(index.words[item]) + 32:
+    low, high = np.searchsorted(index.seeds, grams[hits], "left"), np.searchsorted(index.seeds, grams[hits], "right")
+    count = high - low
+    seed = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    diagonals = np.repeat(hits, count) - index.places[seed]
+    order = np.lexsort((diagonals, index.owners[seed]))
+    owners, diagonals = index.owners[seed][order], diagonals[order]
+    bounds = np.flatnonzero(np.diff(owners, prepend=-1, append=-1))
+    present = np.unique(words)
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        item = int(owners[a])
+        own = index.words[item]
+        if not _reachable(own, present, threshold):
+            continue
+        slack = int(2 * len(own) * (1 - threshold)) + 1  # each inserted word takes 1 of a score of 2 a word
+        merged: list[tuple[int, int]] = []
+        for begin in np.unique(diagonals[a:b]).tolist():
+            s = (max(0, begin - slack), min(len(words), begin + len(own) + slack))
+            if merged and s[0] <= merged[-1][1] and s[1] - merged[-1][0] <= 4 * len(own) + 32:
                 merged[-1] = (merged[-1][0], max(merged[-1][1], s[1]))
-            elif s[1] > merged[-1][1]:
+            elif not merged or s[1] > merged[-1][1]:
                 merged.append(s)
-        own = index.words[item]
         best = (0, 0, 0)
         for s, e in merged:
-            if np.isin(own, words[s:e]).mean() >= threshold / 2:
+            if _reachable(own, np.unique(words[s:e]), threshold):
                 score, first, last = aligned(own, words[s:e])
                 best = max(best, (score, -(s + first), s + last))
         similarity = best[0] / (MATCH * len(own))
@@ -156,6 +137,12 @@ def _matches(items: Items, words: np.ndarray, hits: np.ndarray, grams: np.ndarra
             yield item, similarity, -best[1], best[2]
 
 
+def _reachable(own: np.ndarray, present: np.ndarray, threshold: float) -> bool:
+    """Whether enough words of an item are among the sorted ones: those that match bound the score."""
+    at = np.minimum(np.searchsorted(present, own), len(present) - 1)
+    return bool((present[at] == own).mean() >= threshold)
+
+
 def _blocks(benchmark: DataFrame) -> list[Items]:
     """The items in blocks of bounded size; the benchmark itself is read a block at a time."""
     sized = benchmark.where("item_id is not null").select("item_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -172,48 +159,25 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
 
 
-def _frequencies(docs: DataFrame, items: Items) -> Items:
-    """How many documents hold each n-gram of the items."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(items)
-        total = np.zeros(len(index.grams), np.int64)
-        for batch in textvec.portions(batches):
-            hashes, _, _, at = textvec.words(batch.column(1))
-            grams, offsets = textvec.shingles(hashes, at, GRAM)
-            places = _present(grams, index.maybe, index.grams)
-            number = np.searchsorted(index.grams, grams[places])
-            owner = np.searchsorted(offsets, places, "right") - 1
-            pairs = np.unique(owner * len(index.grams) + number)
-            total += np.bincount(pairs % max(1, len(index.grams)), minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], names=["gram", "n"])
-
-    counts = {r.gram: r.n for r in store.mapped(_texts(docs), run, "gram long, n long", "decontaminate").groupBy("gram").agg(F.sum("n").alias("n")).collect()}  # as many as the block's n-grams at most
-    grams = _index(items).grams
-    return Items(items.ids, items.texts, grams.tobytes(), np.array([counts.get(k, 0) for k in range(len(grams))], np.int64).tobytes())
-
-
 def search(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, end_word) for each document and item whose best alignment reaches the threshold."""
     schema = "doc_id long, item_id long, similarity double, first_word long, end_word long"
     found = None
-    for block in _blocks(benchmark):
-        items = _frequencies(docs, block)
+    for items in _blocks(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            seeds, _, _, maybe = _seeds(items)
+            index = _index(items)
             for batch in textvec.portions(batches):
                 hashes, _, _, at = textvec.words(batch.column(1))
                 grams, offsets = textvec.shingles(hashes, at, GRAM)
-                places = _present(grams, maybe, seeds)
+                places = _present(grams, index.maybe, index.seeds)
                 ids = batch.column(0).to_pylist()
                 rows = []
                 cut = np.searchsorted(places, offsets)
                 for i in np.flatnonzero(np.diff(cut)).tolist():
                     own = grams[offsets[i] : offsets[i + 1]]
                     hits = places[cut[i] : cut[i + 1]] - offsets[i]
-                    for item, similarity, first, end in _matches(items, hashes[at[i] : at[i + 1]], hits, own, threshold):
+                    for item, similarity, first, end in _matches(index, hashes[at[i] : at[i + 1]], hits, own, threshold):
                         rows.append((ids[i], items.ids[item], round(similarity, 6), first, end))
                 columns = list(zip(*rows, strict=True)) if rows else [()] * 5
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
