@@ -146,7 +146,7 @@ def _reachable(own: np.ndarray, present: np.ndarray, threshold: float) -> bool:
 def _blocks(benchmark: DataFrame) -> list[Items]:
     """The items in blocks of bounded size; the benchmark itself is read a block at a time."""
     sized = benchmark.where("item_id is not null").select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    total = sized.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    total = sized.agg(F.sum(F.size(F.split("text", r"[^\p{L}\p{M}\p{N}]+")) + F.length(F.regexp_replace("text", r"[\x00-\u0dff]+", "")))).first()[0] or 0  # each character of unspaced scripts is a word
     count = -(-total // BLOCK_WORDS)
     blocks = []
     for k in range(count):

@@ -1,7 +1,8 @@
 """Near-duplicate join: word n-gram Jaccard similarity through a MinHash LSH forest, verified exactly.
 
-Texts are lower-cased; words are runs of letters and digits; a text's set are
-the hashes of its runs of ``n`` words. Texts with equal sets are one class
+Texts are lower-cased; words are runs of letters, marks and digits, and single
+characters in scripts without spaces; a text's set are the hashes of its runs
+of ``n`` words. Texts with equal sets are one class
 and only its least id goes on. Each tree of the forest sorts the signatures by
 a prefix of MinHash values of its own; texts that share a prefix are
 candidates. The prefix starts at :data:`DEEPEST` values and is shortened until

@@ -150,7 +150,7 @@ def scan(docs: DataFrame, templates: Templates = TEMPLATES, threshold: float = C
         maybe[(prints & np.uint64(0xFFFF)).astype(np.int64)] = True
         for batch in textvec.portions(batches):
             data, offsets = textvec.flat(batch.column(1))
-            starts, ends, at = textvec.runs(textvec.WORD[data], offsets)
+            starts, ends, at = textvec.spans(data, offsets)
             hashes = textvec.span_hashes(_LOWER[data], starts, ends)
             grams, gram_at = textvec.shingles(hashes, at, GRAM)
             hits = np.flatnonzero(maybe[(grams & np.uint64(0xFFFF)).astype(np.int64)])

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes that belong to words: ASCII letters and digits, and every byte of a character outside ASCII.
-WORD = np.array([chr(b).isalnum() or b >= 128 for b in range(256)])
+#: What a character is to words: nothing, a part of one, a mark (part of what it follows), or a word of its own.
+NONE, PART, MARK, ALONE = range(4)
+#: First and last code points of scripts that put no spaces between words; each of their characters, with its marks, is a word.
+UNSPACED = (
+    (0x0E00, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0xA980, 0xA9FF), (0xAA60, 0xAADF),  # of South-East Asia, and Tibetan
+    (0x2E80, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x16FE0, 0x18DFF), (0x1AFF0, 0x1B2FF), (0x20000, 0x3FFFF),  # of East Asia
+)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,18 +76,62 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
-def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of true values, cut at the texts' bounds, and the number of the first run of each text."""
-    if not len(inside):
+@cache
+def _kinds() -> np.ndarray:
+    """The kind of every code point."""
+    kinds = np.array([{"L": PART, "N": PART, "M": MARK}.get(unicodedata.category(chr(c))[0], NONE) for c in range(sys.maxunicode + 1)], np.uint8)
+    for low, high in UNSPACED:
+        part = kinds[low : high + 1]
+        part[part == PART] = ALONE
+    return kinds
+
+
+def _classes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each byte belongs to a word, and whether a word begins at it even if one ends just before."""
+    kinds = _kinds()
+    got = kinds[data]  # right for ASCII
+    fresh = np.zeros(len(data), bool)
+    leads = np.flatnonzero(data >= 0xC0)
+    if not len(leads):
+        return got > 0, fresh
+    lead = data[leads].astype(np.int64)
+    length = 2 + (lead >= 0xE0) + (lead >= 0xF0)
+    code = lead & np.array([0, 0, 0x1F, 0x0F, 0x07])[length]
+    for k in (1, 2, 3):
+        more = length > k
+        code[more] = code[more] << 6 | data[leads[more] + k] & 0x3F
+    kind = kinds[code]
+    for k in (0, 1, 2, 3):
+        more = length > k
+        got[leads[more] + k] = kind[more]
+    alone = kind == ALONE
+    fresh[leads[alone]] = True
+    # what follows a word of its own and its marks begins a new one
+    if alone.any():
+        starts = np.flatnonzero((data & 0xC0) != 0x80)
+        own = got[starts]
+        solid = np.where((own == MARK) & ~np.isin(starts, offsets), 0, np.arange(len(own)))
+        after = np.maximum.accumulate(solid)[:-1]  # the last character before that is no mark, or a text's first
+        fresh[starts[1:][(own[1:] == PART) & (own[after] == ALONE)]] = True
+    return got > 0, fresh
+
+
+def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of texts, and for each text the number of its first word (and of the end).
+
+    A word is a run of letters, marks and digits of any script, or one such
+    character with its marks where the script has no spaces.
+    """
+    if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    last = inside.copy()
-    last[:-1] &= ~inside[1:]
+    inside, first = _classes(data, offsets)
+    first[0] |= inside[0]
+    first[1:] |= inside[1:] & ~inside[:-1]
     edges = offsets[(offsets > 0) & (offsets < len(inside))]
     first[edges] |= inside[edges]
-    last[edges - 1] |= inside[edges - 1]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | first[1:]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     return starts, ends, np.searchsorted(starts, offsets)
 
@@ -88,7 +139,7 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end of every word, and for each text the number of its first word (and of the end)."""
     data, offsets = flat(texts)
-    starts, ends, at = runs(WORD[data], offsets)
+    starts, ends, at = spans(data, offsets)
     return span_hashes(data, starts, ends), starts, ends, at
 
 
