@@ -220,6 +220,12 @@ def predict(docs: DataFrame, profile: Profile, text: str = "text", prefix: str =
 
 
 def accepted(docs: DataFrame, profile: Profile) -> DataFrame:
-    """The documents whose language can be told: all but the undetermined ones, with the columns of the input."""
+    """All documents with a letter, with the columns of the input.
+
+    Any text with a letter gets some language, so neither its entropy nor
+    which one it is rejects a document; nor does a profile without a language.
+    """
+    if not profile.samples:
+        return docs.where(docs.text.rlike(r"\p{L}"))
     rows = predict(docs, profile, prefix="__")
     return rows.where(F.col("__lang_pred") != UNDETERMINED).select(*docs.columns)
