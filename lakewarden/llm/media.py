@@ -9,13 +9,13 @@ Each task writes one shard at most, through a temporary name that is renamed
 when the shard is complete, and returns its entries; entries are written as a
 table, and an attempt that was lost leaves at most a shard that no entry
 names. Payloads are never shuffled: tasks skip rows whose digest another row
-carries first (ids of these rows are sent to all tasks while few, joined
-otherwise).
+carries first (ids and digests of these rows are sent to all tasks while few,
+joined otherwise).
 
 Defined results: a null or empty text is one payload of 64 zero bytes. A text
 whose bytes equal another's padded payload shares its stored form. Rows with a
-null id are kept; among equal payloads the row with the least id stores it,
-and rows that repeat an id repeat its entry at most.
+null id are kept; among equal payloads the row with the least id stores it.
+Rows that repeat an id are returned each, whether their texts are equal or not.
 """
 
 from __future__ import annotations
@@ -134,7 +134,7 @@ def stored(docs: DataFrame, folder: str) -> DataFrame:
     keyed = digests(docs.select("doc_id", "text"))
     ids = store.written(keyed.select("doc_id", "digest"), "digests")
     first = ids.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    spare = store.written(ids.join(first, "digest").where("doc_id > first or (doc_id is null and first is not null)").select("doc_id").distinct(), "spare")
+    spare = store.written(ids.join(first, "digest").where("doc_id > first or (doc_id is null and first is not null)").select("doc_id", F.unhex("digest").alias("sha")).distinct(), "spare")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, seen, entries = None, set(), []
@@ -153,9 +153,9 @@ def stored(docs: DataFrame, folder: str) -> DataFrame:
         kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["digest", "shard", "offset", "length"])
 
-    own = store.with_ids(docs.select("doc_id", "text"), spare, "doc_id", "left_anti")
+    own = store.with_ids(keyed.select("doc_id", "text", F.unhex("digest").alias("sha")), spare, ["doc_id", "sha"], "left_anti", store.MOST_SENT // 4)
     entries = store.mapped(own.select(F.coalesce("text", F.lit("")).alias("text")), run, "digest string, shard string, offset long, length long")
-    # rows that repeat an id may store a payload twice; one entry counts
+    # rows that repeat an id and a text may store a payload twice; one entry counts
     return store.written(store.written(entries, "entries").groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("e")).select("digest", "e.*"), "catalogue")
 
 

@@ -42,9 +42,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 MOST_SENT = 1_000_000
 
 
-def with_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+def with_ids(rows: DataFrame, ids: DataFrame, key: str | list[str], how: str, most: int = MOST_SENT) -> DataFrame:
     """Joins rows with a written table of ids: sent to the rows if their count allows, else both are shuffled."""
-    return rows.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids.hint("merge"), key, how)
+    return rows.join(F.broadcast(ids) if ids.count() <= most else ids.hint("merge"), key, how)
 
 
 #: Rows and bytes of an Arrow batch: with Spark's own bounds a batch of long texts takes a large part of a worker's memory, several times over.
