@@ -59,19 +59,21 @@ def _loaded(path: str):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(path)
-    exact.encode_special_tokens = True
     visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     hidden = [b for b in range(256) if b not in visible]
     byte = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
-    special = {t.content for t in exact.get_added_tokens_decoder().values()}
+    added = exact.get_added_tokens_decoder().values()
+    if any(t.rstrip or t.single_word or t.normalized or set(t.content) & set("\t\n\r ") for t in added):
+        raise ValueError(f"{path}: an added token depends on what surrounds a stretch of text")
+    special = {t.content for t in added}
     ranks = {bytes(byte[c] for c in token): rank for token, rank in exact.get_vocab().items() if token not in special}
-    return exact, tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), {}
+    return exact, tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), {}, special
 
 
 def _encoded(texts: list[str], path: str) -> list[list[int]]:
-    """The ids that the tokenizer gives. The encoder's are checked against it on a few texts of each call."""
-    exact, quick, _ = _tokenizer(path)
-    got = [quick.encode_ordinary(t) for t in texts]
+    """The ids that the tokenizer gives. The encoder's are checked against it on a few texts of each call; texts that hold an added token are left to the tokenizer."""
+    exact, quick, _, special = _tokenizer(path)
+    got = [exact.encode(t, add_special_tokens=False).ids if any(s in t for s in special) else quick.encode_ordinary(t) for t in texts]
     few = range(0, len(texts), max(1, len(texts) // 50))
     if [got[k] for k in few] != [e.ids for e in exact.encode_batch_fast([texts[k] for k in few], add_special_tokens=False)]:
         raise ValueError(f"{path}: not a byte-level vocabulary whose ids are its ranks")
