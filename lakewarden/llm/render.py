@@ -6,13 +6,14 @@ block ends a paragraph, a cell ends a cell, and so on) and drops end tags that
 match nothing; the layout writes all text that is visible. Hidden are
 elements that are never rendered (``head``, ``script``, ``template`` and
 others), ones with ``hidden``, ones whose style is ``display:none`` or
-``visibility:hidden``, be it their own or a rule of the page for a tag, class or id.
+``visibility:hidden``, be it their own or a rule of the page for a tag, class or
+id. Rules in ``@media screen`` and ``@media all`` (and ``@layer``) count; those under any
+other condition do not.
 
 Blocks begin on lines of their own, with a blank line around paragraphs,
 headings, lists, quotes and tables; list items get ``-`` or their number and
 are indented by depth; ``pre`` keeps its white space; the cells of a table are
-padded so that columns line up, but for columns wider than :data:`PADDED`
-characters. Everything is driven by a stack, not by recursion, so depth has no
+padded so that columns line up, however wide they are. Everything is driven by a stack, not by recursion, so depth has no
 limit.
 
 Defined results: null and empty pages have empty text; text outside any tag is
@@ -34,7 +35,6 @@ from pyspark.sql import types as T
 
 from lakewarden.llm import store, textvec
 
-PADDED = 80
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 NEVER = frozenset("head title script style template noscript iframe noembed noframes object datalist audio video canvas svg math map".split())
@@ -63,7 +63,9 @@ _HEAD = frozenset("head title meta link style script base template noscript html
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _OPENS = re.compile(r"</?[a-zA-Z]")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]++)(?:\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s\"'>]++))?+")
-_RULE = re.compile(r"([^{}]*+)\{([^{}]*+)\}")
+_CSS = re.compile(r"/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*+\"?|'(?:[^'\\\n]|\\.)*+'?|[{};]|[^{};\"'/]++|/", re.S)
+#: At-rules whose rules hold on a screen of any size.
+_APPLIES = re.compile(r"@media(?:\s+(?:only\s+)?(?:screen|all))?(?:\s*,.*)?\Z|@media\b.*,\s*(?:only\s+)?(?:screen|all)\s*(?:,.*)?\Z|@layer\b.*\Z", re.I | re.S)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SIMPLE = re.compile(r"[.#]?[\w-]+\Z")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -226,15 +228,43 @@ def aligned(table: Table) -> list[str]:
             for lines, span in row:
                 cell = lines[k] if k < len(lines) else ""
                 width = sum(widths.get(c, 0) for c in range(at, min(at + span, len(widths)))) + 2 * (span - 1)
-                parts.append(cell.ljust(width) if width <= PADDED else cell)
+                parts.append((cell, width))
                 at += span
-            out.append("  ".join(parts).rstrip())
+            while parts and not parts[-1][0].strip():  # what is padded ends with text
+                parts.pop()
+            out.append("  ".join([*(cell.ljust(width) for cell, width in parts[:-1]), *(cell for cell, _ in parts[-1:])]).rstrip())
     return out
 
 
 def hidden_by(rules: str) -> set[str]:
     """Simple selectors that the rules of a style sheet hide."""
-    return {s.strip().lower() for selectors, body in _RULE.findall(rules) if _HIDDEN.search(body) for s in selectors.split(",") if _SIMPLE.match(s.strip())}
+    found: set[str] = set()
+    outer: list[tuple[str, list[str]]] = []  # of each open block: what stands before it, and its own declarations
+    part: list[str] = []
+    skipped = 0  # blocks that are open inside of one that does not count, and that one
+    for token in _CSS.findall(rules):
+        if token == "{":
+            head = "".join(part).strip()
+            part = []
+            if skipped or (outer and outer[-1][0][:1] != "@") or (head[:1] == "@" and not _APPLIES.match(head)):
+                skipped += 1
+            else:
+                outer.append((head, []))
+        elif token == "}":
+            if skipped:
+                skipped -= 1
+            elif outer:
+                head, own = outer.pop()
+                if head[:1] != "@" and _HIDDEN.search(";".join([*own, "".join(part)])):
+                    found |= {s.strip().lower() for s in head.split(",") if _SIMPLE.match(s.strip())}
+            part = []
+        elif token == ";":
+            if outer and not skipped:
+                outer[-1][1].append("".join(part))
+            part = []
+        elif token[:2] != "/*":
+            part.append(token)
+    return found
 
 
 def rendered(page: str) -> str:
