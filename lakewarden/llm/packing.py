@@ -20,11 +20,13 @@ empty one.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
-from array import array
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -33,70 +35,112 @@ from pyspark.sql import functions as F
 
 from lakewarden.llm import store, textvec
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 CAPACITY, SEPARATOR = 2048, 0
-#: Fixed value: how byte-level vocabularies of this family split a text.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct stretches of text whose token ids a worker remembers at most; it forgets all when there are more.
-REMEMBERED = 120_000
+REMEMBERED = 150_000
+#: Stretches that the tokenizer gets as one text.
+JOINED = 4096
 #: Salted groups of a size, and the rows for which one more is used.
 GROUPS, ROWS_PER_GROUP = 256, 100_000
 
 
-def _tokenizer(path: str):
-    return store.held("packing", path, lambda: _loaded(path))
+@dataclass
+class Encoder:
+    """A tokenizer, the bytes that each id stands for, and the ids of stretches that were seen (by their bytes)."""
 
+    tokenizer: Tokenizer
+    sizes: np.ndarray
+    added: tuple[bytes, ...]
+    known: dict[bytes, bytes]
 
-def _loaded(path: str):
-    """The tokenizer of a file; an encoder with the same ranks, which takes a fraction of its time; and what a worker remembers.
 
-    In a byte-level vocabulary a token's id is its rank, and its characters
-    stand for bytes: visible Latin-1 ones for themselves, the 68 others for
-    the code points from 256 on, in order.
-    """
+def _encoder(path: str) -> Encoder:
+    return store.held("packing", path, lambda: _loaded(path))
+
+
+def _loaded(path: str) -> Encoder:
+    """The tokenizer of a file, whose pre-tokenizer must be the byte-level one: cuts at white space rest on that."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     os.environ["RAYON_NUM_THREADS"] = "1"
-    import tiktoken
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(path)
-    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in visible]
-    byte = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
-    added = exact.get_added_tokens_decoder().values()
-    if any(t.rstrip or t.single_word or t.normalized or set(t.content) & set("\t\n\r ") for t in added):
+    form = json.loads(exact.to_str())
+    first = form["pre_tokenizer"] or {}
+    if first.get("type") != "ByteLevel" or first.get("add_prefix_space") or not first.get("use_regex", True) or form["normalizer"]:
+        raise ValueError(f"{path}: no plain byte-level tokenizer")
+    added = exact.get_added_tokens_decoder()
+    if any(t.lstrip or t.rstrip or t.single_word or t.normalized or set(t.content) & set("\t\n\r ") for t in added.values()):
         raise ValueError(f"{path}: an added token depends on what surrounds a stretch of text")
-    special = {t.content for t in added}
-    ranks = {bytes(byte[c] for c in token): rank for token, rank in exact.get_vocab().items() if token not in special}
-    return exact, tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), {}, special
+    sizes = np.zeros(exact.get_vocab_size(), np.int64)
+    for token, rank in exact.get_vocab().items():
+        sizes[rank] = len(token)  # a character for each byte
+    for rank, token in added.items():
+        sizes[rank] = len(token.content.encode())
+    return Encoder(exact, sizes, tuple(t.content.encode() for t in added.values()), {})
 
 
-def _encoded(texts: list[str], path: str) -> list[list[int]]:
-    """The ids that the tokenizer gives. The encoder's are checked against it on a few texts of each call; texts that hold an added token are left to the tokenizer."""
-    exact, quick, _, special = _tokenizer(path)
-    got = [exact.encode(t, add_special_tokens=False).ids if any(s in t for s in special) else quick.encode_ordinary(t) for t in texts]
-    few = range(0, len(texts), max(1, len(texts) // 50))
-    if [got[k] for k in few] != [e.ids for e in exact.encode_batch_fast([texts[k] for k in few], add_special_tokens=False)]:
-        raise ValueError(f"{path}: not a byte-level vocabulary whose ids are its ranks")
-    return got
+def _encoded(parts: list[bytes], encoder: Encoder) -> list[bytes]:
+    """The ids that the tokenizer gives each stretch, as 32-bit numbers.
+
+    Stretches that end in a solid character are encoded as one text, with a
+    line end before those that do not begin with a blank; that each ends where
+    a token ends is checked.
+    """
+    out: list[bytes] = [b""] * len(parts)
+    front = [b"" if _BLANK[p[0]] else b"\n" if _KIND[p[0]] or 0xC3 <= p[0] <= 0xDF else None for p in parts]
+    joint = [k for k, p in enumerate(parts) if front[k] is not None and (0x20 < p[-1] < 0x7F or (len(p) > 1 and 0xC3 <= p[-2] <= 0xDF))]
+    for low in range(0, len(joint), JOINED):
+        some = joint[low : low + JOINED]
+        text = b"".join([x for k in some for x in (front[k], parts[k])])
+        ids = np.array(encoder.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.cumsum(encoder.sizes[ids])
+        lead = np.array([len(front[k]) for k in some])
+        wanted = np.cumsum([len(parts[k]) for k in some] + lead)
+        first, last = np.searchsorted(ends, wanted - np.array([len(parts[k]) for k in some]), "right"), np.searchsorted(ends, wanted)
+        if len(ends) != last[-1] + 1 or (ends[last] != wanted).any() or (first[1:] != last[:-1] + 1 + lead[1:]).any():
+            raise ValueError("the tokenizer joins what was taken for separate stretches")
+        raw = ids.tobytes()
+        for k, begin, end in zip(some, (4 * first).tolist(), (4 * (last + 1)).tolist(), strict=True):
+            out[k] = raw[begin:end]
+    rest = sorted(set(range(len(parts))) - set(joint)) if len(joint) < len(parts) else []
+    for low in range(0, len(rest), JOINED):
+        some = rest[low : low + JOINED]
+        for k, e in zip(some, encoder.tokenizer.encode_batch_fast([parts[k].decode() for k in some], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, np.uint32).tobytes()
+    return out
 
 
 _BLANK = np.isin(np.arange(256), [9, 10, 13, 32])
+#: Of visible ASCII characters: letters 1, digits 2, others 3, the apostrophe 4, after which a contraction may follow.
+_KIND = np.array([(1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 4 if b == 0x27 else 3) if 0x20 < b < 0x7F else 0 for b in range(256)], np.uint8)
 
 
-def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def stretches(data: np.ndarray, offsets: np.ndarray, added: Sequence[bytes] = ()) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of stretches that can be tokenized on their own, whatever surrounds them.
 
     Byte-level pre-tokenizers keep white space only at the front of a token,
     so a text may be cut before a blank that follows a character that is
     surely no white space: a visible ASCII one, or one of two bytes from U+00C0
-    on.
+    on. They keep letters, digits and other characters apart, so a text may be
+    cut where ASCII ones of two kinds meet, but not behind an apostrophe. No
+    cut goes through an added token.
     """
     cut = np.zeros(len(data) + 1, bool)
     if len(data) > 1:
-        before = data[:-1]
-        solid = (before > 0x20) & (before < 0x7F)
-        solid[1:] |= (before[1:] >= 0x80) & (before[:-1] >= 0xC3) & (before[:-1] <= 0xDF)
-        cut[1 : len(data)] = _BLANK[data[1:]] & solid
+        before, after = _KIND[data[:-1]], _KIND[data[1:]]
+        solid = before > 0
+        solid[1:] |= (data[1:-1] >= 0x80) & (data[:-2] >= 0xC3) & (data[:-2] <= 0xDF)
+        cut[1 : len(data)] = (_BLANK[data[1:]] & solid) | ((before > 0) & (after > 0) & (before < 4) & (before != after) & ~((before == 3) & (after == 4)))
+        raw = data.tobytes() if added else b""
+        for token in added:
+            at = raw.find(token)
+            while at >= 0:
+                cut[at + 1 : at + len(token)] = False
+                at = raw.find(token, at + len(token))
     cut[offsets[:-1][np.diff(offsets) > 0]] = True
     starts = np.flatnonzero(cut)
     return starts, np.concatenate([starts[1:], [len(data)]]).astype(np.int64)[: len(starts)]
@@ -104,24 +148,20 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts, each followed by the separator, and the offsets by text."""
-    known = _tokenizer(path)[2]
+    encoder = _encoder(path)
+    known = encoder.known
     data, offsets = textvec.flat(texts)
-    starts, ends = stretches(data, offsets)
-    hashes = textvec.span_hashes(data, starts, ends)
-    distinct, first, number = np.unique(hashes, return_index=True, return_inverse=True)
-    names = distinct.tolist()
-    fresh = [k for k, h in enumerate(names) if h not in known]
+    starts, ends = stretches(data, offsets, encoder.added)
+    bounds = pa.py_buffer(np.concatenate([starts, [len(data)]]).astype(np.int64))
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, bounds, pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    names, number = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    fresh = [name for name in names if name not in known]
     if len(known) + len(fresh) > REMEMBERED:
         known.clear()
-        fresh = list(range(len(names)))
-    raw = data.tobytes()
-    lows, highs = starts[first].tolist(), ends[first].tolist()
-    for low in range(0, len(fresh), 8192):
-        part = fresh[low : low + 8192]
-        for k, ids in zip(part, _encoded([raw[lows[k] : highs[k]].decode() for k in part], path), strict=True):
-            known[names[k]] = array("I", ids).tobytes()
-    pieces = [known[h] for h in names]
-    sizes = np.array([len(p) // 4 for p in pieces], np.int64)
+        fresh = names
+    known.update(zip(fresh, _encoded(fresh, encoder), strict=True))
+    pieces = [known[name] for name in names]
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
     flat = np.frombuffer(b"".join(pieces), np.uint32)
     at = np.concatenate([[0], np.cumsum(sizes)])[:-1]
     each = sizes[number]
@@ -139,7 +179,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool
     """(doc_id, piece, start, length, ids_crc32[, ids]) of each piece that a document is cut into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textvec.portions(batches):
+        for batch in textvec.portions(batches, size=1 << 20):
             ids, at = token_ids(batch.column(1), path)
             totals = np.diff(at)
             count = -(-totals // capacity)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -40,39 +41,33 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@cache
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2**64."""
-    inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
-    up, down = np.full(size, _ODD), np.full(size, inverse)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-@cache
-def _codes() -> np.ndarray:
-    return mixed(np.arange(1, 257, dtype=np.uint64) * _ODD)
-
-
-#: Bytes that are hashed at once; the powers of as many bytes are kept.
-STEP = 1 << 20
+#: Spans of more bytes are hashed one by one.
+LONG = 32
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each of the byte ranges, which are in order and do not overlap."""
+    """A 64-bit hash of each of the byte ranges.
+
+    Ranges of up to :data:`LONG` bytes are mixed eight bytes at a time, a
+    permutation of the state by each, so that two of one length that differ in
+    eight bytes only never meet; longer ones are digested by BLAKE2.
+    """
+    lengths = ends - starts
+    short = np.flatnonzero(lengths <= LONG)
     out = np.zeros(len(starts), np.uint64)
-    lengths = (ends - starts).astype(np.uint64)
-    at = 0
-    while at < len(starts):
-        base = starts[at]
-        until = max(at + 1, int(np.searchsorted(ends, base + STEP, "right")))
-        size = int(ends[until - 1] - base)
-        up, down = _powers(STEP if size <= STEP else size)
-        total = np.zeros(size + 1, np.uint64)
-        np.cumsum(_codes()[data[base : base + size]] * up[:size], out=total[1:])
-        s, e = starts[at:until] - base, ends[at:until] - base
-        out[at:until] = mixed((total[e] - total[s]) * down[np.minimum(s, size - 1)] + lengths[at:until] * _ODD)
-        at = until
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(data) + 1,), np.dtype("<u8"), padded, strides=(1,))  # the eight bytes from each place on
+    state, size, first = mixed((lengths[short].astype(np.uint64) + np.uint64(1)) * _ODD), lengths[short], starts[short]
+    for k in range(0, LONG, 8):
+        more = np.flatnonzero(size > k)
+        if not len(more):
+            break
+        block = eights[first[more] + k] & _MASKS[np.minimum(size[more] - k, 8)]
+        state[more] = mixed((state[more] ^ block) * _ODD + np.uint64(k + 1))
+    out[short] = state
+    for k in np.flatnonzero(lengths > LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8).digest(), "little")
     return out
 
 
