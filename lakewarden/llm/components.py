@@ -27,18 +27,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return _distinct(moved.unionByName(least.select("a", F.col("least").alias("b"))))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Of edges (a, b): rows (a, b) that give each node but the least of its component that least node.
 
     Null ends and loops are dropped; an empty table gives an empty one. Every
-    round ends in a table in the shared folder.
+    round ends in a table in the shared folder; rounds go on until one changes
+    nothing.
     """
     edges = store.written(_distinct(edges.where("a is not null and b is not null")), "edges")
     state = None
-    for _ in range(rounds):
+    while True:
         edges = store.written(_small_star(_large_star(edges)), "edges")
         found = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if found == state:
             return edges
         state = found
-    raise RuntimeError(f"components: no end after {rounds} rounds")

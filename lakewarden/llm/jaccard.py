@@ -3,18 +3,26 @@
 Texts are lower-cased; words are runs of letters, marks and digits, and single
 characters in scripts without spaces; a text's set are the hashes of its runs
 of ``n`` words. Texts with equal sets are one class
-and only its least id goes on. Each tree of the forest sorts the signatures by
-a prefix of MinHash values of its own; texts that share a prefix are
-candidates. The prefix starts at :data:`DEEPEST` values and is shortened until
-a pair exactly at the threshold meets in some tree with the target recall.
+and only its least id goes on.
+
+The forest has :data:`TREES` tries. In each, the texts are sorted by a
+signature of MinHash values of its own; texts that share a prefix are a node.
+A node becomes a leaf, whose texts are candidates of each other, as soon as it
+holds at most :data:`FEW` texts; else it is split by the next value. Prefixes
+are thus short where texts are sparse and long where they are dense, but no
+longer than the depth at which a pair exactly at the threshold still meets in
+some tree with the target recall: there a node is a leaf whatever its size.
+The shortest prefix is :data:`ABOVE` values shorter than that.
 
 Verification is exact and emits no pairs. Candidates are laid out in blocks of
 bounded size, neighbours in the forest next to each other. One task intersects
 all sets of a block; for two blocks, one task intersects those of their texts
-that share a prefix across them. It returns for each text how many links it
+that share a leaf across them. It returns for each text how many links it
 has there and the least text that it is connected with. Connected components
-join the latter into groups. A group of any size is thus spread over tasks by
-pairs of blocks.
+join the latter into groups. A leaf of any size is thus spread over tasks by
+pairs of blocks, as the number of each text's links takes all pairs of
+different sets within it. Nodes that hold very many texts are hot keys of the
+joins: their rows are not shuffled.
 
 Defined results: a text without words (or null) has no links and is a group of
 its own; a text of fewer than n words has one n-gram, all its words. A row
@@ -26,7 +34,7 @@ other. Ties at the threshold count as links.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -39,6 +47,8 @@ from lakewarden.llm import components, store, textvec
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEEPEST, RECALL = 24, 12, 0.999
+#: A node of at most so many texts is a leaf; values by which the shortest prefix is shorter than the longest.
+FEW, ABOVE = 8, 1
 #: A block is closed at so many texts, or when its sets hold so many hashes.
 BLOCK_TEXTS, BLOCK_HASHES = 1024, 300_000
 #: Sets of a block that are intersected at once.
@@ -46,7 +56,7 @@ TILE = 256
 
 
 def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, deepest: int = DEEPEST) -> int:
-    """Shortens the prefix until a pair at the threshold shares one in some tree with the target recall."""
+    """The longest prefix: shortened until a pair at the threshold shares one in some tree with the target recall."""
     for length in range(deepest, 1, -1):
         if 1 - (1 - threshold**length) ** trees >= recall:
             return length
@@ -66,25 +76,30 @@ def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
         yield part[np.concatenate([[True], part[1:] != part[:-1]])] if len(part) else part
 
 
-def prefixes(sets: list[np.ndarray], trees: int, length: int) -> np.ndarray:
-    """For each set (rows) a hash of its MinHash prefix in each tree (columns); the sets may not be empty."""
+def prefixes(sets: list[np.ndarray], trees: int, depths: Sequence[int]) -> np.ndarray:
+    """For each set (rows) a hash of its MinHash prefix in each tree at each of some depths (columns, by tree); the sets may not be empty."""
     rng = np.random.default_rng(7)
+    length = max(depths)
     factors = rng.integers(1, 2**63, trees * length, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     flat = np.concatenate(sets)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    keys = np.zeros((trees, len(sets)), np.uint64)
+    keys = np.zeros((trees * len(depths), len(sets)), np.uint64)
     room = np.empty_like(flat)
-    for k in range(trees * length):
-        np.multiply(flat, factors[k], out=room)
-        room ^= factors[k] >> np.uint64(7)
-        least = np.minimum.reduceat(room, starts)
-        tree = k // length
-        keys[tree] = textvec.mixed(keys[tree] * np.uint64(0x100000001B3) + least + np.uint64(k + 1))
+    for tree in range(trees):
+        prefix = np.zeros(len(sets), np.uint64)
+        for k in range(length):
+            factor = factors[tree * length + k]
+            np.multiply(flat, factor, out=room)
+            room ^= factor >> np.uint64(7)
+            prefix = textvec.mixed(prefix * np.uint64(0x100000001B3) + np.minimum.reduceat(room, starts) + np.uint64(tree * length + k + 1))
+            if k + 1 in depths:
+                keys[tree * len(depths) + depths.index(k + 1)] = prefix
     return keys.T
 
 
-def signatures(docs: DataFrame, n: int, trees: int, length: int) -> DataFrame:
-    """(doc_id, d1, d2, size, keys): the digest of each text's set, its size, and its prefix in each tree."""
+def signatures(docs: DataFrame, n: int, trees: int, depths: Sequence[int]) -> DataFrame:
+    """(doc_id, d1, d2, size, keys): the digest of each text's set, its size, and its prefixes in each tree."""
+    wide = trees * len(depths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textvec.portions(batches, size=1 << 20):
@@ -93,15 +108,15 @@ def signatures(docs: DataFrame, n: int, trees: int, length: int) -> DataFrame:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             d1, d2 = ids.astype(np.int64).view(np.uint64).copy(), np.zeros(len(sets), np.uint64)
             some = np.flatnonzero(sizes)
-            keys = np.zeros((len(some), trees), np.uint64)
+            keys = np.zeros((len(some), wide), np.uint64)
             if len(some):
                 full = [sets[i] for i in some]
                 starts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
                 flat = np.concatenate(full)
                 d1[some] = np.add.reduceat(textvec.mixed(flat), starts)
                 d2[some] = np.add.reduceat(textvec.mixed(flat ^ np.uint64(0x5DEECE66D)), starts) | np.uint64(1)
-                keys = prefixes(full, trees, length)
-            at = np.concatenate([[0], np.cumsum(np.where(sizes > 0, trees, 0))]).astype(np.int32)
+                keys = prefixes(full, trees, depths)
+            at = np.concatenate([[0], np.cumsum(np.where(sizes > 0, wide, 0))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), _signed(np.ascontiguousarray(keys).ravel()))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _signed(d1), _signed(d2), pa.array(sizes.astype(np.int32)), lists], names=["doc_id", "d1", "d2", "size", "keys"])
 
@@ -213,6 +228,28 @@ def _verified(threshold: float):
     return run
 
 
+def leaves_of(classes: DataFrame, levels: int) -> DataFrame:
+    """(key, rep, low, n): the texts of each leaf that holds more than one, with its least text and how many it holds.
+
+    ``keys`` of a class has the prefixes of each tree, from the shortest to
+    the longest. A level's nodes are counted; small ones are leaves, and the
+    texts of the others go on to the next level.
+    """
+    trees = F.sequence(F.lit(0), (F.size("keys") / levels).cast("int") - 1)
+    rows = classes.where(F.size("keys") > 0).select("rep", F.explode(F.transform(trees, lambda k: F.slice("keys", k * levels + 1, F.lit(levels)))).alias("path"))
+    found = None
+    for level in range(levels):
+        own = rows.withColumn("key", F.element_at("path", level + 1))
+        nodes = store.written(own.groupBy("key").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1"), "nodes")
+        held = store.written(store.hot_join(own, nodes, "key"), "held")
+        last = level == levels - 1
+        leaf = (held if last else held.where(F.col("n") <= FEW)).select("key", "rep", "low", "n")
+        found = leaf if found is None else found.unionByName(leaf)
+        if not last:
+            rows = held.where(F.col("n") > FEW).select("rep", "path")
+    return found
+
+
 def join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:
     """(doc_id, class_id, n_links, n_texts) for every row of ``docs`` (doc_id, text).
 
@@ -220,20 +257,19 @@ def join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, trees: i
     at least the threshold; ``n_links`` counts the other documents, and
     ``n_texts`` the different sets among them, that it has such a link with.
     """
-    length = prefix_length(threshold, trees, recall)
+    longest = prefix_length(threshold, trees, recall)
+    depths = sorted({max(1, longest - ABOVE), longest})
     lost = docs.where("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_texts"))
-    rows = store.written(signatures(docs.where("doc_id is not null"), n, trees, length), "signatures")
+    rows = store.written(signatures(docs.where("doc_id is not null"), n, trees, depths), "signatures")
     same = rows.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "size", "keys")).alias("r"), F.count("*").alias("copies"))
     classes = store.written(same.select("d1", "d2", F.col("r.doc_id").alias("rep"), F.col("r.size").alias("size"), "copies", F.col("r.keys").alias("keys")), "classes")
-    leaves = classes.select("rep", F.explode("keys").alias("key"))
-    buckets = leaves.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").drop("high")
-    shared = store.written(leaves.join(buckets, "key"), "buckets")
+    shared = leaves_of(classes, len(depths))
     labels = shared.groupBy("rep").agg(F.min("low").alias("label"))
     blocks = store.written(_blocked(labels.join(classes.select("rep", "size", "copies"), "rep")), "blocks")
-    placed = shared.join(blocks.select("rep", "block"), "rep").select("key", "rep", "block")
-    spread = placed.groupBy("key").agg(F.min("block").alias("low"), F.max("block").alias("high")).where("low < high").select("key")
-    across = placed.join(spread, "key")  # buckets of more than one block
-    in_block = across.select("key", "block").distinct()
+    placed = store.written(shared.join(blocks.select("rep", "block"), "rep").select("key", "rep", "block"), "placed")
+    spread = store.written(placed.groupBy("key").agg(F.min("block").alias("low"), F.max("block").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n"), "spread")
+    across = store.hot_join(placed, spread, "key").drop("n")  # leaves of more than one block
+    in_block = store.written(across.select("key", "block").distinct(), "in-block")
     other = in_block.withColumnRenamed("block", "other")
     alone = blocks.select("rep", F.col("block").alias("first"), F.col("block").alias("second"))
     apart = across.join(in_block.join(other, "key").where("block <> other"), ["key", "block"])
@@ -252,8 +288,8 @@ def join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, trees: i
     groups = components.components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("rep").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     found = classes.select("d1", "d2", "rep", "copies").join(counts, "rep", "left").join(groups.select(F.col("a").alias("rep"), F.col("b").alias("least")), "rep", "left")
-    found = found.select("d1", "d2", F.coalesce("least", "rep").alias("class_id"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_texts"))
-    return rows.select("doc_id", "d1", "d2").join(found, ["d1", "d2"]).select("doc_id", "class_id", "n_links", "n_texts").unionByName(lost)
+    found = found.select("d1", "d2", "copies", F.coalesce("least", "rep").alias("class_id"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_texts"))
+    return store.hot_join(rows.select("doc_id", "d1", "d2"), store.written(found, "found"), ["d1", "d2"], "copies").select("doc_id", "class_id", "n_links", "n_texts").unionByName(lost)
 
 
 def kept(docs: DataFrame, **options) -> DataFrame:

@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset, as in tests, a new local one."""
+    """The folder in ``spark.checkpoint.dir``. Where it is unset, a local session, as in tests, gets a new one; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         folder = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = folder.get() if folder.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lakewarden-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -47,6 +49,27 @@ def with_ids(rows: DataFrame, ids: DataFrame, key: str | list[str], how: str, mo
     return rows.join(F.broadcast(ids) if ids.count() <= most else ids.hint("merge"), key, how)
 
 
+#: A key counts as hot with so many rows, or with this share of all rows if that is more: there are then at most 50,000 hot keys.
+HOT_ROWS, HOT_SHARE = 1_000, 1 / 50_000
+
+
+def hot_join(rows: DataFrame, side: DataFrame, key: str | list[str], size: str = "n") -> DataFrame:
+    """Inner join of written rows with a written table that has one row a key, which tells how many rows of that key there are.
+
+    Rows of hot keys stay where they are: the few hot rows of the side are
+    sent to them. All others are shuffled, so no task gets more than a hot
+    key's bound of one key.
+    """
+    total = side.agg(F.sum(size)).first()[0] or 0
+    bound = max(HOT_ROWS, int(total * HOT_SHARE))
+    hot, cold = side.where(F.col(size) >= bound), side.where(F.col(size) < bound)
+    if not hot.limit(1).count():
+        return rows.join(cold.hint("merge"), key)
+    near = rows.join(F.broadcast(hot), key)
+    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.hint("merge"), key)
+    return near.unionByName(far)
+
+
 #: Rows and bytes of an Arrow batch: with Spark's own bounds a batch of long texts takes a large part of a worker's memory, several times over.
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
