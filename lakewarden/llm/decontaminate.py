@@ -143,46 +143,80 @@ def _reachable(own: np.ndarray, present: np.ndarray, threshold: float) -> bool:
     return bool((present[at] == own).mean() >= threshold)
 
 
-def _blocks(benchmark: DataFrame) -> list[Items]:
-    """The items in blocks of bounded size; the benchmark itself is read a block at a time."""
+def _blocks(benchmark: DataFrame) -> Iterator[Items]:
+    """The items in blocks of bounded size. Each is read when it is asked for, so the driver holds one at a time."""
     sized = benchmark.where("item_id is not null").select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     total = sized.agg(F.sum(F.size(F.split("text", r"[^\p{L}\p{M}\p{N}]+")) + F.length(F.regexp_replace("text", r"[\x00-\u0dff]+", "")))).first()[0] or 0  # each character of unspaced scripts is a word
     count = -(-total // BLOCK_WORDS)
-    blocks = []
     for k in range(count):
-        rows = sized.where(F.pmod(F.xxhash64("item_id"), F.lit(count)) == k).orderBy("item_id", "text").collect()
-        blocks.append(Items(tuple(r.item_id for r in rows), tuple(r.text.lower() for r in rows)))
-    return blocks
+        rows = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k).orderBy("item_id", "text").collect()
+        yield Items(tuple(r.item_id for r in rows), tuple(r.text.lower() for r in rows))
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+def _held(index: Index, texts: pa.Array, threshold: float) -> Iterator[tuple[int, Iterator[tuple[int, float, int, int]]]]:
+    """Of an Arrow array of texts those that hold a seed: the place of each, and what it matches."""
+    hashes, _, _, at = textvec.words(texts)
+    grams, offsets = textvec.shingles(hashes, at, GRAM)
+    places = _present(grams, index.maybe, index.seeds)
+    cut = np.searchsorted(places, offsets)
+    for i in np.flatnonzero(np.diff(cut)).tolist():
+        hits = places[cut[i] : cut[i + 1]] - offsets[i]
+        yield i, _matches(index, hashes[at[i] : at[i + 1]], hits, grams[offsets[i] : offsets[i + 1]], threshold)
 
 
-def search(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id, similarity, first_word, end_word) for each document and item whose best alignment reaches the threshold."""
+def _searched(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
     schema = "doc_id long, item_id long, similarity double, first_word long, end_word long"
-    found = None
-    for items in _blocks(benchmark):
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(items)
+        for batch in textvec.portions(batches):
+            ids = batch.column(0).to_pylist()
+            rows = [(ids[i], items.ids[item], round(similarity, 6), first, end) for i, found in _held(index, batch.column(1), threshold) for item, similarity, first, end in found]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "similarity", "first_word", "end_word"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    return store.mapped(texts, run, schema, "decontaminate")
+
 
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            index = _index(items)
-            for batch in textvec.portions(batches):
-                hashes, _, _, at = textvec.words(batch.column(1))
-                grams, offsets = textvec.shingles(hashes, at, GRAM)
-                places = _present(grams, index.maybe, index.seeds)
-                ids = batch.column(0).to_pylist()
-                rows = []
-                cut = np.searchsorted(places, offsets)
-                for i in np.flatnonzero(np.diff(cut)).tolist():
-                    own = grams[offsets[i] : offsets[i + 1]]
-                    hits = places[cut[i] : cut[i + 1]] - offsets[i]
-                    for item, similarity, first, end in _matches(index, hashes[at[i] : at[i + 1]], hits, own, threshold):
-                        rows.append((ids[i], items.ids[item], round(similarity, 6), first, end))
-                columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "similarity", "first_word", "end_word"])
-
-        part = store.mapped(_texts(docs), run, schema, "decontaminate")
-        found = part if found is None else found.unionByName(part)
-    return docs.sparkSession.createDataFrame([], schema) if found is None else found
+def search(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, item_id, similarity, first_word, end_word) for each document and item whose best alignment reaches the threshold.
+
+    Of several blocks each but the last is written before the next is read.
+    """
+    found, last = None, None
+    for items in _blocks(benchmark):
+        if last is not None:
+            part = store.written(_searched(docs, last, threshold), "matches")
+            found = part if found is None else found.unionByName(part)
+        last = items
+    if last is None:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, first_word long, end_word long")
+    part = _searched(docs, last, threshold)
+    return part if found is None else found.unionByName(part)
+
+
+def _without(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(items)
+        for batch in textvec.portions(batches):
+            clean = np.ones(batch.num_rows, bool)
+            for i, found in _held(index, batch.column(batch.num_columns - 1), threshold):
+                clean[i] = next(found, None) is None
+            kept = batch.filter(pa.array(clean))
+            yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=names)
+
+    return store.mapped(docs.withColumn("__text", F.lower(F.coalesce("text", F.lit("")))), run, docs.schema, "decontaminate")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that hold no item, judged each by its own text, whatever its id; the columns are those of the input."""
+    last = None
+    for items in _blocks(benchmark):
+        if last is not None:
+            docs = store.written(_without(docs, last, threshold), "clean")
+        last = items
+    return docs if last is None else _without(docs, last, threshold)
