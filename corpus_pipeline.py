@@ -13,29 +13,28 @@ from lakewarden.llm import decontaminate, jaccard, langid, packing, pii, store
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language cannot be told: null texts and those without a letter."""
+    """Drops documents whose language cannot be told: null texts and those without a letter. Rows that repeat, or have no id, are judged each."""
     return langid.accepted(docs, langid.learn(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the document with the least id."""
+    """Keeps of each group of near duplicates the document with the least id. Rows without an id stay, as do all rows that share the id that is kept."""
     return jaccard.kept(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of the benchmark."""
-    found = decontaminate.search(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return store.with_ids(docs, store.written(found.select("doc_id").distinct(), "leaks"), "doc_id", "left_anti")
+    """Drops rows whose text holds a passage of the benchmark, whatever their id; null and empty texts hold none. Without items all rows stay."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind; ``n_chars`` follows the text."""
+    """Replaces personal data by its kind; ``n_chars`` follows the text. A null text stays null, with a null ``n_chars``; no row is dropped."""
     masked = pii.redact(docs)
     return masked.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long"))).select(*docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 2048 tokens."""
+    """Packs what is left into sequences of 2048 tokens. A null text is packed as an empty one; rows with equal ids are packed each; no rows give an empty table."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -49,7 +48,7 @@ STAGES = [
     ("packing", sequences),
 ]
 
-#: No stage but that of personal data can be told in SQL; tests/llm compares each with a brute-force version.
+#: Only the stage of personal data can be told in SQL; tests/llm compares the whole run with a brute-force version.
 ORACLE_SQL = None
 
 
