@@ -121,20 +121,21 @@ class Shard:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Adds ``digest`` (SHA-256 of the padded payload) and ``n_bytes`` (before padding) to (doc_id, text)."""
+    """Adds ``sha`` (SHA-256 of the padded payload, binary) and ``n_bytes`` (before padding) to (doc_id, text)."""
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     size = F.octet_length(raw)
     room = F.when(size == 0, WIDTH).otherwise(F.pmod(-size, F.lit(WIDTH)))
     zeros = F.unhex(F.repeat(F.lit("00"), room))
-    return docs.withColumn("digest", F.sha2(F.concat(raw, zeros), 256)).withColumn("n_bytes", size.cast("long"))
+    return docs.withColumn("sha", F.unhex(F.sha2(F.concat(raw, zeros), 256))).withColumn("n_bytes", size.cast("long"))
 
 
-def stored(docs: DataFrame, folder: str) -> DataFrame:
-    """Stores every distinct payload; one entry each: (digest, shard, offset, length)."""
+def stored(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Stores every distinct payload. Returns each row's digest (doc_id, sha, n_bytes), and one entry a payload with how many rows share it (sha, n, shard, offset, length)."""
     keyed = digests(docs.select("doc_id", "text"))
-    ids = store.written(keyed.select("doc_id", "digest"), "digests")
-    first = ids.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    spare = store.written(ids.join(first, "digest").where("doc_id > first or (doc_id is null and first is not null)").select("doc_id", F.unhex("digest").alias("sha")).distinct(), "spare")
+    ids = store.written(keyed.select("doc_id", "sha", "n_bytes"), "digests")
+    counts = store.written(ids.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "counts")
+    repeated = counts.where("n > 1")
+    spare = store.written(store.hot_join(ids.select("doc_id", "sha"), repeated, "sha").where("doc_id > first or (doc_id is null and first is not null)").select("doc_id", "sha").distinct(), "spare")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, seen, entries = None, set(), []
@@ -146,17 +147,19 @@ def stored(docs: DataFrame, folder: str) -> DataFrame:
                     seen.add(digest)
                     shard = shard or Shard(folder)
                     data = to_png(payload)
-                    entries.append((digest.hex(), shard.name, shard.add(f"{digest.hex()}.png", data), len(data)))
+                    entries.append((digest, shard.name, shard.add(f"{digest.hex()}.png", data), len(data)))
         if shard:
             shard.close()
         columns = list(zip(*entries, strict=True)) if entries else [()] * 4
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["digest", "shard", "offset", "length"])
+        kinds = [pa.binary(), pa.string(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["sha", "shard", "offset", "length"])
 
-    own = store.with_ids(keyed.select("doc_id", "text", F.unhex("digest").alias("sha")), spare, ["doc_id", "sha"], "left_anti", store.MOST_SENT // 4)
-    entries = store.mapped(own.select(F.coalesce("text", F.lit("")).alias("text")), run, "digest string, shard string, offset long, length long")
+    own = store.with_ids(keyed.select("doc_id", "text", "sha"), spare, ["doc_id", "sha"], "left_anti", store.MOST_SENT // 4)
+    entries = store.written(store.mapped(own.select(F.coalesce("text", F.lit("")).alias("text")), run, "sha binary, shard string, offset long, length long"), "entries")
     # rows that repeat an id and a text may store a payload twice; one entry counts
-    return store.written(store.written(entries, "entries").groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("e")).select("digest", "e.*"), "catalogue")
+    found = entries.groupBy("sha").agg(F.min(F.struct("shard", "offset", "length")).alias("e"))
+    shard = F.coalesce("e.shard", F.raise_error(F.concat(F.lit("no payload is stored for "), F.hex("sha"))).cast("string"))
+    return ids, store.written(counts.join(found, "sha", "left").select("sha", "n", shard.alias("shard"), "e.offset", "e.length"), "catalogue")
 
 
 def _reader(folder: str, cache: dict, shard: str):
@@ -180,7 +183,7 @@ def metadata(entries: DataFrame, folder: str) -> DataFrame:
             extra = [pa.array([r[c] for r in rows], pa.int64()) for c in ("width", "height", "bit_depth", "channels")]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "width", "height", "bit_depth", "channels"])
 
-    return store.mapped(entries, run, "digest string, shard string, offset long, length long, width long, height long, bit_depth long, channels long")
+    return store.mapped(entries, run, "sha binary, n long, shard string, offset long, length long, width long, height long, bit_depth long, channels long")
 
 
 def feature(payload: bytes) -> str:
@@ -217,8 +220,8 @@ def described(entries: DataFrame, folder: str) -> DataFrame:
 def columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """Stores the payloads of all rows and returns (doc_id, n_bytes, digest, shard, offset, length, metadata, features)."""
     folder = folder or store.new_path(docs.sparkSession, "media")
-    entries = stored(docs, folder)
+    ids, entries = stored(docs, folder)
     tasks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = entries.repartitionByRange(tasks, "shard", "offset").sortWithinPartitions("shard", "offset")
     media = store.written(described(metadata(ordered, folder), folder), "media-columns")
-    return digests(docs.select("doc_id", "text")).select("doc_id", "digest", "n_bytes").join(media.hint("merge"), "digest")
+    return store.hot_join(ids, media, "sha").withColumn("sha", F.lower(F.hex("sha"))).withColumnRenamed("sha", "digest").drop("n")
