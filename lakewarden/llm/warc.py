@@ -1,23 +1,28 @@
 """WARC archives and their fixity: Merkle trees over records, compared between replicas.
 
 An archive is a set of WARC files of bounded size; each record is a gzip member
-of its own, and files keep their records in the order of keys. A manifest has a row for
-each record: file, number, offset, length and the SHA-256 of its stored bytes. The
-tree over a file has the records' hashes, each with its offset and length, as
-leaves, and nodes of :data:`FANOUT` children over ordered ranges. Replicas are
-audited from the roots down: only where two hashes differ are the children
-compared, so that sound files cost one comparison and damage is located in a
-number of steps that grows with the depth. Each level is one join of the nodes
-still suspected.
-
-Bytes are written and read by the tasks: a task holds one record at a time. A
-writing task takes the records of whole files, and a file appears under its
-name when it is complete.
+of its own, and files keep their records in the order of keys. A file is named
+after the task that wrote it and its number there. A manifest has a row for
+each record: file, number, offset, length and the SHA-256 of its stored bytes.
+
+The tree has the records' hashes, each with its offset and length, as leaves;
+above them nodes of :data:`FANOUT` children over ordered ranges, up to a node
+for each file, which also holds the file's size; above these a node for each
+task's files, and one root. Two replicas are audited from their roots down:
+equal roots end the audit, and only where two hashes differ are the children
+compared, so damage is located in a number of steps that grows with the depth.
+Each level is a table of its own, and one join of the nodes still suspected.
+
+Bytes are written and read by the tasks, a record at a time (a copy takes a
+file at a time, whose size is bounded). A file appears under its name when it
+is complete.
 
 Defined results: null and empty bodies are records of length 0; keys may
-repeat, a null key sorts first. An empty table gives no file. A record that a
-replica lacks, a file that cannot be opened and one cut short differ at the
-leaves that they lack. Repeated rows are records of their own.
+repeat, a null key sorts first. An empty table gives no file. Repeated rows are
+records of their own. Records that a replica lacks, those of a file that it
+lacks or that was cut short, and changed ones are reported by number; bytes
+behind the last record, and files of the replica that the manifest does not
+know, are reported with a null number.
 """
 
 from __future__ import annotations
@@ -25,13 +30,15 @@ from __future__ import annotations
 import gzip
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewarden.llm import store
@@ -73,14 +80,15 @@ def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
 def write(pages: DataFrame, folder: str) -> DataFrame:
     """Writes pages (page_id, url, html) as WARC files in the order of their ids, and returns the manifest.
 
-    Pages are dealt to tasks by ranges of ids; a task fills one file after the
-    other. The manifest is a table in the shared folder.
+    Pages are dealt to tasks by ranges of ids (rows that repeat, by their place
+    in the input too); a task fills one file after the other. A task that runs
+    again writes the same files. The manifest is a table in the shared folder.
     """
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = _system(folder)
         system.create_dir(base, recursive=True)
-        out, name, at, number, rows, draft = None, "", 0, 0, [], ""
+        out, name, at, number, rows, draft, files, task = None, "", 0, 0, [], "", 0, TaskContext.get().partitionId()
         for batch in frames:
             for page, url, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = record(url, body.encode(), number if out else 0)
@@ -88,10 +96,10 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
                     out.close()
                     system.move(draft, f"{base}/{name}")
                     out = None
-                if out is None:  # a file is named after its first record, so a task that runs again writes it again
+                if out is None:
                     data = record(url, body.encode(), 0)
-                    name = f"{'none' if page is None else f'{page & (2**64 - 1):020d}'}-{hashlib.sha256(data).hexdigest()[:16]}.warc.gz"
-                    draft, at, number = f"{base}/.{name}.part", 0, 0
+                    name = f"{task:06d}-{files:06d}.warc.gz"
+                    draft, at, number, files = f"{base}/.{name}.{uuid.uuid4().hex}.part", 0, 0, files + 1
                     out = system.open_output_stream(draft)
                 out.write(data)
                 rows.append((name, number, page, url, at, len(data), hashlib.sha256(data).hexdigest()))
@@ -106,7 +114,8 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
 
     tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ready = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    ordered = ready.repartitionByRange(tasks, "page_id", "url").sortWithinPartitions("page_id", "url", "html")
+    placed = ready.withColumn("__place", F.monotonically_increasing_id())
+    ordered = placed.repartitionByRange(tasks, "page_id", "url", "__place").sortWithinPartitions("page_id", "url", "html").drop("__place")
     return store.written(store.mapped(ordered, run, MANIFEST), "manifest")
 
 
@@ -141,49 +150,82 @@ def hashed(manifest: DataFrame, folder: str) -> DataFrame:
     return store.mapped(ranges, run, "file string, number long, offset long, length long, sha256 string")
 
 
-def tree(leaves: DataFrame) -> DataFrame:
-    """(file, level, node, first, end, hash): level 0 has a node for each record, the last level of a file its root.
+def sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, bytes) of the files in a folder, by Spark's listing."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    system, base = _system(folder)
+    system.create_dir(base, recursive=True)  # an archive of no records has no folder
+    return spark.read.format("binaryFile").schema(schema).load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"))
+
+
+def _hashed(kind: str, *parts: str | Column) -> Column:
+    return F.sha2(F.concat_ws(":", F.lit(kind), *parts), 256)
 
-    Each level hashes the ordered children of a node with the range of bytes
-    that they cover; a node has at most :data:`FANOUT`. Levels go on until
-    every file has its root.
-    """
-    leaf = F.sha2(F.concat_ws(":", F.lit("leaf"), "offset", "length", F.coalesce("sha256", F.lit("lost"))), 256)
-    nodes = leaves.select("file", F.lit(0).alias("level"), F.col("number").alias("node"), F.col("offset").alias("first"), (F.col("offset") + F.col("length")).alias("end"), leaf.alias("hash"))
-    most = leaves.agg(F.max("number")).first()[0]
-    done, level, last = nodes, 0, 0 if most is None else int(most)
-    while last:
-        children = F.array_sort(F.collect_list(F.struct("node", "hash")))
-        inside = F.array_join(F.transform(children, lambda c: c["hash"]), ",")
-        up = nodes.groupBy("file", F.floor(F.col("node") / FANOUT).cast("long").alias("parent")).agg(F.min("first").alias("first"), F.max("end").alias("end"), inside.alias("inside"))
-        level, last = level + 1, last // FANOUT
-        nodes = up.select("file", F.lit(level).alias("level"), F.col("parent").alias("node"), "first", "end", F.sha2(F.concat_ws(":", F.lit("node"), "first", "end", "inside"), 256).alias("hash"))
-        done = done.unionByName(nodes)
-    return done
 
+def _rolled(nodes: DataFrame, key: list[str | Column]) -> DataFrame:
+    """Parents of nodes (node, first, end, hash): the range that their ordered children cover, and these children's hashes."""
+    children = F.array_sort(F.collect_list(F.struct("node", "hash")))
+    return nodes.groupBy(*key).agg(F.min("first").alias("first"), F.max("end").alias("end"), F.array_join(F.transform(children, lambda c: c["hash"]), ",").alias("inside"))
 
-def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """Leaves (file, number, first, end) on which two trees differ, found from the roots down.
 
-    Both trees have the same levels for a file that both know whole; where one
-    lacks a node, its whole branch is suspected.
+def tree(leaves: DataFrame, files: DataFrame) -> list[DataFrame]:
+    """The levels of a tree, from the records up to the root, each a written table (file, node, first, end, hash).
+
+    ``leaves`` are records (file, number, offset, length, sha256), ``files``
+    the sizes of the files. The last three levels are those of the files, of
+    the tasks that wrote them, and the root.
+    """
+    nodes = leaves.select("file", F.col("number").alias("node"), F.col("offset").alias("first"), (F.col("offset") + F.col("length")).alias("end"), _hashed("leaf", "offset", "length", F.coalesce("sha256", F.lit("lost"))).alias("hash"))
+    levels = [store.written(nodes, "level")]
+    last = int(leaves.agg(F.max("number")).first()[0] or 0)
+    while last:
+        up = _rolled(levels[-1], ["file", F.floor(F.col("node") / FANOUT).cast("long").alias("parent")])
+        levels.append(store.written(up.select("file", F.col("parent").alias("node"), "first", "end", _hashed("node", "first", "end", "inside").alias("hash")), "level"))
+        last //= FANOUT
+    top = levels[-1].join(files, "file", "full").select("file", F.lit(0).cast("long").alias("node"), F.coalesce("first", F.lit(0)).alias("first"), "end", _hashed("file", "file", F.coalesce("bytes", F.lit(-1)), F.coalesce("hash", F.lit("none"))).alias("hash"))
+    levels.append(store.written(top, "files"))
+    part = F.substring("file", 1, 6)
+    ordered = levels[-1].select(part.alias("part"), F.col("file").alias("node"), "first", "end", "hash")
+    parts = _rolled(ordered, ["part"]).select(F.col("part").alias("file"), F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("end"), _hashed("part", "part", "inside").alias("hash"))
+    levels.append(store.written(parts, "parts"))
+    root = _rolled(levels[-1].select(F.lit("").alias("all"), F.col("file").alias("node"), "first", "end", "hash"), ["all"])  # a row for each task that wrote
+    levels.append(store.written(root.select(F.lit("").alias("file"), F.lit(0).cast("long").alias("node"), "first", "end", _hashed("root", "inside").alias("hash")), "root"))
+    return levels
+
+
+def audit(ours: list[DataFrame], theirs: list[DataFrame]) -> DataFrame:
+    """(file, number, first, end) of what differs between two trees over the same manifest, found from the roots down.
+
+    A file's bytes behind its last record, and a file that only one side has,
+    have a null number.
     """
-    top = ours.unionByName(theirs).agg(F.max("level")).first()[0]
-    suspects = None
-    for level in range(top or 0, -1, -1):
-        a = ours.where(F.col("level") == level).select("file", "node", "first", "end", "hash")
-        b = theirs.where(F.col("level") == level).select("file", "node", F.col("hash").alias("other"))
-        if suspects is not None:
-            parents = suspects.select("file", F.col("node").alias("parent"))
-            a = a.withColumn("parent", F.floor(F.col("node") / FANOUT).cast("long")).join(parents, ["file", "parent"], "left_semi").drop("parent")
-        suspects = store.written(a.join(b, ["file", "node"], "left").where("other is null or hash <> other").select("file", "node", "first", "end"), f"suspects-{level}")
-    if top is None:
-        return ours.select("file", F.col("node").alias("number"), "first", "end").limit(0)
-    return suspects.withColumnRenamed("node", "number")
+    *below, files, parts, root = ours
+    spark = files.sparkSession
+    schema = "file string, number long, first long, end long"
+    same = [r.hash for r in root.collect()] == [r.hash for r in theirs[-1].collect()]  # a row each
+    if same:
+        return spark.createDataFrame([], schema)
+
+    def differing(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
+        other = b.select("file", "node", F.col("hash").alias("other"), F.col("end").alias("other_end"))
+        rows = a.join(other, ["file", "node"], "full").where("hash is null or other is null or hash <> other")
+        return store.written(rows.select("file", "node", "first", F.coalesce("end", "other_end").alias("end")), name)
+
+    bad_parts = differing(parts, theirs[-2], "suspect-parts").select(F.col("file").alias("part"))
+    within = lambda level: level.withColumn("part", F.substring("file", 1, 6)).join(bad_parts, "part", "left_semi").drop("part")
+    bad_files = differing(within(files), within(theirs[-3]), "suspect-files")
+    suspects = bad_files
+    for k in range(len(below) - 1, -1, -1):
+        parents = suspects.select("file", F.col("node").alias("parent")) if k < len(below) - 1 else None
+        pick = lambda level, p=parents: level.join(bad_files.select("file"), "file", "left_semi") if p is None else level.withColumn("parent", F.floor(F.col("node") / FANOUT).cast("long")).join(p, ["file", "parent"], "left_semi").drop("parent")
+        suspects = differing(pick(below[k]), pick(theirs[k]), f"suspects-{k}")
+    records = suspects.select("file", F.col("node").alias("number"), "first", "end")
+    whole = bad_files.join(suspects.select("file").distinct(), "file", "left_anti")  # all their records are sound
+    return records.unionByName(whole.select("file", F.lit(None).cast("long").alias("number"), F.col("end").alias("first"), F.lit(None).cast("long").alias("end")))
 
 
 def replicate(manifest: DataFrame, source: str, target: str, damage=None) -> DataFrame:
-    """Copies the files of an archive, one task a file; ``damage(name, data)`` may change what is written, for drills. Returns (file, bytes)."""
+    """Copies the files of an archive, a file at a time; ``damage(name, data)`` may change what is written, for drills. Returns (file, bytes)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, base = _system(source)

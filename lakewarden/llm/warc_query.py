@@ -15,8 +15,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, copy = store.new_path(spark, "archive"), store.new_path(spark, "replica")
     manifest = warc.write(pages, folder)
     warc.replicate(manifest, folder, copy, warc.flipped)
-    ours = store.written(warc.tree(manifest), "tree")
-    theirs = store.written(warc.tree(warc.hashed(manifest, copy)), "tree")
-    bad = warc.audit(ours, theirs).select("file", "number", F.lit(False).alias("sound"))
+    ours = warc.tree(manifest, warc.sizes(spark, folder))
+    theirs = warc.tree(warc.hashed(manifest, copy), warc.sizes(spark, copy))
+    bad = warc.audit(ours, theirs).where("number is not null").select("file", "number", F.lit(False).alias("sound"))
     rows = manifest.join(bad, ["file", "number"], "left")
     return rows.select("page_id", "url", "file", "number", "offset", "length", "sha256", F.coalesce("sound", F.lit(True)).alias("sound"))
