@@ -7,7 +7,8 @@ Few phrases mean that long pieces of the text are known. With c phrases over n
 symbols against a sample of N symbols, ``c * log2(N) / n`` estimates the cross
 entropy, and the language with the least wins.
 
-Texts are lower-cased UTF-8 bytes; what is no letter becomes a single space.
+Texts are lower-cased UTF-8 bytes; ASCII characters that are no letters become
+a single space, and all bytes of other characters count as letters.
 They are parsed in blocks of :data:`BLOCK` symbols, all blocks of an Arrow
 batch in step, so a phrase never crosses a block's end: whole texts count, and
 a very long text costs no more than as many bytes of short ones.
@@ -32,8 +33,8 @@ from pyspark.sql import Window
 from lakewarden.llm import store, textvec
 
 BLOCK = 1024
-#: Bounds of the training sample: rows of each language, characters of an excerpt, and symbols of all languages together.
-ROWS, EXCERPT, SYMBOLS = 96, 512, 192_000
+#: Bounds of the training sample: rows of each language, and characters of all languages together.
+ROWS, SYMBOLS = 96, 192_000
 UNDETERMINED = "und"
 
 
@@ -45,31 +46,38 @@ class Profile:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, rows: int = ROWS, excerpt: int = EXCERPT) -> Profile:
-    """Samples labelled text: of each language up to ``rows`` rows by least hash of their id, an excerpt of each.
+def learn(docs: DataFrame, rows: int = ROWS, size: int = SYMBOLS) -> Profile:
+    """Samples labelled rows with their whole texts: of each language those with the least hash of their id.
 
-    An excerpt begins at a place that the id's hash tells. Only rows outside
-    the held-out quarter that have a text and a language count.
+    At most ``rows`` rows of a language count, and its even share of ``size``
+    characters; a row whose text would go over that is left out, not cut, and
+    so is one that alone takes over an eighth of the share, unless a language
+    has no other: then its shortest counts. Only rows outside the held-out
+    quarter that have a text and a language count. Ties of ids are broken by
+    the texts.
     """
     labelled = docs.where(docs.lang.isNotNull() & docs.text.rlike(r"\p{L}") & ~held_out(docs.doc_id))
-    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not counts:
         return Profile(())
-    below = F.lit(None)
-    for lang, n in counts.items():  # about twice as many rows as are kept, so that few are sorted
-        below = F.when(F.col("lang") == lang, F.lit(int(min(1.0, 2 * rows / n) * (1 << 40)))).otherwise(below)
-    room = F.greatest(F.length("text") - excerpt, F.lit(0)) + 1
-    near = labelled.where(order < below).select("lang", order.alias("rank"), F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(1)), room).cast("int") + 1, F.lit(excerpt)).alias("part"))
-    first = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("rank"))).where(F.col("k") <= rows)
+    share = size // len(counts)
+    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    below = F.lit(1 << 40)
+    for lang, n in counts.items():  # a few times as many rows as are kept, so that few are sorted
+        below = F.when(F.col("lang") == lang, F.lit(int(min(1.0, 8 * rows / n) * (1 << 40)))).otherwise(below)
+    long = F.greatest(F.length("text") - max(share // 8, 64), F.lit(0))
+    near = labelled.where(order < below).select("lang", long.alias("long"), order.alias("rank"), F.xxhash64("text").alias("tie"), "text")
+    within = Window.partitionBy("lang").orderBy("long", "rank", "tie")
+    first = near.withColumn("k", F.row_number().over(within)).where(F.col("k") <= rows)
+    first = first.withColumn("taken", F.sum(F.length("text") + 1).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    first = first.where((F.col("k") == 1) | ((F.col("long") == 0) & (F.col("taken") <= share)))
     texts: dict[str, list[str]] = {}
     for r in first.orderBy("lang", "k").collect():
-        texts.setdefault(r.lang, []).append(r.part)
-    each = max(256, SYMBOLS // max(1, len(texts)))
-    return Profile(tuple((lang, " ".join(parts).lower()[:each]) for lang, parts in sorted(texts.items())))
+        texts.setdefault(r.lang, []).append(r.text)
+    return Profile(tuple((lang, " ".join(parts).lower()) for lang, parts in sorted(texts.items())))
 
 
 def _letters() -> np.ndarray:
@@ -89,6 +97,7 @@ def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     got = SYMBOL[data]
     keep = np.ones(len(got), bool)
     keep[1:] = (got[1:] != 0) | (got[:-1] != 0)
+    keep[offsets[:-1][np.diff(offsets) > 0]] = True  # a text's first, whatever text lies before it
     before = np.zeros(len(got) + 1, np.int32)
     np.cumsum(keep, out=before[1:])
     return got[keep], before[offsets].astype(np.int64)
@@ -146,13 +155,15 @@ def tables(profile: Profile) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         states = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
         keys = np.array([c for m in moves for c in m], np.int64)
         to = np.array([t for m in moves for t in m.values()], np.int64)
-        root = np.full(width, at, np.int64)  # unknown to the whole sample: a phrase of its own
+        dead = at + len(moves)  # after a symbol unknown to the whole sample, which is a phrase of its own: whatever follows begins a new one
+        root = np.full(width, dead, np.int64)
         root[keys[states == 0]] = at + to[states == 0]
-        grid = np.tile(((root * width) * 2 + 1).astype(np.int32), (len(moves), 1))
+        grid = np.tile(((root * width) * 2 + 1).astype(np.int32), (len(moves) + 1, 1))
+        grid[0] = (root * width) * 2
         grid[states, keys] = ((at + to) * width) * 2
         parts.append(grid)
         roots.append(at * width)
-        at += len(moves)
+        at += len(moves) + 1
     sizes = np.log2([max(2, len(s)) for s in coded])
     return np.concatenate([p.ravel() for p in parts]), column, np.array(roots, np.int32), sizes
 
