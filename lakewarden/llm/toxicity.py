@@ -10,8 +10,10 @@ phrase, such as ``trash can``, does not count. The weights of what was found,
 as a sum and as a rate by the text's number of words, give a probability.
 
 Bounds: the lexicon is learned from at most :data:`SAMPLE_ROWS` labelled rows
-outside the held-out quarter (those with the least hash of their id) and keeps
-at most :data:`STEMS` stems; everything else covers every row and whole texts.
+outside the held-out quarter (those with the least hash of their id), all of
+whose stems with enough support and weight are kept; everything else covers
+every row and whole texts. A stem has at most :data:`LONGEST` letters and finds
+longer words by their beginning.
 
 Defined results: null and empty texts have no hits and get the score of a text
 without hits. A row whose label is null is not learned from. Without labelled
@@ -21,10 +23,12 @@ equal results.
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -36,8 +40,8 @@ from pyspark.sql import types as T
 from lakewarden.llm import store, textvec
 
 SAMPLE_ROWS = 24_000
-#: Lengths of stems in letters, the least number of toxic rows that hold one, and the most stems.
-SHORTEST, LONGEST, SUPPORT, STEMS = 4, 9, 8, 2_000
+#: Lengths of stems in letters, and the least number of toxic rows that hold one.
+SHORTEST, LONGEST, SUPPORT = 4, 9, 8
 #: The least log-odds of a stem that is kept.
 LEAST_WEIGHT = 2.5
 PREDICT_AT = 0.3
@@ -58,7 +62,7 @@ def folded(text: Column) -> Column:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 @dataclass(frozen=True)
@@ -106,10 +110,13 @@ def matched(lexicon: Lexicon, text: str) -> tuple[int, float, float]:
             places.append((end + 1 - size, stem))
     if not places:
         return 0, 0.0, 0.0
+    excused.sort()
+    furthest = list(accumulate((high for _, high in excused), max))  # the end of what the exceptions up to each cover
     by_stem: dict[int, set[str]] = {}
     by_word: dict[str, float] = {}
     for start, stem in places:
-        if not any(low <= start < high for low, high in excused):
+        k = bisect.bisect_right(excused, (start, len(text))) - 1
+        if k < 0 or start >= furthest[k]:
             word = text[start + 1 : text.index(" ", start + 1)]
             by_stem.setdefault(stem, set()).add(word)
             by_word[word] = max(by_word.get(word, 0.0), lexicon.stems[stem][1])
@@ -178,7 +185,7 @@ def _fitted(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Lexicon:
     """Learns stems and the curve from a bounded sample of labelled rows outside the held-out quarter.
 
-    A document's first label in (toxic) order counts if it has several.
+    A document that has several labels is toxic if one of them says so.
     """
     known = labels.where(labels.toxic.isNotNull() & labels.doc_id.isNotNull() & ~held_out(labels.doc_id))
     sample = known.select("doc_id", "toxic", F.xxhash64("doc_id").alias("rank")).orderBy("rank", "doc_id", "toxic").limit(rows)
@@ -197,8 +204,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Lexico
     clean = counted(0).withColumnRenamed("n", "m")
     odds = F.log((F.col("n") + 0.1) / (sizes[1] + 1.0)) - F.log((F.coalesce("m", F.lit(0)) + 0.1) / (sizes[0] + 1.0))
     scored = frequent.join(clean, ["stem", "times"], "left").select("stem", "times", "n", odds.alias("weight")).where(F.col("weight") >= LEAST_WEIGHT)
-    # a stem of little support is as likely chance as a clue, so support weighs in
-    top = scored.orderBy((F.col("weight") * F.log1p("n")).desc(), "stem", "times").limit(STEMS).collect()
+    top = scored.orderBy("stem", "times").collect()  # of a bounded sample, each in enough of its rows
     one, two = (_pruned([(r.stem, r.n, round(r.weight, 6)) for r in top if r.times == times]) for times in (1, 2))
     lexicon = Lexicon(tuple((stem, one.get(stem, 0.0), two.get(stem, 0.0)) for stem in sorted(one.keys() | two.keys())))
     names = ["weight", "repeat", "rate"]
