@@ -9,8 +9,10 @@ template may lie; along each it is aligned with the text inside a band (match
 +2, mismatch or gap -1). Reported are the share of the template's words that
 match, and the spans of the text, in characters.
 
-Texts are read in place and whole; nothing is shuffled. The templates are part
-of the library or given by the caller, and go to the tasks with the function.
+A template that a text repeats is reported with a span for each time. Texts
+are read in place and whole; nothing is shuffled. The templates are part of
+the library or given by the caller, and go to the tasks with the function; more
+than :data:`MOST_TEMPLATES` characters of them are an error.
 
 Defined results: null and empty texts, and templates without words, match
 nothing. Case and punctuation do not count. Templates that match the same
@@ -31,6 +33,8 @@ from lakewarden.llm import store, textvec
 
 GRAM, WINDOW = 3, 4
 COVERAGE = 0.8
+#: Most characters of all templates together: some 50 MB in a task with their index.
+MOST_TEMPLATES = 4_000_000
 MATCH, MISMATCH, GAP = 2, 1, 1
 
 #: Notices and clauses of common licenses.
@@ -120,14 +124,19 @@ def scanned(templates: Templates, words: np.ndarray, grams: np.ndarray, threshol
         template = own[t]
         band = len(template) // 8 + 4
         spans: dict[tuple[int, int], int] = {}
+        left = words
         last = None
         for shift in sorted(found):
             if last is not None and shift - last <= band // 2:
                 continue  # inside the band of the last one
             last = shift
-            matched, first, end = banded(template, words, shift, band)
-            if matched >= threshold * len(template):
+            while True:
+                matched, first, end = banded(template, left, shift, band)
+                if matched < threshold * len(template):
+                    break
                 spans[(first, end)] = matched
+                left = left.copy()
+                left[first:end] = 0  # of no word: what repeats the template within the band is found next
         kept: list[tuple[int, int]] = []
         for span in sorted(spans, key=lambda s: (-spans[s], s)):
             if all(span[1] <= a or span[0] >= b for a, b in kept):
@@ -143,6 +152,8 @@ _LOWER = np.array([ord(chr(b).lower()) if b < 128 else b for b in range(256)], n
 def scan(docs: DataFrame, templates: Templates = TEMPLATES, threshold: float = COVERAGE) -> DataFrame:
     """(doc_id, license, coverage, matched_words, spans) for each document and template whose coverage reaches the threshold."""
     names = ["doc_id", "license", "coverage", "matched_words", "spans"]
+    if sum(len(t) for _, t in templates) > MOST_TEMPLATES:
+        raise ValueError(f"templates of more than {MOST_TEMPLATES} characters: scan with a part of them at a time")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, prints, _, _ = _index(templates)
