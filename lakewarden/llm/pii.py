@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakewarden.functions import folds
+
 _LOCAL = "[A-Za-z0-9._%+-]"
 _LABEL = "[A-Za-z0-9-]++"
 PATTERNS = {
@@ -86,7 +88,8 @@ def _confirmed(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-SPAN = "array<struct<kind:string,start:int,end:int,confidence:int>>"
+SPAN = "struct<kind:string,start:int,end:int,confidence:int>"
+SPANS = f"array<{SPAN}>"
 
 
 def spans_of(kind: str, text: Column) -> Column:
@@ -99,21 +102,19 @@ def spans_of(kind: str, text: Column) -> Column:
     values = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
     base, bonus = CONFIDENCE[kind]
 
-    def placed(acc: Column, pair: Column) -> Column:
+    def placed(at: Column, pair: Column) -> tuple[Column, Column]:
         before, value = pair["before"], pair["value"]
-        start = acc["at"] + F.length(before)
+        start = at + F.length(before)
         end = start + F.length(value)
         near = F.lower(F.right(before, F.lit(WINDOW))).rlike(CONTEXT[kind])
         confidence = F.lit(base) + F.when(near, bonus).otherwise(0)
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), confidence.alias("confidence"))
-        kept = F.when(_confirmed(kind, value) & (confidence >= LEAST), F.array_append(acc["spans"], span)).otherwise(acc["spans"])
-        return F.struct(end.alias("at"), kept.alias("spans"))
+        return end, F.when(_confirmed(kind, value) & (confidence >= LEAST), F.array(span)).otherwise(F.array().cast(SPANS))
 
     pairs = F.zip_with(F.slice(pieces, 1, F.size(pieces) - 1), values, lambda b, v: F.struct(b.alias("before"), v.alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-    found = F.aggregate(pairs, start, placed, lambda acc: acc["spans"])
+    found = folds.collected(pairs, F.lit(0), SPAN, placed)
     possible = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else F.lit(True)
-    return F.when(possible & text.rlike(PATTERNS[kind]), found).otherwise(F.array().cast(SPAN))
+    return F.when(possible & text.rlike(PATTERNS[kind]), found).otherwise(F.array().cast(SPANS))
 
 
 def find(docs: DataFrame, text: str = "text", prefix: str = "pii_") -> DataFrame:
@@ -138,19 +139,12 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     body = F.col(text)
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(F.substring(body, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(fresh, F.array_append(acc["out"], piece)).otherwise(acc["out"]).alias("out"),
-        )
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    masked = F.aggregate(
-        F.col("__pii_all"), start, step,
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(body, acc["at"] + 1, F.length(body))),
-    )
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        piece = F.concat(F.substring(body, at + 1, s["start"] - at), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        return F.greatest(at, s["end"]), F.when(s["start"] >= at, F.array(piece)).otherwise(F.array().cast("array<string>"))
+
+    last = F.array_max(F.transform(F.col("__pii_all"), lambda s: s["end"]))
+    masked = F.concat(F.array_join(folds.collected(F.col("__pii_all"), F.lit(0), "string", step), ""), F.substring(body, last + 1, F.length(body)))
     out = found.withColumn("__pii_all", spans).withColumn(text, F.when(body.isNull() | (F.size("__pii_all") == 0), body).otherwise(masked))
     return out.select(*docs.columns)
 
