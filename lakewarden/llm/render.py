@@ -5,9 +5,9 @@ elements with the implied end tags of HTML (a new ``li`` ends the last one, a
 block ends a paragraph, a cell ends a cell, and so on) and drops end tags that
 match nothing; the layout writes all text that is visible. Hidden are
 elements that are never rendered (``head``, ``script``, ``template`` and
-others), ones with ``hidden``, ones whose style is ``display:none`` or
-``visibility:hidden``, be it their own or a rule of the page for a tag, class or
-id. Rules in ``@media screen`` and ``@media all`` (and ``@layer``) count; those under any
+others), ones with ``hidden``, ones whose style is ``display:none``, be it their
+own or a rule of the page for a tag, class or id, and, unless an element inside
+of them is ``visible`` again, ones that are ``visibility:hidden``. Rules in ``@media screen`` and ``@media all`` (and ``@layer``) count; those under any
 other condition do not.
 
 Blocks begin on lines of their own, with a blank line around paragraphs,
@@ -17,7 +17,8 @@ padded so that columns line up, however wide they are. Everything is driven by a
 limit.
 
 Defined results: null and empty pages have empty text; text outside any tag is
-rendered; markup that does not end is text. Repeated rows get equal results.
+rendered; a tag that never ends hides what follows, as in browsers; a quote in
+a tag that never ends is a character like others. Repeated rows get equal results.
 """
 
 from __future__ import annotations
@@ -60,13 +61,16 @@ IMPLIED = {
 _PARAGRAPH = (frozenset({"p"}), _SCOPES | {"button"})
 _HEAD = frozenset("head title meta link style script base template noscript html".split())
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+#: An attribute: its name, then perhaps a value in quotes, or one without, in which quotes are characters like others.
+_NAMED = r"[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]++|(?=>)))?+"
+_TAG = re.compile(rf"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_NAMED})*+)>")
 _OPENS = re.compile(r"</?[a-zA-Z]")
-_ATTRIBUTE = re.compile(r"([^\s=/\"'<>]++)(?:\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s\"'>]++))?+")
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]++|(?=>)))?+")
 _CSS = re.compile(r"/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*+\"?|'(?:[^'\\\n]|\\.)*+'?|[{};]|[^{};\"'/]++|/", re.S)
 #: At-rules whose rules hold on a screen of any size.
 _APPLIES = re.compile(r"@media(?:\s+(?:only\s+)?(?:screen|all))?(?:\s*,.*)?\Z|@media\b.*,\s*(?:only\s+)?(?:screen|all)\s*(?:,.*)?\Z|@layer\b.*\Z", re.I | re.S)
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_GONE = re.compile(r"(?<![\w-])display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(hidden|collapse|visible)", re.I)
 _SIMPLE = re.compile(r"[.#]?[\w-]+\Z")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -92,8 +96,7 @@ def scan(page: str) -> Iterator[tuple[str, str, str]]:
             continue
         tag = _TAG.match(page, begin)
         if not tag and _OPENS.match(page, begin):
-            yield "text", page[begin:], ""  # a tag, or a quote in it, that never ends
-            return
+            return  # a tag that never ends
         if not tag:
             nxt = page.find("<", begin + 1)
             nxt = len(page) if nxt < 0 else nxt
@@ -116,7 +119,9 @@ def scan(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 def attributes(raw: str) -> dict[str, str]:
-    return {name.lower(): html.unescape(value.strip("\"'")) for name, value in reversed(_ATTRIBUTE.findall(raw))} if raw.strip(" /") else {}
+    if not raw.strip(" /"):
+        return {}
+    return {name.lower(): html.unescape(value[1:-1] if value[:1] in ("'", '"') else value) for name, value in reversed(_ATTRIBUTE.findall(raw))}
 
 
 def build(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
@@ -209,36 +214,62 @@ class Flow:
 
 @dataclass
 class Table:
-    rows: list[list[tuple[list[str], int]]] = field(default_factory=list)
+    rows: list[list[tuple[list[str], int, int]]] = field(default_factory=list)  # of each cell its lines, columns and rows
+
+
+def _gridded(table: Table) -> list[list[tuple[list[str], int, int]]]:
+    """The rows with each cell's column: (lines, first column, columns). Columns that a cell above reaches into are taken, by an empty cell."""
+    busy: dict[int, int] = {}  # column to rows that it is still taken for
+    out = []
+    for row in table.rows:
+        line: list[tuple[list[str], int, int]] = []
+        at = 0
+        taken = set(busy)
+        fresh: dict[int, int] = {}
+        for lines, columns, rows in row:
+            while at in taken:
+                line.append(([], at, 1))
+                at += 1
+            line.append((lines, at, columns))
+            if rows > 1:
+                fresh |= dict.fromkeys(range(at, at + columns), rows - 1)
+            at += columns
+        busy = {c: n - 1 for c, n in busy.items() if n > 1} | fresh
+        out.append(line)
+    return out
 
 
 def aligned(table: Table) -> list[str]:
     """The lines of a table, its columns padded to their widest cell; a cell over several columns counts for none of them."""
+    rows = _gridded(table)
     widths: dict[int, int] = {}
-    for row in table.rows:
-        at = 0
-        for lines, span in row:
+    for row in rows:
+        for lines, at, span in row:
             if span == 1:
                 widths[at] = max(widths.get(at, 0), max(map(len, lines), default=0))
-            at += span
     out = []
-    for row in table.rows:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
-            parts, at = [], 0
-            for lines, span in row:
+    for row in rows:
+        for k in range(max((len(lines) for lines, _, _ in row), default=0)):
+            parts = []
+            for lines, at, span in row:
                 cell = lines[k] if k < len(lines) else ""
-                width = sum(widths.get(c, 0) for c in range(at, min(at + span, len(widths)))) + 2 * (span - 1)
+                width = sum(widths.get(c, 0) for c in range(at, min(at + span, max(widths, default=0) + 1))) + 2 * (span - 1)
                 parts.append((cell, width))
-                at += span
             while parts and not parts[-1][0].strip():  # what is padded ends with text
                 parts.pop()
             out.append("  ".join([*(cell.ljust(width) for cell, width in parts[:-1]), *(cell for cell, _ in parts[-1:])]).rstrip())
     return out
 
 
-def hidden_by(rules: str) -> set[str]:
-    """Simple selectors that the rules of a style sheet hide."""
-    found: set[str] = set()
+def visibility(style: str) -> str:
+    """``hidden``, ``visible``, or nothing if a style tells neither; the last word counts."""
+    said = _VISIBILITY.findall(style)
+    return "" if not said else "visible" if said[-1].lower() == "visible" else "hidden"
+
+
+def styled(rules: str) -> dict[str, str]:
+    """Simple selectors with what the rules of a style sheet make of them: ``gone``, ``hidden`` or ``visible``; the last rule counts."""
+    found: dict[str, str] = {}
     outer: list[tuple[str, list[str]]] = []  # of each open block: what stands before it, and its own declarations
     part: list[str] = []
     skipped = 0  # blocks that are open inside of one that does not count, and that one
@@ -255,8 +286,10 @@ def hidden_by(rules: str) -> set[str]:
                 skipped -= 1
             elif outer:
                 head, own = outer.pop()
-                if head[:1] != "@" and _HIDDEN.search(";".join([*own, "".join(part)])):
-                    found |= {s.strip().lower() for s in head.split(",") if _SIMPLE.match(s.strip())}
+                body = ";".join([*own, "".join(part)])
+                effect = "gone" if _GONE.search(body) else visibility(body)
+                if head[:1] != "@" and effect:
+                    found |= {s.strip().lower(): effect for s in head.split(",") if _SIMPLE.match(s.strip())}
             part = []
         elif token == ";":
             if outer and not skipped:
@@ -267,19 +300,25 @@ def hidden_by(rules: str) -> set[str]:
     return found
 
 
+def _span(said: str, most: int) -> int:
+    """How many columns or rows a cell takes; fixed values of HTML: the most there may be."""
+    return max(1, min(most, int(said))) if said.isascii() and said.isdigit() and len(said) < 9 else 1
+
+
 def rendered(page: str) -> str:
     """The visible text of a page."""
     flows, tables, lists = [Flow()], [], []
     hidden = 0  # elements that are open inside of a hidden one, and that one
     pre = 0
-    sheet: set[str] = set()
+    sheet: dict[str, str] = {}
+    unseen: list[bool] = [False]  # of each open element that is laid out: whether its text is invisible
     in_style = False
     for kind, name, found in build(page):
         flow = flows[-1]
         if kind == "text":
             if in_style:
-                sheet |= hidden_by(name)
-            elif not hidden:
+                sheet |= styled(name)
+            elif not hidden and not unseen[-1]:
                 value = html.unescape(name).replace("\xa0", " ")
                 if pre:
                     first, *rest = value.split("\n")
@@ -296,9 +335,12 @@ def rendered(page: str) -> str:
                 hidden += 1
                 continue
             marks = {name, *(f".{c}" for c in found.get("class", "").lower().split()), f"#{found.get('id', '').lower()}"}
-            if name in NEVER or "hidden" in found or _HIDDEN.search(found.get("style", "")) or (name == "input" and found.get("type", "").lower() == "hidden") or marks & sheet or (name == "dialog" and "open" not in found):
+            effects = {sheet[m] for m in marks if m in sheet}
+            if name in NEVER or "hidden" in found or _GONE.search(found.get("style", "")) or (name == "input" and found.get("type", "").lower() == "hidden") or "gone" in effects or (name == "dialog" and "open" not in found):
                 hidden = 1
                 continue
+            own = visibility(found.get("style", "")) or ("hidden" if "hidden" in effects else "visible" if "visible" in effects else "")
+            unseen.append(unseen[-1] if not own else own == "hidden")
             if name == "br":
                 if flow.words:
                     flow.line()
@@ -312,8 +354,7 @@ def rendered(page: str) -> str:
             elif tables and name in ("td", "th"):
                 if not tables[-1][0].rows:
                     tables[-1][0].rows.append([])
-                span = found.get("colspan", "1")
-                tables[-1][0].rows[-1].append(([], max(1, min(1000, int(span))) if span.isascii() and span.isdigit() else 1))
+                tables[-1][0].rows[-1].append(([], _span(found.get("colspan", "1"), 1000), _span(found.get("rowspan", "1"), 65534)))
                 flows.append(Flow())
             elif name in ("ul", "ol", "menu"):
                 flow.gap() if not lists else flow.line()
@@ -327,6 +368,8 @@ def rendered(page: str) -> str:
                     lists[-1][1] += 1
                 else:
                     flow.marker = "- "
+                if unseen[-1]:
+                    flow.marker = ""
             elif name in ("dd", "blockquote"):
                 flow.gap() if name == "blockquote" else flow.line()
                 flow.indent += 2
@@ -340,13 +383,13 @@ def rendered(page: str) -> str:
         if hidden:
             hidden -= 1
             continue
+        unseen.pop()
         if name == "pre":
             pre -= 1
         if name in ("td", "th") and tables and len(flows) > 1:
             cell = flows.pop()
             cell.line()
-            lines, span = tables[-1][0].rows[-1][-1]
-            lines.extend(cell.lines)
+            tables[-1][0].rows[-1][-1][0].extend(cell.lines)
         elif name == "table" and tables:
             table, below, depth = tables.pop()
             below.gap()
