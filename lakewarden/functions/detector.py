@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, replace
+from functools import cache
 from re import _parser as parser
 
 #: Classes of data by category; what is not listed is personal data.
@@ -177,6 +178,7 @@ def translated(pattern: str, flags: str) -> str:
     return (f"(?{switches})" if switches else "") + "".join(out)
 
 
+@cache
 def java_pattern(detector: Detector) -> tuple[str, int]:
     """The pattern for Spark, and the group that holds the value."""
     if detector.id in REWRITTEN:
@@ -233,6 +235,7 @@ def _needed(tree) -> set[str]:
     return out
 
 
+@cache
 def needs(detector: Detector) -> set[str]:
     """Properties without which a text cannot hold a match; what Python cannot parse needs none."""
     pattern = REWRITTEN.get(detector.id, detector.pattern)

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 PART = 256
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """What ``body`` makes of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def parts(items: Column) -> Column:
     """An array cut into arrays of at most :data:`PART` items."""
     numbers = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / PART).cast("int"))
@@ -27,12 +32,12 @@ def collected(items: Column, state: Column, out: str, step: Callable[[Column, Co
 
     def within(acc: Column, item: Column) -> Column:
         after, added = step(acc["at"], item)
-        return F.struct(after.alias("at"), F.when(F.size(added) > 0, F.concat(acc["out"], added)).otherwise(acc["out"]).alias("out"))
+        return F.struct(after.alias("at"), F.concat(acc["out"], added).alias("out"))
 
-    def part(acc: Column, items: Column) -> Column:
+    def part(acc: Column, some: Column) -> Column:
         begin = F.coalesce(F.try_element_at(acc, F.lit(-1))["at"], state)
-        return F.array_append(acc, F.aggregate(items, F.struct(begin.alias("at"), empty.alias("out")), within))
+        return F.array_append(acc, F.aggregate(some, F.struct(begin.alias("at"), empty.alias("out")), within))
 
     kind = f"array<struct<at:int,out:array<{out}>>>"
-    folded = F.aggregate(parts(items), F.array().cast(kind), part)
-    return F.when(F.size(items) == 0, empty).otherwise(F.flatten(F.transform(folded, lambda r: r["out"])))
+    folded = lambda x: F.flatten(F.transform(F.aggregate(parts(x), F.array().cast(kind), part), lambda r: r["out"]))
+    return let(items, lambda x: F.when(F.size(x) == 0, empty).otherwise(folded(x)))

@@ -21,13 +21,12 @@ def normalized(docs: DataFrame, text: str, out: str) -> DataFrame:
     """Adds the text in NFC without zero-width characters.
 
     Spark has no normal forms of its own. Characters below U+0300 are their
-    own composed form, so only rows that hold others go to Python.
+    own composed form, so only rows that hold others send their text to
+    Python; for the rest that is a null.
     """
-    plain = F.col(text).isNull() | ~F.col(text).rlike(r"[^\u0000-˿]")
-    bare = lambda c: F.translate(c, ZERO_WIDTH, "")
-    near = docs.where(plain).withColumn(out, bare(F.col(text)))
-    far = docs.where(~plain).withColumn(out, bare(_composed(F.col(text))))
-    return near.unionByName(far)
+    plain = ~F.coalesce(F.col(text).rlike(r"[^\u0000-\u02ff]"), F.lit(False))
+    composed = _composed(F.when(~plain, F.col(text)))
+    return docs.withColumn(out, F.translate(F.when(plain, F.col(text)).otherwise(composed), ZERO_WIDTH, ""))
 
 
 def mask_of(width: Column) -> Column:

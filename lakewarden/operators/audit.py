@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_ENTRIES, PAGE, HIT_DAYS = 1_000, 50, 30
@@ -42,6 +42,11 @@ def facets(log: DataFrame) -> DataFrame:
     return sets.select(F.when(F.col("g") == 0, "tool").otherwise("severity").alias("facet"), F.when(F.col("g") == 0, F.col("tool")).otherwise(F.col("max_severity")).alias("name"), "n")
 
 
+def ordered(facets: DataFrame) -> DataFrame:
+    """Facets with their place: those of most entries first, then by name."""
+    return facets.withColumn("place", F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "name")))  # a row for each tool and severity
+
+
 def matching(log: DataFrame, action: str = "all", tool: str = "all", severity: str = "all", q: str = "") -> DataFrame:
     """Entries by action (``file`` stands for all that begin so), tool, severity, and a piece of text in any of their names."""
     if action != "all":
@@ -51,7 +56,8 @@ def matching(log: DataFrame, action: str = "all", tool: str = "all", severity: s
     if severity != "all":
         log = log.where(F.col("max_severity") == severity)
     if q:
-        hay = F.concat_ws(" ", "tool", "url", F.array_join("classifications", " "), F.array_join(F.transform("items", lambda i: i["label"]), " "))
+        name = ["file_name"] if "file_name" in log.columns else []
+        hay = F.concat_ws(" ", "tool", "url", *name, F.array_join("classifications", " "), F.array_join(F.transform("items", lambda i: i["label"]), " "))
         log = log.where(F.contains(F.lower(hay), F.lit(q.lower())))
     return log
 

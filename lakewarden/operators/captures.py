@@ -7,46 +7,52 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakewarden.functions import folds
+from lakewarden.sources import shared
+
 #: Bounds of a stored turn and of the store.
-MOST_CONTENT, MOST_ITEMS, MOST_BYTES, ITEM_BYTES, STARRED_BYTES = 20_000, 5_000, 4 << 20, 320, 512 << 10
+MOST_RECEIVED, MOST_CONTENT, MOST_ITEMS, MOST_BYTES, ITEM_BYTES, STARRED_BYTES = 20_480, 20_000, 5_000, 4 << 20, 320, 512 << 10
 #: Bounds of a search: query lengths, newest turns, characters of each, characters shown, hits.
 QUERY_LEAST, QUERY_MOST, NEWEST, PREFIX, SHOWN, HITS = 4, 160, 800, 4_000, 600, 5
-GRAPH_PROMPTS, MOST_TAGS, TOP_TAGS = 150, 4, 15
+GRAPH_PROMPTS, MOST_TAGS, TOP_TAGS, MOST_LISTED, RECENT = 150, 4, 15, 100, 5
 
-#: Tags and the words that tell them, in order.
+#: Words, and the tag that each tells, in order. A word of capitals is not found in a lower-cased text.
 KEYWORDS = (
-    ("React", "react hooks jsx component nextjs next.js"), ("Python", "python pip django flask pandas numpy"), ("JavaScript", "javascript"), ("TypeScript", "typescript"),
-    ("Node.js", "node express npm"), ("CSS", "css"), ("HTML", "html"), ("CSS", "tailwind"), ("Database", "sql database mongodb postgres mysql redis"),
-    ("API", "api rest graphql endpoint fetch"), ("DevOps", "docker kubernetes k8s ci/cd deploy nginx"), ("Cloud", "aws azure gcp cloud s3 lambda"),
-    ("Security", "security xss csrf auth oauth jwt vulnerability encryption"), ("AI/ML", "ai machine_learning model neural llm gpt transformer"),
-    ("Git", "git github merge branch commit"), ("Testing", "test jest unittest pytest testing"), ("Debugging", "debug error fix bug crash traceback"),
-    ("Writing", "write essay blog email letter"), ("Math", "math calculate equation formula"),
-)
+    ("react", "React"), ("hooks", "React"), ("jsx", "React"), ("component", "React"), ("useState", "React"), ("useEffect", "React"), ("nextjs", "React"), ("next.js", "React"),
+    ("python", "Python"), ("pip", "Python"), ("django", "Python"), ("flask", "Python"), ("pandas", "Python"), ("numpy", "Python"),
+    ("javascript", "JavaScript"), ("typescript", "TypeScript"), ("node", "Node.js"), ("express", "Node.js"), ("npm", "Node.js"),
+    ("css", "CSS"), ("html", "HTML"), ("tailwind", "CSS"),
+    ("sql", "Database"), ("database", "Database"), ("mongodb", "Database"), ("postgres", "Database"), ("mysql", "Database"), ("redis", "Database"),
+    ("api", "API"), ("rest", "API"), ("graphql", "API"), ("endpoint", "API"), ("fetch", "API"),
+    ("docker", "DevOps"), ("kubernetes", "DevOps"), ("k8s", "DevOps"), ("ci/cd", "DevOps"), ("deploy", "DevOps"), ("nginx", "DevOps"),
+    ("aws", "Cloud"), ("azure", "Cloud"), ("gcp", "Cloud"), ("cloud", "Cloud"), ("s3", "Cloud"), ("lambda", "Cloud"),
+    ("security", "Security"), ("xss", "Security"), ("csrf", "Security"), ("auth", "Security"), ("oauth", "Security"), ("jwt", "Security"), ("vulnerability", "Security"), ("encryption", "Security"),
+    ("ai", "AI/ML"), ("machine learning", "AI/ML"), ("model", "AI/ML"), ("neural", "AI/ML"), ("llm", "AI/ML"), ("gpt", "AI/ML"), ("transformer", "AI/ML"),
+    ("git", "Git"), ("github", "Git"), ("merge", "Git"), ("branch", "Git"), ("commit", "Git"),
+    ("test", "Testing"), ("jest", "Testing"), ("unittest", "Testing"), ("pytest", "Testing"), ("testing", "Testing"),
+    ("debug", "Debugging"), ("error", "Debugging"), ("fix", "Debugging"), ("bug", "Debugging"), ("crash", "Debugging"), ("traceback", "Debugging"),
+    ("write", "Writing"), ("essay", "Writing"), ("blog", "Writing"), ("email", "Writing"), ("letter", "Writing"),
+    ("math", "Math"), ("calculate", "Math"), ("equation", "Math"), ("formula", "Math"),
+)
 CODE = r"```|function\s|const\s|let\s|var\s|=>\s|class\s|import\s|def\s|return\s"
 QUESTION = r"(?i)^(how|what|why|when|where|can|could|should|is|are|do|does)\s"
 EXPLAIN = r"explain|describe|summarize|break down|walk me through"
 CODE_TOKENS = r"```|def |function |class |import |const |var |\{|\}"
 
 
-def keyword_pattern(words: str) -> str:
-    return "|".join(w.replace("_", " ").replace(".", r"\.") for w in words.split())
-
-
-def holds(low: Column, words: str) -> Column:
-    """Whether a lower-cased text holds one of some words: byte searches, which take a fraction of a pattern's time."""
-    found = F.lit(False)
-    for w in words.split():
-        found = found | F.contains(low, F.lit(w.replace("_", " ")))
-    return found
-
-
 def tags(text: Column, low: Column | None = None) -> Column:
     """The first tags of a text: by keyword, then by form; ``General`` if it has none."""
     low = F.lower(text) if low is None else low
-    found = [F.when(holds(low, words), tag) for tag, words in KEYWORDS]
+    found = [F.when(F.contains(low, F.lit(word)), tag) for word, tag in KEYWORDS]
     found += [F.when(text.rlike(CODE), "Code"), F.when(F.trim(text).rlike(QUESTION), "Question"), F.when(low.rlike(EXPLAIN), "Explanation")]
-    some = F.slice(F.array_distinct(F.filter(F.array(*found), lambda t: t.isNotNull())), 1, MOST_TAGS)
-    return F.when(F.size(some) > 0, some).otherwise(F.array(F.lit("General")))
+    some = F.slice(F.array_distinct(F.array_compact(F.array(*found))), 1, MOST_TAGS)
+    return folds.let(some, lambda t: F.when(F.size(t) > 0, t).otherwise(F.array(F.lit("General"))))
+
+
+def tags_or(tags: Column, category: Column) -> Column:
+    """Tags, or the category where a turn has none (an empty list is one), or ``General``."""
+    named = F.when(F.coalesce(category, F.lit("")) != "", category).otherwise("General")
+    return F.coalesce(tags, F.array(named))
 
 
 def tokens(text: Column) -> Column:
@@ -62,10 +68,16 @@ def clamped(text: Column, most: int = MOST_CONTENT) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most), note))
 
 
+def received(text: Column, most: int = MOST_RECEIVED) -> Column:
+    """A turn's text as it is taken in: cut to a bound, with a mark."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("\n[…truncated at 20KB]"))).otherwise(text)
+
+
 def enriched(captures: DataFrame) -> DataFrame:
-    """Clamped turns of two characters or more, with ``tokens`` and ``tags``."""
-    rows = captures.where(F.length("content") >= 2).withColumn("__low", F.lower("content"))
-    return rows.withColumns({"content": clamped(F.col("content")), "tokens": tokens(F.col("content")), "tags": tags(F.col("content"), F.col("__low"))}).drop("__low")
+    """Clamped turns of two characters or more, with ``tokens``, ``tags`` and ``category`` of what was taken in."""
+    rows = captures.where(F.length("content") >= 2).withColumn("__taken", received(F.col("content")))
+    rows = rows.withColumns({"content": clamped(F.col("__taken")), "tokens": tokens(F.col("__taken")), "tags": tags(F.col("__taken"), F.lower("__taken"))})
+    return rows.withColumn("category", F.element_at("tags", 1)).drop("__taken")
 
 
 def tool_class(tool: Column) -> Column:
@@ -78,19 +90,25 @@ def tool_class(tool: Column) -> Column:
 def without_repeats(captures: DataFrame) -> DataFrame:
     """Drops turns that repeat the one before them in content, tool and type.
 
-    The order is one of the whole table, so a turn is compared within its hour;
-    the first of an hour is compared with the last of the hour before that has
-    any, of which there is a single row an hour. No hour's rows go to a task
-    that holds another's.
+    The order is one of the whole table, by time (null ones first) and id. The
+    turns are dealt by ranges of it and written, so each range is compared
+    within itself, its first turn with the last of the range before: of these
+    there is one a range. Turns without content repeat nothing.
     """
-    hour = F.date_trunc("hour", "ts")
-    same = F.xxhash64("content", "tool", "type")
-    rows = captures.withColumns({"__hour": hour, "__same": same, "__key": F.struct("ts", "id")})
-    ends = rows.groupBy("__hour").agg(F.max_by("__same", "__key").alias("__last"))
-    before = ends.select("__hour", F.lag("__last").over(Window.orderBy("__hour")).alias("__before"))  # a row an hour
-    ordered = rows.withColumn("__prior", F.lag("__same").over(Window.partitionBy("__hour").orderBy("ts", "id")))
-    kept = ordered.join(before, "__hour").where(~F.coalesce(F.coalesce("__prior", "__before") == F.col("__same"), F.lit(False)))
-    return kept.select(*captures.columns)
+    spark = captures.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = shared.new_path(spark, "turns")
+    dealt = captures.repartitionByRange(tasks, F.col("ts").asc_nulls_first(), "id").withColumn("__range", F.spark_partition_id())
+    dealt.write.parquet(path)
+    said = F.struct("content", "tool", "type")
+    rows = spark.read.schema(dealt.schema).parquet(path).withColumn("__said", said)
+    order = (F.col("ts").asc_nulls_first(), F.col("id").asc_nulls_first())
+    last = rows.groupBy("__range").agg(F.max_by("__said", F.struct(F.col("ts").isNotNull(), "ts", F.col("id").isNotNull(), "id")).alias("__last"))
+    before = last.select("__range", F.lag("__last").over(Window.orderBy("__range")).alias("__before"))  # a row a range
+    ordered = rows.withColumns({"__prior": F.lag("__said").over(Window.partitionBy("__range").orderBy(*order))})
+    prior = F.coalesce("__prior", "__before")
+    same = (prior["content"] == F.col("content")) & (prior["tool"].eqNullSafe(F.col("tool"))) & (prior["type"].eqNullSafe(F.col("type")))
+    return ordered.join(F.broadcast(before), "__range").where(~F.coalesce(same, F.lit(False))).select(*captures.columns)
 
 
 def retained(captures: DataFrame, most_items: int = MOST_ITEMS, most_bytes: int = MOST_BYTES, reserve: int = STARRED_BYTES, step: int = 10_000) -> DataFrame:
@@ -98,18 +116,21 @@ def retained(captures: DataFrame, most_items: int = MOST_ITEMS, most_bytes: int
 
     A turn that does not fit is skipped and later ones may fit. The result is
     bounded by the budget (some 13,000 turns), whatever the table: the driver
-    takes the next ``step`` sizes that could still fit, newest first, and goes on
-    behind them; only ids and sizes are ever fetched.
+    takes the next ``step`` sizes that could still fit, newest first (those
+    without a time last), and goes on behind them; only ids and sizes are ever
+    fetched. Turns without an id are dropped.
     """
-    spark, sized = captures.sparkSession, captures.select("id", "ts", "starred", (F.coalesce(F.length("content"), F.lit(0)) + ITEM_BYTES).alias("cost"))
+    spark, sized = captures.sparkSession, captures.select("id", "ts", "starred", (F.coalesce(F.length("content"), F.lit(0)) + ITEM_BYTES).alias("cost")).where("id is not null")
     kept, taken, count, last = [], 0, 0, None
     while True:
         room = most_bytes + reserve - taken
         fits = (F.col("cost") <= most_bytes - taken) if count < most_items else F.lit(False)
         rows = sized.where(fits | (F.col("starred") & (F.col("cost") <= room)))
-        if last is not None:
-            rows = rows.where((F.col("ts") < last.ts) | ((F.col("ts") == last.ts) & (F.col("id") > last.id)))
-        batch = rows.orderBy(F.desc("ts"), "id").limit(step).collect()
+        if last is not None and last.ts is not None:
+            rows = rows.where(F.col("ts").isNull() | (F.col("ts") < last.ts) | ((F.col("ts") == last.ts) & (F.col("id") > last.id)))
+        elif last is not None:
+            rows = rows.where(F.col("ts").isNull() & (F.col("id") > last.id))
+        batch = rows.orderBy(F.desc_nulls_last("ts"), "id").limit(step).collect()
         for r in batch:
             if count < most_items and taken + r.cost <= most_bytes:
                 kept.append((r.id, False))
@@ -138,6 +159,62 @@ def threads(captures: DataFrame) -> DataFrame:
     return base.join(top, "url", "left").withColumn("top_tag", F.coalesce("top_tag", F.lit("General")))
 
 
+def listed(captures: DataFrame, search: str = "", tool: str = "ALL", kind: str = "ALL", starred: bool = False, most: int | None = MOST_LISTED) -> DataFrame:
+    """Turns by a piece of their text, their tool and their type, newest first, the first of them."""
+    rows = captures
+    if search:
+        rows = rows.where(F.contains(F.lower("content"), F.lit(search.lower())))
+    if tool != "ALL":
+        rows = rows.where(F.col("tool") == tool)
+    if kind != "ALL":
+        rows = rows.where(F.col("type") == kind)
+    if starred:
+        rows = rows.where("starred")
+    rows = rows.orderBy(F.desc_nulls_last("ts"), "id")
+    return rows if most is None else rows.limit(most)
+
+
+def drilled(captures: DataFrame, node: str, value: str) -> DataFrame:
+    """Turns of a node of the graph: those of a tool, with a content, or with a tag."""
+    if node == "tool":
+        return captures.where(F.col("tool") == value)
+    if node == "item":
+        return captures.where(F.col("content") == value)
+    if node == "tag":
+        return captures.where(F.array_contains(tags_or(F.col("tags"), F.col("category")), value))
+    raise ValueError(f"a node is a tool, an item or a tag, not {node}")
+
+
+def thread_of(captures: DataFrame, starred_id: str) -> DataFrame:
+    """The turns of the session of a starred turn, in order. A turn that is not starred, or of no session, has none."""
+    session = captures.where((F.col("id") == starred_id) & F.col("starred")).select("session_url")  # one row
+    return captures.join(F.broadcast(session), "session_url", "left_semi").orderBy("ts", "id")
+
+
+def threads_listed(captures: DataFrame, most: int | None = None) -> DataFrame:
+    """Threads by the time of their last turn, the latest first."""
+    rows = threads(captures).orderBy(F.desc_nulls_last("last_time"), "url")
+    return rows if most is None else rows.limit(most)
+
+
+def tool_breakdown(captures: DataFrame, as_of) -> DataFrame:
+    """Turns of the last week by class of tool, with ``top``: the class that has most (of several, the one whose newest turn is the newest)."""
+    week = captures.where(F.col("ts") > F.lit(as_of - timedelta(days=7)))
+    counts = week.groupBy(tool_class(F.col("tool")).alias("tool")).agg(F.count("*").alias("n"), F.max("ts").alias("newest"))
+    return counts.withColumn("top", F.row_number().over(Window.orderBy(F.desc("n"), F.desc("newest"), "tool")) == 1).drop("newest")  # a row a class
+
+
+def graph_nodes(captures: DataFrame) -> DataFrame:
+    """(id, kind, label) of the graph of the newest prompts: tools, tags, and each distinct content by its digest."""
+    newest = captures.where(F.col("type") == "prompt").orderBy(F.desc("ts"), "id").limit(GRAPH_PROMPTS)
+    made = F.concat(
+        F.array(F.struct(F.concat(F.lit("tool:"), "tool").alias("id"), F.lit("tool").alias("kind"), F.col("tool").alias("label"))),
+        F.transform("tags", lambda t: F.struct(F.concat(F.lit("cat:"), t).alias("id"), F.lit("category").alias("kind"), t.alias("label"))),
+        F.array(F.struct(F.concat(F.lit("prompt:"), F.substring(F.sha2("content", 256), 1, 16)).alias("id"), F.lit("item").alias("kind"), F.substring("content", 1, 80).alias("label"))),
+    )
+    return newest.select(F.explode(made).alias("n")).select("n.*").distinct()
+
+
 def recall(captures: DataFrame, query: str) -> DataFrame:
     """Among the newest turns the first prompts, by distinct content, that hold a query."""
     if not QUERY_LEAST <= len(query) <= QUERY_MOST:

@@ -144,9 +144,9 @@ def _pdf_text(data: bytes, opened: _Opened) -> str:
 
 
 def segments(files: DataFrame, content: str = "content", name: str = "path", budget: Budget = Budget()) -> DataFrame:
-    """(path, segment, text, skipped, truncated): a row for each piece of text in a file, one without text for a file that has none.
+    """(path, segment, place, text, skipped, truncated): a row for each piece of text in a file, one without text for a file that has none.
 
-    ``skipped`` tells why a file was not read; a file that is broken, or over
+    ``place`` orders the segments of a file; ``skipped`` tells why a file was not read; a file that is broken, or over
     its budget, keeps the segments that were read.
     """
 
@@ -166,9 +166,9 @@ def segments(files: DataFrame, content: str = "content", name: str = "path", bud
                         skipped = None if opened.segments else "unreadable"
                     if not opened.segments and not skipped:
                         skipped = "no text"
-                rows += [(path, segment, text, skipped, truncated) for segment, text in opened.segments or [(None, None)]]
-            yield pd.DataFrame(rows, columns=["path", "segment", "text", "skipped", "truncated"])
+                rows += [(path, segment, place, text, skipped, truncated) for place, (segment, text) in enumerate(opened.segments or [(None, None)])]
+            yield pd.DataFrame(rows, columns=["path", "segment", "place", "text", "skipped", "truncated"])
 
-    raw = files.select(F.col(name).alias("path"), F.col(content).alias("content")).mapInPandas(run, "path string, segment string, text string, skipped string, truncated boolean")
+    raw = files.select(F.col(name).alias("path"), F.col(content).alias("content")).mapInPandas(run, "path string, segment string, place int, text string, skipped string, truncated boolean")
     is_markup = F.coalesce(F.col("segment").rlike(r"(?i)\.(xml|rels)\z") | F.col("text").rlike(r"\A\s*<(\?xml|[a-zA-Z])"), F.lit(False))
     return raw.withColumn("text", F.when(is_markup, markup_text(F.col("text"))).otherwise(F.col("text")))

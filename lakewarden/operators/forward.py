@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import hmac
-from collections.abc import Iterator, Mapping, Sequence
+import math
+import re
+import time
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from urllib.parse import quote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakewarden.operators import audit
@@ -20,9 +25,19 @@ VENDOR, PRODUCT, VERSION = "lakewarden", "text-protection", "1.0"
 MOST_SPOOLED, MESSAGE = 500, 1_000
 
 
+#: Kinds of events, forms, authentications, what of a content is sent, and methods.
+KINDS = ("dlp.mask", "dlp.block", "dlp.warn", "dlp.file", "prompt.captured", "response.captured", "policy.changed")
+FORM_NAMES = ("json", "ndjson", "splunk", "cef", "leef", "ecs", "coralogix", "template")
+AUTHS = ("none", "bearer", "header", "basic", "hmac", "query")
+CONTENTS = ("none", "redacted", "full")
+METHODS = ("POST", "PUT", "PATCH")
+#: The least, the most and the usual of each number of a profile.
+BOUNDS = {"batch_size": (1, 200, 20), "flush_seconds": (10, 3600, 60), "max_retries": (0, 8, 4), "timeout_ms": (1000, 60000, 10000)}
+
+
 @dataclass(frozen=True)
 class Profile:
-    """A receiver: the kinds of events it takes, the least severity of findings, what of their content it sees, and its form."""
+    """A receiver: the kinds of events it takes, the least severity of findings, what of their content it sees, its form, and how it is reached."""
 
     id: str
     events: tuple[str, ...] = ("dlp.mask", "dlp.block", "dlp.warn", "dlp.file")
@@ -31,21 +46,91 @@ class Profile:
     form: str = "json"
     batch_size: int = 20
     auth: Mapping[str, str] = field(default_factory=dict)
+    name: str = ""
+    enabled: bool = True
+    url: str = "https://siem.example/in"
+    method: str = "POST"
+    headers: tuple[tuple[str, str], ...] = ()
+    flush_seconds: int = 60
+    max_retries: int = 4
+    timeout_ms: int = 10000
+    body: str = '{"event":"%%type%%","detections":"%%detections%%"}'
+    content_type: str = "application/json"
+
+
+def normalized(given: Mapping, usual: Profile | None = None) -> Profile:
+    """A profile from loose settings.
+
+    Words count if they are known, numbers are rounded and clamped. A profile
+    that names events takes just those; only one without any takes the usual
+    ones. Full content needs a confirmation, else it is redacted.
+    """
+    usual = usual or Profile(str(given.get("id", "")))
+    word = lambda key, known, other: given.get(key) if given.get(key) in known else other
+    numbers = {}
+    for key, (low, high, other) in BOUNDS.items():
+        try:
+            value = float(given.get(key))
+            numbers[key] = int(max(low, min(high, math.floor(value + 0.5)))) if math.isfinite(value) else other
+        except (TypeError, ValueError):
+            numbers[key] = other
+    events = tuple(k for k in KINDS if given["events"].get(k)) if isinstance(given.get("events"), Mapping) else usual.events
+    auth = given.get("auth") if isinstance(given.get("auth"), Mapping) else {}
+    kind = auth.get("type") if auth.get("type") in AUTHS else "none"
+    content = word("content", CONTENTS, "none")
+    return Profile(
+        str(given.get("id") or usual.id), events, word("min_severity", audit.RANKS, "LOW"), "redacted" if content == "full" and not given.get("content_confirmed") else content, word("form", FORM_NAMES, "json"),
+        auth={"type": kind} | {k: str(v) for k, v in auth.items() if k != "type" and v is not None}, name=str(given.get("name") or usual.name)[:60], enabled=bool(given.get("enabled", True)), url=str(given.get("url") or ""),
+        method=word("method", METHODS, "POST"), headers=tuple((str(h["name"])[:80], str(h.get("value") or "")[:500]) for h in given.get("headers") or () if isinstance(h, Mapping) and h.get("name"))[:20],
+        body=given["body"][:8000] if isinstance(given.get("body"), str) else usual.body, content_type=str(given.get("content_type") or "application/json")[:80], **numbers,
+    )
 
 
 def mapped(values: Mapping[str, int], at: Column, default: int) -> Column:
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), at), F.lit(default))
 
 
+def _shaped(rows: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Events with all columns, in their order."""
+    detection = "array<struct<label:string,classification:string,severity:string,count:bigint,evidence:string>>"
+    usual = {
+        "id": F.lit(None).cast("string"), "type": F.lit(None).cast("string"), "ts": F.lit(None).cast("timestamp"), "severity": F.lit("LOW"), "outcome": F.lit("observed"), "tool": F.lit("Unknown"), "url": F.lit(""),
+        "classifications": F.array().cast("array<string>"), "finding_count": F.lit(0).cast("long"), "detections": F.array().cast(detection), "content": F.lit(None).cast("string"), "detail": F.create_map().cast("map<string,string>"),
+    }
+    return rows.select(*((columns.get(name, c)).alias(name) for name, c in usual.items()))
+
+
 def events(log: DataFrame) -> DataFrame:
-    """Normalized events of audit entries."""
+    """Normalized events of audit entries. An item's severity and evidence are null where the log has none."""
     action = F.col("action")
     kind = F.when(audit.is_file(action), "dlp.file").when(action == "block", "dlp.block").when(action == "warn", "dlp.warn").otherwise("dlp.mask")
-    return log.select(
-        "id", kind.alias("type"), "ts", F.coalesce("max_severity", F.lit("LOW")).alias("severity"), F.regexp_replace(action, "file-", "").alias("outcome"),
-        F.coalesce("tool", F.lit("Unknown")).alias("tool"), F.coalesce("url", F.lit("")).alias("url"), "classifications", F.col("total_findings").alias("finding_count"), F.col("items").alias("detections"),
-        F.lit(None).cast("string").alias("content"),
-    )
+    known = {f.name for f in log.schema["items"].dataType.elementType.fields}
+    text = lambda i, name: i[name] if name in known else F.lit(None).cast("string")
+    detections = F.transform("items", lambda i: F.struct(i["label"].alias("label"), i["classification"].alias("classification"), text(i, "severity").alias("severity"), i["count"].alias("count"), text(i, "evidence").alias("evidence")))
+    return _shaped(log, {
+        "id": F.col("id"), "type": kind, "ts": F.col("ts"), "severity": F.coalesce("max_severity", F.lit("LOW")), "outcome": F.coalesce(F.nullif(F.regexp_replace(action, "file-", ""), F.lit("")), F.lit("observed")), "tool": F.coalesce("tool", F.lit("Unknown")),
+        "url": F.coalesce("url", F.lit("")), "classifications": F.col("classifications"), "finding_count": F.coalesce("total_findings", F.lit(0).cast("long")), "detections": detections,
+    })
+
+
+def captured(captures: DataFrame) -> DataFrame:
+    """Events of turns (id, type, content, tool, ts, session_url, tokens, tags, category)."""
+    detail = F.create_map(F.lit("tokens"), F.coalesce("tokens", F.lit(0)).cast("string"), F.lit("tags"), F.array_join("tags", ","), F.lit("category"), F.coalesce("category", F.lit("")))
+    return _shaped(captures, {
+        "id": F.col("id"), "type": F.concat("type", F.lit(".captured")), "ts": F.col("ts"), "outcome": F.lit("captured"), "tool": F.coalesce("tool", F.lit("Unknown")), "url": F.coalesce("session_url", F.lit("")), "content": F.coalesce("content", F.lit("")), "detail": detail,
+    })
+
+
+def policy_changed(summary: DataFrame, as_of, depth: str = "deep", labeling: bool = False) -> DataFrame:
+    """The event of a policy that was saved, from its summary (one row)."""
+    detail = F.create_map(F.lit("detectorsEnabled"), F.col("detecting").cast("string"), F.lit("detectorsBlocking"), F.col("block_switches").cast("string"), F.lit("labeling"), F.lit(str(labeling).lower()), F.lit("inspectionDepth"), F.lit(depth))
+    return _shaped(summary, {"id": F.sha2(F.concat_ws("|", "detecting", "block_switches", F.lit(str(as_of))), 256), "type": F.lit("policy.changed"), "ts": F.lit(as_of), "severity": F.lit("MEDIUM"), "outcome": F.lit("changed"), "detail": detail})
+
+
+def sample(spark: SparkSession, as_of) -> DataFrame:
+    """One event of an invented finding, to try a receiver with; fixed values: what it says."""
+    row = (f"test-{as_of:%Y%m%d%H%M%S}", as_of, "block", "ChatGPT", "https://chatgpt.com/", "CRITICAL", ["AUTHENTICATION_SECRET"], 1, [("AWS_KEY", "AUTHENTICATION_SECRET", "CRITICAL", 1, "••••••")])
+    return events(spark.createDataFrame([row], "id string, ts timestamp, action string, tool string, url string, max_severity string, classifications array<string>, total_findings long, items array<struct<label:string,classification:string,severity:string,count:bigint,evidence:string>>"))
 
 
 def _escaped(value: Column) -> Column:
@@ -95,11 +180,12 @@ def leef(vendor: str = VENDOR, product: str = PRODUCT, version: str = VERSION) -
 
 
 def _event() -> Column:
-    return F.struct("type", _time(F.col("ts")).alias("ts"), "severity", "outcome", F.col("tool").alias("aiTool"), "url", "id", "detections", "classifications", F.col("finding_count").alias("findingCount"), "content")
+    return F.struct("type", _time(F.col("ts")).alias("ts"), "severity", "outcome", F.col("tool").alias("aiTool"), "url", "id", "detections", "classifications", F.col("finding_count").alias("findingCount"), "content", "detail")
 
 
 def as_json(value: Column) -> Column:
-    return F.to_json(value, {"ignoreNullFields": "false"})
+    """JSON with its nulls, but for evidence: what a receiver may not see is not named either. Quotes inside of texts are escaped, so the piece that is cut cannot stand in one."""
+    return F.replace(F.to_json(value, {"ignoreNullFields": "false"}), F.lit(',"evidence":null'), F.lit(""))
 
 
 def ecs(vendor: str = VENDOR, product: str = PRODUCT, version: str = VERSION) -> Column:
@@ -119,37 +205,43 @@ def shipped(application: str = VENDOR, subsystem: str = "dlp", computer: str = P
     return as_json(F.struct(F.lit(application).alias("applicationName"), F.lit(subsystem).alias("subsystemName"), F.lit(computer).alias("computerName"), mapped(SHIPPED, F.col("severity"), 3).alias("severity"), F.unix_millis("ts").alias("timestamp"), F.col("type").alias("category"), F.col("tool").alias("className"), F.col("outcome").alias("methodName"), _event().alias("text")))
 
 
-def template(body: str) -> Column:
-    """A body with ``%%field%%`` in it; ``%%json%%`` is the whole event. Unknown fields give nothing; values are escaped as inside a JSON string."""
+def template(body: str, json: bool = True) -> Column:
+    """A body with ``%%field%%`` in it; ``%%json%%`` is the whole event, ``%%detail.x%%`` an entry of its details. Unknown fields give nothing; values are escaped as inside a JSON string if the body is JSON."""
     known = {"type": "type", "severity": "severity", "outcome": "outcome", "aiTool": "tool", "url": "url", "id": "id", "findingCount": "finding_count", "content": "content"}
-    parts = []
-    for k, part in enumerate(body.split("%%")):
-        if k % 2 == 0:
-            parts.append(F.lit(part))
-        elif part == "json":
-            parts.append(as_json(_event()))
-        elif part in known:
-            quoted = F.to_json(F.array(F.coalesce(F.col(known[part]).cast("string"), F.lit(""))))
-            parts.append(F.substring(quoted, F.lit(3), F.length(quoted) - 4))
-        elif part == "detections":
-            parts.append(_labels(False))
-        elif part == "ts":
-            parts.append(_time(F.col("ts")))
-    return F.concat(*parts)
+
+    def inside(value: Column) -> Column:
+        value = F.coalesce(value.cast("string"), F.lit(""))
+        if not json:
+            return value
+        for char, put in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            value = F.replace(value, F.lit(char), F.lit(put))
+        return value
+
+    made, parts, at = {"json": as_json(_event()), "detections": _labels(True), "classifications": F.array_join("classifications", ","), "ts": _time(F.col("ts"))}, [], 0
+    for found in re.finditer("%%([A-Za-z0-9_.]+)%%", body):
+        parts.append(F.lit(body[at : found.start()]))
+        at, name = found.end(), found[1]
+        if name in made or name in known:
+            parts.append(inside(made[name] if name in made else F.col(known[name])))
+        elif name.startswith("detail."):
+            parts.append(inside(F.try_element_at("detail", F.lit(name.removeprefix("detail.")))))
+    return F.concat(*parts, F.lit(body[at:]))
 
 
 FORMS = {"json": lambda: as_json(_event()), "ndjson": lambda: as_json(_event()), "cef": cef, "leef": leef, "ecs": ecs, "splunk": splunk, "coralogix": shipped}
 
 
 def fan_out(log_events: DataFrame, profiles: Sequence[Profile]) -> DataFrame:
-    """Each event once for every profile that takes it, with what that profile may see of it.
+    """Each event once for every profile that takes it, with what that profile may see of it: no content unless it sees all, and no evidence if it sees none.
 
     Profiles are few and part of the plan: a row makes the array of those that
     take it, so nothing is joined or shuffled.
     """
-    takes = [F.when(F.col("type").isin(*p.events) & (~F.startswith(F.col("type"), F.lit("dlp.")) | (audit.rank(F.col("severity")) >= audit.RANKS.get(p.min_severity, 1))), F.struct(F.lit(p.id).alias("profile"), F.lit(p.content).alias("mode"), F.lit(p.batch_size).alias("batch_size"))) for p in profiles]
+    takes = [F.when(F.col("type").isin(*p.events) & (~F.startswith(F.col("type"), F.lit("dlp.")) | (audit.rank(F.col("severity")) >= audit.RANKS.get(p.min_severity, 1))), F.struct(F.lit(p.id).alias("profile"), F.lit(p.content).alias("mode"), F.lit(p.batch_size).alias("batch_size"))) for p in profiles if p.enabled and p.url]
     rows = log_events.withColumn("__p", F.explode(F.filter(F.array(*takes), lambda p: p.isNotNull()))).select("*", "__p.*").drop("__p")
-    return rows.withColumn("content", F.when(F.col("mode") == "full", F.col("content")))
+    rows = rows.withColumn("content", F.when(F.col("mode") == "full", F.col("content")))
+    bare = F.transform("detections", lambda d: d.withField("evidence", F.lit(None).cast("string")))
+    return rows.withColumn("detections", F.when(F.col("mode") == "none", bare).otherwise(F.col("detections")))
 
 
 def spooled(rows: DataFrame, most: int = MOST_SPOOLED) -> DataFrame:
@@ -164,46 +256,194 @@ def spooled(rows: DataFrame, most: int = MOST_SPOOLED) -> DataFrame:
     return kept.withColumn("batch", F.floor((F.row_number().over(order) - 1) / F.col("batch_size")).cast("long"))
 
 
-def serialized(rows: DataFrame, form: str = "ndjson") -> DataFrame:
-    """(profile, batch, n, body): the events of a batch as one body; batches are bounded by the profile."""
-    line = FORMS[form]()
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("ts", "id", line.alias("line")))), lambda x: x["line"])
-    made = rows.groupBy("profile", "batch").agg(F.count("*").alias("n"), lines.alias("lines"))
-    if form == "json":
-        body = F.when(F.col("n") == 1, F.element_at("lines", 1)).otherwise(F.concat(F.lit('{"events":['), F.array_join("lines", ","), F.lit("]}")))
-    elif form == "coralogix":
-        body = F.concat(F.lit("["), F.array_join("lines", ","), F.lit("]"))
-    else:
-        body = F.array_join("lines", "\n")
-    return made.select("profile", "batch", "n", body.alias("body"))
+def chunked(rows: DataFrame) -> DataFrame:
+    """Numbers batches of at most a profile's size within each task's rows, so that a profile that takes all events is no single task's work. No event is dropped."""
+    dealt = rows.withColumn("__task", F.spark_partition_id().cast("long"))
+    order = Window.partitionBy("profile", "__task").orderBy("ts", "id")
+    place = F.floor((F.row_number().over(order) - 1) / F.col("batch_size"))
+    return dealt.withColumn("batch", (F.col("__task") * (1 << 32) + place).cast("long")).drop("__task")
 
 
-def signed(bodies: DataFrame, secret: str, header: str = "X-Signature") -> DataFrame:
-    """Adds ``headers`` with the HMAC of each body; Spark has no such function of its own."""
+#: What a form's body is.
+TYPES = {"json": "application/json", "ndjson": "application/x-ndjson", "splunk": "application/json", "cef": "text/plain", "leef": "text/plain", "ecs": "application/x-ndjson", "coralogix": "application/json"}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame["headers"] = [{header: hmac.new(secret.encode(), b.encode(), hashlib.sha256).hexdigest()} for b in frame.body]
-            yield frame
 
-    return bodies.mapInPandas(run, "profile string, batch long, n long, body string, headers map<string,string>")
+def _body(form: str, lines: Column, n: Column, content_type: str) -> Column:
+    """The lines of a batch as the body that a form has."""
+    joined = F.array_join(lines, "\n")
+    if form == "json":
+        head = f'{{"vendor":"{VENDOR}","product":"{PRODUCT}","version":"{VERSION}","count":'
+        return F.when(n == 1, F.element_at(lines, 1)).otherwise(F.concat(F.lit(head), n.cast("string"), F.lit(',"events":['), F.array_join(lines, ","), F.lit("]}")))
+    if form == "coralogix":
+        return F.concat(F.lit("["), F.array_join(lines, ","), F.lit("]"))
+    if form == "template":
+        many = F.concat(F.lit("["), F.array_join(lines, ","), F.lit("]")) if "json" in content_type.lower() else joined
+        return F.when(n == 1, F.element_at(lines, 1)).otherwise(many)
+    return F.concat(joined, F.lit("\n")) if form in ("ndjson", "ecs") else joined
+
+
+def serialized(rows: DataFrame, profiles: Sequence[Profile]) -> DataFrame:
+    """(profile, batch, n, oldest, body, content_type): the events of a batch as one body, in the form of its profile; batches are bounded by the profile."""
+    line, body, kind = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")
+    for p in profiles:
+        own = F.col("profile") == p.id
+        line = F.when(own, template(p.body, "json" in p.content_type.lower()) if p.form == "template" else FORMS[p.form]()).otherwise(line)
+        body = F.when(own, _body(p.form, F.col("lines"), F.col("n"), p.content_type)).otherwise(body)
+        kind = F.when(own, p.content_type if p.form == "template" else TYPES[p.form]).otherwise(kind)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("ts", "id", "line"))), lambda x: x["line"])
+    made = rows.withColumn("line", line).groupBy("profile", "batch").agg(F.count("*").alias("n"), F.min("ts").alias("oldest"), lines.alias("lines"))
+    return made.select("profile", "batch", "n", "oldest", body.alias("body"), kind.alias("content_type"))
+
+
+def _hmac(secret: str):
+    """The HMAC of texts in hexadecimal; Spark has no such function of its own."""
+
+    @F.pandas_udf("string")
+    def run(bodies: pd.Series) -> pd.Series:
+        return bodies.map(lambda b: hmac.new(secret.encode(), b.encode(), hashlib.sha256).hexdigest(), na_action="ignore")
+
+    return run
+
+
+def addressed(bodies: DataFrame, profiles: Sequence[Profile]) -> DataFrame:
+    """Adds ``url``, ``method`` and ``headers`` to bodies: what a receiver takes, its own headers, and its authentication."""
+    url, method, found = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("map<string,string>")
+    for p in profiles:
+        own, a = F.col("profile") == p.id, p.auth
+        kind = a.get("type", "none")
+        made = {"User-Agent": F.lit(f"{VENDOR}/{VERSION}"), "X-Event-Count": F.col("n").cast("string"), "X-Format": F.lit(p.form), "Content-Type": F.col("content_type")} | {k: F.lit(v) for k, v in (*p.headers, *headers(a).items())}
+        if kind == "hmac" and a.get("secret"):
+            made[a.get("signature_header", "X-Signature")] = F.concat(F.lit("sha256="), _hmac(a["secret"])(F.when(own, F.col("body"))))
+        at = p.url
+        if kind == "query" and a.get("name"):
+            at += ("&" if "?" in at else "?") + f"{quote(a['name'], safe='')}={quote(a.get('value', ''), safe='')}"
+        found = F.when(own, F.create_map(*(x for k, v in made.items() for x in (F.lit(k), v)))).otherwise(found)
+        url, method = F.when(own, at).otherwise(url), F.when(own, p.method).otherwise(method)
+    return bodies.withColumns({"url": url, "method": method, "headers": found})
 
 
 def headers(auth: Mapping[str, str]) -> dict[str, str]:
     """Headers of an authentication that does not depend on the body."""
-    import base64
-
     kind = auth.get("type", "none")
-    if kind == "bearer":
+    if kind == "bearer" and auth.get("token"):
         return {"Authorization": f"Bearer {auth['token']}"}
-    if kind == "header":
-        return {auth["name"]: auth["value"]}
+    if kind == "header" and auth.get("name"):
+        return {auth["name"]: auth.get("value", "")}
     if kind == "basic":
-        return {"Authorization": "Basic " + base64.b64encode(f"{auth['username']}:{auth['password']}".encode()).decode()}
+        return {"Authorization": "Basic " + base64.b64encode(f"{auth.get('username', '')}:{auth.get('password', '')}".encode()).decode()}
     return {}
 
 
+#: Characters of a header that a preview shows.
+SHOWN = 12
+
+
+def previewed(requests: DataFrame) -> DataFrame:
+    """Requests as people may see them: of headers that are not about the body only the first characters."""
+    plain = ("Content-Type", "User-Agent", "X-Event-Count", "X-Format")
+    shown = F.transform_values("headers", lambda k, v: F.when(k.isin(*plain) | (F.length(v) <= SHOWN), v).otherwise(F.concat(F.substring(v, 1, SHOWN), F.lit("…"))))
+    return requests.withColumn("headers", shown)
+
+
+def due(spooled: DataFrame, profiles: Sequence[Profile], as_of, force: bool = False) -> DataFrame:
+    """The first batch of each profile's queue, if the queue holds a whole one or its oldest event has waited long enough (one without a time has)."""
+    waits = F.create_map(*(F.lit(x) for p in profiles for x in (p.id, p.flush_seconds)))
+    queues = spooled.groupBy("profile").agg(F.count("*").alias("queued"), F.first("batch_size").alias("size"), F.min_by("ts", F.struct("batch", F.col("ts").isNotNull(), "ts", "id")).alias("oldest"))
+    waited = F.coalesce(F.unix_micros(F.lit(as_of)) - F.unix_micros("oldest"), F.lit(1 << 62)) / 1_000_000
+    ready = queues.where(F.lit(force) | (F.col("queued") >= F.col("size")) | (waited >= F.element_at(waits, F.col("profile"))))
+    return spooled.where("batch = 0").join(F.broadcast(ready.select("profile")), "profile", "left_semi")  # at most a row a profile
+
+
+@dataclass(frozen=True)
+class Reply:
+    """What a receiver said: an HTTP status, or 0 for none."""
+
+    status: int
+    error: str = ""
+
+    @property
+    def ok(self) -> bool:
+        return 200 <= self.status < 300
+
+    @property
+    def again(self) -> bool:
+        """Whether a later attempt may succeed: a bad request will not be mended by waiting."""
+        return self.status == 0 or self.status == 429 or self.status >= 500
+
+
+#: Milliseconds of the first wait and the longest one.
+FIRST_WAIT, LONGEST_WAIT = 500, 30_000
+
+
+def attempted(send: Callable[[], Reply], most: int, wait: Callable[[float], None] = time.sleep) -> tuple[Reply, int]:
+    """Sends until a receiver takes it or cannot, with waits that double; returns the last reply and the number of attempts."""
+    for n in range(1, most + 2):
+        reply = send()
+        if reply.ok or not reply.again or n > most:
+            return reply, n
+        wait(min(LONGEST_WAIT, FIRST_WAIT * 2**n) / 1000)
+    raise AssertionError
+
+
+def sent(requests: DataFrame, profiles: Sequence[Profile], deliver: Callable[[dict], Reply], wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(profile, batch, n, ok, status, error, attempts, ms) of requests that tasks send, each with retries.
+
+    ``deliver`` takes a request (profile, url, method, headers, body,
+    timeout_ms) and is the only part that knows a network. Addresses of this
+    machine or a private network are refused without an attempt.
+    """
+    limits = {p.id: (p.max_retries, p.timeout_ms) for p in profiles}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples(index=False):
+                began = time.monotonic()
+                if r.refused:
+                    reply, attempts = Reply(400, "no endpoint" if not r.url else "blocked: a private address"), 0
+                else:
+                    request = {"profile": r.profile, "url": r.url, "method": r.method, "headers": dict(r.headers), "body": r.body, "timeout_ms": limits[r.profile][1]}
+                    reply, attempts = attempted(lambda q=request: deliver(q), limits[r.profile][0], wait)
+                rows.append((r.profile, r.batch, r.n, reply.ok, reply.status, reply.error, attempts, int(1000 * (time.monotonic() - began))))
+            yield pd.DataFrame(rows, columns=["profile", "batch", "n", "ok", "status", "error", "attempts", "ms"])
+
+    ready = requests.select("profile", "batch", "n", "url", "method", "headers", "body", private_host(F.col("url")).alias("refused"))
+    return ready.mapInPandas(run, "profile string, batch long, n long, ok boolean, status int, error string, attempts int, ms long")
+
+
+def health(attempts: DataFrame) -> DataFrame:
+    """The state of each receiver from all attempts (profile, at, n, ok, status, error, ms): events sent, failures, failures since the last success, and what came last."""
+    rows = attempts.groupBy("profile").agg(
+        F.coalesce(F.sum(F.when(F.col("ok"), F.col("n"))), F.lit(0)).alias("sent"), F.count_if(~F.col("ok")).alias("failed"), F.max(F.when(F.col("ok"), F.col("at"))).alias("last_success"), F.max("at").alias("last_attempt"),
+        F.max_by("status", "at").alias("last_status"), F.max_by("ms", "at").alias("last_ms"), F.max_by(F.when(F.col("ok"), F.lit(None)).otherwise(F.col("error")), "at").alias("last_error"),
+    )
+    since = attempts.join(F.broadcast(rows.select("profile", "last_success")), "profile").where(~F.col("ok") & (F.col("last_success").isNull() | (F.col("at") > F.col("last_success"))))  # a row a profile
+    return rows.join(since.groupBy("profile").agg(F.count("*").alias("consecutive_failures")), "profile", "left").withColumn("consecutive_failures", F.coalesce("consecutive_failures", F.lit(0)))
+
+
+def receivers(spark: SparkSession, profiles: Sequence[Profile]) -> DataFrame:
+    return spark.createDataFrame([(p.id, p.name or p.id, p.enabled and bool(p.url), p.form) for p in profiles], "profile string, name string, enabled boolean, form string")
+
+
+def overview(known: DataFrame, spooled: DataFrame, states: DataFrame) -> DataFrame:
+    """Each receiver with what waits for it and whether it is healthy, failing or idle."""
+    queued = spooled.groupBy("profile").agg(F.count("*").alias("queued"))
+    rows = known.join(queued, "profile", "left").join(states.select("profile", "sent", "last_success", "consecutive_failures"), "profile", "left")
+    state = F.when(F.coalesce("consecutive_failures", F.lit(0)) > 0, "failing").when(F.col("last_success").isNotNull(), "healthy").otherwise("idle")
+    return rows.select("profile", "name", "enabled", "form", F.coalesce("queued", F.lit(0)).alias("queued"), F.coalesce("sent", F.lit(0)).alias("sent"), F.coalesce("consecutive_failures", F.lit(0)).alias("consecutive_failures"), state.alias("state"))
+
+
+def summary(receivers: DataFrame) -> DataFrame:
+    """How many receivers there are and are enabled, what waits for all of them, and how many are in each state."""
+    return receivers.agg(F.count("*").alias("n_profiles"), F.count_if("enabled").alias("n_enabled"), F.coalesce(F.sum("queued"), F.lit(0)).alias("queued"), *(F.count_if(F.col("state") == s).alias(s) for s in ("healthy", "failing", "idle")))
+
+
+def pruned(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Queues or states of the profiles that are still there."""
+    return rows.join(F.broadcast(known.select("profile")), "profile", "left_semi")  # profiles are few and come from settings
+
+
 def private_host(url: Column) -> Column:
     """Whether a URL leads to this machine or a private network."""
     host = F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?(\[[^\]]*\]|[^/:?#]*)", 1), F.lit("")))
-    return (host == "") | host.rlike(r"^(localhost|127\.|10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.|0\.0\.0\.0|\[::1\]|\[f[cd])|\.local$")
+    return (host == "") | host.rlike(r"^(localhost|127\.|10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.|0\.0\.0\.0|\[::1\]|\[f[cd]|\[fe80)|\.local$")

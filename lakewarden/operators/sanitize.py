@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakewarden.functions import folds
 from lakewarden.functions.catalogue import DETECTORS
 from lakewarden.functions.detector import SEVERITY_RANK, SHORT_NAME, Detector
 from lakewarden.operators import scan as scanning
@@ -71,25 +72,41 @@ def summarized(rows: DataFrame) -> DataFrame:
 
 
 def spliced(text: Column, findings: Column) -> Column:
-    """A text with each finding's mask in its place; the findings are in order and do not overlap."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    step = lambda acc, f: F.struct(f["end"].alias("at"), F.array_append(acc["out"], F.concat(F.substring(text, acc["at"] + 1, f["start"] - acc["at"]), f["token"])).alias("out"))
-    return F.aggregate(findings, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    """A text with each finding's mask in its place; the findings are in order and do not overlap.
 
+    The findings are taken in parts, each with its own stretch of the text: to
+    find a place in a text takes time that grows with it.
+    """
+
+    def part(all_parts: Column, some: Column, k: Column) -> Column:
+        begin = F.when(k == 0, 0).otherwise(F.element_at(F.get(all_parts, k - 1), -1)["end"])
+        stretch = F.substring(text, begin + 1, F.element_at(some, -1)["end"] - begin)
+
+        def masked(own: Column, x: Column, j: Column) -> Column:
+            before = F.when(j == 0, begin).otherwise(F.get(some, j - 1)["end"])
+            return F.concat(F.substring(own, before - begin + 1, x["start"] - before), x["token"])
+
+        return folds.let(stretch, lambda own: F.array_join(F.transform(some, lambda x, j: masked(own, x, j)), ""))
 
-def sanitize(docs: DataFrame, text: str = "text", policy: Policy | None = None, detectors: Sequence[Detector] = DETECTORS) -> DataFrame:
+    made = lambda f: folds.let(folds.parts(f), lambda p: F.array_join(F.transform(p, lambda some, k: part(p, some, k)), ""))
+    return folds.let(findings, lambda f: F.when(F.size(f) == 0, text).otherwise(F.concat(made(f), F.substring(text, F.element_at(f, -1)["end"] + 1, F.length(text)))))
+
+
+def sanitize(docs: DataFrame, text: str = "text", policy: Policy | None = None, detectors: Sequence[Detector] = DETECTORS, most_matches: int | None = None) -> DataFrame:
     """Scans a table and adds what the policy does with each row.
 
     ``action`` is allow, warn, mask or block. A row with any finding that
     blocks is blocked and its text left as it is; else the findings that are
-    masked are, in ``sanitized``. A null text is allowed and stays null.
+    masked are, in ``sanitized``. A row whose matches ``most_matches`` cuts off
+    is blocked: what was not looked at is not let through. A null text is
+    allowed and stays null.
     """
     policy = policy or default_policy(detectors)
-    rows = summarized(scanning.scan(docs, text, [k for k, s in policy.rules.items() if s.enabled], only=detectors))
+    rows = summarized(scanning.scan(docs, text, [k for k, s in policy.rules.items() if s.enabled], only=detectors, most_matches=most_matches))
     f = F.col("findings")
     by = lambda switch: (lambda x: x["rule_id"].isin(_those(policy, switch)) if _those(policy, switch) else F.lit(False))
     masked = F.filter(f, by("mask"))
-    action = F.when(F.size(f) == 0, "allow").when(F.exists(f, by("block")), "block").when(F.size(masked) > 0, "mask").when(F.exists(f, by("warn")), "warn").otherwise("allow")
+    action = F.when(F.col("truncated"), "block").when(F.size(f) == 0, "allow").when(F.exists(f, by("block")), "block").when(F.size(masked) > 0, "mask").when(F.exists(f, by("warn")), "warn").otherwise("allow")
     rows = rows.withColumns({"action": action, "warn": F.exists(f, by("warn"))})
     out = spliced(F.col("scanned"), masked)
     if policy.labeling:
@@ -99,6 +116,32 @@ def sanitize(docs: DataFrame, text: str = "text", policy: Policy | None = None,
     return rows.withColumn("sanitized", F.when(F.col("action") == "mask", out).otherwise(F.col(text)))
 
 
+def stored(rows: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``stored``: what history keeps of a sanitized row: the masked text where something was masked, nothing where it was blocked, else the text."""
+    return rows.withColumn("stored", F.when(F.col("action") == "mask", F.col("sanitized")).when(F.col("action") != "block", F.col(text)))
+
+
+def verified(rows: DataFrame, policy: Policy | None = None, detectors: Sequence[Detector] = DETECTORS) -> DataFrame:
+    """Adds ``held`` to sanitized rows: whether what was rewritten has to be held back, as a second scan of it still finds something that the policy masks or blocks."""
+    policy = policy or default_policy(detectors)
+    acted = [d for d in detectors if d.id in set(_those(policy, "mask")) | set(_those(policy, "block"))]
+    masked = rows.withColumn("__again", F.when(F.col("action") == "mask", F.col("sanitized"))).withColumnsRenamed({c: f"__first_{c}" for c in ("scanned", "findings", "truncated")})
+    again = scanning.scan(masked, "__again", [d.id for d in acted], normalize=False, only=detectors).withColumn("held", (F.col("action") == "mask") & (F.size("findings") > 0))
+    return again.drop("__again", "scanned", "findings", "truncated").withColumnsRenamed({f"__first_{c}": c for c in ("scanned", "findings", "truncated")})
+
+
+def logged(rows: DataFrame, key: str, as_of, tool: str = "Unknown AI", url: str = "") -> DataFrame:
+    """Audit entries of sanitized rows that were not allowed: one a row, its findings rolled up by label in the order in which they are first found."""
+    f = F.col("findings")
+
+    def item(label: Column) -> Column:
+        own = F.filter(f, lambda x: x["label"] == label)
+        return folds.let(own, lambda o: F.struct(label.alias("label"), o[0]["classification"].alias("classification"), o[0]["severity"].alias("severity"), F.size(o).cast("long").alias("count"), o[0]["evidence"].alias("evidence")))
+
+    items = F.transform(F.array_distinct(F.transform(f, lambda x: x["label"])), item)
+    return rows.where("action <> 'allow'").select(F.col(key).cast("string").alias("id"), F.lit(as_of).alias("ts"), "action", F.lit(tool).alias("tool"), F.lit(url).alias("url"), "max_severity", "classifications", F.col("n_findings").alias("total_findings"), items.alias("items"))
+
+
 def log_items(rows: DataFrame, key: str) -> DataFrame:
     """(key, label, classification, severity, evidence, n): findings of each row by label, each as its first one has it."""
     long = scanning.exploded(rows, key)

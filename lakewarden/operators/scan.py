@@ -1,68 +1,80 @@
 """Detection: candidates of every detector, gates, and the resolution of overlaps.
 
 All of it is one narrow stage of built-in expressions. Each detector that the
-policy leaves on is an expression with its pattern as a literal; it yields the
-pieces between its matches only where its literal gate and its pattern hold,
-so texts without matches cost one search a detector at most: a few properties
-of a text, such as whether it has a digit, rule most detectors out before
-that. What follows is written once for all detectors, over the array of those
-that matched.
+policy leaves on costs the plan one gate: its literal, a few properties that a
+text needs, such as a digit, and its pattern. What is known of the detectors is
+data: the gates yield the numbers of those that match, and all that follows is
+written once, over the rows of a constant table that these numbers name. The
+plan thus stays small, and texts without matches cost one search a detector at
+most.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakewarden.functions import folds
 from lakewarden.functions import text as texts
 from lakewarden.functions.catalogue import DETECTORS
 from lakewarden.functions.detector import PROPERTIES, Detector, java_pattern, needs
 from lakewarden.functions.validators import VALIDATORS
 
-#: Most matches of one detector in one text.
-MOST_MATCHES = 10_000
 FINDING = "struct<start:int,rank:int,low:boolean,room:int,ordinal:int,end:int,rule_id:string,label:string,category:string,classification:string,severity:string,secret:boolean,evidence:string,token:string>"
 _SPACE = r"[\s   -     　﻿]"
 #: Fixed value: what is stripped from the ends of what is left beside a mask.
 _EDGES = r"^[\s:=;,.@#+/\\|'\"()\[\]{}<>-]+|[\s:=;,.@#+/\\|'\"()\[\]{}<>-]+\z"
 
 
-def _candidate(ordinal: int, d: Detector, text: Column, lower: Column) -> Column:
-    """A detector's matches in a text, or null: attributes, the pieces between matches, the matches and their values."""
-    pattern, group = java_pattern(d)
-    gate = text.rlike(pattern)
-    if d.literal:
-        gate = F.contains(lower, F.lit(d.literal)) & gate
-    for name in sorted(needs(d)):
-        gate = F.col(f"__has_{name}") & gate
-    fields = {
-        "ordinal": F.lit(ordinal), "rule_id": F.lit(d.id), "label": F.lit(d.label), "category": F.lit(d.category or d.family), "classification": F.lit(d.data_class),
-        "severity": F.lit(d.severity), "rank": F.lit(d.rank), "secret": F.lit(d.secret), "low": F.lit(d.low),
-        "heuristic": F.lit(d.low or d.level == "candidate"), "guarded": F.lit(bool(d.group) or d.low), "check": F.lit(d.id if d.inline else d.validator),
-        "pieces": F.split(text, pattern, -1), "matches": F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-    }
-    fields["values"] = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else fields["matches"]
-    return F.when(gate, F.struct(*(c.alias(name) for name, c in fields.items())))
+#: What is known of a detector.
+_ATTRIBUTES = "ordinal:int,rule_id:string,label:string,category:string,classification:string,severity:string,rank:int,secret:boolean,low:boolean,heuristic:boolean,guarded:boolean,check:string,pattern:string,group:int"
+_SPAN = "struct<start:int,end:int,value:string>"
+
+
+def _table(detectors: Sequence[tuple[int, Detector]]) -> Column:
+    """The detectors as a constant array of structs."""
+    rows = []
+    for ordinal, d in detectors:
+        pattern, group = java_pattern(d)
+        rows.append({
+            "ordinal": ordinal, "rule_id": d.id, "label": d.label, "category": d.category or d.family, "classification": d.data_class, "severity": d.severity, "rank": d.rank, "secret": d.secret, "low": d.low,
+            "heuristic": d.low or d.level == "candidate", "guarded": bool(d.group) or d.low, "check": d.id if d.inline else d.validator, "pattern": pattern, "group": group,
+        })
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{_ATTRIBUTES}>>")
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _gate(d: Detector, text: str, lower: str) -> str:
+    """The SQL of a detector's gate. As SQL, the gates of all detectors are one expression to build instead of thousands."""
+    parts = [f"contains({lower}, {_quoted(d.literal)})"] if d.literal else []
+    parts += [f"__has_{name}" for name in sorted(needs(d))]
+    return " AND ".join([*parts, f"{text} RLIKE {_quoted(java_pattern(d)[0])}"])
 
 
-def candidates(text: Column, lower: Column, detectors: Sequence[tuple[int, Detector]]) -> Column:
-    """The matches of all detectors that have any, by detector."""
-    return F.filter(F.array(*(_candidate(k, d, text, lower) for k, d in detectors)), lambda c: c.isNotNull())
+def candidates(text: str, lower: str, detectors: Sequence[tuple[int, Detector]]) -> Column:
+    """Of the columns of a text and its lower-case form: the detectors that match anywhere in it, each with the pieces between its matches, the matches, and the values of those that have a group."""
+    gates = ", ".join(f"CASE WHEN {_gate(d, text, lower)} THEN {place} END" for place, (_, d) in enumerate(detectors, 1))
+    numbers, text = F.expr(f"array_compact(array({gates}))"), F.col(text)
+    known = folds.let(_table(detectors), lambda t: F.transform(numbers, lambda k: F.element_at(t, k)))
+    values = lambda d: F.when(d["group"] > 0, F.regexp_extract_all(text, d["pattern"], d["group"]))
+    return F.transform(known, lambda d: F.struct(d.alias("d"), F.split(text, d["pattern"], -1).alias("pieces"), F.regexp_extract_all(text, d["pattern"], F.lit(0)).alias("matches"), values(d).alias("values")))
 
 
-def _placed(c: Column) -> Column:
+def _placed(c: Column, most: int | None) -> Column:
     """(start, end, value) of each match of a detector; a value ends its match."""
-    pairs = F.slice(F.arrays_zip(F.slice(c["pieces"], 1, F.size(c["matches"])).alias("b"), c["matches"].alias("m"), c["values"].alias("v")), 1, MOST_MATCHES)
+    pairs = F.arrays_zip(F.slice(c["pieces"], 1, F.size(c["matches"])).alias("b"), c["matches"].alias("m"), F.coalesce(c["values"], c["matches"]).alias("v"))
 
-    def step(acc: Column, p: Column) -> Column:
-        end = acc["at"] + F.length(p["b"]) + F.length(p["m"])
-        span = F.struct((end - F.length(p["v"])).alias("start"), end.alias("end"), p["v"].alias("value"))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
+    def step(at: Column, p: Column) -> tuple[Column, Column]:
+        end = at + F.length(p["b"]) + F.length(p["m"])
+        return end, F.array(F.struct((end - F.length(p["v"])).alias("start"), end.alias("end"), p["v"].alias("value")))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    return folds.collected(pairs if most is None else F.slice(pairs, 1, most), F.lit(0), _SPAN, step)
 
 
 def _inline(rule: str, value: Column, text: Column, start: Column, countries: Sequence[str]) -> Column:
@@ -97,36 +109,48 @@ def _checked(check: Column, value: Column, text: Column, start: Column, detector
     return out
 
 
-def _kept(c: Column, s: Column, text: Column, masks: Column, detectors: Sequence[tuple[int, Detector]], countries: Sequence[str]) -> Column:
+def _kept(d: Column, s: Column, text: Column, masks: Column, detectors: Sequence[tuple[int, Detector]], countries: Sequence[str]) -> Column:
     """The gates of a match: not masked already, no residue of a mask, no placeholder, and valid."""
     value = s["value"]
     bare = F.regexp_replace(value, _SPACE, "")
     beside = F.exists(masks, lambda m: (s["start"] < m["end"]) & (s["end"] > m["start"]))
     left = F.regexp_replace(F.regexp_replace(value, "X{4,}", ""), _EDGES, "")
-    residue = c["heuristic"] | (F.length(left) < 8) | texts.synthetic(left)
+    residue = d["heuristic"] | folds.let(left, lambda v: (F.length(v) < 8) | texts.synthetic(v))
     return (
         (value != "") & ~bare.rlike(r"^X+\z")
         & ~F.when(beside, residue).otherwise(False)
-        & ~F.when(c["guarded"], texts.synthetic(value)).otherwise(False)
-        & _checked(c["check"], value, text, s["start"], detectors, countries)
+        & ~F.when(d["guarded"], texts.synthetic(value)).otherwise(False)
+        & _checked(d["check"], value, text, s["start"], detectors, countries)
     )
 
 
-def _finding(c: Column, s: Column) -> Column:
+def _finding(d: Column, s: Column) -> Column:
     """A finding; its first fields order findings: by start, then severity, confidence, length and catalogue."""
     room = s["end"] - s["start"]
     fields = {
-        "start": s["start"], "rank": -c["rank"], "low": c["low"], "room": -room, "ordinal": c["ordinal"], "end": s["end"], "rule_id": c["rule_id"], "label": c["label"], "category": c["category"],
-        "classification": c["classification"], "severity": c["severity"], "secret": c["secret"], "evidence": texts.evidence(s["value"], c["secret"]), "token": texts.mask_of(room),
+        "start": s["start"], "rank": -d["rank"], "low": d["low"], "room": -room, "ordinal": d["ordinal"], "end": s["end"], "rule_id": d["rule_id"], "label": d["label"], "category": d["category"],
+        "classification": d["classification"], "severity": d["severity"], "secret": d["secret"], "evidence": texts.evidence(s["value"], d["secret"]), "token": texts.mask_of(room),
     }
     return F.struct(*(v.alias(k) for k, v in fields.items()))
 
 
 def _resolved(found: Column) -> Column:
     """Of findings that overlap the first in their order."""
-    zero = F.struct(F.lit(-1).alias("last"), F.array().cast(f"array<{FINDING}>").alias("out"))
-    step = lambda acc, f: F.when(f["start"] >= acc["last"], F.struct(f["end"].alias("last"), F.array_append(acc["out"], f).alias("out"))).otherwise(acc)
-    return F.aggregate(F.array_sort(found), zero, step, lambda acc: acc["out"])
+    none = F.array().cast(f"array<{FINDING}>")
+    step = lambda at, f: (F.when(f["start"] >= at, f["end"]).otherwise(at), F.when(f["start"] >= at, F.array(f)).otherwise(none))
+    return folds.collected(F.array_sort(found), F.lit(-1), FINDING, step)
+
+
+def _masks(text: Column) -> Column:
+    """(start, end) of the runs of mask characters in a text."""
+    runs, gaps = F.regexp_extract_all(text, F.lit("X{4,}"), F.lit(0)), F.split(text, "X{4,}", -1)
+
+    def step(at: Column, p: Column) -> tuple[Column, Column]:
+        start = at + F.length(p["b"])
+        end = start + F.length(p["m"])
+        return end, F.array(F.struct(start.alias("start"), end.alias("end")))
+
+    return folds.collected(F.zip_with(F.slice(gaps, 1, F.size(gaps) - 1), runs, lambda b, m: F.struct(b.alias("b"), m.alias("m"))), F.lit(0), "struct<start:int,end:int>", step)
 
 
 def countries(docs: DataFrame) -> list[str]:
@@ -134,34 +158,29 @@ def countries(docs: DataFrame) -> list[str]:
     return sorted(docs.sparkSession._jvm.java.util.Locale.getISOCountries())
 
 
-def scan(docs: DataFrame, text: str = "text", enabled: Sequence[str] | None = None, normalize: bool = True, only: Sequence[Detector] = DETECTORS) -> DataFrame:
-    """Adds ``scanned`` (the text that offsets refer to) and ``findings`` to a table.
+def scan(docs: DataFrame, text: str = "text", enabled: Sequence[str] | None = None, normalize: bool = True, only: Sequence[Detector] = DETECTORS, most_matches: int | None = None) -> DataFrame:
+    """Adds ``scanned`` (the text that offsets refer to), ``findings`` and ``truncated`` to a table.
 
     ``enabled`` names the detectors that run; by default those that are on.
-    A null text has no findings. Offsets are code points.
+    All matches count unless ``most_matches`` bounds those of one detector in
+    one text; ``truncated`` tells that there were more. A null text has no
+    findings. Offsets are code points.
     """
-    detectors = [(k, d) for k, d in enumerate(only) if (d.on if enabled is None else d.id in set(enabled))]
+    chosen = None if enabled is None else set(enabled)
+    detectors = [(k, d) for k, d in enumerate(only) if (d.on if chosen is None else d.id in chosen)]
     ready = texts.normalized(docs, text, "scanned") if normalize else docs.withColumn("scanned", F.col(text))
     ready = ready.withColumns({"__lower": F.lower("scanned")} | {f"__has_{name}": F.col("scanned").rlike(pattern) for name, pattern in PROPERTIES.items()})
     body = F.col("scanned")
     empty, extra = F.array().cast(f"array<{FINDING}>"), [f"__has_{name}" for name in PROPERTIES]
     if not detectors:
-        return ready.drop("__lower", *extra).withColumn("findings", empty)
-    rows = ready.withColumn("__matched", candidates(body, F.col("__lower"), detectors))
-    runs = F.regexp_extract_all(body, F.lit("X{4,}"), F.lit(0))
-    gaps = F.split(body, "X{4,}", -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-
-    def mask(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["b"])
-        end = start + F.length(p["m"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"))).alias("out"))
-
-    rows = rows.withColumn("__masks", F.when(F.size("__matched") > 0, F.aggregate(F.arrays_zip(F.slice(gaps, 1, F.size(runs)).alias("b"), runs.alias("m")), zero, mask, lambda acc: acc["out"])).otherwise(F.array().cast("array<struct<start:int,end:int>>")))
+        return ready.drop("__lower", *extra).withColumns({"findings": empty, "truncated": F.lit(False)})
+    rows = ready.withColumn("__matched", candidates("scanned", "__lower", detectors))
     codes = countries(docs) if any(d.id == "SWIFT_BIC" for _, d in detectors) else ["AD"]
-    spans = F.transform("__matched", lambda c: F.transform(F.filter(_placed(c), lambda s: _kept(c, s, body, F.col("__masks"), detectors, codes)), lambda s: _finding(c, s)))
-    rows = rows.withColumn("findings", F.when(F.size("__matched") > 0, _resolved(F.flatten(spans).cast(f"array<{FINDING}>"))).otherwise(empty))
-    return rows.drop("__lower", "__matched", "__masks", *extra)
+    spans = lambda masks: F.transform("__matched", lambda c: F.transform(F.filter(_placed(c, most_matches), lambda s: _kept(c["d"], s, body, masks, detectors, codes)), lambda s: _finding(c["d"], s)))
+    found = folds.let(_masks(body), lambda masks: _resolved(F.flatten(spans(masks)).cast(f"array<{FINDING}>")))
+    more = F.lit(False) if most_matches is None else F.exists("__matched", lambda c: F.size(c["matches"]) > most_matches)
+    rows = rows.withColumns({"findings": F.when(F.size("__matched") > 0, found).otherwise(empty), "truncated": more})
+    return rows.drop("__lower", "__matched", *extra)
 
 
 def exploded(rows: DataFrame, *keys: str) -> DataFrame:

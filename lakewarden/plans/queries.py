@@ -15,8 +15,8 @@ from lakewarden.streaming import jobs
 
 PROFILES = (
     forward.Profile("all"),
-    forward.Profile("grave", min_severity="HIGH", content="redacted", batch_size=50),
-    forward.Profile("files", events=("dlp.file",), min_severity="CRITICAL", content="full", batch_size=7),
+    forward.Profile("grave", min_severity="HIGH", content="redacted", form="cef", batch_size=50),
+    forward.Profile("files", events=("dlp.file",), min_severity="CRITICAL", content="full", form="ndjson", batch_size=7),
 )
 _C, _E, _L = f"WITH {sql.CAPTURES}", f"WITH {sql.ENRICHED}", f"WITH {sql.LOG}"
 
@@ -50,7 +50,11 @@ def captures_without_repeats(spark, sf_dir):
     return captures.without_repeats(activity.captures(spark, sf_dir)).select("id", "type", "tool")
 
 
-@query("captures_retained")
+@query("captures_retained", f"""WITH RECURSIVE {sql.CAPTURES}, n AS MATERIALIZED (SELECT *, length(content) + {captures.ITEM_BYTES} AS cost, row_number() OVER (ORDER BY ts DESC, id) AS k FROM caps),
+r AS (SELECT 0::BIGINT AS k, 0::BIGINT AS items, 0::BIGINT AS bytes, false AS kept, false AS overflow
+    UNION ALL SELECT k, items + fits::INT, bytes + CASE WHEN fits OR spare THEN cost ELSE 0 END, fits OR spare, spare AND NOT fits FROM (
+        SELECT n.k, items, bytes, cost, items < {captures.MOST_ITEMS} AND bytes + cost <= {captures.MOST_BYTES} AS fits, starred AND bytes + cost <= {captures.MOST_BYTES + captures.STARRED_BYTES} AS spare FROM r JOIN n ON n.k = r.k + 1))
+SELECT id, type, tool, starred, overflow FROM r JOIN n USING (k) WHERE kept""")
 def captures_retained(spark, sf_dir):
     return captures.retained(activity.captures(spark, sf_dir)).select("id", "type", "tool", "starred", "overflow")
 
@@ -209,11 +213,6 @@ def events_leef(spark, sf_dir):
     return _events(spark, sf_dir).select("id", forward.leef().alias("line"))
 
 
-@query("events_wire")
-def events_wire(spark, sf_dir):
-    return _events(spark, sf_dir).select("id", forward.as_json(forward._event()).alias("json"), forward.ecs().alias("ecs"), forward.splunk().alias("splunk"), forward.shipped().alias("shipped"), forward.template('{"t":"%%type%%","d":"%%detections%%"}').alias("template"))
-
-
 _ORDER = {"all": ("true", 20), "grave": ("rank >= 3", 50), "files": ("rank >= 4 AND type = 'dlp.file'", 7)}
 _FANNED = _EVENTS + ", f AS (" + " UNION ALL ".join(f"SELECT '{p}' AS profile, {n} AS size, id, ts, type, max_severity FROM e WHERE {where}" for p, (where, n) in _ORDER.items()) + ")"
 
@@ -286,14 +285,6 @@ def page_text(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", files.markup_text(F.col("html")).alias("text"))
 
 
-@query("file_types")
-def file_types(spark, sf_dir):
-    """Documents as files: the type of their bytes against the name that their source gives them."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    named = docs.select("doc_id", F.concat(F.col("doc_id"), F.when(F.col("doc_id") % 3 == 0, ".png").otherwise(".txt")).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
-    return files.typed(named).select("doc_id", "true_type", "family", "declared_ext", "masquerade")
-
-
 @query("value_measures", """SELECT c_custkey, round(list_aggregate(string_split(c_name, ''), 'entropy'), 6) AS entropy,
     (regexp_matches(c_name, '[a-z]')::INT + regexp_matches(c_name, '[A-Z]')::INT + regexp_matches(c_name, '[0-9]')::INT + regexp_matches(c_name, '[^a-zA-Z0-9]')::INT) AS diversity, repeat('X', least(32, greatest(4, length(c_name)))::INT) AS mask,
     CASE WHEN length(c_name) <= 4 THEN '••••' ELSE left(c_name, 1) || '••••' || right(c_name, 1) || ' (' || length(c_name) || ')' END AS evidence FROM customer""")

@@ -38,11 +38,11 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, ts, action, tool, url, max_severity, classifications, total_findings, items) of events; an entry has two items."""
+    """(id, ts, action, tool, url, max_severity, classifications, total_findings, items) of events; an entry has two items, with masked evidence."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
-    labels, classes = tuple(d.label for d in DETECTORS[:100]), tuple(d.data_class for d in DETECTORS[:100])
+    labels, classes, grades = (tuple(getattr(d, name) for d in DETECTORS[:100]) for name in ("label", "data_class", "severity"))
     other = (F.col("k") * 7 + 3) % 100
-    item = lambda at, n: F.struct(pick(labels, at).alias("label"), pick(classes, at).alias("classification"), n.cast("long").alias("count"))
+    item = lambda at, n: F.struct(pick(labels, at).alias("label"), pick(classes, at).alias("classification"), pick(grades, at).alias("severity"), n.cast("long").alias("count"), F.lit("••••").alias("evidence"))
     action = F.lit(None)
     for kind, name in ACTIONS.items():
         action = F.when(F.col("event_type") == kind, name).otherwise(action)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lakewarden.operators import forward, sanitize
+from lakewarden.operators import policy as policies
+from lakewarden.sources import shared
 
 
 def table(spark: SparkSession, path: str, schema, files_per_trigger: int = 16) -> DataFrame:
@@ -27,23 +30,73 @@ def distinct(events: DataFrame, keys: list[str], ts: str = "ts", late: str = "2
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
+def settled(turns: DataFrame, gap: str = "4 seconds", late: str = "1 minute", key: str = "session_url", ts: str = "ts") -> DataFrame:
+    """(session, first, last, n, content): what a session said once it was quiet for ``gap``: the content of its last change. A session window closes when the watermark has passed its end."""
+    rows = turns.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), F.coalesce(key, F.lit("unknown")).alias("session"))
+    made = rows.agg(F.count("*").alias("n"), F.max_by("content", F.struct(ts, "id")).alias("content"))
+    return made.select("session", F.col("w.start").alias("first"), F.col("w.end").alias("last"), "n", "content")
+
+
+def finalized(turns: DataFrame, moves: DataFrame, patience: float = 15, settle: float = 0.5) -> DataFrame:
+    """Prompts with the address that their session has when they are given up as pending.
+
+    A prompt (id, session, ts, url of ``turns`` of type prompt) waits for the next turn of its session, and a
+    moment more, but no longer than ``patience`` seconds; ``moves`` (session,
+    ts, url) are changes of address, of which the last before that counts.
+    """
+    micros = lambda seconds: F.expr(f"INTERVAL '{seconds}' SECOND")
+    after = F.lead("ts").over(Window.partitionBy("session").orderBy("ts", "id"))
+    prompts = turns.withColumn("__next", after).where(F.col("type") == "prompt")
+    ends = prompts.withColumn("final_ts", F.least(F.col("ts") + micros(patience), F.coalesce(F.col("__next") + micros(settle), F.col("ts") + micros(patience)))).drop("__next")
+    seen = ends.select("id", "session", F.col("ts").alias("since"), "final_ts").join(moves.select("session", F.col("ts").alias("moved"), F.col("url").alias("there")), "session").where("moved > since and moved <= final_ts")
+    last = seen.groupBy("id").agg(F.max_by("there", "moved").alias("there"))
+    return ends.join(last, "id", "left").withColumn("url", F.coalesce("there", "url")).drop("there")
+
+
 def sanitized(docs: DataFrame, policy: sanitize.Policy | None = None) -> DataFrame:
     """A stream of texts with what the policy does with each: narrow, so without state."""
     return sanitize.sanitize(docs, policy=policy)
 
 
-def delivered(events: DataFrame, profiles: list[forward.Profile], deliver: Callable[[str, int, str], None], checkpoint: str, form: str = "ndjson") -> StreamingQuery:
-    """Sends every micro-batch to its receivers, a body at a time, from the tasks that made the bodies.
+def guarded(docs: DataFrame, policy_path: str, path: str, checkpoint: str, text: str = "text", key: str | None = None) -> StreamingQuery:
+    """Sanitizes a stream with the policy at a path, read anew for each micro-batch, so that a change counts from the next one on.
 
-    A micro-batch that fails runs again from its offsets, so receivers get
-    each event at least once.
+    A policy whose signature does not hold counts as the default one. A
+    micro-batch that runs again overwrites what it wrote.
     """
 
-    def send(batch: DataFrame, number: int) -> None:
-        bodies = forward.serialized(forward.fan_out(batch, profiles).withColumn("batch", F.floor(F.pmod(F.xxhash64("id"), F.lit(1024)))), form)
-        bodies.foreach(lambda r: deliver(r.profile, number, r.body))
+    def put(batch: DataFrame, number: int) -> None:
+        rows = sanitize.sanitize(batch, text, policies.loaded(policy_path, batch.sparkSession, key))
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return events.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return docs.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def delivered(events: DataFrame, profiles: Callable[[], Sequence[forward.Profile]], deliver: Callable[[dict], forward.Reply], folder: str, wait: Callable[[float], None] = time.sleep) -> StreamingQuery:
+    """Sends every micro-batch to its receivers from the tasks, in batches of each profile's size, with retries.
+
+    ``profiles`` is asked anew for each micro-batch, so removed ones get
+    nothing more and what waits for them goes. What could not be delivered goes
+    out with the next micro-batch. The folder holds ``attempts`` (for
+    :func:`forward.health`) and ``waiting``, by micro-batch: one that runs
+    again overwrites them, so receivers get each event at least once.
+    """
+
+    def send(batch: DataFrame, number: int) -> None:
+        spark, now = batch.sparkSession, list(profiles())
+        rows = forward.fan_out(batch, now)
+        waiting = f"{folder}/waiting/batch={number - 1}"
+        if number and shared.exists(spark, waiting):
+            rows = rows.unionByName(forward.pruned(spark.read.schema(rows.schema).parquet(waiting), forward.receivers(spark, now)))
+        path = f"{folder}/work/batch={number}"
+        forward.chunked(rows).write.mode("overwrite").parquet(path)
+        ready = spark.read.parquet(path)
+        done = forward.sent(forward.addressed(forward.serialized(ready, now), now), now, deliver, wait).withColumn("at", F.lit(number).cast("long"))
+        done.write.mode("overwrite").parquet(f"{folder}/attempts/batch={number}")
+        lost = spark.read.parquet(f"{folder}/attempts/batch={number}").where("not ok").select("profile", "batch")
+        ready.join(lost, ["profile", "batch"], "left_semi").drop("batch").write.mode("overwrite").parquet(f"{folder}/waiting/batch={number}")
+
+    return events.writeStream.foreachBatch(send).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
 
 
 def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:

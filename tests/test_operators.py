@@ -1,6 +1,8 @@
 """Operators against plain Python, known values, and odd rows."""
 
 import gzip
+import hashlib
+import hmac
 import io
 import json
 import re
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from lakewarden.functions import catalogue
 from lakewarden.functions.detector import needs
 from lakewarden.functions.validators import VALIDATORS
-from lakewarden.operators import audit, captures, files, forward, sanitize, scan
+from lakewarden.operators import audit, captures, files, forward, inspect, policy, sanitize, scan
 from lakewarden.sources import shared
 from lakewarden.streaming import jobs
 
@@ -63,7 +65,7 @@ def test_samples_match_their_detectors(spark):
     on = [(k, d) for k, d in enumerate(catalogue.DETECTORS) if d.sample]
     assert len(on) >= 130
     ready = docs.withColumns({"low": F.lower("text")} | {f"__has_{p}": F.lit(True) for p in ("digit", "at", "setter", "run")})
-    rows = ready.select("id", F.transform(scan.candidates(F.col("text"), F.col("low"), on), lambda c: c["rule_id"]).alias("found")).collect()
+    rows = ready.select("id", F.transform(scan.candidates("text", "low", on), lambda c: c["d"]["rule_id"]).alias("found")).collect()
     assert [r.id for r in rows if r.id not in r.found] in ([], ["LIB_RU_PASSPORT"])
 
 
@@ -127,16 +129,23 @@ def test_forms(spark):
     for name, form in forward.FORMS.items():
         made = events.select(form().alias("line")).collect()
         assert len(made) == 2 and (name in ("cef", "leef") or all(json.loads(r.line) for r in made))
-    assert json.loads(events.where("id = 1").select(forward.template('{"u":"%%url%%","d":%%json%%,"n":"%%nothing%%"}').alias("b")).first().b)["u"] == "u=1"
+    body = json.loads(events.where("id = 1").select(forward.template('{"u":"%%url%%","d":"%%json%%","n":"%%nothing%%"}').alias("b")).first().b)
+    assert body["u"] == "u=1" and body["n"] == "" and json.loads(body["d"])["id"] == 1
 
 
 def test_batches(spark):
     events = forward.events(log(spark))
-    rows = forward.spooled(forward.fan_out(events, [forward.Profile("p"), forward.Profile("q", min_severity="HIGH")]))
-    bodies = {r.profile: (r.n, r.body) for r in forward.serialized(rows, "json").collect()}
-    assert bodies["p"][0] == 2 and len(json.loads(bodies["p"][1])["events"]) == 2 and json.loads(bodies["q"][1])["id"] == 1
-    assert len(forward.signed(forward.serialized(rows), "key").first().headers["X-Signature"]) == 64
+    profiles = [forward.Profile("p", auth={"type": "hmac", "secret": "key"}), forward.Profile("q", min_severity="HIGH", content="redacted"), forward.Profile("off", enabled=False), forward.Profile("nowhere", url="")]
+    rows = forward.spooled(forward.fan_out(events, profiles))
+    bodies = {r.profile: r for r in forward.addressed(forward.serialized(rows, profiles), profiles).collect()}
+    assert set(bodies) == {"p", "q"}
+    both, one = json.loads(bodies["p"].body), json.loads(bodies["q"].body)
+    assert both["count"] == len(both["events"]) == 2 and one["id"] == 1
+    assert all("evidence" not in d for e in both["events"] for d in e["detections"])
+    assert bodies["p"].headers["X-Signature"] == "sha256=" + hmac.new(b"key", bodies["p"].body.encode(), hashlib.sha256).hexdigest()
     assert forward.headers({"type": "basic", "username": "a", "password": "b"}) == {"Authorization": "Basic YTpi"}
+    shown = forward.previewed(forward.addressed(forward.serialized(rows, profiles), profiles)).where("profile = 'p'").first()
+    assert shown.headers["X-Signature"] == bodies["p"].headers["X-Signature"][:12] + "…" and shown.headers["X-Format"] == "json"
     hosts = [("http://localhost/x", True), ("https://10.1.2.3", True), ("https://[::1]:8/", True), ("https://172.20.0.1", True), ("https://siem.example.com/in", False), ("", True)]
     assert [r.p for r in spark.createDataFrame(hosts, "url string, want boolean").select(forward.private_host(F.col("url")).alias("p")).collect()] == [w for _, w in hosts]
 
@@ -173,19 +182,140 @@ def test_files(spark):
     assert [(r.text, r.truncated) for r in tight] == [("1", True)]
 
 
+def test_normalized_profiles():
+    usual = forward.normalized({"id": "a"})
+    assert usual.events == ("dlp.mask", "dlp.block", "dlp.warn", "dlp.file") and (usual.batch_size, usual.max_retries, usual.method) == (20, 4, "POST")
+    odd = forward.normalized({"id": "b", "events": {"dlp.block": True, "dlp.new": True}, "batch_size": "1000", "flush_seconds": "x", "max_retries": -3, "form": "xml", "method": "GET", "min_severity": "WORST", "content": "full", "headers": [{"name": "A", "value": None}, {"value": "x"}], "auth": {"type": "magic"}})
+    assert odd.events == ("dlp.block",) and (odd.batch_size, odd.flush_seconds, odd.max_retries, odd.form, odd.method, odd.min_severity) == (200, 60, 0, "json", "POST", "LOW")
+    assert odd.content == "redacted" and odd.headers == (("A", ""),) and odd.auth == {"type": "none"}
+    assert forward.normalized({"id": "c", "content": "full", "content_confirmed": True}).content == "full" and forward.normalized({"events": {}}).events == ()
+
+
+def test_retries():
+    waits, replies = [], iter([forward.Reply(503), forward.Reply(0, "lost"), forward.Reply(429), forward.Reply(200)])
+    assert forward.attempted(lambda: next(replies), 4, waits.append) == (forward.Reply(200), 4) and waits == [1.0, 2.0, 4.0]
+    assert forward.attempted(lambda: forward.Reply(401), 4, waits.append)[1] == 1
+    waits.clear()
+    assert forward.attempted(lambda: forward.Reply(500), 8, waits.append)[1] == 9 and max(waits) == 30.0
+
+
+def test_due(spark):
+    start = datetime(2024, 1, 1)
+    rows = spark.createDataFrame([("p", k, start + timedelta(seconds=k)) for k in range(3)] + [("q", 0, start), ("r", 0, None)], "profile string, id long, ts timestamp").withColumn("batch_size", F.lit(3))
+    queue = rows.withColumn("batch", F.lit(0).cast("long"))
+    profiles = [forward.Profile(p, batch_size=3) for p in "pqr"]
+    ready = lambda seconds, force=False: {r.profile for r in forward.due(queue, profiles, start + timedelta(seconds=seconds), force).collect()}
+    assert ready(10) == {"p", "r"} and ready(60) == {"p", "q", "r"} and ready(1, True) == {"p", "q", "r"}
+
+
 def test_delivery_from_a_stream(spark, tmp_path):
-    path = shared.new_path(spark, "in")
-    log(spark).where("id = 1").write.parquet(path)
-    stream = forward.events(jobs.table(spark, path, log(spark).schema))
+    folder, path = shared.new_path(spark, "sent"), shared.new_path(spark, "in")
     out = tmp_path / "sent"
     out.mkdir()
 
-    def deliver(profile, number, body, folder=str(out)):
-        with open(f"{folder}/{profile}-{number}", "a") as f:
-            f.write(body)
+    def deliver(request, folder=str(out)):
+        if request["profile"] == "down":
+            return forward.Reply(503)
+        with open(f"{folder}/{request['profile']}", "a") as f:
+            f.write(request["body"] + "\n")
+        return forward.Reply(200)
+
+    profiles = [forward.Profile("p", form="cef"), forward.Profile("down", max_retries=1)]
+    for k in range(2):
+        log(spark).where("id = 1").withColumn("id", F.lit(k).cast("long")).write.mode("append").parquet(path)
+        stream = forward.events(jobs.table(spark, path, log(spark).schema))
+        jobs.delivered(stream, lambda: profiles, deliver, folder, lambda seconds: None).awaitTermination()
+    assert len((out / "p").read_text().split("\n")) == 3
+    attempts = spark.read.parquet(f"{folder}/attempts")
+    state = {r.profile: (r.sent, r.failed, r.consecutive_failures) for r in forward.health(attempts).collect()}
+    assert state["p"] == (2, 0, 0) and state["down"][0] == 0 and state["down"][1] == state["down"][2] >= 2
+    assert spark.read.parquet(f"{folder}/waiting/batch=1").where("profile = 'down'").count() == 2  # the first batch waits on
+    profiles.pop()
+    log(spark).where("id = 1").withColumn("id", F.lit(9).cast("long")).write.mode("append").parquet(path)
+    jobs.delivered(forward.events(jobs.table(spark, path, log(spark).schema)), lambda: profiles, deliver, folder, lambda seconds: None).awaitTermination()
+    assert spark.read.schema("profile string").parquet(f"{folder}/waiting/batch=2").count() == 0  # removed with the profile
+
+
+def test_policy_of_a_stream_is_read_anew(spark):
+    where, path, out, state = (shared.new_path(spark, n) for n in ("policy", "docs", "out", "state"))
+    for k, chosen in enumerate((sanitize.default_policy(), sanitize.enforced(sanitize.default_policy(), "block"))):
+        policy.saved(chosen, where, spark, "key")
+        spark.createDataFrame([(k, "mail me@example.org")], "id long, text string").write.mode("append").parquet(path)
+        docs = spark.readStream.schema("id long, text string").parquet(path)
+        jobs.guarded(docs, where, out, state, key="key").awaitTermination()
+    assert {r.id: r.action for r in spark.read.parquet(out).collect()} == {0: "mask", 1: "block"}
+    assert policy.loaded(where, spark, "other") == sanitize.default_policy() and policy.loaded(where, spark) == chosen
+    assert policy.verified(chosen, "key", None) == chosen and policy.verified(chosen, "key", "0") == sanitize.default_policy()
+
+
+def test_null_times_lose_no_turns(spark):
+    at = datetime(2024, 1, 1)
+    rows = [("a", "prompt", "x", "T", None), ("b", "prompt", "x", "T", at), ("c", "prompt", "y", "T", None), ("d", "prompt", "y", "T", None), ("e", "prompt", None, "T", at), ("f", "prompt", None, "T", at)]
+    table = spark.createDataFrame([(*r, None, False) for r in rows], "id string, type string, content string, tool string, ts timestamp, session_url string, starred boolean")
+    assert {r.id for r in captures.without_repeats(table).collect()} == {"a", "b", "c", "e", "f"}
+    for step in (1, 2, 10):
+        assert {r.id for r in captures.retained(table, step=step).collect()} == set("abcdef")
+
+
+def test_long_turns(spark):
+    got = captures.enriched(spark.createDataFrame([("a", "x" * 30_000), ("b", "y")], "id string, content string")).collect()
+    assert len(got) == 1 and got[0].content == "x" * 20_000 + f"\n\n[… truncated: {20_480 + len("n[…truncated at 20KB]") - 20_000} more characters]"
+
+
+def test_inline_predicates(spark):
+    """Values of the detectors that have a predicate of their own: found, and not."""
+    on = {d.id for d in catalogue.DETECTORS if d.inline}
+    key = hashlib.sha256(b"a key").hexdigest()
+    cases = [
+        ("IPV6_CANDIDATE", "at 2001:db8::1 now", True), ("IPV6_CANDIDATE", "at 10:20:30 now", False), ("SWIFT_BIC", "swift DEUTDEFF500", True), ("SWIFT_BIC", "swift ABCDZZFF", False),
+        ("CRED_HEX_ENCODED_PRIVATE_KEY", f"private key {key}", True), ("CRED_HEX_ENCODED_PRIVATE_KEY", f"sha256 {key}", False), ("CRED_ENV_VALUE", "API_SETTING=Zx81kq92Lm", True), ("CRED_ENV_VALUE", "API_SETTING=lowercaseonly", False),
+        ("CRED_AWS_SECRET_BARE", "k wJalrXUtnFEMIK7MDENGbPxRfiCYzzzzzzzzKEY1 e", True), ("CRED_AWS_SECRET_BARE", f"k {'0123456789' * 4} e", False),
+    ]
+    table = spark.createDataFrame([(k, t) for k, (_, t, _) in enumerate(cases)], "id int, text string")
+    got = {}
+    for r in scan.exploded(scan.scan(table, enabled=sorted(on)), "id").select("id", "f.rule_id").collect():
+        got.setdefault(r.id, set()).add(r.rule_id)
+    assert {k: rule in got.get(k, set()) for k, (rule, _, _) in enumerate(cases)} == {k: want for k, (_, _, want) in enumerate(cases)}
 
-    jobs.delivered(stream, [forward.Profile("p")], deliver, shared.new_path(spark, "state")).awaitTermination()
-    assert json.loads((out / "p-0").read_text())["type"] == "dlp.file"
+
+def test_many_matches_and_bounds(spark):
+    docs = spark.createDataFrame([(1, "a@b.co " * 3000), (2, "a@b.co")], "id long, text string")
+    got = {r.id: r for r in sanitize.sanitize(docs).collect()}
+    assert got[1].n_findings == 3000 and got[1].sanitized == "XXXXXX " * 3000
+    cut = {r.id: r.action for r in sanitize.sanitize(docs, most_matches=100).collect()}
+    assert cut == {1: "block", 2: "mask"}
+
+
+def test_inspection(spark):
+    settings = policy.inspection({"maxSizeKB": 1, "actions": {"CRITICAL": "block", "LOW": "odd"}, "depth": "nowhere", "maxEntries": "x"})
+    assert (settings.depth, settings.most_kb, settings.most_entries, settings.actions["CRITICAL"], settings.actions["LOW"]) == ("deep", 1, 400, "block", "allow")
+    secret = b"key sk-proj-abcdefghijklmnopqrstuvwx1234 and mail me@example.org"
+    rows = [("a.txt", secret), ("b.gz", gzip.compress(secret)), ("c.png", b"plain"), ("d.txt", b"x" * 2000), ("e.bin", b"\x00\x01"), ("f.txt", None), ("g.zip", zipped(one="<a>me@example.org</a>", two="<a>nothing</a>"))]
+    table = spark.createDataFrame(rows, "path string, content binary")
+    got = {r.path: r for r in inspect.inspected(table, settings).collect()}
+    assert {k: r.action for k, r in got.items()} == {"a.txt": "block", "b.gz": "block", "c.png": "allow", "d.txt": "allow", "e.bin": "allow", "f.txt": "allow", "g.zip": "notify"}
+    assert (got["d.txt"].skip_reason, got["e.bin"].skip_reason, got["f.txt"].skip_reason) == ("exceeds 1 KB inspection limit", "no extractable text (unknown)", "unreadable")
+    assert got["c.png"].masquerade and got["g.zip"].segments == 2 and [i.label for i in got["a.txt"]["items"]] == ["OPENAI_KEY", "EMAIL"] and got["b.gz"]["items"][0].segment == "b"
+    assert {f.k for f in got["a.txt"].factors} >= {"Severity (CRITICAL)", "Credential material x1", "Policy floor applied"} and got["a.txt"].score == 80
+    shallow = {r.path: r.skip_reason for r in inspect.inspected(table, policy.Inspection(depth="shallow")).collect()}
+    assert shallow["b.gz"] == "container skipped (shallow inspection)" and shallow["a.txt"] is None
+    off = inspect.inspected(table, policy.Inspection(enabled=False)).collect()
+    assert {r.skip_reason for r in off} == {"inspection disabled"}
+    entries = inspect.logged(inspect.inspected(table, settings), datetime(2024, 1, 1))
+    both = entries.unionByName(inspect.quarantined(entries, "a.txt"))
+    assert tuple(inspect.files_seen(both).first()) == (8, 7)
+    assert forward.events(both).where("type = 'dlp.file'").count() == 8
+    assert inspect.inspected(table.limit(0)).count() == 0
+
+
+def test_export_and_purge(spark):
+    path, rows = shared.new_path(spark, "table"), spark.createDataFrame([(1, None)], "a long, b string")
+    shared.exported(rows, path)
+    assert spark.read.text(path).first().value == '{"a":1,"b":null}'
+    kept = shared.new_path(spark, "table")
+    rows.write.parquet(kept)
+    shared.purged(spark.read.parquet(kept), kept)
+    assert spark.read.parquet(kept).columns == ["a", "b"] and spark.read.parquet(kept).count() == 0
 
 
 def test_empty_tables(spark):
