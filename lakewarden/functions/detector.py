@@ -188,7 +188,7 @@ def java_pattern(detector: Detector) -> tuple[str, int]:
 
 
 #: Cheap properties of a text, one of which a text needs for many patterns to match: the pattern of each.
-PROPERTIES = {"digit": "[0-9]", "at": "@", "setter": "[:=]", "run": "[A-Za-z0-9_/+=.~-]{16}"}
+PROPERTIES = {"digit": "[0-9]", "digits": "[0-9]{4}", "number": "[0-9]{6}", "at": "@", "setter": "[:=]", "run": "[A-Za-z0-9_/+=.~-]{16}"}
 _DIGITS, _SETTERS, _RUN = frozenset("0123456789"), frozenset(":="), frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_/+=.~-")
 
 
@@ -232,7 +232,49 @@ def _needed(tree) -> set[str]:
             out |= {name for name, of in (("digit", _DIGITS), ("at", frozenset("@")), ("setter", _SETTERS)) if chars <= of}
             if times >= 16 and chars <= _RUN:
                 out.add("run")
-    return out
+            if chars <= _DIGITS and times >= 4:
+                out.add("number" if times >= 6 else "digits")
+    return out - {"digit"} if out & {"digits", "number"} else out
+
+
+#: Least characters of a word, and most words, that are looked for before a pattern is.
+LEAST_WORD, MOST_WORDS = 3, 24
+
+
+def _worded(tree) -> frozenset[str] | None:
+    """Words of which whatever a parsed pattern matches holds one, in lower case; of several such sets the one whose shortest word is the longest."""
+    found: list[frozenset[str]] = []
+    run = ""
+    for op, arg in [*tree, (None, None)]:
+        if op is parser.LITERAL:
+            run += chr(arg).lower()
+            continue
+        if len(run) >= LEAST_WORD:
+            found.append(frozenset({run}))
+        run = ""
+        inner = None
+        if op is parser.SUBPATTERN:
+            inner = _worded(arg[3])
+        elif op in (parser.MAX_REPEAT, parser.MIN_REPEAT) and arg[0] >= 1:
+            inner = _worded(arg[2])
+        elif op is parser.BRANCH:
+            each = [_worded(b) for b in arg[1]]
+            inner = frozenset().union(*each) if all(each) else None
+        if inner and len(inner) <= MOST_WORDS:
+            found.append(inner)
+    return max(found, key=lambda words: (min(map(len, words)), -len(words)), default=None)
+
+
+@cache
+def words(detector: Detector) -> tuple[str, ...]:
+    """Words of which a text that the detector matches holds one, in lower case; none if there are no such words, or case is not that of ASCII."""
+    pattern = REWRITTEN.get(detector.id, detector.pattern)
+    if not pattern.isascii():
+        return ()
+    try:
+        return tuple(sorted(_worded(parser.parse(pattern, re.ASCII)) or ()))
+    except re.error:
+        return ()
 
 
 @cache

@@ -139,7 +139,9 @@ def logged(rows: DataFrame, key: str, as_of, tool: str = "Unknown AI", url: str
         return folds.let(own, lambda o: F.struct(label.alias("label"), o[0]["classification"].alias("classification"), o[0]["severity"].alias("severity"), F.size(o).cast("long").alias("count"), o[0]["evidence"].alias("evidence")))
 
     items = F.transform(F.array_distinct(F.transform(f, lambda x: x["label"])), item)
-    return rows.where("action <> 'allow'").select(F.col(key).cast("string").alias("id"), F.lit(as_of).alias("ts"), "action", F.lit(tool).alias("tool"), F.lit(url).alias("url"), "max_severity", "classifications", F.col("n_findings").alias("total_findings"), items.alias("items"))
+    entry = F.struct(F.col(key).cast("string").alias("id"), F.lit(as_of).alias("ts"), "action", F.lit(tool).alias("tool"), F.lit(url).alias("url"), "max_severity", "classifications", F.col("n_findings").alias("total_findings"), items.alias("items"))
+    # outer, and filtered after: a filter on the action would run the scan a second time below it
+    return rows.select(F.explode_outer(F.when(F.col("action") != "allow", F.array(entry))).alias("e")).where(F.col("e").isNotNull()).select("e.*")
 
 
 def log_items(rows: DataFrame, key: str) -> DataFrame:

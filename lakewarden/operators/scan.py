@@ -1,8 +1,9 @@
 """Detection: candidates of every detector, gates, and the resolution of overlaps.
 
 All of it is one narrow stage of built-in expressions. Each detector that the
-policy leaves on costs the plan one gate: its literal, a few properties that a
-text needs, such as a digit, and its pattern. What is known of the detectors is
+policy leaves on costs the plan one gate: its literal, the words and a few
+properties that a text needs (both are derived from the pattern), and its
+pattern. What is known of the detectors is
 data: the gates yield the numbers of those that match, and all that follows is
 written once, over the rows of a constant table that these numbers name. The
 plan thus stays small, and texts without matches cost one search a detector at
@@ -13,14 +14,16 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import cache, lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakewarden.functions import folds
 from lakewarden.functions import text as texts
 from lakewarden.functions.catalogue import DETECTORS
-from lakewarden.functions.detector import PROPERTIES, Detector, java_pattern, needs
+from lakewarden.functions.detector import PROPERTIES, Detector, java_pattern, needs, words
 from lakewarden.functions.validators import VALIDATORS
 
 FINDING = "struct<start:int,rank:int,low:boolean,room:int,ordinal:int,end:int,rule_id:string,label:string,category:string,classification:string,severity:string,secret:boolean,evidence:string,token:string>"
@@ -53,6 +56,8 @@ def _quoted(value: str) -> str:
 def _gate(d: Detector, text: str, lower: str) -> str:
     """The SQL of a detector's gate. As SQL, the gates of all detectors are one expression to build instead of thousands."""
     parts = [f"contains({lower}, {_quoted(d.literal)})"] if d.literal else []
+    if words(d) and d.literal not in words(d):
+        parts.append(f"({' OR '.join(f'contains({lower}, {_quoted(w)})' for w in words(d))})")
     parts += [f"__has_{name}" for name in sorted(needs(d))]
     return " AND ".join([*parts, f"{text} RLIKE {_quoted(java_pattern(d)[0])}"])
 
@@ -153,9 +158,34 @@ def _masks(text: Column) -> Column:
     return folds.collected(F.zip_with(F.slice(gaps, 1, F.size(gaps) - 1), runs, lambda b, m: F.struct(b.alias("b"), m.alias("m"))), F.lit(0), "struct<start:int,end:int>", step)
 
 
-def countries(docs: DataFrame) -> list[str]:
+def prepared(rows: DataFrame, text: str = "scanned") -> DataFrame:
+    """Adds what gates look at: ``__lower``, the text in lower case, and whether it has each property."""
+    return rows.withColumns({"__lower": F.lower(text)} | {f"__has_{name}": F.col(text).rlike(pattern) for name, pattern in PROPERTIES.items()})
+
+
+def gate(d: Detector, text: str = "scanned", lower: str = "__lower") -> Column:
+    """Whether a detector matches anywhere in a prepared text."""
+    return F.expr(_gate(d, text, lower))
+
+
+@cache
+def _countries(gateway: int) -> tuple[str, ...]:
+    return tuple(sorted(SparkContext._gateway.jvm.java.util.Locale.getISOCountries()))
+
+
+def countries(docs: DataFrame) -> tuple[str, ...]:
     """The country codes of ISO 3166, as Java has them."""
-    return sorted(docs.sparkSession._jvm.java.util.Locale.getISOCountries())
+    return _countries(id(docs.sparkSession.sparkContext._gateway))
+
+
+@lru_cache(maxsize=32)
+def _expressions(gateway: int, detectors: tuple[tuple[int, Detector], ...], codes: tuple[str, ...], most: int | None) -> tuple[Column, Column, Column]:
+    """What a scan adds, over columns by name: the detectors that match, findings, and whether there were more. To build them takes as long as to plan them, so they are kept (while the JVM lives that holds them)."""
+    body, empty = F.col("scanned"), F.array().cast(f"array<{FINDING}>")
+    spans = lambda masks: F.transform("__matched", lambda c: F.transform(F.filter(_placed(c, most), lambda s: _kept(c["d"], s, body, masks, detectors, codes)), lambda s: _finding(c["d"], s)))
+    found = folds.let(_masks(body), lambda masks: _resolved(F.flatten(spans(masks)).cast(f"array<{FINDING}>")))
+    more = F.lit(False) if most is None else F.exists("__matched", lambda c: F.size(c["matches"]) > most)
+    return candidates("scanned", "__lower", detectors), F.when(F.size("__matched") > 0, found).otherwise(empty), more
 
 
 def scan(docs: DataFrame, text: str = "text", enabled: Sequence[str] | None = None, normalize: bool = True, only: Sequence[Detector] = DETECTORS, most_matches: int | None = None) -> DataFrame:
@@ -169,17 +199,13 @@ def scan(docs: DataFrame, text: str = "text", enabled: Sequence[str] | None = No
     chosen = None if enabled is None else set(enabled)
     detectors = [(k, d) for k, d in enumerate(only) if (d.on if chosen is None else d.id in chosen)]
     ready = texts.normalized(docs, text, "scanned") if normalize else docs.withColumn("scanned", F.col(text))
-    ready = ready.withColumns({"__lower": F.lower("scanned")} | {f"__has_{name}": F.col("scanned").rlike(pattern) for name, pattern in PROPERTIES.items()})
-    body = F.col("scanned")
+    ready = prepared(ready)
     empty, extra = F.array().cast(f"array<{FINDING}>"), [f"__has_{name}" for name in PROPERTIES]
     if not detectors:
         return ready.drop("__lower", *extra).withColumns({"findings": empty, "truncated": F.lit(False)})
-    rows = ready.withColumn("__matched", candidates("scanned", "__lower", detectors))
-    codes = countries(docs) if any(d.id == "SWIFT_BIC" for _, d in detectors) else ["AD"]
-    spans = lambda masks: F.transform("__matched", lambda c: F.transform(F.filter(_placed(c, most_matches), lambda s: _kept(c["d"], s, body, masks, detectors, codes)), lambda s: _finding(c["d"], s)))
-    found = folds.let(_masks(body), lambda masks: _resolved(F.flatten(spans(masks)).cast(f"array<{FINDING}>")))
-    more = F.lit(False) if most_matches is None else F.exists("__matched", lambda c: F.size(c["matches"]) > most_matches)
-    rows = rows.withColumns({"findings": F.when(F.size("__matched") > 0, found).otherwise(empty), "truncated": more})
+    codes = countries(docs) if any(d.id == "SWIFT_BIC" for _, d in detectors) else ("AD",)
+    matched, found, more = _expressions(id(docs.sparkSession.sparkContext._gateway), tuple(detectors), codes, most_matches)
+    rows = ready.withColumn("__matched", matched).withColumns({"findings": found, "truncated": more})
     return rows.drop("__lower", "__matched", *extra)
 
 

@@ -89,8 +89,8 @@ _SETTINGS = policy.inspection({"maxSizeKB": 64, "actions": {"CRITICAL": "block",
 #: Typed bytes of a document: text unless it is empty, as it holds no zero byte and few control and high ones.
 _BYTES = "hex(encode(left(coalesce(text, ''), 4096)))[1:8192]"
 _TYPED = f"""typed AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS o, {_NAME} AS path, {_BYTES} AS h FROM documents),
-counted AS (SELECT *, length(h) // 2 AS size, len(list_filter(range(0, length(h) // 2), lambda i: h[2 * i + 1:2 * i + 2] IN ('00', '01', '02', '03', '04', '05', '06', '07', '08') OR h[2 * i + 1:2 * i + 2] BETWEEN '0E' AND '1F')) AS control,
-    len(list_filter(range(0, length(h) // 2), lambda i: h[2 * i + 1:2 * i + 1] >= '8')) AS high FROM typed),
+pairs AS (SELECT *, regexp_extract_all(h, '..') AS p FROM typed),
+counted AS (SELECT *, len(p) AS size, len(list_filter(p, lambda x: x <= '08' OR x BETWEEN '0E' AND '1F')) AS control, len(list_filter(p, lambda x: x >= '80')) AS high FROM pairs),
 kinds AS (SELECT doc_id, o, path, CASE WHEN size > 0 AND (starts_with(h, 'EFBBBF') OR (control <= size * 0.02 AND high <= size * 0.45)) THEN 'text' ELSE 'unknown' END AS true_type FROM counted)"""
 
 

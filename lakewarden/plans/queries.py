@@ -245,13 +245,10 @@ def _plain_sql() -> str:
 @query("candidate_counts", _plain_sql())
 def candidate_counts(spark, sf_dir):
     """Candidates, before any gate but the literal one, of the detectors whose patterns SQL can match."""
-    docs, body = _documents(spark, sf_dir).withColumn("low", F.lower("text")), F.col("text")
-    found = []
+    docs, found = scan.prepared(_documents(spark, sf_dir), "text"), []
     for _, d in sql.PLAIN:
-        pattern = java_pattern(d)[0]
-        gate = (F.contains("low", F.lit(d.literal)) if d.literal else F.lit(True)) & body.rlike(pattern)
-        found.append(F.when(gate, F.struct(F.lit(d.id).alias("rule_id"), F.regexp_count(body, F.lit(pattern)).alias("n"))))
-    rows = docs.select(F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("f"))
+        found.append(F.when(scan.gate(d, "text"), F.struct(F.lit(d.id).alias("rule_id"), F.regexp_count("text", F.lit(java_pattern(d)[0])).alias("n"))))
+    rows = docs.select(F.explode(F.array_compact(F.array(*found))).alias("f"))
     return rows.groupBy("f.rule_id").agg(F.count("*").alias("n_docs"), F.sum("f.n").alias("n_matches"))
 
 

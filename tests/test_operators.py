@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakewarden.functions import catalogue
-from lakewarden.functions.detector import needs
+from lakewarden.functions.detector import PROPERTIES, needs, words
 from lakewarden.functions.validators import VALIDATORS
 from lakewarden.operators import audit, captures, files, forward, inspect, policy, sanitize, scan
 from lakewarden.sources import shared
@@ -52,11 +52,10 @@ def test_policy(spark):
 
 
 def test_properties_rule_out_no_sample(spark):
-    from lakewarden.functions.detector import PROPERTIES
-
     for d in catalogue.DETECTORS:
         if d.sample and re.search(d.pattern, d.sample, re.I | re.M):
             assert all(re.search(PROPERTIES[p], d.sample) for p in needs(d)), d.id
+            assert not words(d) or any(w in d.sample.lower() for w in words(d)), d.id
 
 
 def test_samples_match_their_detectors(spark):
@@ -64,7 +63,7 @@ def test_samples_match_their_detectors(spark):
     docs = spark.createDataFrame(some, "id string, text string")
     on = [(k, d) for k, d in enumerate(catalogue.DETECTORS) if d.sample]
     assert len(on) >= 130
-    ready = docs.withColumns({"low": F.lower("text")} | {f"__has_{p}": F.lit(True) for p in ("digit", "at", "setter", "run")})
+    ready = docs.withColumns({"low": F.lower("text")} | {f"__has_{p}": F.lit(True) for p in PROPERTIES})
     rows = ready.select("id", F.transform(scan.candidates("text", "low", on), lambda c: c["d"]["rule_id"]).alias("found")).collect()
     assert [r.id for r in rows if r.id not in r.found] in ([], ["LIB_RU_PASSPORT"])
 
