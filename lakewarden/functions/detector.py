@@ -149,6 +149,12 @@ def translated(pattern: str, flags: str) -> str:
     and ``&&`` inside a class are characters. A word edge at the front, before
     what can only be a word's character, needs just look behind itself.
     """
+    switches = "".join(f for f in "ims" if f in flags) + ("u" if "i" in flags and not pattern.isascii() else "")
+    return (f"(?{switches})" if switches else "") + "|".join(_translated(a, flags) for a in _alternatives(pattern))
+
+
+def _translated(pattern: str, flags: str) -> str:
+    """A pattern without alternatives at its top level, so that a word edge at either end of it is plain to see."""
     out, inside = [], False
     if pattern.startswith(r"\b") and _starts_word(pattern[2:]):
         out, pattern = ["(?<![A-Za-z0-9_])"], pattern[2:]
@@ -174,8 +180,7 @@ def translated(pattern: str, flags: str) -> str:
         elif not inside and token == "$":
             token = r"(?=[\n\r\u2028\u2029]|\z)" if "m" in flags else r"\z"
         out.append(token)
-    switches = "".join(f for f in "ims" if f in flags) + ("u" if "i" in flags and not pattern.isascii() else "")
-    return (f"(?{switches})" if switches else "") + "".join(out)
+    return "".join(out)
 
 
 @cache
