@@ -71,7 +71,7 @@ def hot_join(rows: DataFrame, side: DataFrame, key: str | list[str], size: str =
 
 
 #: Rows and bytes of an Arrow batch: with Spark's own bounds a batch of long texts takes a large part of a worker's memory, several times over.
-BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
 
 
 #: Of a Python worker: name to (key, object).

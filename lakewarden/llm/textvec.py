@@ -164,7 +164,7 @@ def shingles(hashes: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np
     return out, out_at
 
 
-def portions(batches: Iterator[pa.RecordBatch], column: int = -1, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def portions(batches: Iterator[pa.RecordBatch], column: int = -1, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that the texts of a column take about ``size`` bytes or a single row: memory then follows the longest text, not the number of rows."""
     for batch in batches:
         if not batch.num_rows:
