@@ -73,7 +73,7 @@ class Detector:
         return SEVERITY_RANK[self.severity]
 
 
-def library(tier: str, family: str, classification: str, severity: str, id: str, label: str, pattern: str, flags: str = "", group: int = 0, validator: str = "", literal: str = "", sample: str = "") -> Detector:
+def library(*, id: str, label: str, pattern: str, tier: str, family: str, classification: str, severity: str, flags: str = "", group: int = 0, validator: str = "", literal: str = "", sample: str = "") -> Detector:
     """A detector of the library: secrets by class, low confidence and off by tier; its validator goes by a name of its own."""
     found = Detector(id, label, family, severity, pattern, flags, group, "", False, literal.lower(), classification == "AUTHENTICATION_SECRET", tier == "x", tier != "x")
     return replace(found, classification=classification, family=family, tier=TIERS[tier], sample=sample, validator=f"library_{validator}" if validator else "")

@@ -55,18 +55,28 @@ def diversity(value: Column) -> Column:
     return sum((value.rlike(k).cast("int") for k in kinds[1:]), value.rlike(kinds[0]).cast("int"))
 
 
-#: Forms of values that stand for others.
-_MARKERS = r"^(<[^>]+>|\$\{[^}]*\}|\{\{[^}]*\}\}|%[A-Za-z0-9_]+%|__[A-Za-z0-9_]+__|@[A-Za-z0-9_]+@)\z|^\$[A-Za-z_][A-Za-z0-9_]*\z|^(process\.env|os\.environ|System\.getenv)(?![A-Za-z0-9_])"
-_FILLERS = r"^(?:([^\n\r  ])\1+\z|(?i:0123456789|abcdefgh|qwerty))|^(?i:x{4,}|\*{4,}|\.{4,}|-{4,}|_{4,}|#{4,}|\?{4,})\z"
-_SLOT = "key|token|secret|password|passwd|pwd|credential|apikey|api_key"
-_HINT = "your|my|the|insert|enter|add|paste|replace|change|example|sample|dummy|test|fake|placeholder|here|xxx|todo"
-_NAMES = r"^(example|sample|dummy|placeholder|redacted|changeme|change_me|undefined|null|none|true|false)\z"
+#: Forms of values that stand for others, by what they are.
+PLACEHOLDERS = (
+    ("template marker", r"^(<[^>]+>|\$\{[^}]*\}|\{\{[^}]*\}\}|%[A-Za-z0-9_]+%|__[A-Za-z0-9_]+__|@[A-Za-z0-9_]+@)\z"),
+    ("variable", r"^\$[A-Za-z_][A-Za-z0-9_]*\z"),
+    ("look-up in the environment", r"^(process\.env|os\.environ|System\.getenv)(?![A-Za-z0-9_])"),
+    ("one character repeated", r"^([^\n\r\u2028\u2029])\1+\z"),
+    ("keyboard or sequence", r"(?i)^(?:0123456789|abcdefgh|qwerty)"),
+    ("filler", r"(?i)^(?:x{4,}|\*{4,}|\.{4,}|-{4,}|_{4,}|#{4,}|\?{4,})\z"),
+)
+#: Words of which a lower-cased value that names itself holds one of each, and values that are names as a whole.
+SLOT_WORDS = r"key|token|secret|password|passwd|pwd|credential|apikey|api_key"
+HINT_WORDS = r"your|my|the|insert|enter|add|paste|replace|change|example|sample|dummy|test|fake|placeholder|here|xxx|todo"
+WHOLE_NAMES = r"^(example|sample|dummy|placeholder|redacted|changeme|change_me|undefined|null|none|true|false)\z"
 
 
 def synthetic(value: Column) -> Column:
     """Whether a value is a placeholder: a template marker, filler, a name of itself, or too plain to be a secret."""
     s = F.regexp_replace(value, "^[\"']|[\"']\\z", "")
     low = F.lower(s)
-    named = (low.rlike(_SLOT) & low.rlike(_HINT)) | low.rlike(_NAMES)
+    named = (low.rlike(SLOT_WORDS) & low.rlike(HINT_WORDS)) | low.rlike(WHOLE_NAMES)
     plain = F.when(F.length(s) >= 12, ((entropy(s) < 2.6) & (diversity(s) <= 2)) | (s.rlike(r"^[a-z]+\z") & (entropy(s) < 3.4))).otherwise(False)
-    return (s == "") | s.rlike(_MARKERS) | s.rlike(_FILLERS) | named | plain
+    out = s == ""
+    for _, pattern in PLACEHOLDERS:
+        out = out | s.rlike(pattern)
+    return out | named | plain
