@@ -180,6 +180,8 @@ def test_licenses_repeated_edited_and_partial(spark):
     assert got[1, "All-Rights-Reserved"].spans == "0:19,21:40" and got[2, "All-Rights-Reserved"].spans == "2:21,23:42,44:63"
     assert 0.8 <= got[3, "BSD-3-Clause"].coverage < 1 and (4, "BSD-3-Clause") not in got and 0.88 <= got[5, "BSD-3-Clause"].coverage <= 0.92
     assert len(got[6, "ISC"].spans.split(",")) == 2
+    whole = {r.license: r.coverage for r in licenses.scan(spark.createDataFrame([(1, "Copyright (c) 2020 X\n\n" + name["MIT-text"].replace(" ", "\n", 40))], "doc_id long, text string")).collect()}
+    assert whole == {"MIT": 1.0, "MIT-text": 1.0}
     tokens = lambda t: regex.findall(r"\w+", t.lower())
     a, b = tokens(name["BSD-3-Clause"]), tokens(rows[2][1])
     matched = got[3, "BSD-3-Clause"].matched_words
