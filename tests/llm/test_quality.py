@@ -1,8 +1,9 @@
 """Held-out accuracy, and results against brute force over whole small tables."""
 
-import re
 from collections import Counter
 
+import regex
+
 from lakewarden.llm import queries
 
 SMALL, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -19,11 +20,13 @@ def test_toxicity_of_held_out_documents(spark):
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{MORE}/labels.parquet").collect() if r.toxic is not None}
     rows = [r for r in QUERIES["op1_toxicity"](spark, MORE).collect() if r.doc_id in truth]
     seen = Counter((r.held_out, truth[r.doc_id], r.predicted) for r in rows)
-    assert seen[False, 1, 1] > seen[False, 1, 0] and all(0 <= r.score <= 1 for r in rows)
+    assert all(0 <= r.score <= 1 for r in rows)
+    for held in (True, False):  # those that were not learned from, and the others
+        assert seen[held, 1, 1] > seen[held, 1, 0] and seen[held, 0, 1] <= 0.05 * seen[held, 0, 0]
 
 
 def test_jaccard_against_all_pairs(spark):
-    docs = {r.doc_id: re.findall(r"[a-z0-9\x80-\U0010ffff]+", (r.text or "").lower()) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    docs = {r.doc_id: regex.findall(r"[\p{L}\p{M}\p{N}]+", (r.text or "").lower()) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     sets = {d: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for d, w in docs.items()}
     links = {d: [e for e in sets if e != d and sets[d] and sets[e] and len(sets[d] & sets[e]) >= 0.8 * len(sets[d] | sets[e])] for d in sets}
     root = {d: d for d in sets}
