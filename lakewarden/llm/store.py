@@ -71,7 +71,9 @@ def hot_join(rows: DataFrame, side: DataFrame, key: str | list[str], size: str =
 
 
 #: Rows and bytes of an Arrow batch: with Spark's own bounds a batch of long texts takes a large part of a worker's memory, several times over.
-BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 2_000, 2 << 20
+#: Rows that the scan of a table decodes at once: 4096 rows of long texts are buffers of many megabytes, which make the heap grow.
+SCAN_ROWS = 512
 
 
 #: Of a Python worker: name to (key, object).
@@ -110,7 +112,7 @@ def held(operator: str, key: Any, make: Callable[[], Any]) -> Any:
 
 
 def mapped(rows: DataFrame, function, schema, operator: str = "") -> DataFrame:
-    """``mapInArrow`` with smaller Arrow batches, which the session keeps from then on.
+    """``mapInArrow`` with smaller batches of scans and of Arrow, which the session keeps from then on.
 
     Its tasks drop what workers hold of other operators, and return free
     memory when they end.
@@ -124,4 +126,5 @@ def mapped(rows: DataFrame, function, schema, operator: str = "") -> DataFrame:
     conf = rows.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    conf.set("spark.sql.parquet.columnarReaderBatchSize", str(SCAN_ROWS))
     return rows.mapInArrow(run, schema)
