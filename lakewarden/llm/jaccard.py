@@ -34,7 +34,7 @@ other. Ties at the threshold count as links.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -97,9 +97,8 @@ def prefixes(sets: list[np.ndarray], trees: int, depths: Sequence[int]) -> np.nd
     return keys.T
 
 
-def signatures(docs: DataFrame, n: int, trees: int, depths: Sequence[int]) -> DataFrame:
-    """(doc_id, d1, d2, size, keys): the digest of each text's set, its size, and its prefixes in each tree."""
-    wide = trees * len(depths)
+def signatures(docs: DataFrame, n: int, wide: int, keys_of: Callable[[list[np.ndarray]], np.ndarray]) -> DataFrame:
+    """(doc_id, d1, d2, size, keys): the digest of each text's set, its size, and the ``wide`` keys that a function gives for each of a list of sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textvec.portions(batches, size=1 << 20):
@@ -115,7 +114,7 @@ def signatures(docs: DataFrame, n: int, trees: int, depths: Sequence[int]) -> Da
                 flat = np.concatenate(full)
                 d1[some] = np.add.reduceat(textvec.mixed(flat), starts)
                 d2[some] = np.add.reduceat(textvec.mixed(flat ^ np.uint64(0x5DEECE66D)), starts) | np.uint64(1)
-                keys = prefixes(full, trees, depths)
+                keys = keys_of(full)
             at = np.concatenate([[0], np.cumsum(np.where(sizes > 0, wide, 0))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), _signed(np.ascontiguousarray(keys).ravel()))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _signed(d1), _signed(d2), pa.array(sizes.astype(np.int32)), lists], names=["doc_id", "d1", "d2", "size", "keys"])
@@ -259,11 +258,17 @@ def join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, trees: i
     """
     longest = prefix_length(threshold, trees, recall)
     depths = sorted({max(1, longest - ABOVE), longest})
+    found = signatures(docs.where("doc_id is not null"), n, trees * len(depths), lambda sets: prefixes(sets, trees, depths))
+    return linked(docs, found, len(depths), n, threshold)
+
+
+def linked(docs: DataFrame, found: DataFrame, levels: int, n: int, threshold: float) -> DataFrame:
+    """The result of :func:`join` for texts with given :func:`signatures`, whose keys have ``levels`` levels a tree."""
     lost = docs.where("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_texts"))
-    rows = store.written(signatures(docs.where("doc_id is not null"), n, trees, depths), "signatures")
+    rows = store.written(found, "signatures")
     same = rows.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "size", "keys")).alias("r"), F.count("*").alias("copies"))
     classes = store.written(same.select("d1", "d2", F.col("r.doc_id").alias("rep"), F.col("r.size").alias("size"), "copies", F.col("r.keys").alias("keys")), "classes")
-    shared = leaves_of(classes, len(depths))
+    shared = leaves_of(classes, levels)
     labels = shared.groupBy("rep").agg(F.min("low").alias("label"))
     blocks = store.written(_blocked(labels.join(classes.select("rep", "size", "copies"), "rep")), "blocks")
     placed = store.written(shared.join(blocks.select("rep", "block"), "rep").select("key", "rep", "block"), "placed")

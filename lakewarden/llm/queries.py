@@ -19,6 +19,9 @@ MODULES = {
     "op8_decontaminate": "decontaminate_query",
     "op9_pii": "pii_query",
     "op10_render": "render_query",
+    "op11_whitening": "whitening_query",
+    "op12_minhash": "minhash_query",
+    "op13_vectorcodes": "vectorcodes_query",
 }
 
 
