@@ -80,6 +80,21 @@ def hits(log: DataFrame, as_of, days: int = HIT_DAYS) -> DataFrame:
     return items.groupBy(F.col("i.label").alias("label")).agg(F.sum(F.coalesce(F.when(F.col("i.count") > 0, F.col("i.count")), F.lit(1))).alias("hits"), F.min("ts").alias("since"))
 
 
+def daily(log: DataFrame) -> DataFrame:
+    """(day, label, hits, since): hits rolled up by day; entries without a time have a day of their own, null."""
+    items = log.select("ts", F.explode("items").alias("i")).where("i.label is not null")
+    return items.groupBy(F.to_date("ts").alias("day"), F.col("i.label").alias("label")).agg(F.sum(F.coalesce(F.when(F.col("i.count") > 0, F.col("i.count")), F.lit(1))).alias("hits"), F.min("ts").alias("since"))
+
+
+def rolled_hits(rolled: DataFrame, log: DataFrame, as_of, days: int = HIT_DAYS) -> DataFrame:
+    """What :func:`hits` gives, from roll-ups (:func:`daily`, of which a day may have several) of whole days; of the log only the part of the first day that counts is read."""
+    cut = as_of - timedelta(days=days)
+    morning = (cut + timedelta(days=1)).replace(hour=0, minute=0, second=0, microsecond=0)
+    whole = rolled.where(F.col("day").isNull() | (F.col("day") > F.lit(cut.date()))).select("label", "hits", "since")
+    edge = daily(log.where((F.col("ts") >= F.lit(cut)) & (F.col("ts") < F.lit(morning)))).select("label", "hits", "since")
+    return whole.unionByName(edge).groupBy("label").agg(F.sum("hits").alias("hits"), F.min("since").alias("since"))
+
+
 def by_class(hit: DataFrame, rules: DataFrame) -> DataFrame:
     """Hits by class of data; a label that several detectors share counts for each."""
     return rules.join(hit, "label", "left").groupBy("classification").agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"), F.count("*").alias("n_rules"))

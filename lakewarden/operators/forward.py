@@ -282,16 +282,23 @@ def _body(form: str, lines: Column, n: Column, content_type: str) -> Column:
     return F.concat(joined, F.lit("\n")) if form in ("ndjson", "ecs") else joined
 
 
+def lines(profiles: Sequence[Profile]) -> Column:
+    """An event that was fanned out, in the form of its profile."""
+    line = F.lit(None).cast("string")
+    for p in profiles:
+        line = F.when(F.col("profile") == p.id, template(p.body, "json" in p.content_type.lower()) if p.form == "template" else FORMS[p.form]()).otherwise(line)
+    return line
+
+
 def serialized(rows: DataFrame, profiles: Sequence[Profile]) -> DataFrame:
     """(profile, batch, n, oldest, body, content_type): the events of a batch as one body, in the form of its profile; batches are bounded by the profile."""
-    line, body, kind = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")
+    body, kind = F.lit(None).cast("string"), F.lit(None).cast("string")
     for p in profiles:
         own = F.col("profile") == p.id
-        line = F.when(own, template(p.body, "json" in p.content_type.lower()) if p.form == "template" else FORMS[p.form]()).otherwise(line)
         body = F.when(own, _body(p.form, F.col("lines"), F.col("n"), p.content_type)).otherwise(body)
         kind = F.when(own, p.content_type if p.form == "template" else TYPES[p.form]).otherwise(kind)
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("ts", "id", "line"))), lambda x: x["line"])
-    made = rows.withColumn("line", line).groupBy("profile", "batch").agg(F.count("*").alias("n"), F.min("ts").alias("oldest"), lines.alias("lines"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ts", "id", "line"))), lambda x: x["line"])
+    made = rows.withColumn("line", lines(profiles)).groupBy("profile", "batch").agg(F.count("*").alias("n"), F.min("ts").alias("oldest"), ordered.alias("lines"))
     return made.select("profile", "batch", "n", "oldest", body.alias("body"), kind.alias("content_type"))
 
 
@@ -421,6 +428,16 @@ def health(attempts: DataFrame) -> DataFrame:
     return rows.join(since.groupBy("profile").agg(F.count("*").alias("consecutive_failures")), "profile", "left").withColumn("consecutive_failures", F.coalesce("consecutive_failures", F.lit(0)))
 
 
+def merged(known: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The states of the receivers of ``fresh``, from their states before and those of later attempts alone."""
+    both = fresh.alias("f").join(known.alias("k"), "profile", "left")
+    new, old = (lambda c: F.col(f"f.{c}")), (lambda c: F.col(f"k.{c}"))
+    added = lambda c: (new(c) + F.coalesce(old(c), F.lit(0))).alias(c)
+    since = F.when(new("last_success").isNotNull(), new("consecutive_failures")).otherwise(new("consecutive_failures") + F.coalesce(old("consecutive_failures"), F.lit(0)))
+    made = {"sent": added("sent"), "failed": added("failed"), "last_success": F.coalesce(new("last_success"), old("last_success")).alias("last_success"), "consecutive_failures": since.alias("consecutive_failures")}
+    return both.select(*("profile" if c == "profile" else made.get(c, new(c).alias(c)) for c in fresh.columns))
+
+
 def receivers(spark: SparkSession, profiles: Sequence[Profile]) -> DataFrame:
     return spark.createDataFrame([(p.id, p.name or p.id, p.enabled and bool(p.url), p.form) for p in profiles], "profile string, name string, enabled boolean, form string")
 

@@ -34,7 +34,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _registered() -> None:
-    from lakewarden.plans import boards, detection, queries  # noqa: F401  register on import
+    from lakewarden.plans import boards, detection, queries, streams  # noqa: F401  register on import
 
 
 _registered()

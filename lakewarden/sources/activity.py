@@ -24,9 +24,12 @@ def pick(values: tuple[str, ...], at: Column) -> Column:
 
 
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, type, content, tool, ts, session_url, starred): users' and assistants' turns."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where(F.col("role").isin("user", "assistant"))
-    return turns.select(
+    return captured(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def captured(conversations: DataFrame) -> DataFrame:
+    """(id, type, content, tool, ts, session_url, starred): users' and assistants' turns, of a table or a stream."""
+    return conversations.where(F.col("role").isin("user", "assistant")).select(
         F.concat_ws("-", "conv_id", "turn").alias("id"),
         F.when(F.col("role") == "user", "prompt").otherwise("response").alias("type"),
         F.col("text").alias("content"),
@@ -38,8 +41,12 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, ts, action, tool, url, max_severity, classifications, total_findings, items) of events; an entry has two items, with masked evidence."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    return audited(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def audited(events: DataFrame) -> DataFrame:
+    """(id, ts, action, tool, url, max_severity, classifications, total_findings, items) of events, of a table or a stream; an entry has two items, with masked evidence."""
+    events = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
     labels, classes, grades = (tuple(getattr(d, name) for d in DETECTORS[:100]) for name in ("label", "data_class", "severity"))
     other = (F.col("k") * 7 + 3) % 100
     item = lambda at, n: F.struct(pick(labels, at).alias("label"), pick(classes, at).alias("classification"), pick(grades, at).alias("severity"), n.cast("long").alias("count"), F.lit("••••").alias("evidence"))

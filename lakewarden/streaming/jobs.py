@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lakewarden.operators import forward, sanitize
+from lakewarden.operators import audit, forward, sanitize
 from lakewarden.operators import policy as policies
-from lakewarden.sources import shared
+from lakewarden.sources import shared, versioned
+
+
+#: What is kept of each receiver.
+HEALTH = "profile string, sent long, failed long, last_success long, last_attempt long, last_status int, last_ms long, last_error string, consecutive_failures long"
 
 
 def table(spark: SparkSession, path: str, schema, files_per_trigger: int = 16) -> DataFrame:
@@ -99,10 +103,54 @@ def delivered(events: DataFrame, profiles: Callable[[], Sequence[forward.Profile
     return events.writeStream.foreachBatch(send).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
 
 
-def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what there is now, into a table."""
-    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+def health_kept(attempts: DataFrame, folder: str) -> StreamingQuery:
+    """Keeps the state of each receiver (:func:`forward.health`) in a versioned table at a folder, from a stream of attempts.
+
+    A micro-batch reads the rows of its own receivers alone, and writes those
+    that it changes as its version: one that runs again starts from the version
+    before it and replaces its own. Attempts of a later micro-batch count as
+    later ones.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        table = versioned.Table(batch.sparkSession, f"{folder}/table", ["profile"])
+        fresh, known = forward.health(batch), table.read(before=number)
+        table.put(fresh if known is None else forward.merged(known, fresh), number)
+
+    return attempts.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+
+
+def health_now(spark: SparkSession, folder: str) -> DataFrame:
+    """The states that :func:`health_kept` has kept so far."""
+    found = versioned.Table(spark, f"{folder}/table", ["profile"]).read()
+    return spark.createDataFrame([], HEALTH) if found is None else found
+
+
+def hits_rolled(log: DataFrame, folder: str) -> StreamingQuery:
+    """Keeps hits by day and label (:func:`audit.daily`) of a stream of audit entries, by micro-batch and day; one that runs again overwrites what it wrote, and late entries add to their own day."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        audit.daily(batch).write.mode("overwrite").partitionBy("day").parquet(f"{folder}/hits/batch={number}")
+
+    return log.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+
+
+def rolled(spark: SparkSession, folder: str) -> DataFrame:
+    """What :func:`hits_rolled` has kept: (day, label, hits, since), a row for each micro-batch, with days as partitions."""
+    schema = "label string, hits long, since timestamp, batch long, day date"
+    return spark.read.schema(schema).option("basePath", f"{folder}/hits").parquet(f"{folder}/hits")
+
+
+def finished(query: StreamingQuery) -> StreamingQuery:
+    """Waits for a query that reads what there is now; an error of it is raised."""
     query.awaitTermination()
     if query.exception():
         raise query.exception()
+    return query
+
+
+def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what there is now, into a table."""
+    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+    finished(query)
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
