@@ -150,7 +150,7 @@ def shingles(hashes: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np
     if not len(hashes):
         return np.zeros(0, np.uint64), out_at
     rolled = np.zeros(len(hashes), np.uint64)
-    for k in range(n):
+    for k in range(min(n, len(hashes))):
         salt = np.uint64((int(_ODD) * (2 * k + 1)) & (2**64 - 1))
         rolled[: len(hashes) - k] += hashes[k:] * salt
     rolled = mixed(rolled)

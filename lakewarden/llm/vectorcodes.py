@@ -120,8 +120,9 @@ def nearest(x: np.ndarray, entries: np.ndarray, wide: bool = False) -> tuple[np.
 
 def _parts(x: np.ndarray, parts: int) -> np.ndarray:
     """Vectors as (part, row, number), zeros added where the length does not divide."""
-    x = np.pad(x, ((0, 0), (0, _padded(x.shape[1], parts) - x.shape[1])))
-    return np.ascontiguousarray(x.reshape(len(x), parts, -1).transpose(1, 0, 2))
+    dims = _padded(x.shape[1], parts)
+    x = np.pad(x, ((0, 0), (0, dims - x.shape[1])))
+    return np.ascontiguousarray(x.reshape(len(x), parts, dims // parts).transpose(1, 0, 2))
 
 
 def seeds(rows: DataFrame, shape: vectors.Shape, scale: int, entries: int, key: str, column: str) -> np.ndarray:
