@@ -30,7 +30,7 @@ def _numbers(values: list[list[int]]) -> Column:
     return F.array(*(F.array(*map(F.lit, row)) for row in values))
 
 
-def _verhoeff_tables() -> tuple[list[list[int]], list[list[int]]]:
+def verhoeff_tables() -> tuple[list[list[int]], list[list[int]]]:
     """Products in the dihedral group of the pentagon, and the powers of a permutation."""
 
     def product(a: int, b: int) -> int:
@@ -46,7 +46,7 @@ def _verhoeff_tables() -> tuple[list[list[int]], list[list[int]]]:
 
 
 def verhoeff(number: Column) -> Column:
-    table, powers = map(_numbers, _verhoeff_tables())
+    table, powers = map(_numbers, verhoeff_tables())
     places = F.transform(_each(F.reverse(number)), lambda c, i: F.struct((i % 8).alias("row"), (F.ascii(c) - 48).alias("digit")))
     return F.aggregate(places, F.lit(0), lambda acc, p: F.get(F.get(table, acc), F.get(F.get(powers, p["row"]), p["digit"]))) == 0
 

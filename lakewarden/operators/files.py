@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: First bytes in hexadecimal, type and family, in the order in which they are tried.
 SIGNATURES = (
@@ -143,6 +144,28 @@ def _pdf_text(data: bytes, opened: _Opened) -> str:
     return "\n".join(lines)
 
 
+def _read(path: str | None, data: bytes | None, budget: Budget) -> list[tuple[str | None, int, str | None, str | None, bool]]:
+    """(segment, place, text, skipped, truncated) of one file."""
+    opened, skipped, truncated = _Opened(budget), None, False
+    if data is None or len(data) > budget.most_bytes:
+        skipped = "unreadable" if data is None else "size"
+    else:
+        try:
+            opened.open(bytes(data), path or "")
+        except _Spent:
+            truncated = True
+        except (OSError, EOFError, zipfile.BadZipFile, zlib.error, RuntimeError, ValueError):
+            skipped = None if opened.segments else "unreadable"
+        if not opened.segments and not skipped:
+            skipped = "no text"
+    return [(segment, place, text, skipped, truncated) for place, (segment, text) in enumerate(opened.segments or [(None, None)])]
+
+
+def is_markup(segment: Column, text: Column) -> Column:
+    """Whether a piece of a file is markup, by its name or how it begins."""
+    return F.coalesce(segment.rlike(r"(?i)\.(xml|rels)\z") | text.rlike(r"\A\s*<(\?xml|[a-zA-Z])"), F.lit(False))
+
+
 def segments(files: DataFrame, content: str = "content", name: str = "path", budget: Budget = Budget()) -> DataFrame:
     """(path, segment, place, text, skipped, truncated): a row for each piece of text in a file, one without text for a file that has none.
 
@@ -152,23 +175,32 @@ def segments(files: DataFrame, content: str = "content", name: str = "path", bud
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for path, data in zip(frame.path, frame.content, strict=True):
-                opened, skipped, truncated = _Opened(budget), None, False
-                if data is None or len(data) > budget.most_bytes:
-                    skipped = "unreadable" if data is None else "size"
-                else:
-                    try:
-                        opened.open(bytes(data), path or "")
-                    except _Spent:
-                        truncated = True
-                    except (OSError, EOFError, zipfile.BadZipFile, zlib.error, RuntimeError, ValueError):
-                        skipped = None if opened.segments else "unreadable"
-                    if not opened.segments and not skipped:
-                        skipped = "no text"
-                rows += [(path, segment, place, text, skipped, truncated) for place, (segment, text) in enumerate(opened.segments or [(None, None)])]
+            rows = [(path, *found) for path, data in zip(frame.path, frame.content, strict=True) for found in _read(path, data, budget)]
             yield pd.DataFrame(rows, columns=["path", "segment", "place", "text", "skipped", "truncated"])
 
     raw = files.select(F.col(name).alias("path"), F.col(content).alias("content")).mapInPandas(run, "path string, segment string, place int, text string, skipped string, truncated boolean")
-    is_markup = F.coalesce(F.col("segment").rlike(r"(?i)\.(xml|rels)\z") | F.col("text").rlike(r"\A\s*<(\?xml|[a-zA-Z])"), F.lit(False))
-    return raw.withColumn("text", F.when(is_markup, markup_text(F.col("text"))).otherwise(F.col("text")))
+    return raw.withColumn("text", F.when(is_markup(F.col("segment"), F.col("text")), markup_text(F.col("text"))).otherwise(F.col("text")))
+
+
+@F.udtf(returnType=T.StructType([T.StructField("segment", T.StringType()), T.StructField("place", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("skipped", T.StringType()), T.StructField("truncated", T.BooleanType())]), useArrow=True)
+class Segments:
+    """The pieces of one file as a table function, for ``LATERAL segments(content, path)``: a row for each, as :func:`segments` has them.
+
+    The budget's bounds are arguments, in kilobytes, entries and levels.
+    """
+
+    def eval(self, content: bytes, path: str, most_kb: int = 4096, most_unpacked_kb: int = 16384, most_entries: int = 400, most_depth: int = 3):
+        budget = Budget(most_kb << 10, most_unpacked_kb << 10, most_entries, most_depth)
+        for segment, place, text, skipped, truncated in _read(path, content, budget):
+            yield segment, place, plain_text(segment, text), skipped, truncated
+
+
+def plain_text(segment: str | None, text: str | None) -> str | None:
+    """The same as :func:`markup_text` of markup, for a row in Python."""
+    if text is None or not (re.search(r"(?i)\.(xml|rels)\Z", segment or "") or re.match(r"\s*<(\?xml|[a-zA-Z])", text)):
+        return text
+    out = re.sub(f"</({LINE_ENDS})>|<w:br\\s*/?>", "\n", text)
+    out = re.sub("<[^>]+>", "", re.sub(f"</({CELL_ENDS})>", "\t", out))
+    for entity, char in ENTITIES:
+        out = out.replace(entity, char)
+    return re.sub("[ \t]{2,}", " ", out)

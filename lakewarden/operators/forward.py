@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import base64
-import hashlib
-import hmac
 import math
 import re
 import time
@@ -16,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakewarden.functions import folds, sqlnames
 from lakewarden.operators import audit
 
 #: Severities on the scales of receivers.
@@ -90,32 +89,53 @@ def mapped(values: Mapping[str, int], at: Column, default: int) -> Column:
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), at), F.lit(default))
 
 
+DETECTION = "struct<label:string,classification:string,severity:string,count:bigint,evidence:string,segment:string>"
+FILE = "struct<name:string,trueType:string,declaredExt:string,masquerade:boolean,sizeBytes:bigint,parts:bigint,truncated:boolean,sha256:string>"
+RISK = "struct<score:int,band:string,factors:array<struct<k:string,v:string>>>"
+
+
 def _shaped(rows: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
-    """Events with all columns, in their order."""
-    detection = "array<struct<label:string,classification:string,severity:string,count:bigint,evidence:string>>"
+    """Events with all columns, in their order; ``detail`` is a VARIANT, as each kind of event has details of its own."""
     usual = {
         "id": F.lit(None).cast("string"), "type": F.lit(None).cast("string"), "ts": F.lit(None).cast("timestamp"), "severity": F.lit("LOW"), "outcome": F.lit("observed"), "tool": F.lit("Unknown"), "url": F.lit(""),
-        "classifications": F.array().cast("array<string>"), "finding_count": F.lit(0).cast("long"), "detections": F.array().cast(detection), "content": F.lit(None).cast("string"), "detail": F.create_map().cast("map<string,string>"),
+        "classifications": F.array().cast("array<string>"), "finding_count": F.lit(0).cast("long"), "detections": F.array().cast(f"array<{DETECTION}>"), "file": F.lit(None).cast(FILE), "risk": F.lit(None).cast(RISK),
+        "content": F.lit(None).cast("string"), "detail": F.parse_json(F.lit("{}")),
     }
     return rows.select(*((columns.get(name, c)).alias(name) for name, c in usual.items()))
 
 
 def events(log: DataFrame) -> DataFrame:
-    """Normalized events of audit entries. An item's severity and evidence are null where the log has none."""
-    action = F.col("action")
+    """Normalized events of audit entries, those of files (:func:`inspect.logged`) with what is known of the file and its risk.
+
+    Columns that a log does not have are null in its events, as are an item's
+    severity, evidence and segment. An outcome is the response to a file where
+    the log has one, else the action.
+    """
+    action, has = F.col("action"), set(log.columns)
     kind = F.when(audit.is_file(action), "dlp.file").when(action == "block", "dlp.block").when(action == "warn", "dlp.warn").otherwise("dlp.mask")
     known = {f.name for f in log.schema["items"].dataType.elementType.fields}
     text = lambda i, name: i[name] if name in known else F.lit(None).cast("string")
-    detections = F.transform("items", lambda i: F.struct(i["label"].alias("label"), i["classification"].alias("classification"), text(i, "severity").alias("severity"), i["count"].alias("count"), text(i, "evidence").alias("evidence")))
-    return _shaped(log, {
-        "id": F.col("id"), "type": kind, "ts": F.col("ts"), "severity": F.coalesce("max_severity", F.lit("LOW")), "outcome": F.coalesce(F.nullif(F.regexp_replace(action, "file-", ""), F.lit("")), F.lit("observed")), "tool": F.coalesce("tool", F.lit("Unknown")),
+    detections = F.transform("items", lambda i: F.struct(i["label"].alias("label"), i["classification"].alias("classification"), text(i, "severity").alias("severity"), i["count"].cast("long").alias("count"), text(i, "evidence").alias("evidence"), text(i, "segment").alias("segment")))
+    outcome = F.coalesce(*([F.nullif("response_action", F.lit(""))] if "response_action" in has else []), F.nullif(F.regexp_replace(action, "file-", ""), F.lit("")), F.lit("observed"))
+    columns = {
+        "id": F.col("id"), "type": kind, "ts": F.col("ts"), "severity": F.coalesce("max_severity", F.lit("LOW")), "outcome": outcome, "tool": F.coalesce("tool", F.lit("Unknown")),
         "url": F.coalesce("url", F.lit("")), "classifications": F.col("classifications"), "finding_count": F.coalesce("total_findings", F.lit(0).cast("long")), "detections": detections,
-    })
+    }
+    if "file_name" in has:
+        file = F.struct(
+            F.col("file_name").alias("name"), F.col("true_type").alias("trueType"), F.col("declared_ext").alias("declaredExt"), F.coalesce("masquerade", F.lit(False)).alias("masquerade"), F.coalesce("size_bytes", F.lit(0)).cast("long").alias("sizeBytes"),
+            F.coalesce("segments", F.lit(0)).cast("long").alias("parts"), F.coalesce("truncated", F.lit(False)).alias("truncated"), F.col("sha").alias("sha256"),
+        )
+        columns["file"] = F.when(F.col("source") == "file", file) if "source" in has else F.when(F.col("file_name").isNotNull(), file)
+    if "risk_score" in has:
+        factors = F.coalesce("risk_factors", F.array().cast("array<struct<k:string,v:string>>"))
+        columns["risk"] = F.when(F.col("risk_score").isNotNull(), F.struct(F.col("risk_score").cast("int").alias("score"), F.col("risk_band").alias("band"), factors.alias("factors")))
+    return _shaped(log, columns)
 
 
 def captured(captures: DataFrame) -> DataFrame:
     """Events of turns (id, type, content, tool, ts, session_url, tokens, tags, category)."""
-    detail = F.create_map(F.lit("tokens"), F.coalesce("tokens", F.lit(0)).cast("string"), F.lit("tags"), F.array_join("tags", ","), F.lit("category"), F.coalesce("category", F.lit("")))
+    detail = F.to_variant_object(F.struct(F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.coalesce("category", F.lit("")).alias("category")))
     return _shaped(captures, {
         "id": F.col("id"), "type": F.concat("type", F.lit(".captured")), "ts": F.col("ts"), "outcome": F.lit("captured"), "tool": F.coalesce("tool", F.lit("Unknown")), "url": F.coalesce("session_url", F.lit("")), "content": F.coalesce("content", F.lit("")), "detail": detail,
     })
@@ -123,7 +143,7 @@ def captured(captures: DataFrame) -> DataFrame:
 
 def policy_changed(summary: DataFrame, as_of, depth: str = "deep", labeling: bool = False) -> DataFrame:
     """The event of a policy that was saved, from its summary (one row)."""
-    detail = F.create_map(F.lit("detectorsEnabled"), F.col("detecting").cast("string"), F.lit("detectorsBlocking"), F.col("block_switches").cast("string"), F.lit("labeling"), F.lit(str(labeling).lower()), F.lit("inspectionDepth"), F.lit(depth))
+    detail = F.to_variant_object(F.struct(F.col("detecting").alias("detectorsEnabled"), F.col("block_switches").alias("detectorsBlocking"), F.lit(labeling).alias("labeling"), F.lit(depth).alias("inspectionDepth")))
     return _shaped(summary, {"id": F.sha2(F.concat_ws("|", "detecting", "block_switches", F.lit(str(as_of))), 256), "type": F.lit("policy.changed"), "ts": F.lit(as_of), "severity": F.lit("MEDIUM"), "outcome": F.lit("changed"), "detail": detail})
 
 
@@ -162,7 +182,9 @@ def _time(ts: Column) -> Column:
 def cef(vendor: str = VENDOR, product: str = PRODUCT, version: str = VERSION) -> Column:
     fields = {
         "rt": F.unix_millis("ts"), "act": F.col("outcome"), "outcome": F.col("outcome"), "cat": F.array_join("classifications", ","), "cnt": F.col("finding_count"), "request": F.col("url"),
-        "cs1Label": F.lit("aiTool"), "cs1": F.col("tool"), "cs2Label": F.lit("detectors"), "cs2": _labels(True), "msg": F.substring("content", 1, MESSAGE),
+        "cs1Label": F.lit("aiTool"), "cs1": F.col("tool"), "cs2Label": F.lit("detectors"), "cs2": _labels(True),
+        "fname": F.col("file.name"), "fsize": F.col("file.sizeBytes"), "fileType": F.col("file.trueType"), "fileHash": F.col("file.sha256"), "cs3Label": F.when(F.col("file").isNotNull(), "masquerade"), "cs3": F.col("file.masquerade"),
+        "cn1Label": F.when(F.col("risk").isNotNull(), "riskScore"), "cn1": F.col("risk.score"), "cs4Label": F.when(F.col("risk").isNotNull(), "riskBand"), "cs4": F.col("risk.band"), "msg": F.substring("content", 1, MESSAGE),
     }
     name = F.concat_ws(" ", "type", "outcome")
     head = F.concat_ws("|", F.lit("CEF:0"), *(_header(c) for c in (F.lit(vendor), F.lit(product), F.lit(version), F.col("type"), name)), mapped(LEVEL, F.col("severity"), 2).cast("string"))
@@ -173,6 +195,7 @@ def leef(vendor: str = VENDOR, product: str = PRODUCT, version: str = VERSION) -
     fields = {
         "devTime": _time(F.col("ts")), "devTimeFormat": F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSXXX"), "cat": F.array_join("classifications", ","), "sev": mapped(LEVEL, F.col("severity"), 2),
         "action": F.col("outcome"), "aiTool": F.col("tool"), "url": F.col("url"), "findingCount": F.col("finding_count"), "detectors": _labels(False),
+        "fileName": F.col("file.name"), "fileType": F.col("file.trueType"), "fileSize": F.col("file.sizeBytes"), "fileHash": F.col("file.sha256"), "masquerade": F.col("file.masquerade"), "riskScore": F.col("risk.score"), "riskBand": F.col("risk.band"),
         "msg": F.regexp_replace(F.substring("content", 1, MESSAGE), "\r?\n", " "),
     }
     head = F.concat_ws("|", F.lit("LEEF:2.0"), F.lit(vendor), F.lit(product), F.lit(version), "type", F.lit("x09"))
@@ -180,19 +203,39 @@ def leef(vendor: str = VENDOR, product: str = PRODUCT, version: str = VERSION) -
 
 
 def _event() -> Column:
-    return F.struct("type", _time(F.col("ts")).alias("ts"), "severity", "outcome", F.col("tool").alias("aiTool"), "url", "id", "detections", "classifications", F.col("finding_count").alias("findingCount"), "content", "detail")
+    return F.struct(
+        "type", _time(F.col("ts")).alias("ts"), F.lit(VENDOR).alias("vendor"), F.lit(PRODUCT).alias("product"), F.lit(VERSION).alias("version"), "severity", "outcome", F.col("tool").alias("aiTool"), "url", "id", "detections", "classifications",
+        F.col("finding_count").alias("findingCount"), "file", "risk", "content", F.lit(None).cast("string").alias("actor"), "detail",
+    )
 
 
 def as_json(value: Column) -> Column:
-    """JSON with its nulls, but for evidence: what a receiver may not see is not named either. Quotes inside of texts are escaped, so the piece that is cut cannot stand in one."""
-    return F.replace(F.to_json(value, {"ignoreNullFields": "false"}), F.lit(',"evidence":null'), F.lit(""))
+    """JSON with its nulls, but for evidence: what a receiver may not see is not named either. What a risk's factors add are numbers where they are. Quotes inside of texts are escaped, so no piece that is changed can stand in one."""
+    return F.regexp_replace(F.replace(F.to_json(value, {"ignoreNullFields": "false"}), F.lit(',"evidence":null'), F.lit("")), '"v":"(-?[0-9]+)"', '"v":$1')
+
+
+def _members(fields: Mapping[str, Column]) -> Column:
+    """A JSON object of members that are JSON; null ones are left out."""
+    return F.concat(F.lit("{"), F.array_join(F.array(*(F.concat(F.lit(f'"{k}":'), v) for k, v in fields.items())), ","), F.lit("}"))
 
 
 def ecs(vendor: str = VENDOR, product: str = PRODUCT, version: str = VERSION) -> Column:
-    event = F.struct(F.lit("alert").alias("kind"), F.array(F.lit("intrusion_detection")).alias("category"), F.col("outcome").alias("action"), mapped(LEVEL, F.col("severity"), 2).alias("severity"), F.lit(product).alias("dataset"), F.lit(vendor).alias("provider"))
-    observer = F.struct(F.lit(vendor).alias("vendor"), F.lit(product).alias("product"), F.lit(version).alias("version"))
-    labels = F.struct(F.col("tool").alias("ai_tool"), F.array_join("classifications", ",").alias("classifications"), "outcome")
-    return as_json(F.struct(_time(F.col("ts")).alias("@timestamp"), event.alias("event"), observer.alias("observer"), F.struct(F.col("type").alias("name")).alias("rule"), labels.alias("labels"), F.struct("detections", F.col("finding_count").alias("findingCount")).alias("dlp"), F.struct(F.col("url").alias("full")).alias("url")))
+    """An event in the Elastic Common Schema; what an event does not have is left out."""
+    text = lambda value: F.when(value.isNotNull(), F.regexp_replace(F.to_json(F.struct(value.alias("x"))), r'\A\{"x":|\}\z', ""))  # noqa: E731  a text as JSON
+    kind = F.when(F.startswith(F.col("type"), F.lit("dlp.")), "alert").otherwise("event")
+    event = F.struct(kind.alias("kind"), F.array(F.lit("intrusion_detection")).alias("category"), F.col("outcome").alias("action"), mapped(LEVEL, F.col("severity"), 2).alias("severity"), F.lit(product).alias("dataset"), F.lit(vendor).alias("module"), F.lit(vendor).alias("provider"))
+    scored = F.struct(*(event[f].alias(f) for f in ("kind", "category", "action", "severity", "dataset", "module", "provider")), F.col("risk.score").alias("risk_score"))
+    found = F.struct("detections", F.col("finding_count").alias("findingCount"), "detail")
+    file = {"name": F.col("file.name"), "size": F.col("file.sizeBytes"), "extension": F.col("file.declaredExt"), "mime_type": F.col("file.trueType")}
+    hashed = F.struct(*(v.alias(k) for k, v in file.items()), F.struct(F.col("file.sha256").alias("sha256")).alias("hash"))
+    return _members({
+        "@timestamp": text(_time(F.col("ts"))), "event": F.when(F.col("risk").isNotNull(), as_json(scored)).otherwise(as_json(event)),
+        "observer": as_json(F.struct(F.lit(vendor).alias("vendor"), F.lit(product).alias("product"), F.lit(version).alias("version"))), "rule": as_json(F.struct(F.col("type").alias("name"))),
+        "labels": as_json(F.struct(F.col("tool").alias("ai_tool"), F.array_join("classifications", ",").alias("classifications"), "outcome")),
+        "dlp": F.when(F.col("file").isNotNull(), as_json(F.struct("detections", F.col("finding_count").alias("findingCount"), "detail", F.col("file.masquerade").alias("masquerade")))).otherwise(as_json(found)),
+        "url": F.when(F.col("url") != "", as_json(F.struct(F.col("url").alias("full")))),
+        "file": F.when(F.col("file.sha256").isNotNull(), as_json(hashed)).when(F.col("file").isNotNull(), as_json(F.struct(*(v.alias(k) for k, v in file.items())))), "message": F.when(F.col("content") != "", text(F.col("content"))),
+    })
 
 
 def splunk(host: str = PRODUCT, source: str = VENDOR, sourcetype: str = "dlp", index: str = "") -> Column:
@@ -206,8 +249,13 @@ def shipped(application: str = VENDOR, subsystem: str = "dlp", computer: str = P
 
 
 def template(body: str, json: bool = True) -> Column:
-    """A body with ``%%field%%`` in it; ``%%json%%`` is the whole event, ``%%detail.x%%`` an entry of its details. Unknown fields give nothing; values are escaped as inside a JSON string if the body is JSON."""
-    known = {"type": "type", "severity": "severity", "outcome": "outcome", "aiTool": "tool", "url": "url", "id": "id", "findingCount": "finding_count", "content": "content"}
+    """A body with ``%%path%%`` in it: a field of the event, or one inside of it by a dotted path (``%%risk.score%%``, ``%%detections.0.label%%``); ``%%json%%`` is the whole event.
+
+    The event is a VARIANT, of which paths are taken: objects and arrays give
+    their JSON, what is not there gives nothing. ``detections`` and
+    ``classifications`` are joined by commas. Values are escaped as inside a
+    JSON string if the body is JSON.
+    """
 
     def inside(value: Column) -> Column:
         value = F.coalesce(value.cast("string"), F.lit(""))
@@ -217,15 +265,24 @@ def template(body: str, json: bool = True) -> Column:
             value = F.replace(value, F.lit(char), F.lit(put))
         return value
 
-    made, parts, at = {"json": as_json(_event()), "detections": _labels(True), "classifications": F.array_join("classifications", ","), "ts": _time(F.col("ts"))}, [], 0
-    for found in re.finditer("%%([A-Za-z0-9_.]+)%%", body):
-        parts.append(F.lit(body[at : found.start()]))
-        at, name = found.end(), found[1]
-        if name in made or name in known:
-            parts.append(inside(made[name] if name in made else F.col(known[name])))
-        elif name.startswith("detail."):
-            parts.append(inside(F.try_element_at("detail", F.lit(name.removeprefix("detail.")))))
-    return F.concat(*parts, F.lit(body[at:]))
+    def field(whole: Column, event: Column, name: str) -> Column:
+        if not all(name.split(".")):
+            return F.lit("")
+        path = "$" + "".join(f"[{p}]" if p.isdigit() else f".{p}" for p in name.split("."))
+        kind = F.schema_of_variant(F.try_variant_get(event, path, "variant"))
+        return F.when(kind.rlike("^(OBJECT|ARRAY)"), F.get_json_object(whole, path)).otherwise(F.try_variant_get(event, path, "string"))
+
+    made = {"detections": _labels(True), "classifications": F.array_join("classifications", ",")}
+
+    def rendered(whole: Column, event: Column) -> Column:
+        parts, at = [], 0
+        for found in re.finditer("%%([A-Za-z0-9_.]+)%%", body):
+            value = whole if found[1] == "json" else made[found[1]] if found[1] in made else field(whole, event, found[1])
+            parts += [F.lit(body[at : found.start()]), inside(value)]
+            at = found.end()
+        return F.concat(*parts, F.lit(body[at:]))
+
+    return folds.let(as_json(_event()), lambda whole: folds.let(F.parse_json(whole), lambda event: rendered(whole, event)))
 
 
 FORMS = {"json": lambda: as_json(_event()), "ndjson": lambda: as_json(_event()), "cef": cef, "leef": leef, "ecs": ecs, "splunk": splunk, "coralogix": shipped}
@@ -238,7 +295,29 @@ def fan_out(log_events: DataFrame, profiles: Sequence[Profile]) -> DataFrame:
     take it, so nothing is joined or shuffled.
     """
     takes = [F.when(F.col("type").isin(*p.events) & (~F.startswith(F.col("type"), F.lit("dlp.")) | (audit.rank(F.col("severity")) >= audit.RANKS.get(p.min_severity, 1))), F.struct(F.lit(p.id).alias("profile"), F.lit(p.content).alias("mode"), F.lit(p.batch_size).alias("batch_size"))) for p in profiles if p.enabled and p.url]
-    rows = log_events.withColumn("__p", F.explode(F.filter(F.array(*takes), lambda p: p.isNotNull()))).select("*", "__p.*").drop("__p")
+    return _projected(log_events.withColumn("__p", F.explode(F.filter(F.array(*takes), lambda p: p.isNotNull()))).select("*", "__p.*").drop("__p"))
+
+
+#: Receivers that are sent to every task; a table of more is shuffled by kind of event.
+MOST_PROFILES = 2_000
+
+
+def profile_rows(spark: SparkSession, profiles: Sequence[Profile]) -> DataFrame:
+    """(profile, events, min_severity, mode, batch_size, enabled, url): profiles as a table."""
+    rows = [(p.id, list(p.events), p.min_severity, p.content, p.batch_size, p.enabled, p.url) for p in profiles]
+    return spark.createDataFrame(rows, "profile string, events array<string>, min_severity string, mode string, batch_size int, enabled boolean, url string")
+
+
+def fan_out_by(log_events: DataFrame, profiles: DataFrame) -> DataFrame:
+    """What :func:`fan_out` gives, for profiles that are rows (:func:`profile_rows`): a join by kind of event, so a change of one changes no plan."""
+    takes = profiles.where("enabled and url <> ''").select("profile", "mode", "batch_size", audit.rank(F.col("min_severity")).alias("__least"), F.explode(F.array_distinct("events")).alias("__kind"))
+    takes = F.broadcast(takes) if profiles.count() <= MOST_PROFILES else takes
+    rows = log_events.join(takes, (F.col("type") == F.col("__kind")) & (~F.startswith(F.col("type"), F.lit("dlp.")) | (audit.rank(F.col("severity")) >= F.col("__least"))))
+    return _projected(rows.drop("__kind", "__least"))
+
+
+def _projected(rows: DataFrame) -> DataFrame:
+    """Of events that were fanned out, what the mode of their profile lets it see."""
     rows = rows.withColumn("content", F.when(F.col("mode") == "full", F.col("content")))
     bare = F.transform("detections", lambda d: d.withField("evidence", F.lit(None).cast("string")))
     return rows.withColumn("detections", F.when(F.col("mode") == "none", bare).otherwise(F.col("detections")))
@@ -302,16 +381,6 @@ def serialized(rows: DataFrame, profiles: Sequence[Profile]) -> DataFrame:
     return made.select("profile", "batch", "n", "oldest", body.alias("body"), kind.alias("content_type"))
 
 
-def _hmac(secret: str):
-    """The HMAC of texts in hexadecimal; Spark has no such function of its own."""
-
-    @F.pandas_udf("string")
-    def run(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda b: hmac.new(secret.encode(), b.encode(), hashlib.sha256).hexdigest(), na_action="ignore")
-
-    return run
-
-
 def addressed(bodies: DataFrame, profiles: Sequence[Profile]) -> DataFrame:
     """Adds ``url``, ``method`` and ``headers`` to bodies: what a receiver takes, its own headers, and its authentication."""
     url, method, found = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("map<string,string>")
@@ -320,7 +389,7 @@ def addressed(bodies: DataFrame, profiles: Sequence[Profile]) -> DataFrame:
         kind = a.get("type", "none")
         made = {"User-Agent": F.lit(f"{VENDOR}/{VERSION}"), "X-Event-Count": F.col("n").cast("string"), "X-Format": F.lit(p.form), "Content-Type": F.col("content_type")} | {k: F.lit(v) for k, v in (*p.headers, *headers(a).items())}
         if kind == "hmac" and a.get("secret"):
-            made[a.get("signature_header", "X-Signature")] = F.concat(F.lit("sha256="), _hmac(a["secret"])(F.when(own, F.col("body"))))
+            made[a.get("signature_header", "X-Signature")] = F.concat(F.lit("sha256="), sqlnames.hmac_of(a["secret"], F.col("body")))
         at = p.url
         if kind == "query" and a.get("name"):
             at += ("&" if "?" in at else "?") + f"{quote(a['name'], safe='')}={quote(a.get('value', ''), safe='')}"

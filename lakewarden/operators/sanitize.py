@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewarden.functions import folds
@@ -92,7 +94,7 @@ def spliced(text: Column, findings: Column) -> Column:
     return folds.let(findings, lambda f: F.when(F.size(f) == 0, text).otherwise(F.concat(made(f), F.substring(text, F.element_at(f, -1)["end"] + 1, F.length(text)))))
 
 
-def sanitize(docs: DataFrame, text: str = "text", policy: Policy | None = None, detectors: Sequence[Detector] = DETECTORS, most_matches: int | None = None) -> DataFrame:
+def sanitize(docs: DataFrame, text: str = "text", policy: Policy | None = None, detectors: Sequence[Detector] = DETECTORS, most_matches: int | None = None, predicates: Mapping[str, scanning.Predicate] | None = None) -> DataFrame:
     """Scans a table and adds what the policy does with each row.
 
     ``action`` is allow, warn, mask or block. A row with any finding that
@@ -102,18 +104,53 @@ def sanitize(docs: DataFrame, text: str = "text", policy: Policy | None = None,
     allowed and stays null.
     """
     policy = policy or default_policy(detectors)
-    rows = summarized(scanning.scan(docs, text, [k for k, s in policy.rules.items() if s.enabled], only=detectors, most_matches=most_matches))
-    f = F.col("findings")
+    rows = summarized(scanning.scan(docs, text, [k for k, s in policy.rules.items() if s.enabled], only=detectors, most_matches=most_matches, predicates=predicates))
     by = lambda switch: (lambda x: x["rule_id"].isin(_those(policy, switch)) if _those(policy, switch) else F.lit(False))
+    return _acted(rows, text, by, F.lit(policy.labeling), policy.labeler)
+
+
+def _acted(rows: DataFrame, text: str, by: Callable[[str], Callable[[Column], Column]], labeling: Column, labeler: str) -> DataFrame:
+    """Adds what is done with scanned rows: ``by`` gives for a switch the test whether a finding has it on."""
+    f = F.col("findings")
     masked = F.filter(f, by("mask"))
     action = F.when(F.col("truncated"), "block").when(F.size(f) == 0, "allow").when(F.exists(f, by("block")), "block").when(F.size(masked) > 0, "mask").when(F.exists(f, by("warn")), "warn").otherwise("allow")
     rows = rows.withColumns({"action": action, "warn": F.exists(f, by("warn"))})
-    out = spliced(F.col("scanned"), masked)
-    if policy.labeling:
-        names = F.create_map(*(F.lit(x) for pair in SHORT_NAME.items() for x in pair))
-        shown = F.array_join(F.transform(F.array_distinct(F.transform(masked, lambda x: x["classification"])), lambda c: F.coalesce(names[c], c)), ", ")
-        out = F.concat(out, F.lit("\n\n[Data Classification: "), shown, F.lit(f" — sanitized by {policy.labeler}]"))
-    return rows.withColumn("sanitized", F.when(F.col("action") == "mask", out).otherwise(F.col(text)))
+    names = F.create_map(*(F.lit(x) for pair in SHORT_NAME.items() for x in pair))
+    shown = F.array_join(F.transform(F.array_distinct(F.transform(masked, lambda x: x["classification"])), lambda c: F.coalesce(names[c], c)), ", ")
+    banner = F.when(labeling, F.concat(F.lit("\n\n[Data Classification: "), shown, F.lit(f" — sanitized by {labeler}]"))).otherwise("")
+    return rows.withColumn("sanitized", F.when(F.col("action") == "mask", F.concat(spliced(F.col("scanned"), masked), banner)).otherwise(F.col(text)))
+
+
+#: Policies that are sent to every task; a table of more is shuffled by tenant.
+MOST_POLICIES = 2_000
+RULES = "map<string,struct<enabled:boolean,mask:boolean,block:boolean,warn:boolean>>"
+
+
+def policy_rows(spark: SparkSession, policies: Sequence[tuple[str, object, Policy]]) -> DataFrame:
+    """(tenant, since, labeling, rules): policies as a table, from (tenant, since when, policy)."""
+    rows = [(tenant, since, p.labeling, {k: (s.enabled, s.mask, s.block, s.warn) for k, s in p.rules.items()}) for tenant, since, p in policies]
+    return spark.createDataFrame(rows, f"tenant string, since timestamp, labeling boolean, rules {RULES}")
+
+
+def sanitize_by(docs: DataFrame, policies: DataFrame, tenant: str, ts: str | None = None, text: str = "text", labeler: str = "policy", detectors: Sequence[Detector] = DETECTORS, most_matches: int | None = None) -> DataFrame:
+    """The same for rows of many tenants, each by the policy of its own: that of ``policies`` (tenant, since, labeling, rules) which is the newest as of ``ts``, or of all.
+
+    What a policy does not name, and a tenant without one, follows the default.
+    Policies are data that is joined, so a change of one changes no plan. The
+    join sends them to the rows if they are few, and else shuffles both sides.
+    A policy without ``since`` holds from the beginning.
+    """
+    default = F.from_json(F.lit(json.dumps({k: vars(s) for k, s in default_policy(detectors).rules.items()})), RULES)
+    whole = F.map_concat("rules", F.map_filter(default, lambda k, v: ~F.map_contains_key("rules", k)))
+    entry = F.struct(F.coalesce("since", F.lit(datetime.min)).alias("since"), F.coalesce("labeling", F.lit(False)).alias("labeling"), whole.alias("rules"))
+    known = policies.where("tenant is not null and rules is not null").groupBy(F.col("tenant").alias("__tenant")).agg(F.array_sort(F.collect_list(entry), lambda a, b: F.when(a["since"] < b["since"], -1).when(a["since"] > b["since"], 1).otherwise(0)).alias("__history"))
+    known = F.broadcast(known) if policies.count() <= MOST_POLICIES else known
+    current = F.col("__history") if ts is None else F.filter("__history", lambda p: p["since"] <= F.col(ts))
+    joined = docs.join(known, F.col(tenant).cast("string") == F.col("__tenant"), "left").withColumn("__policy", F.try_element_at(current, F.lit(-1)))
+    joined = joined.withColumns({"__rules": F.coalesce("__policy.rules", default), "__labeling": F.coalesce("__policy.labeling", F.lit(False))}).drop("__tenant", "__history", "__policy")
+    rows = summarized(scanning.scan(joined, text, [d.id for d in detectors], only=detectors, most_matches=most_matches, switches="__rules"))
+    by = lambda switch: (lambda x: F.coalesce(F.try_element_at(F.col("__rules"), x["rule_id"])[switch], F.lit(False)))
+    return _acted(rows, text, by, F.col("__labeling"), labeler).drop("__rules", "__labeling")
 
 
 def stored(rows: DataFrame, text: str = "text") -> DataFrame:

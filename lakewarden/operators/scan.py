@@ -13,7 +13,7 @@ most.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import cache, lru_cache
 
 from pyspark import SparkContext
@@ -44,7 +44,7 @@ def _table(detectors: Sequence[tuple[int, Detector]]) -> Column:
         pattern, group = java_pattern(d)
         rows.append({
             "ordinal": ordinal, "rule_id": d.id, "label": d.label, "category": d.category or d.family, "classification": d.data_class, "severity": d.severity, "rank": d.rank, "secret": d.secret, "low": d.low,
-            "heuristic": d.low or d.level == "candidate", "guarded": bool(d.group) or d.low, "check": d.id if d.inline else d.validator, "pattern": pattern, "group": group,
+            "heuristic": d.low or d.level == "candidate", "guarded": bool(d.group) or d.low, "check": d.id if d.inline or not d.validator else d.validator, "pattern": pattern, "group": group,
         })
     return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{_ATTRIBUTES}>>")
 
@@ -62,11 +62,17 @@ def _gate(d: Detector, text: str, lower: str) -> str:
     return " AND ".join([*parts, f"{text} RLIKE {_quoted(java_pattern(d)[0])}"])
 
 
-def candidates(text: str, lower: str, detectors: Sequence[tuple[int, Detector]]) -> Column:
+#: A predicate of a detector: of a value, its text and where it starts, whether the value counts.
+Predicate = Callable[[Column, Column, Column], Column]
+
+
+def candidates(text: str, lower: str, detectors: Sequence[tuple[int, Detector]], switches: str | None = None) -> Column:
     """Of the columns of a text and its lower-case form: the detectors that match anywhere in it, each with the pieces between its matches, the matches, and the values of those that have a group."""
     gates = ", ".join(f"CASE WHEN {_gate(d, text, lower)} THEN {place} END" for place, (_, d) in enumerate(detectors, 1))
     numbers, text = F.expr(f"array_compact(array({gates}))"), F.col(text)
     known = folds.let(_table(detectors), lambda t: F.transform(numbers, lambda k: F.element_at(t, k)))
+    if switches is not None:
+        known = F.filter(known, lambda d: F.coalesce(F.try_element_at(F.col(switches), d["rule_id"])["enabled"], F.lit(False)))
     values = lambda d: F.when(d["group"] > 0, F.regexp_extract_all(text, d["pattern"], d["group"]))
     return F.transform(known, lambda d: F.struct(d.alias("d"), F.split(text, d["pattern"], -1).alias("pieces"), F.regexp_extract_all(text, d["pattern"], F.lit(0)).alias("matches"), values(d).alias("values")))
 
@@ -104,17 +110,19 @@ def _inline(rule: str, value: Column, text: Column, start: Column, countries: Se
     raise KeyError(rule)
 
 
-def _checked(check: Column, value: Column, text: Column, start: Column, detectors: Sequence[tuple[int, Detector]], countries: Sequence[str]) -> Column:
-    """Whether a value passes the validator or predicate of its detector."""
+def _checked(check: Column, value: Column, text: Column, start: Column, detectors: Sequence[tuple[int, Detector]], countries: Sequence[str], predicates: Mapping[str, Predicate]) -> Column:
+    """Whether a value passes the validator or predicate of its detector. A predicate that gives no answer lets a value pass."""
     out = F.lit(True)
+    for name, own in predicates.items():
+        out = F.when(check == name, F.coalesce(own(value, text, start), F.lit(True))).otherwise(out)
     for name in sorted({d.validator for _, d in detectors if d.validator and not d.inline}):
         out = F.when(check == name, VALIDATORS[name](value)).otherwise(out)
-    for name in sorted({d.id for _, d in detectors if d.inline}):
+    for name in sorted({d.id for _, d in detectors if d.inline} - set(predicates)):
         out = F.when(check == name, _inline(name, value, text, start, countries)).otherwise(out)
     return out
 
 
-def _kept(d: Column, s: Column, text: Column, masks: Column, detectors: Sequence[tuple[int, Detector]], countries: Sequence[str]) -> Column:
+def _kept(d: Column, s: Column, text: Column, masks: Column, detectors: Sequence[tuple[int, Detector]], countries: Sequence[str], predicates: Mapping[str, Predicate]) -> Column:
     """The gates of a match: not masked already, no residue of a mask, no placeholder, and valid."""
     value = s["value"]
     bare = F.regexp_replace(value, _SPACE, "")
@@ -125,7 +133,7 @@ def _kept(d: Column, s: Column, text: Column, masks: Column, detectors: Sequence
         (value != "") & ~bare.rlike(r"^X+\z")
         & ~F.when(beside, residue).otherwise(False)
         & ~F.when(d["guarded"], texts.synthetic(value)).otherwise(False)
-        & _checked(d["check"], value, text, s["start"], detectors, countries)
+        & _checked(d["check"], value, text, s["start"], detectors, countries, predicates)
     )
 
 
@@ -179,22 +187,25 @@ def countries(docs: DataFrame) -> tuple[str, ...]:
 
 
 @lru_cache(maxsize=32)
-def _expressions(gateway: int, detectors: tuple[tuple[int, Detector], ...], codes: tuple[str, ...], most: int | None) -> tuple[Column, Column, Column]:
+def _expressions(gateway: int, detectors: tuple[tuple[int, Detector], ...], codes: tuple[str, ...], most: int | None, predicates: tuple[tuple[str, Predicate], ...] = (), switches: str | None = None) -> tuple[Column, Column, Column]:
     """What a scan adds, over columns by name: the detectors that match, findings, and whether there were more. To build them takes as long as to plan them, so they are kept (while the JVM lives that holds them)."""
     body, empty = F.col("scanned"), F.array().cast(f"array<{FINDING}>")
-    spans = lambda masks: F.transform("__matched", lambda c: F.transform(F.filter(_placed(c, most), lambda s: _kept(c["d"], s, body, masks, detectors, codes)), lambda s: _finding(c["d"], s)))
+    spans = lambda masks: F.transform("__matched", lambda c: F.transform(F.filter(_placed(c, most), lambda s: _kept(c["d"], s, body, masks, detectors, codes, dict(predicates))), lambda s: _finding(c["d"], s)))
     found = folds.let(_masks(body), lambda masks: _resolved(F.flatten(spans(masks)).cast(f"array<{FINDING}>")))
     more = F.lit(False) if most is None else F.exists("__matched", lambda c: F.size(c["matches"]) > most)
-    return candidates("scanned", "__lower", detectors), F.when(F.size("__matched") > 0, found).otherwise(empty), more
+    return candidates("scanned", "__lower", detectors, switches), F.when(F.size("__matched") > 0, found).otherwise(empty), more
 
 
-def scan(docs: DataFrame, text: str = "text", enabled: Sequence[str] | None = None, normalize: bool = True, only: Sequence[Detector] = DETECTORS, most_matches: int | None = None) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", enabled: Sequence[str] | None = None, normalize: bool = True, only: Sequence[Detector] = DETECTORS, most_matches: int | None = None, predicates: Mapping[str, Predicate] | None = None, switches: str | None = None) -> DataFrame:
     """Adds ``scanned`` (the text that offsets refer to), ``findings`` and ``truncated`` to a table.
 
     ``enabled`` names the detectors that run; by default those that are on.
     All matches count unless ``most_matches`` bounds those of one detector in
     one text; ``truncated`` tells that there were more. A null text has no
-    findings. Offsets are code points.
+    findings. Offsets are code points. ``predicates`` gives detectors, by id, a
+    predicate of the caller's. ``switches`` names a column that maps the ids of
+    detectors to structs: where a row's says ``enabled`` the detector runs for
+    that row; nothing of it is part of the plan.
     """
     chosen = None if enabled is None else set(enabled)
     detectors = [(k, d) for k, d in enumerate(only) if (d.on if chosen is None else d.id in chosen)]
@@ -204,7 +215,7 @@ def scan(docs: DataFrame, text: str = "text", enabled: Sequence[str] | None = No
     if not detectors:
         return ready.drop("__lower", *extra).withColumns({"findings": empty, "truncated": F.lit(False)})
     codes = countries(docs) if any(d.id == "SWIFT_BIC" for _, d in detectors) else ("AD",)
-    matched, found, more = _expressions(id(docs.sparkSession.sparkContext._gateway), tuple(detectors), codes, most_matches)
+    matched, found, more = _expressions(id(docs.sparkSession.sparkContext._gateway), tuple(detectors), codes, most_matches, tuple(sorted((predicates or {}).items())), switches)
     rows = ready.withColumn("__matched", matched).withColumns({"findings": found, "truncated": more})
     return rows.drop("__lower", "__matched", *extra)
 

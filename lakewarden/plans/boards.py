@@ -133,14 +133,14 @@ def facets_ordered(spark, sf_dir):
 
 # --- events ---
 
-_ITEM = "json_object('label', label{k}, 'classification', class{k}, 'severity', grade{k}, 'count', count{k}{e})"
+_ITEM = "json_object('label', label{k}, 'classification', class{k}, 'severity', grade{k}, 'count', count{k}{e}, 'segment', NULL)"
 _GRADES = sql.listed(d.severity for d in policy.DETECTORS[:100])
 _STAMP = "strftime(date_trunc('second', e.ts), '%Y-%m-%dT%H:%M:%S.') || lpad(((epoch_us(e.ts) // 1000) % 1000)::VARCHAR, 3, '0') || 'Z'"
 
 
 def _event(evidence: bool, ts: str = "stamp") -> str:
     extra = ", 'evidence', '••••'" if evidence else ""
-    return f"json_object('type', type, 'ts', {ts}, 'severity', max_severity, 'outcome', outcome, 'aiTool', tool, 'url', url, 'id', id, 'detections', json_array({_ITEM.format(k=1, e=extra)}, {_ITEM.format(k=2, e=extra)}), 'classifications', CASE WHEN class1 = class2 THEN json_array(class1) ELSE json_array(class1, class2) END, 'findingCount', total_findings, 'content', NULL, 'detail', '{{}}'::JSON)"
+    return f"json_object('type', type, 'ts', {ts}, 'vendor', '{forward.VENDOR}', 'product', '{forward.PRODUCT}', 'version', '{forward.VERSION}', 'severity', max_severity, 'outcome', outcome, 'aiTool', tool, 'url', url, 'id', id, 'detections', json_array({_ITEM.format(k=1, e=extra)}, {_ITEM.format(k=2, e=extra)}), 'classifications', CASE WHEN class1 = class2 THEN json_array(class1) ELSE json_array(class1, class2) END, 'findingCount', total_findings, 'file', NULL, 'risk', NULL, 'content', NULL, 'actor', NULL, 'detail', '{{}}'::JSON)"
 
 
 _WIRED = f"{_EVENTS}, w AS (SELECT e.*, {_GRADES}[ev.k + 1] AS grade1, {_GRADES}[(ev.k * 7 + 3) % 100 + 1] AS grade2, {_STAMP} AS stamp FROM e JOIN ev ON ev.event_id = e.id)"
@@ -149,19 +149,19 @@ _NAMES = (forward.VENDOR, forward.PRODUCT, forward.VERSION)
 
 @query("events_wire", f"""{_WIRED} SELECT id, {_event(True)}::VARCHAR AS json,
     json_object('time', epoch_us(ts) // 1000000, 'host', '{_NAMES[1]}', 'source', '{_NAMES[0]}', 'sourcetype', 'dlp', 'event', {_event(True)})::VARCHAR AS splunk,
-    json_object('@timestamp', stamp, 'event', json_object('kind', 'alert', 'category', json_array('intrusion_detection'), 'action', outcome, 'severity', level, 'dataset', '{_NAMES[1]}', 'provider', '{_NAMES[0]}'), 'observer', json_object('vendor', '{_NAMES[0]}', 'product', '{_NAMES[1]}', 'version', '{_NAMES[2]}'),
-        'rule', json_object('name', type), 'labels', json_object('ai_tool', tool, 'classifications', cat, 'outcome', outcome), 'dlp', json_object('detections', json_array({_ITEM.format(k=1, e=", 'evidence', '••••'")}, {_ITEM.format(k=2, e=", 'evidence', '••••'")}), 'findingCount', total_findings), 'url', json_object('full', url))::VARCHAR AS ecs,
+    json_object('@timestamp', stamp, 'event', json_object('kind', 'alert', 'category', json_array('intrusion_detection'), 'action', outcome, 'severity', level, 'dataset', '{_NAMES[1]}', 'module', '{_NAMES[0]}', 'provider', '{_NAMES[0]}'), 'observer', json_object('vendor', '{_NAMES[0]}', 'product', '{_NAMES[1]}', 'version', '{_NAMES[2]}'),
+        'rule', json_object('name', type), 'labels', json_object('ai_tool', tool, 'classifications', cat, 'outcome', outcome), 'dlp', json_object('detections', json_array({_ITEM.format(k=1, e=", 'evidence', '••••'")}, {_ITEM.format(k=2, e=", 'evidence', '••••'")}), 'findingCount', total_findings, 'detail', '{{}}'::JSON), 'url', json_object('full', url))::VARCHAR AS ecs,
     json_object('applicationName', '{_NAMES[0]}', 'subsystemName', 'dlp', 'computerName', '{_NAMES[1]}', 'severity', CASE max_severity WHEN 'LOW' THEN 3 WHEN 'MEDIUM' THEN 4 WHEN 'HIGH' THEN 5 ELSE 6 END, 'timestamp', epoch_us(ts) // 1000, 'category', type, 'className', tool, 'methodName', outcome, 'text', {_event(True)})::VARCHAR AS shipped,
-    '{{"t":"' || type || '","d":"' || label1 || CASE WHEN count1 > 1 THEN 'x' || count1 ELSE '' END || ',' || label2 || '","c":"' || cat || '","none":""}}' AS template FROM w""")
+    '{{"t":"' || type || '","p":"' || label2 || '/' || total_findings || '","d":"' || label1 || CASE WHEN count1 > 1 THEN 'x' || count1 ELSE '' END || ',' || label2 || '","c":"' || cat || '","none":""}}' AS template FROM w""")
 def events_wire(spark, sf_dir):
-    body = '{"t":"%%type%%","d":"%%detections%%","c":"%%classifications%%","none":"%%risk.score%%"}'
+    body = '{"t":"%%type%%","p":"%%detections.1.label%%/%%findingCount%%","d":"%%detections%%","c":"%%classifications%%","none":"%%risk.score%%%%nothing.at.all%%%%file%%"}'
     return _events(spark, sf_dir).select("id", forward.as_json(forward._event()).alias("json"), forward.splunk().alias("splunk"), forward.ecs().alias("ecs"), forward.shipped().alias("shipped"), forward.template(body).alias("template"))
 
 
 @query("events_captured", f"{_E} SELECT id, type || '.captured' AS type, 'captured' AS outcome, coalesce(session_url, '') AS url, tokens::VARCHAR AS tokens, array_to_string(tags, ',') AS tags, tags[1] AS category, length(content) AS chars FROM enr")
 def events_captured(spark, sf_dir):
     rows = forward.captured(_turns(spark, sf_dir))
-    return rows.select("id", "type", "outcome", "url", *(F.element_at("detail", k).alias(k) for k in ("tokens", "tags", "category")), F.length("content").cast("long").alias("chars"))
+    return rows.select("id", "type", "outcome", "url", *(F.variant_get("detail", f"$.{k}", "string").alias(k) for k in ("tokens", "category")), F.array_join(F.variant_get("detail", "$.tags", "array<string>"), ",").alias("tags"), F.length("content").cast("long").alias("chars"))
 
 
 _ON = sum(d.on for d in policy.DETECTORS)
@@ -173,7 +173,7 @@ def events_of_settings(spark, sf_dir):
     now = datetime(2024, 1, 1)
     changed = forward.policy_changed(policy.summary(policy.table(spark, sanitize.default_policy())), now)
     rows = changed.unionByName(forward.sample(spark, now))
-    return rows.select("type", "severity", "outcome", "finding_count", F.try_element_at("detail", F.lit("detectorsEnabled")).alias("detectors"))
+    return rows.select("type", "severity", "outcome", "finding_count", F.try_variant_get("detail", "$.detectorsEnabled", "string").alias("detectors"))
 
 
 # --- receivers ---

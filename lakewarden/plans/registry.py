@@ -20,21 +20,21 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def _registered() -> dict[str, tuple[Query, str | None]]:
+    """All queries; the modules that hold them register them as they are imported."""
+    from lakewarden.plans import boards, detection, names, queries, streams  # noqa: F401
+
+    return _QUERIES
+
+
 def queries() -> dict[str, Query]:
-    return {name: f for name, (f, _) in _QUERIES.items()}
+    return {name: f for name, (f, _) in _registered().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _QUERIES.items() if sql}
+    return {name: sql for name, (_, sql) in _registered().items() if sql}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the default policy does with every document."""
-    return _QUERIES["sanitized"][0](spark, sf_dir)
-
-
-def _registered() -> None:
-    from lakewarden.plans import boards, detection, queries, streams  # noqa: F401  register on import
-
-
-_registered()
+    return _registered()["sanitized"][0](spark, sf_dir)
