@@ -93,7 +93,7 @@ def hmac_sha256(key: Column, body: Column) -> Column:
     """The HMAC-SHA-256 (RFC 2104) of a text or bytes, in lower-case hexadecimal; null if either is null."""
     key, body = key.cast("binary"), body.cast("binary")
     inner = F.unhex(F.sha2(F.concat(_padded(key, 0x36), body), 256))
-    return F.sha2(F.concat(_padded(key, 0x5C), inner), 256)
+    return F.when(key.isNotNull(), F.sha2(F.concat(_padded(key, 0x5C), inner), 256))
 
 
 def hmac_of(secret: str, body: Column) -> Column:
@@ -111,7 +111,7 @@ def _xored(pad: int) -> str:
     return f"unhex(array_join(transform(sequence(0, 63), k -> lpad(hex(CAST(CAST(conv(substring({_BLOCK}, k * 2 + 1, 2), 16, 10) AS INT) ^ {pad} AS BIGINT)), 2, '0')), ''))"
 
 
-OTHERS["hmac_sha256"] = ("key STRING, body STRING", "STRING", f"sha2(concat({_xored(0x5C)}, unhex(sha2(concat({_xored(0x36)}, CAST(body AS BINARY)), 256))), 256)")
+OTHERS["hmac_sha256"] = ("key STRING, body STRING", "STRING", f"CASE WHEN key IS NOT NULL THEN sha2(concat({_xored(0x5C)}, unhex(sha2(concat({_xored(0x36)}, CAST(body AS BINARY)), 256))), 256) END")
 
 
 def register(spark: SparkSession) -> tuple[str, ...]:

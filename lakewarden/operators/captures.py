@@ -111,52 +111,72 @@ def without_repeats(captures: DataFrame) -> DataFrame:
     return ordered.join(F.broadcast(before), "__range").where(~F.coalesce(same, F.lit(False))).select(*captures.columns)
 
 
-def retained(captures: DataFrame, most_items: int = MOST_ITEMS, most_bytes: int = MOST_BYTES, reserve: int = STARRED_BYTES, step: int = 10_000) -> DataFrame:
+def _behind(last) -> Column:
+    """The sizes behind one, in the order of :func:`_newest`."""
+    ts = F.lit(False) if last.ts is None else F.col("ts").isNull() | (F.col("ts") < F.lit(last.ts))
+    by_id = F.lit(False) if last.id is None else F.col("id").isNull() | (F.col("id") > last.id)
+    same_ts, same_id = F.col("ts").eqNullSafe(F.lit(last.ts).cast("timestamp")), F.col("id").eqNullSafe(F.lit(last.id).cast("string"))
+    rest = F.struct("starred", "cost") > F.struct(F.lit(last.starred), F.lit(last.cost).cast("long"))
+    return ts | (same_ts & (by_id | (same_id & rest)))
+
+
+def _newest() -> list[Column]:
+    return [F.desc_nulls_last("ts"), F.asc_nulls_last("id"), F.col("starred"), F.col("cost")]
+
+
+def retained(captures: DataFrame, most_items: int = MOST_ITEMS, most_bytes: int = MOST_BYTES, reserve: int = STARRED_BYTES, step: int = 10_000, most_step: int = 200_000) -> DataFrame:
     """The newest turns that fit a budget, with ``overflow``: whether a starred one took of the reserve.
 
-    A turn that does not fit is skipped and later ones may fit. The result is
-    bounded by the budget (some 13,000 turns), whatever the table: the driver
-    takes the next ``step`` sizes that could still fit, newest first (those
-    without a time last), and goes on behind them; only ids and sizes are ever
-    fetched. Turns without an id are dropped.
+    A turn that does not fit is skipped and later ones may fit. Turns that
+    agree in time, id, star and size are alike and are counted first; turns
+    that only share an id are turns of their own. Once a turn did not fit, no
+    later one of the same size and star does, so of each size only the newest
+    go on, as many as the budget holds: some 20 million sizes at most,
+    whatever the table. The driver takes the next ``step`` of those that could
+    still fit (twice as many each time, within a bound) and goes on behind
+    them. Turns without a time come last, without an id after others.
     """
-    spark, sized = captures.sparkSession, captures.select("id", "ts", "starred", (F.coalesce(F.length("content"), F.lit(0)) + ITEM_BYTES).alias("cost")).where("id is not null")
+    spark, path = captures.sparkSession, shared.new_path(captures.sparkSession, "sizes")
+    keyed = captures.withColumns({"__id": F.col("id").cast("string"), "__star": F.coalesce("starred", F.lit(False)), "__cost": (F.coalesce(F.length("content"), F.lit(0)) + ITEM_BYTES).cast("long")})
+    alike = keyed.groupBy(F.col("ts").alias("ts"), F.col("__id").alias("id"), F.col("__star").alias("starred"), F.col("__cost").alias("cost")).agg(F.count("*").alias("n"))
+    most = most_bytes + reserve
+    ranked = alike.where(F.col("cost") <= most).withColumn("k", F.row_number().over(Window.partitionBy("cost", "starred").orderBy(*_newest())))
+    ranked.where(F.col("k") <= max(1, most // ITEM_BYTES)).where(F.col("k") <= F.floor(F.lit(most) / F.col("cost"))).drop("k").write.parquet(path)
+    sizes = spark.read.schema("ts timestamp, id string, starred boolean, cost long, n long").parquet(path)
     kept, taken, count, last = [], 0, 0, None
     while True:
-        room = most_bytes + reserve - taken
         fits = (F.col("cost") <= most_bytes - taken) if count < most_items else F.lit(False)
-        rows = sized.where(fits | (F.col("starred") & (F.col("cost") <= room)))
-        if last is not None and last.ts is not None:
-            rows = rows.where(F.col("ts").isNull() | (F.col("ts") < last.ts) | ((F.col("ts") == last.ts) & (F.col("id") > last.id)))
-        elif last is not None:
-            rows = rows.where(F.col("ts").isNull() & (F.col("id") > last.id))
-        batch = rows.orderBy(F.desc_nulls_last("ts"), "id").limit(step).collect()
+        rows = sizes.where(fits | (F.col("starred") & (F.col("cost") <= most - taken)))
+        batch = (rows if last is None else rows.where(_behind(last))).orderBy(*_newest()).limit(step).collect()
         for r in batch:
-            if count < most_items and taken + r.cost <= most_bytes:
-                kept.append((r.id, False))
-                count += 1
-            elif r.starred and taken + r.cost <= most_bytes + reserve:
-                kept.append((r.id, True))
-            else:
-                continue
-            taken += r.cost
+            main = min(r.n, max(0, most_items - count), max(0, (most_bytes - taken) // r.cost))
+            spare = min(r.n - main, max(0, (most - taken - main * r.cost) // r.cost)) if r.starred else 0
+            if main or spare:
+                kept.append((r.ts, r.id, r.starred, r.cost, main, main + spare))
+            taken, count = taken + (main + spare) * r.cost, count + main
         if len(batch) < step:
             break
-        last = batch[-1]
-    return captures.join(F.broadcast(spark.createDataFrame(kept, "id string, overflow boolean")), "id")  # bounded by the budget
+        last, step = batch[-1], min(2 * step, most_step)
+    chosen = F.broadcast(spark.createDataFrame(kept, "__ts timestamp, __own string, __starred boolean, __size long, __main int, __all int"))  # bounded by the budget
+    found = keyed.join(chosen, F.col("ts").eqNullSafe(F.col("__ts")) & F.col("__id").eqNullSafe(F.col("__own")) & (F.col("__star") == F.col("__starred")) & (F.col("__cost") == F.col("__size")))
+    place = F.row_number().over(Window.partitionBy("__ts", "__own", "__starred", "__size").orderBy(F.col("content")))
+    numbered = found.withColumn("__place", place).where(F.col("__place") <= max(1, most // ITEM_BYTES)).where(F.col("__place") <= F.col("__all"))
+    return numbered.select(*captures.columns, (F.col("__place") > F.col("__main")).alias("overflow"))
 
 
 def threads(captures: DataFrame) -> DataFrame:
     """A row for each session: the last prompt (else the first turn), first tool, last time, most frequent tag, and counts."""
-    rows = captures.select(F.coalesce("session_url", F.lit("unknown")).alias("url"), "type", "content", "tool", "ts", "id", "starred", "tags")
-    order = F.struct("ts", "id")
-    base = rows.groupBy("url").agg(
-        F.coalesce(F.max_by(F.when(F.col("type") == "prompt", F.col("content")), F.when(F.col("type") == "prompt", order)), F.min_by("content", order)).alias("preview"),
-        F.min_by("tool", order).alias("tool"), F.max("ts").alias("last_time"), F.bool_or("starred").alias("has_starred"), F.count("*").alias("n_items"),
+    rows = captures.select(F.coalesce("session_url", F.lit("unknown")).alias("url"), "type", "content", "tool", "ts", "id", "starred", F.posexplode_outer("tags").alias("place", "tag"))
+    order, first = F.struct("ts", "id"), F.coalesce("place", F.lit(0)) == 0  # a row for each tag: what is told of a turn is told by its first
+    said = F.when(first & (F.col("type") == "prompt"), order)
+    by_tag = rows.groupBy("url", "tag").agg(
+        F.max_by(F.when(said.isNotNull(), F.col("content")), said).alias("prompt"), F.max(said).alias("prompt_at"), F.min_by("content", order).alias("content"), F.min_by("tool", order).alias("tool"), F.min(order).alias("at"),
+        F.max("ts").alias("last_time"), F.bool_or("starred").alias("has_starred"), F.count_if(first).alias("n_items"), F.count("tag").alias("n"), F.min(F.struct("ts", "id", "place")).alias("first"),
+    )  # at most a row for each tag that a session has
+    return by_tag.groupBy("url").agg(
+        F.coalesce(F.max_by("prompt", "prompt_at"), F.min_by("content", "at")).alias("preview"), F.min_by("tool", "at").alias("tool"), F.max("last_time").alias("last_time"), F.bool_or("has_starred").alias("has_starred"), F.sum("n_items").alias("n_items"),
+        F.coalesce(F.min_by("tag", F.when(F.col("n") > 0, F.struct(-F.col("n"), "first"))), F.lit("General")).alias("top_tag"),
     )
-    tagged = rows.select("url", "ts", "id", F.posexplode("tags").alias("place", "tag")).groupBy("url", "tag").agg(F.count("*").alias("n"), F.min(F.struct("ts", "id", "place")).alias("first"))
-    top = tagged.groupBy("url").agg(F.min_by("tag", F.struct(-F.col("n"), "first")).alias("top_tag"))
-    return base.join(top, "url", "left").withColumn("top_tag", F.coalesce("top_tag", F.lit("General")))
 
 
 def listed(captures: DataFrame, search: str = "", tool: str = "ALL", kind: str = "ALL", starred: bool = False, most: int | None = MOST_LISTED) -> DataFrame:
@@ -231,7 +251,8 @@ def stats(captures: DataFrame) -> DataFrame:
 
 def tag_cloud(captures: DataFrame, most: int = TOP_TAGS) -> DataFrame:
     """The most frequent tags and the size each is shown at, from 10 to 16."""
-    counts = captures.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(most)
+    # outer, and filtered after: a filter on the array itself would tell the tags of each turn again below it
+    counts = captures.select(F.explode_outer("tags").alias("tag")).where(F.col("tag").isNotNull()).groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(most)
     return counts.withColumn("size", 10 + 6 * F.col("n") / F.max("n").over(Window.partitionBy(F.lit(1))))
 
 

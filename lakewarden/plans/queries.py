@@ -59,6 +59,23 @@ def captures_retained(spark, sf_dir):
     return captures.retained(activity.captures(spark, sf_dir)).select("id", "type", "tool", "starred", "overflow")
 
 
+#: A budget that is used up: turns of every third conversation come twice, and ids are those of conversations.
+_TIGHT = (60, 60_000, 20_000)
+
+
+@query("captures_budget_bites", f"""WITH RECURSIVE {sql.CAPTURES}, t AS (SELECT string_split(id, '-')[1] AS id, ts, starred, type, tool, content FROM caps, (SELECT unnest([1, 2]) AS copy) WHERE copy = 1 OR string_split(id, '-')[1]::BIGINT % 3 = 0),
+n AS MATERIALIZED (SELECT *, length(content) + {captures.ITEM_BYTES} AS cost, row_number() OVER (ORDER BY ts DESC, id, starred, length(content)) AS k FROM t),
+r AS (SELECT 0::BIGINT AS k, 0::BIGINT AS items, 0::BIGINT AS bytes, false AS kept, false AS overflow
+    UNION ALL SELECT k, items + fits::INT, bytes + CASE WHEN fits OR spare THEN cost ELSE 0 END, fits OR spare, spare AND NOT fits FROM (
+        SELECT n.k, items, bytes, cost, items < {_TIGHT[0]} AND bytes + cost <= {_TIGHT[1]} AS fits, starred AND bytes + cost <= {sum(_TIGHT[1:])} AS spare FROM r JOIN n ON n.k = r.k + 1))
+SELECT id, epoch_us(ts) AS ts, type, tool, starred, overflow FROM r JOIN n USING (k) WHERE kept""")
+def captures_budget_bites(spark, sf_dir):
+    """A budget that does not hold all turns, some of which share their id with others or come twice."""
+    turns = activity.captures(spark, sf_dir).withColumn("id", F.split("id", "-")[0])
+    twice = turns.unionByName(turns.where(F.col("id").cast("long") % 3 == 0))
+    return captures.retained(twice, *_TIGHT).select("id", F.unix_micros("ts").alias("ts"), "type", "tool", "starred", "overflow")
+
+
 @query("threads", f"""{_E}, t AS (SELECT *, coalesce(session_url, 'unknown') AS u FROM enr),
 x AS (SELECT u, ts, id, unnest(tags) AS tag, generate_subscripts(tags, 1) AS place FROM t),
 o AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY ts, id, place) AS k FROM x),

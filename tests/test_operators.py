@@ -103,6 +103,16 @@ def test_retention(spark):
     got = captures.retained(turns(spark, rows), 60, 30_000, 8_000, step=7)
     assert {r.id: r.overflow for r in got.collect()} == kept
     assert captures.retained(turns(spark, rows).limit(0)).count() == 0
+    like = turns(spark, rows).unionByName(turns(spark, rows).withColumn("starred", F.lit(False)).withColumn("content", F.concat("content", "content")).withColumn("id", F.lit("same")))
+    few = captures.retained(turns(spark, rows[-1:] * 3).withColumns({"id": F.lit(None).cast("string"), "ts": F.lit(None).cast("timestamp")}), 2, 10**6, 0)
+    assert few.count() == 2  # without id and time, and alike
+    order = sorted(like.collect(), key=lambda r: (-r.ts.timestamp(), r.id, r.starred, len(r.content)))
+    want, taken = [], 0
+    for r in order:
+        if len(want) < 200 and taken + len(r.content) + 320 <= 50_000:
+            want.append((r.id, r.ts))
+            taken += len(r.content) + 320
+    assert sorted((r.id, r.ts) for r in captures.retained(like, 200, 50_000, 0, step=5, most_step=9).collect()) == sorted(want)
 
 
 def test_repeats(spark):
