@@ -3,38 +3,46 @@
 A scanner splits markup into tags and text; a tree builder opens and closes
 elements with the implied end tags of HTML (a new ``li`` ends the last one, a
 block ends a paragraph, a cell ends a cell, and so on) and drops end tags that
-match nothing; the layout writes all text that is visible. Hidden are
-elements that are never rendered (``head``, ``script``, ``template`` and
-others), ones with ``hidden``, ones whose style is ``display:none``, be it their
-own or a rule of the page for a tag, class or id, and, unless an element inside
-of them is ``visible`` again, ones that are ``visibility:hidden``. Rules in ``@media screen`` and ``@media all`` (and ``@layer``) count; those under any
-other condition do not.
+match nothing; the layout writes all text that is visible.
+
+Visibility is that of the cascade (:mod:`styles`): all style sheets of the page
+hold for all of it, by importance, specificity and order, with compound, child
+and descendant selectors; then the element's own style, and below both its
+``hidden``. Never rendered are ``head``, ``script``, ``template`` and others. A
+``details`` that is not open shows its summary alone, a ``dialog`` that is not
+open nothing. ``display:none`` hides all that is inside of an element;
+``visibility:hidden`` what is not ``visible`` again.
 
 Blocks begin on lines of their own, with a blank line around paragraphs,
 headings, lists, quotes and tables; list items get ``-`` or their number and
-are indented by depth; ``pre`` keeps its white space; the cells of a table are
-padded so that columns line up, however wide they are. Everything is driven by a stack, not by recursion, so depth has no
-limit.
+are indented by depth, up to :data:`MOST_INDENT` columns; ``pre`` keeps its
+white space; the columns of a table line up. All spaces that line columns up
+are at most :data:`MOST_PADDING` times the page's length: a table that needs
+more than is left has its cells two spaces apart instead, and the cells of tables in
+more than :data:`MOST_NESTED` others are blocks. Everything is driven by
+stacks, and takes time in proportion to the page.
 
 Defined results: null and empty pages have empty text; text outside any tag is
 rendered; a tag that never ends hides what follows, as in browsers; a quote in
-a tag that never ends is a character like others. Repeated rows get equal results.
+a tag that never ends is a character like others. Repeated rows get equal
+results; columns of any name are kept.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakewarden.llm import store, textvec
+from lakewarden.llm import store, styles, textvec
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -66,18 +74,16 @@ _NAMED = r"[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]+
 _TAG = re.compile(rf"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_NAMED})*+)>")
 _OPENS = re.compile(r"</?[a-zA-Z]")
 _ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]++|(?=>)))?+")
-_CSS = re.compile(r"/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*+\"?|'(?:[^'\\\n]|\\.)*+'?|[{};]|[^{};\"'/]++|/", re.S)
-#: At-rules whose rules hold on a screen of any size.
-_APPLIES = re.compile(r"@media(?:\s+(?:only\s+)?(?:screen|all))?(?:\s*,.*)?\Z|@media\b.*,\s*(?:only\s+)?(?:screen|all)\s*(?:,.*)?\Z|@layer\b.*\Z", re.I | re.S)
-_GONE = re.compile(r"(?<![\w-])display\s*:\s*none", re.I)
-_VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(hidden|collapse|visible)", re.I)
-_SIMPLE = re.compile(r"[.#]?[\w-]+\Z")
+#: Columns beyond which lists and quotes are not indented, and spaces of tables for each character of a page.
+MOST_INDENT, MOST_PADDING = 64, 8
+#: Tables within tables beyond which cells are blocks of the cell around them.
+MOST_NESTED = 32
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 def scan(page: str) -> Iterator[tuple[str, str, str]]:
     """Events ("text", text, ""), ("start", tag, attributes) and ("end", tag, "")."""
-    at, low, no_comment_end = 0, None, False
+    at, no_comment_end = 0, False
     while at < len(page):
         begin = page.find("<", at)
         if begin < 0:
@@ -110,9 +116,8 @@ def scan(page: str) -> Iterator[tuple[str, str, str]]:
             continue
         yield "start", name, tag[3]
         if name in RAW:
-            low = low if low is not None else page.lower()
-            end = low.find(f"</{name}", at)
-            end = len(page) if end < 0 else end
+            found = re.compile(f"</{name}", re.I | re.A).search(page, at)
+            end = found.start() if found else len(page)
             if end > at:
                 yield "text", page[at:end], ""
             at = end
@@ -127,18 +132,15 @@ def attributes(raw: str) -> dict[str, str]:
 def build(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
     """Balanced events: the tree, in document order. Text events carry their text as the name."""
     open_tags: list[str] = []
-    count: Counter = Counter()  # of open elements by tag
+    places: dict[str, list[int]] = {}  # of open elements by tag
+
+    def nearest(tags: frozenset) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
 
     def closing(ends: frozenset, bars: frozenset) -> int:
         """The place from which elements close, or the stack's height."""
-        if not any(count[tag] for tag in ends):
-            return len(open_tags)
-        for k in range(len(open_tags) - 1, -1, -1):
-            if open_tags[k] in ends:
-                return k
-            if open_tags[k] in bars:
-                break
-        return len(open_tags)
+        end = nearest(ends)
+        return end if end >= 0 and end > nearest(bars - ends) else len(open_tags)
 
     for kind, name, raw in scan(page):
         if kind == "text":
@@ -153,10 +155,10 @@ def build(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
                 cut = closing(*_PARAGRAPH)
             if name in IMPLIED:
                 cut = closing(*IMPLIED[name])
-            elif count["head"] and name not in _HEAD:
-                cut = min(cut, open_tags.index("head"))
+            elif places.get("head") and name not in _HEAD:
+                cut = min(cut, places["head"][0])
         while len(open_tags) > cut:
-            count[open_tags[-1]] -= 1
+            places[open_tags[-1]].pop()
             yield "end", open_tags.pop(), {}
         if kind == "start":
             found = attributes(raw)
@@ -164,8 +166,8 @@ def build(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
             if name in VOID:
                 yield "end", name, {}
             else:
+                places.setdefault(name, []).append(len(open_tags))
                 open_tags.append(name)
-                count[name] += 1
     while open_tags:
         yield "end", open_tags.pop(), {}
 
@@ -202,9 +204,10 @@ class Flow:
         if self.blank and self.lines:
             self.lines.append("")
         self.blank = False
-        pad = " " * self.indent
+        indent = min(self.indent, MOST_INDENT)
+        pad = " " * indent
         if self.marker:
-            pad, self.marker = " " * max(0, self.indent - len(self.marker)) + self.marker, ""
+            pad, self.marker = " " * max(0, indent - len(self.marker)) + self.marker, ""
         self.lines.append((pad + body).rstrip())
 
     def gap(self) -> None:
@@ -217,87 +220,77 @@ class Table:
     rows: list[list[tuple[list[str], int, int]]] = field(default_factory=list)  # of each cell its lines, columns and rows
 
 
-def _gridded(table: Table) -> list[list[tuple[list[str], int, int]]]:
-    """The rows with each cell's column: (lines, first column, columns). Columns that a cell above reaches into are taken, by an empty cell."""
-    busy: dict[int, int] = {}  # column to rows that it is still taken for
+class Spent(Exception):
+    """More spaces, or more work for them, than is left."""
+
+
+@dataclass
+class Room:
+    """Spaces that are left for all tables of a page; what a table has used, be it for nothing, is gone."""
+
+    left: int
+
+    def take(self, n: int) -> None:
+        self.left -= n
+        if self.left < 0:
+            self.left = 0
+            raise Spent
+
+
+def _gridded(table: Table, room: Room) -> list[list[tuple[list[str], int, int]]]:
+    """The rows with each cell's column: (lines, first column, columns). Columns that a cell above reaches into are taken."""
+    busy: list[tuple[int, int, int]] = []  # first column, the column behind the last one, rows that they are still taken for
     out = []
     for row in table.rows:
+        room.take(len(busy))
         line: list[tuple[list[str], int, int]] = []
-        at = 0
-        taken = set(busy)
-        fresh: dict[int, int] = {}
+        at, k, fresh = 0, 0, []
         for lines, columns, rows in row:
-            while at in taken:
-                line.append(([], at, 1))
-                at += 1
+            while k < len(busy) and busy[k][0] <= at:
+                at = max(at, busy[k][1])
+                k += 1
             line.append((lines, at, columns))
             if rows > 1:
-                fresh |= dict.fromkeys(range(at, at + columns), rows - 1)
+                fresh.append((at, at + columns, rows - 1))
             at += columns
-        busy = {c: n - 1 for c, n in busy.items() if n > 1} | fresh
+        if busy or fresh:
+            busy = sorted([(a, b, n - 1) for a, b, n in busy if n > 1] + fresh)
         out.append(line)
     return out
 
 
-def aligned(table: Table) -> list[str]:
-    """The lines of a table, its columns padded to their widest cell; a cell over several columns counts for none of them."""
-    rows = _gridded(table)
-    widths: dict[int, int] = {}
-    for row in rows:
-        for lines, at, span in row:
-            if span == 1:
-                widths[at] = max(widths.get(at, 0), max(map(len, lines), default=0))
-    out = []
-    for row in rows:
-        for k in range(max((len(lines) for lines, _, _ in row), default=0)):
-            parts = []
+def aligned(table: Table, room: Room) -> list[str]:
+    """The lines of a table, each column beginning where the widest cell of the one before ends; a cell over several columns counts for none of them. Where there is no room for that, cells are two spaces apart."""
+    try:
+        rows = _gridded(table, room)
+        widths: dict[int, int] = {}
+        for row in rows:
             for lines, at, span in row:
-                cell = lines[k] if k < len(lines) else ""
-                width = sum(widths.get(c, 0) for c in range(at, min(at + span, max(widths, default=0) + 1))) + 2 * (span - 1)
-                parts.append((cell, width))
-            while parts and not parts[-1][0].strip():  # what is padded ends with text
-                parts.pop()
-            out.append("  ".join([*(cell.ljust(width) for cell, width in parts[:-1]), *(cell for cell, _ in parts[-1:])]).rstrip())
-    return out
-
-
-def visibility(style: str) -> str:
-    """``hidden``, ``visible``, or nothing if a style tells neither; the last word counts."""
-    said = _VISIBILITY.findall(style)
-    return "" if not said else "visible" if said[-1].lower() == "visible" else "hidden"
-
-
-def styled(rules: str) -> dict[str, str]:
-    """Simple selectors with what the rules of a style sheet make of them: ``gone``, ``hidden`` or ``visible``; the last rule counts."""
-    found: dict[str, str] = {}
-    outer: list[tuple[str, list[str]]] = []  # of each open block: what stands before it, and its own declarations
-    part: list[str] = []
-    skipped = 0  # blocks that are open inside of one that does not count, and that one
-    for token in _CSS.findall(rules):
-        if token == "{":
-            head = "".join(part).strip()
-            part = []
-            if skipped or (outer and outer[-1][0][:1] != "@") or (head[:1] == "@" and not _APPLIES.match(head)):
-                skipped += 1
-            else:
-                outer.append((head, []))
-        elif token == "}":
-            if skipped:
-                skipped -= 1
-            elif outer:
-                head, own = outer.pop()
-                body = ";".join([*own, "".join(part)])
-                effect = "gone" if _GONE.search(body) else visibility(body)
-                if head[:1] != "@" and effect:
-                    found |= {s.strip().lower(): effect for s in head.split(",") if _SIMPLE.match(s.strip())}
-            part = []
-        elif token == ";":
-            if outer and not skipped:
-                outer[-1][1].append("".join(part))
-            part = []
-        elif token[:2] != "/*":
-            part.append(token)
-    return found
+                if span == 1:
+                    widths[at] = max(widths.get(at, 0), max(map(len, lines), default=0))
+        columns = sorted(widths)
+        begins = [0, *accumulate(widths[c] + 2 for c in columns)]
+        return [one for row in rows for one in _lines([(lines, begins[bisect_left(columns, at)]) for lines, at, _ in row], room)]
+    except Spent:
+        return [one for row in table.rows for one in _lines([(lines, 0) for lines, _, _ in row], None)]
+
+
+def _lines(cells: list[tuple[list[str], int]], room: Room | None) -> Iterator[str]:
+    """The lines of a row of cells, which begin at given columns or two spaces behind the text before them."""
+    held: dict[int, list[tuple[str, int]]] = {}
+    for lines, begin in cells:
+        for k, text in enumerate(lines):
+            if text.strip():
+                held.setdefault(k, []).append((text, begin))
+    for k in range(max((len(lines) for lines, _ in cells), default=0)):
+        parts, size = [], 0
+        for text, begin in held.get(k, ()):
+            pad = max(begin - size, 2 if size else 0)
+            if room is not None:
+                room.take(pad)
+            parts += [" " * pad, text]
+            size += pad + len(text)
+        yield "".join(parts).rstrip()
 
 
 def _span(said: str, most: int) -> int:
@@ -305,20 +298,37 @@ def _span(said: str, most: int) -> int:
     return max(1, min(most, int(said))) if said.isascii() and said.isdigit() and len(said) < 9 else 1
 
 
+def sheets(page: str) -> str:
+    """The style sheets of a page that hold on a screen, one after the other."""
+    if "<style" not in page and "<style" not in page.lower():
+        return ""
+    found, inside, takes = [], 0, False
+    for kind, name, own in build(page):
+        if kind == "text":
+            if takes and not inside:
+                found.append(name)
+        elif kind == "start":
+            inside += name in NEVER and name not in ("head", "style")
+            takes = name == "style" and styles.applies(own.get("media", ""))
+        else:
+            inside -= name in NEVER and name not in ("head", "style")
+            takes = False
+    return "\n".join(found)
+
+
 def rendered(page: str) -> str:
     """The visible text of a page."""
     flows, tables, lists = [Flow()], [], []
     hidden = 0  # elements that are open inside of a hidden one, and that one
-    pre = 0
-    sheet: dict[str, str] = {}
+    pre = deep = 0
+    sheet, room = styles.Sheet(sheets(page)), Room(MOST_PADDING * len(page))
     unseen: list[bool] = [False]  # of each open element that is laid out: whether its text is invisible
-    in_style = False
+    closed: list[int] = [0]  # of each: 1 for details that are not open, 2 once their summary came
+    states = [sheet.start]
     for kind, name, found in build(page):
         flow = flows[-1]
         if kind == "text":
-            if in_style:
-                sheet |= styled(name)
-            elif not hidden and not unseen[-1]:
+            if not hidden and not unseen[-1] and not closed[-1]:
                 value = html.unescape(name).replace("\xa0", " ")
                 if pre:
                     first, *rest = value.split("\n")
@@ -330,17 +340,20 @@ def rendered(page: str) -> str:
                     flow.text(value)
             continue
         if kind == "start":
-            in_style = name == "style"
             if hidden:
                 hidden += 1
                 continue
-            marks = {name, *(f".{c}" for c in found.get("class", "").lower().split()), f"#{found.get('id', '').lower()}"}
-            effects = {sheet[m] for m in marks if m in sheet}
-            if name in NEVER or "hidden" in found or _GONE.search(found.get("style", "")) or (name == "input" and found.get("type", "").lower() == "hidden") or "gone" in effects or (name == "dialog" and "open" not in found):
+            state, display, own = sheet.entered(states[-1], name, found)
+            usual = "none" if "hidden" in found or (name == "dialog" and "open" not in found) else "shown"
+            folded = closed[-1] == 2 or (closed[-1] == 1 and name != "summary")
+            if name in NEVER or folded or (display or usual) == "none" or (name == "input" and found.get("type", "").lower() == "hidden"):
                 hidden = 1
                 continue
-            own = visibility(found.get("style", "")) or ("hidden" if "hidden" in effects else "visible" if "visible" in effects else "")
-            unseen.append(unseen[-1] if not own else own == "hidden")
+            if closed[-1]:
+                closed[-1] = 2
+            states.append(state)
+            closed.append(int(name == "details" and "open" not in found))
+            unseen.append(unseen[-1] if own in ("", "inherit") else own == "hidden")
             if name == "br":
                 if flow.words:
                     flow.line()
@@ -348,10 +361,12 @@ def rendered(page: str) -> str:
                     flow.blank = bool(flow.lines)
             elif name == "table":
                 flow.gap()
-                tables.append((Table(), flow, len(lists)))
-            elif tables and name == "tr":
+                deep += len(tables) >= MOST_NESTED
+                if not deep:
+                    tables.append((Table(), flow, len(lists)))
+            elif tables and name == "tr" and not deep:
                 tables[-1][0].rows.append([])
-            elif tables and name in ("td", "th"):
+            elif tables and name in ("td", "th") and not deep:
                 if not tables[-1][0].rows:
                     tables[-1][0].rows.append([])
                 tables[-1][0].rows[-1].append(([], _span(found.get("colspan", "1"), 1000), _span(found.get("rowspan", "1"), 65534)))
@@ -379,21 +394,25 @@ def rendered(page: str) -> str:
                 flow.line()
             pre += name == "pre"
             continue
-        in_style = False
         if hidden:
             hidden -= 1
             continue
         unseen.pop()
+        closed.pop()
+        states.pop()
         if name == "pre":
             pre -= 1
-        if name in ("td", "th") and tables and len(flows) > 1:
+        if name in ("td", "th") and tables and len(flows) > 1 and not deep:
             cell = flows.pop()
             cell.line()
             tables[-1][0].rows[-1][-1][0].extend(cell.lines)
+        elif name == "table" and deep:
+            flow.gap()
+            deep -= 1
         elif name == "table" and tables:
             table, below, depth = tables.pop()
             below.gap()
-            for one in aligned(table):
+            for one in aligned(table, room):
                 below.put(one)
             below.blank = True
         elif name in ("ul", "ol", "menu") and lists:
@@ -416,8 +435,12 @@ def rendered(page: str) -> str:
 
 def render(pages: DataFrame, markup: str = "html") -> DataFrame:
     """Puts ``text`` in place of the markup (and of a column of that name, if there is one)."""
-    ready = pages.withColumn("__markup", F.coalesce(pages[markup], F.lit(""))).drop("text", markup)
-    schema = T.StructType([*(f for f in ready.schema.fields if f.name != "__markup"), T.StructField("text", T.StringType())])
+    others = [c for c in pages.columns if c not in ("text", markup)]
+    raw = "__markup"
+    while raw in others:
+        raw += "_"
+    ready = pages.select(*(pages[c] for c in others), F.coalesce(pages[markup], F.lit("")).alias(raw))
+    schema = T.StructType([*ready.schema.fields[:-1], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textvec.portions(batches):

@@ -382,21 +382,29 @@ def test_iban_ssn_and_long_texts(spark):
 # --- op10 ---
 
 
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+
 class Plain(HTMLParser):
-    """All text outside of elements that are never rendered."""
+    """All text outside of elements that are never rendered, or hidden by themselves."""
 
     def __init__(self):
         super().__init__()
-        self.depth, self.parts = 0, []
+        self.open, self.parts = [], []
 
     def handle_starttag(self, tag, attrs):
-        self.depth += tag in ("script", "style", "title")
+        if tag not in VOID:
+            own = dict(attrs)
+            style = (own.get("style") or "").replace(" ", "")
+            self.open.append((tag, tag in ("script", "style", "title", "template", "noscript") or "hidden" in own or "display:none" in style or "visibility:hidden" in style))
 
     def handle_endtag(self, tag):
-        self.depth -= tag in ("script", "style", "title")
+        if any(t == tag for t, _ in self.open):
+            while self.open.pop()[0] != tag:
+                pass
 
     def handle_data(self, data):
-        if not self.depth:
+        if not any(hidden for _, hidden in self.open):
             self.parts.append(data)
 
 
@@ -409,8 +417,7 @@ def test_rendering_against_a_standard_parser(spark):
         parser.close()
         want = "".join("".join(parser.parts).split())
         got = "".join(regex.sub(r"(?m)^ *(?:-|\d+\.) ", "", render.rendered(page)).split())
-        if "<li" not in page and "hidden" not in page and "none" not in page:
-            assert got == want
+        assert got == want
 
 
 @pytest.mark.parametrize(
