@@ -46,4 +46,6 @@ FROM texts LEFT JOIN rolled USING (doc_id)"""
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rows = pii.digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    first = ["doc_id", *(f"n_{k}" for k in pii.BASE_KINDS), "base_sha256", "spans"]
+    return rows.select(*first, *(c for c in rows.columns if c not in first))
