@@ -1,8 +1,10 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick over folded text.
 
-Folding lower-cases a text, maps look-alike characters of other scripts and
-digits that stand for letters to Latin letters, and turns every other
-character that is no letter into a space. The lexicon holds beginnings of
+Folding takes a text's compatibility decomposition (wide, bold and other forms
+of letters become plain ones), drops marks and characters without width, which
+may stand inside of words, lower-cases it, maps look-alike characters of other
+scripts and digits that stand for letters to Latin letters, and turns every
+other character that is no letter into a space. The lexicon holds beginnings of
 words (stems); each has a weight for texts with one word that begins so and a
 weight for texts with two different ones, both learned from labelled rows. All
 stems are found in one pass of an automaton. A word inside an exception
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import bisect
 import math
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -32,7 +35,9 @@ from itertools import accumulate
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,16 +54,33 @@ PREDICT_AT = 0.3
 MOST_RATE = 20.0
 #: Phrases in which a stem is harmless.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "stupid simple", "pathetic fallacy", "pond scum")
-#: Characters that look like a Latin letter, and the letters; then digits and signs in place of letters.
-LOOKALIKES = ("аеорсухікмтвнјѕԁɡοαεικρτυνχ０１３４５７", "aeopcyxikmtbhjsdgoaeikptuvxoieast")
+#: Characters that look like a Latin letter, by the letter; then digits and signs in place of letters.
+LOOKALIKES = {
+    "a": "аɑαᴀ", "b": "вʙьβ", "c": "сᴄϲ", "d": "ԁᴅđɗ", "e": "еᴇεɛҽєə", "f": "ꜰƒ", "g": "ɡɢց", "h": "нһʜħհ", "i": "іιıɪɩ", "j": "јᴊյ", "k": "кᴋκ", "l": "ӏʟłⅼ", "m": "мᴍ", "n": "ոɴηпŋ",
+    "o": "оοօᴏøσ", "p": "рρᴘ", "q": "ԛգ", "r": "гʀ", "s": "ѕꜱʂ", "t": "тτᴛŧ", "u": "υսᴜʊ", "v": "νѵᴠ", "w": "ԝѡᴡω", "x": "хχ", "y": "уʏγү", "z": "ᴢʐ",
+}
 SUBSTITUTES = ("013457@$", "oieastas")
+_TABLE = str.maketrans({c: letter for letter, like in LOOKALIKES.items() for c in like} | dict(zip(*SUBSTITUTES, strict=True)))
+_PLAIN = str.maketrans(*SUBSTITUTES)
+_DROPPED, _GAPS, _ASCII_GAPS = regex.compile(r"[\p{M}\p{Default_Ignorable_Code_Point}]+"), regex.compile(r"[^\p{L}]+"), regex.compile("[^a-z]+")
+
+
+def fold(text: str) -> str:
+    """A folded text between spaces."""
+    if text.isascii():
+        return _ASCII_GAPS.sub(" ", f" {text.lower().translate(_PLAIN)} ")
+    plain = _DROPPED.sub("", unicodedata.normalize("NFKD", text))
+    return _GAPS.sub(" ", f" {_DROPPED.sub('', plain.lower()).translate(_TABLE)} ")
+
+
+@F.pandas_udf(T.StringType())
+def _folded(texts: pd.Series) -> pd.Series:
+    return texts.map(fold)
 
 
 def folded(text: Column) -> Column:
-    """Folded text between spaces; null counts as empty."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    low = F.translate(low, LOOKALIKES[0] + SUBSTITUTES[0], LOOKALIKES[1] + SUBSTITUTES[1])
-    return F.regexp_replace(F.concat(F.lit(" "), low, F.lit(" ")), r"[^\p{L}\p{M}]+", " ")
+    """Folded text; null counts as empty."""
+    return _folded(F.coalesce(text, F.lit("")))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -126,14 +148,18 @@ def matched(lexicon: Lexicon, text: str) -> tuple[int, float, float]:
 
 def features(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
     """Adds ``hits``, ``weight`` and ``repeat`` as :func:`matched` has them, and ``rate``, the sum of both by 100 words. Columns of these names are replaced."""
-    docs = docs.drop("hits", "weight", "repeat", "rate", "score")
-    ready = docs.withColumn("__text", folded(docs[text]))
+    source = F.coalesce(docs[text], F.lit(""))
+    own = [c for c in docs.columns if c not in ("hits", "weight", "repeat", "rate", "score")]
+    raw = "__text"
+    while raw in own:
+        raw += "_"
+    ready = docs.select(*(docs[c] for c in own), source.alias(raw))
     added = [T.StructField("hits", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("weight", "repeat", "rate"))]
-    schema = T.StructType([*docs.schema.fields, *added])
+    schema = T.StructType([*ready.schema.fields[:-1], *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textvec.portions(batches):
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = [fold(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             got = np.array([matched(lexicon, t) for t in texts], np.float64)
             words = np.array([max(1, t.count(" ") - 1) for t in texts])
             rate = 100 * (got[:, 1] + got[:, 2]) / words

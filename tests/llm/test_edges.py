@@ -59,6 +59,15 @@ def test_toxicity_folds_and_excuses():
 def test_folding(spark):
     got = spark.createDataFrame([("YOU 1D10T!",), ("іdіоt",), (None,)], "text string").select(toxicity.folded(F.col("text")).alias("t")).collect()
     assert [r.t for r in got] == [" you idiot ", " idiot ", " "]
+    for form in ("stúpid", "ｓｔｕｐｉｄ", "𝐬𝐭𝐮𝐩𝐢𝐝", "stu\u200bpid", "stu\u00adpid", "S\u0336t\u0336u\u0336p\u0336i\u0336d\u0336", "ЅТUРІD", "ѕтυріԁ", "5TUP1D", "ꜱᴛᴜᴘɪᴅ", "ⓢⓣⓤⓟⓘⓓ", "stu\ufe0fpid"):
+        assert toxicity.fold(form) == " stupid ", form
+    assert toxicity.fold("Straße, 12 Uhr\u3000日本") == " straße i uhr 日本 "
+
+
+def test_toxicity_keeps_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "m", "you idiot", 3.0)], "doc_id long, __text string, text string, score double")
+    got = toxicity.score(rows, toxicity.Lexicon((("idiot", 5.0, 0.0),), (), (-3.0, 2.0, 0.1, 0.1))).first()
+    assert (got["__text"], got.hits, got.text) == ("m", 1, "you idiot")
 
 
 def test_pii(docs):
