@@ -150,7 +150,20 @@ def translated(pattern: str, flags: str) -> str:
     what can only be a word's character, needs just look behind itself.
     """
     switches = "".join(f for f in "ims" if f in flags) + ("u" if "i" in flags and not pattern.isascii() else "")
-    return (f"(?{switches})" if switches else "") + "|".join(_translated(a, flags) for a in _alternatives(pattern))
+    return (f"(?{switches})" if switches else "") + "|".join(_forward(_translated(a, flags), "i" in flags) for a in _alternatives(pattern))
+
+
+_BEHIND = re.compile(r"\(\?<!(\[(?:[^\]\\]|\\.)*\]|\\d)\)(\[(?:[^\]\\]|\\.)*\]|\\d)(?:\{(\d+)\}|(?![{*+?]))")
+
+
+def _forward(pattern: str, folded: bool) -> str:
+    """A pattern that begins with what may not stand before its first character, with that asked behind this character, if it is no small letter: most places are then ruled out by a look at one character."""
+    found = _BEHIND.match(pattern)
+    if not found or re.search("[A-Za-z]" if folded else "[a-z]", found[2].replace(r"\d", "")):
+        return pattern
+    before, first, times = found.groups()
+    rest = int(times or 1) - 1
+    return f"{first}(?<!{before}{first})" + (f"{first}{{{rest}}}" if rest else "") + pattern[found.end() :]
 
 
 def _translated(pattern: str, flags: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakewarden.functions import folds
-from lakewarden.sources import shared
+from lakewarden.sources import shared, versioned
 
 #: Bounds of a stored turn and of the store.
 MOST_RECEIVED, MOST_CONTENT, MOST_ITEMS, MOST_BYTES, ITEM_BYTES, STARRED_BYTES = 20_480, 20_000, 5_000, 4 << 20, 320, 512 << 10
@@ -194,6 +194,11 @@ def listed(captures: DataFrame, search: str = "", tool: str = "ALL", kind: str =
     return rows if most is None else rows.limit(most)
 
 
+def toggled(table: versioned.Table, which: Column) -> int:
+    """Turns the star of some turns of a versioned table on or off; returns the version that has the change, of those rows alone."""
+    return table.put(table.read().where(which).withColumn("starred", ~F.coalesce("starred", F.lit(False))))
+
+
 def drilled(captures: DataFrame, node: str, value: str) -> DataFrame:
     """Turns of a node of the graph: those of a tool, with a content, or with a tag."""
     if node == "tool":

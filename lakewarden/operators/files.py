@@ -166,19 +166,21 @@ def is_markup(segment: Column, text: Column) -> Column:
     return F.coalesce(segment.rlike(r"(?i)\.(xml|rels)\z") | text.rlike(r"\A\s*<(\?xml|[a-zA-Z])"), F.lit(False))
 
 
-def segments(files: DataFrame, content: str = "content", name: str = "path", budget: Budget = Budget()) -> DataFrame:
+def segments(files: DataFrame, content: str = "content", name: str = "path", budget: Budget = Budget(), facts: str | None = None) -> DataFrame:
     """(path, segment, place, text, skipped, truncated): a row for each piece of text in a file, one without text for a file that has none.
 
     ``place`` orders the segments of a file; ``skipped`` tells why a file was not read; a file that is broken, or over
-    its budget, keeps the segments that were read.
+    its budget, keeps the segments that were read. ``facts`` names a column of texts that goes along with each segment.
     """
+    schema = "path string, segment string, place int, text string, skipped string, truncated boolean" + (f", `{facts}` string" if facts else "")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(path, *found) for path, data in zip(frame.path, frame.content, strict=True) for found in _read(path, data, budget)]
-            yield pd.DataFrame(rows, columns=["path", "segment", "place", "text", "skipped", "truncated"])
+            along = [(v,) for v in frame[facts]] if facts else [()] * len(frame)
+            rows = [(path, *found, *own) for path, data, own in zip(frame.path, frame.content, along, strict=True) for found in _read(path, data, budget)]
+            yield pd.DataFrame(rows, columns=["path", "segment", "place", "text", "skipped", "truncated", *([facts] if facts else [])])
 
-    raw = files.select(F.col(name).alias("path"), F.col(content).alias("content")).mapInPandas(run, "path string, segment string, place int, text string, skipped string, truncated boolean")
+    raw = files.select(F.col(name).alias("path"), F.col(content).alias("content"), *([facts] if facts else [])).mapInPandas(run, schema)
     return raw.withColumn("text", F.when(is_markup(F.col("segment"), F.col("text")), markup_text(F.col("text"))).otherwise(F.col("text")))
 
 

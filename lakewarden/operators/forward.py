@@ -335,12 +335,17 @@ def spooled(rows: DataFrame, most: int = MOST_SPOOLED) -> DataFrame:
     return kept.withColumn("batch", F.floor((F.row_number().over(order) - 1) / F.col("batch_size")).cast("long"))
 
 
-def chunked(rows: DataFrame) -> DataFrame:
-    """Numbers batches of at most a profile's size within each task's rows, so that a profile that takes all events is no single task's work. No event is dropped."""
-    dealt = rows.withColumn("__task", F.spark_partition_id().cast("long"))
-    order = Window.partitionBy("profile", "__task").orderBy("ts", "id")
+def chunked(rows: DataFrame, shares: int | None = None) -> DataFrame:
+    """Numbers batches of at most a profile's size within shares of its events, so that a profile that takes all events is no single task's work. No event is dropped.
+
+    An event's share is told by its id, so a batch has the same number and the
+    same events however the rows are split and whatever runs again.
+    """
+    shares = shares or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("__share", F.pmod(F.xxhash64("id"), F.lit(shares)))
+    order = Window.partitionBy("profile", "__share").orderBy("ts", "id")
     place = F.floor((F.row_number().over(order) - 1) / F.col("batch_size"))
-    return dealt.withColumn("batch", (F.col("__task") * (1 << 32) + place).cast("long")).drop("__task")
+    return dealt.withColumn("batch", (F.col("__share") * (1 << 32) + place).cast("long")).drop("__share")
 
 
 #: What a form's body is.

@@ -42,30 +42,36 @@ def inspected(attached: DataFrame, settings: policy.Inspection | None = None, en
     """A report of each file: type, disguise, fingerprint, segments, findings rolled up by label, score, band and action.
 
     A file without content is unreadable; paths are the key of files and have
-    to differ. ``items`` is ordered by where a label is found first.
+    to differ. ``items`` is ordered by where a label is found first. Other
+    columns of the files are kept (of types that JSON has).
     """
     settings = settings or policy.Inspection()
-    typed = files.typed(attached.select("path", "content")).withColumn("skip_reason", skipped(settings))
+    typed = files.typed(attached).withColumn("skip_reason", skipped(settings))
     typed = typed.withColumn("masquerade", F.col("masquerade") & F.lit(settings.masquerade)).withColumn("size_bytes", F.coalesce(F.octet_length("content"), F.lit(0)).cast("long"))
-    facts = typed.select("path", "true_type", "declared_ext", "masquerade", "size_bytes", "skip_reason", (F.substring(F.sha2("content", 256), 1, 16) if settings.fingerprint else F.lit(None).cast("string")).alias("sha"))
-    opened = files.segments(typed.where("skip_reason is null"), budget=settings.budget).withColumnRenamed("truncated", "cut")
+    sha = (F.substring(F.sha2("content", 256), 1, 16) if settings.fingerprint else F.lit(None).cast("string")).alias("sha")
+    told = typed.select("path", "true_type", "declared_ext", "masquerade", "size_bytes", "skip_reason", sha, *(c for c in attached.columns if c not in ("path", "content")), F.when(F.col("skip_reason").isNull(), F.col("content")).alias("__content"))
+    known = told.drop("path", "__content").schema
+    # what is known of a file goes with its segments as a text, so its bytes are read once, and those of skipped files go no further
+    ready = told.select("path", "__content", F.to_json(F.struct(*known.names), {"ignoreNullFields": "false"}).alias("__facts"))
+    opened = files.segments(ready, "__content", budget=settings.budget, facts="__facts").withColumnRenamed("truncated", "cut")
     scanned = scan.scan(opened, enabled=enabled, only=detectors)
     rank = F.element_at(F.create_map(*(F.lit(x) for pair in SEVERITY_RANK.items() for x in pair)), F.col("f.severity"))
-    long = scanned.select("path", "segment", "place", F.col("cut"), F.length("text").alias("chars"), F.posexplode_outer("findings").alias("k", "f"))
+    long = scanned.select("path", "__facts", "segment", "place", F.col("cut"), F.length("text").alias("chars"), F.posexplode_outer("findings").alias("k", "f"))
     first = F.coalesce("k", F.lit(0)) == 0
     found = F.col("f").isNotNull()
     order = F.struct("place", "f.start", "f.ordinal")
     by_label = long.groupBy("path", F.col("f.label").alias("label")).agg(
-        F.count_if(found).alias("n"), F.sum(F.when(first, F.coalesce("chars", F.lit(0))).otherwise(0)).alias("chars"), F.count_if(first & F.col("segment").isNotNull() & (F.coalesce("chars", F.lit(0)) > 0)).alias("segments"), F.bool_or("cut").alias("truncated"),
+        F.first("__facts").alias("__facts"), F.count_if(found).alias("n"), F.sum(F.when(first, F.coalesce("chars", F.lit(0))).otherwise(0)).alias("chars"), F.count_if(first & F.col("segment").isNotNull() & (F.coalesce("chars", F.lit(0)) > 0)).alias("segments"), F.bool_or("cut").alias("truncated"),
         F.coalesce(F.max(rank), F.lit(0)).alias("worst"), F.count_if(F.col("f.classification") == "AUTHENTICATION_SECRET").alias("secrets"), F.count_if((F.col("f.classification") == "AUTHENTICATION_SECRET") & ~F.col("f.low")).alias("firm"),
-        F.min(F.when(found, order)).alias("at"), F.min_by(F.struct("f.classification", "f.severity", "f.evidence", "segment"), order).alias("r"), F.collect_set("f.classification").alias("classes"),
+        F.min(F.when(found, order)).alias("at"), F.min_by(F.struct("f.classification", "f.severity", "f.evidence", "segment"), order).alias("r"),
     )
     item = F.struct("at", "label", "r.classification", "r.severity", F.col("n").alias("count"), "r.evidence", "r.segment")
     rolled = by_label.groupBy("path").agg(
-        F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("segments").alias("segments"), F.bool_or("truncated").alias("truncated"), F.max("worst").alias("worst"), F.sum("secrets").alias("secrets"), F.sum("firm").alias("firm"),
+        F.first("__facts").alias("__facts"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("segments").alias("segments"), F.bool_or("truncated").alias("truncated"), F.max("worst").alias("worst"), F.sum("secrets").alias("secrets"), F.sum("firm").alias("firm"),
         F.count_if(F.col("label").isin(*sanitize.IDENTITY)).alias("identities"), F.array_sort(F.collect_list(F.when(F.col("n") > 0, item))).alias("items"),
     )  # at most a row for each label of the catalogue
-    rows = facts.join(rolled, "path", "left")
+    rows = rolled.withColumn("__facts", F.from_json("__facts", known))
+    rows = rows.select("path", *(F.col(f"__facts.`{c}`").alias(c) for c in known.names), *(c for c in rolled.columns if c not in ("path", "__facts")))
     zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n", "segments", "worst", "secrets", "firm", "identities")}
     rows = rows.withColumns(zero | {"truncated": F.coalesce("truncated", F.lit(False)), "n_bytes": F.when(F.coalesce("chars", F.lit(0)) > 0, F.col("chars")).otherwise(F.col("size_bytes")), "items": F.coalesce("items", F.array().cast(rolled.schema["items"].dataType))})
     rows = sanitize.scored(rows).withColumn("factors", factors(rows))

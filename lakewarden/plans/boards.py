@@ -12,7 +12,7 @@ from lakewarden.operators import audit, captures, forward, policy, sanitize
 from lakewarden.plans import sql
 from lakewarden.plans.queries import _EVENTS, _FANNED, PROFILES
 from lakewarden.plans.registry import query
-from lakewarden.sources import activity, shared
+from lakewarden.sources import activity, shared, versioned
 from lakewarden.streaming import jobs
 
 _C, _E, _L = f"WITH {sql.CAPTURES}", f"WITH {sql.ENRICHED}", f"WITH {sql.LOG}"
@@ -117,6 +117,15 @@ def prompts_finalized(spark, sf_dir):
     return jobs.finalized(turns, moves).select("id", F.unix_millis("final_ts").alias("final_ms"), "url")
 
 
+@query("stars_toggled", f"{_C} SELECT id, CASE WHEN tool = 'Claude' THEN NOT starred ELSE starred END AS starred FROM caps")
+def stars_toggled(spark, sf_dir):
+    """Stars of a table in which those of one tool are toggled: only the rows that change are written."""
+    table = versioned.Table(spark, shared.new_path(spark, "stars"), ["id"])
+    table.put(activity.captures(spark, sf_dir).select("id", "tool", "starred"))
+    captures.toggled(table, F.col("tool") == "Claude")
+    return table.read().select("id", "starred")
+
+
 # --- the audit log ---
 
 

@@ -52,6 +52,15 @@ def sanitized_verified(spark, sf_dir):
     return sanitize.verified(sanitize.sanitize(_texts(spark, sf_dir), policy=STRICT), STRICT).select("doc_id", "held")
 
 
+@query("sanitized_held", f"""{sql.FOUND}, acts AS (SELECT doc_id, bool_or(rule_id IN ({_BLOCKS})) AS blocks FROM found GROUP BY doc_id)
+SELECT d.doc_id, coalesce(NOT blocks, false) AND d.doc_id % 2 = 0 AS held FROM documents d LEFT JOIN acts USING (doc_id)""")
+def sanitized_held(spark, sf_dir):
+    """What was rewritten is held back where an address comes back into it before it is written, in every second document."""
+    rows = sanitize.sanitize(_texts(spark, sf_dir), policy=STRICT)
+    back = F.when((F.col("action") == "mask") & (F.col("doc_id") % 2 == 0), F.concat("sanitized", F.lit(" write to someone@example.org")))
+    return sanitize.verified(rows.withColumn("sanitized", F.coalesce(back, "sanitized")), STRICT).select("doc_id", "held")
+
+
 @query("log_items_told", f"""{sql.FOUND} SELECT doc_id, label, arg_min(classification, struct_pack(a := start, b := ordinal)) AS classification, arg_min(severity, struct_pack(a := start, b := ordinal)) AS severity,
 arg_min(evidence, struct_pack(a := start, b := ordinal)) AS evidence, count(*) AS n FROM told GROUP BY doc_id, label""")
 def log_items_told(spark, sf_dir):
@@ -117,8 +126,7 @@ def file_inspection(spark, sf_dir):
 SELECT batch, CASE max(CASE action WHEN 'block' THEN 3 WHEN 'quarantine' THEN 2 WHEN 'notify' THEN 1 ELSE 0 END) WHEN 3 THEN 'block' WHEN 2 THEN 'quarantine' WHEN 1 THEN 'notify' ELSE 'allow' END AS action, count(*) AS n_files,
     max(path) FILTER (k = 1) AS worst_path, max(points) AS worst_score, max(grade) FILTER (k = 1) AS worst_band FROM best GROUP BY batch""")
 def file_batches(spark, sf_dir):
-    attached = _files(spark, sf_dir)
-    return inspect.enforced(inspect.inspected(attached, _SETTINGS, TOLD).join(attached.select("path", "batch"), "path"))
+    return inspect.enforced(inspect.inspected(_files(spark, sf_dir), _SETTINGS, TOLD))
 
 
 @query("file_log", f"{_INSPECTED} SELECT path AS file_name, 'file-' || action AS action, points AS risk_score, grade AS risk_band, found AS total_findings FROM done")
