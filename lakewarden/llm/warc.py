@@ -77,6 +77,22 @@ def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["Content-Length"])]
 
 
+def put(system, draft: str, name: str) -> None:
+    """Gives a finished draft its name. Where a file of that name is there already, of an attempt before, and the store does not replace files, it goes first; another attempt may have put its own meanwhile, which holds the same."""
+    for last in (False, False, True):
+        try:
+            system.move(draft, name)
+            return
+        except OSError:
+            there = system.get_file_info(name).type == fs.FileType.File
+            if last and there:
+                system.delete_file(draft)
+                return
+            if not there:
+                raise
+            system.delete_file(name)
+
+
 def write(pages: DataFrame, folder: str) -> DataFrame:
     """Writes pages (page_id, url, html) as WARC files in the order of their ids, and returns the manifest.
 
@@ -94,7 +110,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
                 data = record(url, body.encode(), number if out else 0)
                 if out and at + len(data) > FILE_BYTES:
                     out.close()
-                    system.move(draft, f"{base}/{name}")
+                    put(system, draft, f"{base}/{name}")
                     out = None
                 if out is None:
                     data = record(url, body.encode(), 0)
@@ -109,7 +125,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
                     rows = []
         if out:
             out.close()
-            system.move(draft, f"{base}/{name}")
+            put(system, draft, f"{base}/{name}")
         yield _batch(rows)
 
     tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -237,9 +253,10 @@ def replicate(manifest: DataFrame, source: str, target: str, damage=None) -> Dat
                 with system.open_input_file(f"{base}/{name}") as f:
                     data = f.read()
                 data = damage(name, data) if damage else data
-                with other.open_output_stream(f"{there}/.{name}.part") as out:
+                draft = f"{there}/.{name}.{uuid.uuid4().hex}.part"
+                with other.open_output_stream(draft) as out:
                     out.write(data)
-                other.move(f"{there}/.{name}.part", f"{there}/{name}")
+                put(other, draft, f"{there}/{name}")
                 sizes.append(len(data))
             yield pd.DataFrame({"file": frame.file, "bytes": sizes})
 

@@ -2,6 +2,7 @@
 
 import public_tokenizers
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -133,6 +134,45 @@ def test_warc(spark):
         assert manifest.count() == table.count() and warc.audit(ours, theirs).count() == 0 and ours[0].count() == table.count()
 
 
+class Strict:
+    """A store that does not replace files, in which another attempt may put its own meanwhile."""
+
+    def __init__(self, files, meanwhile=()):
+        self.files, self.meanwhile = dict(files), list(meanwhile)
+
+    def move(self, draft, name):
+        if self.meanwhile:
+            self.files[name] = self.meanwhile.pop()
+        if name in self.files:
+            raise OSError("it is there")
+        self.files[name] = self.files.pop(draft)
+
+    def get_file_info(self, name):
+        return fs.FileInfo(name, fs.FileType.File if name in self.files else fs.FileType.NotFound)
+
+    def delete_file(self, name):
+        del self.files[name]
+
+
+def test_warc_files_of_attempts_before():
+    for before, meanwhile in (({}, ()), ({"a": "old"}, ()), ({"a": "old"}, ("x", "y", "z"))):
+        store_ = Strict(before | {"draft": "new"}, meanwhile)
+        warc.put(store_, "draft", "a")
+        assert store_.files == {"a": "x" if meanwhile else "new"}
+    with pytest.raises(KeyError):
+        warc.put(Strict({}), "draft", "a")
+
+
+def test_warc_twice_in_one_folder(spark):
+    pages = spark.createDataFrame([(k, "u", "x" * k) for k in range(9)], "page_id long, url string, html string")
+    folder, copy = store.new_path(spark, "a"), store.new_path(spark, "b")
+    first, again = (sorted(map(tuple, warc.write(pages, folder).collect())) for _ in range(2))
+    assert first == again
+    for _ in range(2):
+        warc.replicate(warc.write(pages, folder), folder, copy)
+    assert sorted(warc.sizes(spark, copy).collect()) == sorted(warc.sizes(spark, folder).collect())
+
+
 def test_pipeline_stages_keep_columns(docs, spark, tmp_path):
     spark.createDataFrame([(1, GERMAN)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for _, stage in corpus_pipeline.STAGES[:-1]:
