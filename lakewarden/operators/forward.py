@@ -142,9 +142,9 @@ def captured(captures: DataFrame) -> DataFrame:
 
 
 def policy_changed(summary: DataFrame, as_of, depth: str = "deep", labeling: bool = False) -> DataFrame:
-    """The event of a policy that was saved, from its summary (one row)."""
+    """The event of a policy that was saved, from its summary: one row, or one a tenant."""
     detail = F.to_variant_object(F.struct(F.col("detecting").alias("detectorsEnabled"), F.col("block_switches").alias("detectorsBlocking"), F.lit(labeling).alias("labeling"), F.lit(depth).alias("inspectionDepth")))
-    return _shaped(summary, {"id": F.sha2(F.concat_ws("|", "detecting", "block_switches", F.lit(str(as_of))), 256), "type": F.lit("policy.changed"), "ts": F.lit(as_of), "severity": F.lit("MEDIUM"), "outcome": F.lit("changed"), "detail": detail})
+    return _shaped(summary, {"id": F.sha2(F.concat_ws("|", *(["tenant"] if "tenant" in summary.columns else []), "detecting", "block_switches", F.lit(str(as_of))), 256), "type": F.lit("policy.changed"), "ts": F.lit(as_of), "severity": F.lit("MEDIUM"), "outcome": F.lit("changed"), "detail": detail})
 
 
 def sample(spark: SparkSession, as_of) -> DataFrame:

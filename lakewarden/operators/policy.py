@@ -27,24 +27,34 @@ def table(spark: SparkSession, policy: sanitize.Policy, detectors=DETECTORS) ->
     return spark.createDataFrame(rows, "rule_id string, label string, classification string, level string, enabled boolean, mask boolean, block boolean, warn boolean")
 
 
-def summary(rules: DataFrame) -> DataFrame:
-    """How many detectors there are, are on, and of these mask and block; and how many have the block switch at all."""
+def by_tenant(policies: DataFrame, detectors=DETECTORS) -> DataFrame:
+    """(tenant, rule_id, label, classification, level, enabled, mask, block, warn): policies of many tenants (tenant, rules; as :func:`sanitize.policy_rows` has them), a row a tenant and detector; what a policy does not name follows the default."""
+    base = sanitize.default_policy(detectors).rules
+    known = F.from_json(F.lit(json.dumps([{"rule_id": d.id, "label": d.label, "classification": d.data_class, "level": d.level} | asdict(base[d.id]) for d in detectors])), "array<struct<rule_id:string,label:string,classification:string,level:string,enabled:boolean,mask:boolean,block:boolean,warn:boolean>>")
+    rows = policies.select("tenant", "rules", F.explode(known).alias("d"))
+    own = F.try_element_at("rules", F.col("d.rule_id"))
+    return rows.select("tenant", *(F.col(f"d.{c}") for c in ("rule_id", "label", "classification", "level")), *(F.coalesce(own[c], F.col(f"d.{c}")).alias(c) for c in COLUMNS))
+
+
+def summary(rules: DataFrame, *keys: str) -> DataFrame:
+    """How many detectors there are, are on, and of these mask and block; and how many have the block switch at all. By tenant, or other keys, if they are given."""
     on = F.col("enabled")
-    return rules.agg(F.count("*").alias("n_rules"), F.count_if(on).alias("detecting"), F.count_if(on & F.col("mask")).alias("masking"), F.count_if(on & F.col("block")).alias("blocking"), F.count_if("block").alias("block_switches"))
+    return rules.groupBy(*keys).agg(F.count("*").alias("n_rules"), F.count_if(on).alias("detecting"), F.count_if(on & F.col("mask")).alias("masking"), F.count_if(on & F.col("block")).alias("blocking"), F.count_if("block").alias("block_switches"))
 
 
-def groups(rules: DataFrame) -> DataFrame:
-    """The state of each switch by class of data: ``on``, ``off`` or ``mixed``, and how many rules have it."""
+def groups(rules: DataFrame, *keys: str) -> DataFrame:
+    """The state of each switch by class of data (and keys): ``on``, ``off`` or ``mixed``, and how many rules have it."""
     states = []
     for c in COLUMNS:
         states += [F.when(F.bool_and(c), "on").when(F.bool_or(c), "mixed").otherwise("off").alias(c), F.count_if(c).alias(f"n_{c}")]
-    return rules.groupBy("classification").agg(F.count("*").alias("n_rules"), *states)
+    return rules.groupBy(*keys, "classification").agg(F.count("*").alias("n_rules"), *states)
 
 
-def posture(rules: DataFrame) -> DataFrame:
-    """What the detectors that are on do together: block if one blocks, else mask if one masks, else monitor; and whether all warn."""
-    on = rules.where("enabled").agg(F.coalesce(F.bool_or("block"), F.lit(False)).alias("b"), F.coalesce(F.bool_or("mask"), F.lit(False)).alias("m"), F.coalesce(F.bool_and("warn"), F.lit(False)).alias("all_warn"))
-    return on.select(F.when(F.col("b"), "block").when(F.col("m"), "mask").otherwise("monitor").alias("posture"), "all_warn")
+def posture(rules: DataFrame, *keys: str) -> DataFrame:
+    """What the detectors that are on do together: block if one blocks, else mask if one masks, else monitor; and whether all warn. A tenant none of whose detectors is on monitors."""
+    on, off = F.col("enabled"), F.lit(False)
+    found = rules.groupBy(*keys).agg(F.coalesce(F.bool_or(on & F.col("block")), off).alias("b"), F.coalesce(F.bool_or(on & F.col("mask")), off).alias("m"), F.coalesce(F.bool_and(F.when(on, F.col("warn"))), off).alias("all_warn"))
+    return found.select(*keys, F.when(F.col("b"), "block").when(F.col("m"), "mask").otherwise("monitor").alias("posture"), "all_warn")
 
 
 def matching(rules: DataFrame, q: str = "", tier: str = "all") -> DataFrame:

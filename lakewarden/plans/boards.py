@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewarden.functions import display
-from lakewarden.operators import audit, captures, forward, policy, sanitize
-from lakewarden.plans import sql
+from lakewarden.operators import audit, captures, forward, policy
+from lakewarden.plans import detection, sql
 from lakewarden.plans.queries import _EVENTS, _FANNED, PROFILES
 from lakewarden.plans.registry import query
 from lakewarden.sources import activity, shared, versioned
@@ -173,16 +173,14 @@ def events_captured(spark, sf_dir):
     return rows.select("id", "type", "outcome", "url", *(F.variant_get("detail", f"$.{k}", "string").alias(k) for k in ("tokens", "category")), F.array_join(F.variant_get("detail", "$.tags", "array<string>"), ",").alias("tags"), F.length("content").cast("long").alias("chars"))
 
 
-_ON = sum(d.on for d in policy.DETECTORS)
-
-
-@query("events_of_settings", f"SELECT 'policy.changed' AS type, 'MEDIUM' AS severity, 'changed' AS outcome, 0::BIGINT AS finding_count, '{_ON}' AS detectors UNION ALL SELECT 'dlp.block', 'CRITICAL', 'block', 1, NULL")
+@query("events_of_settings", f"""WITH {detection._RULES} SELECT 'policy.changed' AS type, 'MEDIUM' AS severity, 'changed' AS outcome, 0::BIGINT AS finding_count, (count(*) FILTER (enabled))::VARCHAR AS detectors, (count(*) FILTER (block))::VARCHAR AS blocking, count(DISTINCT tenant) AS tenants FROM rules GROUP BY tenant
+UNION ALL SELECT 'dlp.block', 'CRITICAL', 'block', 1, NULL, NULL, 1""")
 def events_of_settings(spark, sf_dir):
-    """The event of a policy that was saved, and the sample that receivers are tried with."""
+    """The events of all customers' policies as they are saved, and the sample that receivers are tried with."""
     now = datetime(2024, 1, 1)
-    changed = forward.policy_changed(policy.summary(policy.table(spark, sanitize.default_policy())), now)
+    changed = forward.policy_changed(policy.summary(detection._rules(spark, sf_dir), "tenant"), now)
     rows = changed.unionByName(forward.sample(spark, now))
-    return rows.select("type", "severity", "outcome", "finding_count", F.try_variant_get("detail", "$.detectorsEnabled", "string").alias("detectors"))
+    return rows.select("type", "severity", "outcome", "finding_count", *(F.try_variant_get("detail", f"$.{k}", "string").alias(n) for k, n in (("detectorsEnabled", "detectors"), ("detectorsBlocking", "blocking"))), F.lit(1).cast("long").alias("tenants"))
 
 
 # --- receivers ---

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,30 +146,37 @@ def files_attached(spark, sf_dir):
 
 # --- policy ---
 
-_RULES = "rules AS (SELECT * FROM (VALUES " + ", ".join(f"({sql.quoted(d.id)}, {sql.quoted(d.label)}, {sql.quoted(d.data_class)}, {sql.quoted(d.level)}, {str(d.on).lower()}, {str(d.on).lower()}, {str(d.secret and d.on).lower()}, {str(d.on).lower()})" for d in policy.DETECTORS) + ") AS r(rule_id, label, classification, level, enabled, mask, block, warn))"
+_RULES = "cat AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {sql.quoted(d.id)}, {sql.quoted(d.label)}, {sql.quoted(d.data_class)}, {sql.quoted(d.level)}, {str(d.on).lower()}, {str(d.secret).lower()})" for k, d in enumerate(policy.DETECTORS)) + """) AS r(k, rule_id, label, classification, level, is_on, secret)),
+rules AS (SELECT c_custkey::VARCHAR AS tenant, rule_id, label, classification, level, is_on AND (c_custkey * 7 + k) % 10 <> 0 AS enabled, is_on AND (c_custkey + k) % 3 <> 0 AS mask, secret AND is_on AND c_acctbal < 0 AS block, is_on AND c_custkey % 5 <> 0 AS warn FROM customer, cat)"""
 
 
-def _rules(spark: SparkSession) -> DataFrame:
-    """The policy in which detectors that are on mask, and those of secrets block."""
-    return policy.table(spark, sanitize.Policy({d.id: sanitize.Switches(d.on, d.on, d.secret and d.on, d.on) for d in policy.DETECTORS}))
+def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The policies of all customers: each has a few detectors off or not masking, and those of secrets block for customers in debt."""
+    known = F.from_json(F.lit(json.dumps([{"k": k, "id": d.id, "on": d.on, "secret": d.secret} for k, d in enumerate(policy.DETECTORS)])), "array<struct<k:int,id:string,on:boolean,secret:boolean>>")
+    key = F.col("c_custkey")
+    switches = lambda d: F.struct((d["on"] & ((key * 7 + d["k"]) % 10 != 0)).alias("enabled"), (d["on"] & ((key + d["k"]) % 3 != 0)).alias("mask"), (d["secret"] & d["on"] & (F.col("c_acctbal") < 0)).alias("block"), (d["on"] & (key % 5 != 0)).alias("warn"))
+    rules = F.map_from_entries(F.transform(known, lambda d: F.struct(d["id"].alias("key"), switches(d).alias("value"))))
+    return policy.by_tenant(spark.read.parquet(f"{sf_dir}/customer.parquet").select(key.cast("string").alias("tenant"), rules.alias("rules")))
 
 
-@query("policy_summary", f"WITH {_RULES} SELECT count(*) AS n_rules, count(*) FILTER (enabled) AS detecting, count(*) FILTER (enabled AND mask) AS masking, count(*) FILTER (enabled AND block) AS blocking, count(*) FILTER (block) AS block_switches FROM rules")
+@query("policy_summary", f"WITH {_RULES} SELECT tenant, count(*) AS n_rules, count(*) FILTER (enabled) AS detecting, count(*) FILTER (enabled AND mask) AS masking, count(*) FILTER (enabled AND block) AS blocking, count(*) FILTER (block) AS block_switches FROM rules GROUP BY tenant")
 def policy_summary(spark, sf_dir):
-    return policy.summary(_rules(spark))
+    return policy.summary(_rules(spark, sf_dir), "tenant")
 
 
-@query("policy_groups", f"WITH {_RULES} SELECT classification, count(*) AS n_rules, " + ", ".join(f"CASE WHEN bool_and({c}) THEN 'on' WHEN bool_or({c}) THEN 'mixed' ELSE 'off' END AS {c}, count(*) FILTER ({c}) AS n_{c}" for c in policy.COLUMNS) + " FROM rules GROUP BY classification")
+@query("policy_groups", f"WITH {_RULES} SELECT tenant, classification, count(*) AS n_rules, " + ", ".join(f"CASE WHEN bool_and({c}) THEN 'on' WHEN bool_or({c}) THEN 'mixed' ELSE 'off' END AS {c}, count(*) FILTER ({c}) AS n_{c}" for c in policy.COLUMNS) + " FROM rules GROUP BY tenant, classification")
 def policy_groups(spark, sf_dir):
-    return policy.groups(_rules(spark))
+    return policy.groups(_rules(spark, sf_dir), "tenant")
 
 
-@query("policy_posture", f"WITH {_RULES} SELECT CASE WHEN bool_or(block) THEN 'block' WHEN bool_or(mask) THEN 'mask' ELSE 'monitor' END AS posture, bool_and(warn) AS all_warn FROM rules WHERE enabled")
+@query("policy_posture", f"WITH {_RULES} SELECT tenant, CASE WHEN bool_or(block) THEN 'block' WHEN bool_or(mask) THEN 'mask' ELSE 'monitor' END AS posture, bool_and(warn) AS all_warn FROM rules WHERE enabled GROUP BY tenant")
 def policy_posture(spark, sf_dir):
-    return policy.posture(_rules(spark))
+    return policy.posture(_rules(spark, sf_dir), "tenant")
 
 
-@query("detectors_matching", f"WITH {_RULES} SELECT rule_id, label, level FROM rules WHERE (contains(lower(rule_id), 'key') OR contains(lower(label), 'key')) AND enabled UNION ALL SELECT rule_id, label, level FROM rules WHERE level = 'candidate'")
+@query("detectors_matching", f"WITH {_RULES}, m AS (SELECT * FROM rules WHERE (contains(lower(rule_id), 'key') OR contains(lower(label), 'key')) AND enabled UNION ALL SELECT * FROM rules WHERE level = 'candidate') SELECT rule_id, label, level, count(*) AS n_tenants, count(*) FILTER (enabled) AS n_on FROM m GROUP BY ALL")
 def detectors_matching(spark, sf_dir):
-    rules = _rules(spark)
-    return policy.matching(rules, " KEY ", "on").unionByName(policy.matching(rules, "", "candidate")).select("rule_id", "label", "level")
+    """Detectors that a search finds, and for how many tenants: those on about keys, and candidates."""
+    rules = _rules(spark, sf_dir)
+    found = policy.matching(rules, " KEY ", "on").unionByName(policy.matching(rules, "", "candidate"))
+    return found.groupBy("rule_id", "label", "level").agg(F.count("*").alias("n_tenants"), F.count_if("enabled").alias("n_on"))
