@@ -54,6 +54,16 @@ def captures_drilled(spark, sf_dir):
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
+@query("tags_fallback", f"""{_E}, t AS (SELECT id, CASE WHEN tool = 'Gemini' THEN NULL WHEN tool = 'Copilot' THEN [] ELSE tags END AS tags, CASE type WHEN 'prompt' THEN tags[1] WHEN 'response' THEN CASE WHEN starred THEN '' END END AS category FROM enr)
+SELECT id, array_to_string(coalesce(tags, [CASE WHEN coalesce(category, '') <> '' THEN category ELSE 'General' END]), ',') AS tags FROM t""")
+def tags_fallback(spark, sf_dir):
+    """Turns whose tags are missing go by their category, or by none; an empty list of tags stays one."""
+    rows = _turns(spark, sf_dir)
+    tags = F.when(F.col("tool") == "Gemini", F.lit(None)).when(F.col("tool") == "Copilot", F.array().cast("array<string>")).otherwise(F.col("tags"))
+    category = F.when(F.col("type") == "prompt", F.col("category")).when(F.col("starred"), "")
+    return rows.select("id", F.array_join(captures.tags_or(tags, category), ",").alias("tags"))
+
+
 _STARRED = "(SELECT min(id) FROM caps WHERE starred AND session_url IS NOT NULL)"
 
 
@@ -192,6 +202,13 @@ def _spooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forward.spooled(forward.fan_out(_events(spark, sf_dir), PROFILES))
 
 
+@query("spool_pruned", f"{_SPOOLED} SELECT profile, count(*) AS n FROM b WHERE profile <> 'grave' GROUP BY profile")
+def spool_pruned(spark, sf_dir):
+    """What waits for receivers that are still there: one of three is gone."""
+    left = [p for p in PROFILES if p.id != "grave"]
+    return forward.pruned(_spooled(spark, sf_dir), forward.receivers(spark, left)).groupBy("profile").agg(F.count("*").alias("n"))
+
+
 @query("event_views", f"{_FANNED} SELECT profile, count(*) AS n, CASE profile WHEN 'all' THEN 0 ELSE 2 * count(*) END AS n_evidence, 0::BIGINT AS n_content FROM f GROUP BY profile")
 def event_views(spark, sf_dir):
     """What each receiver may see: one that sees nothing gets no evidence either."""

@@ -108,6 +108,9 @@ def packed(kind: str, text: str) -> bytes:
             archive.writestr("[Content_Types].xml", "<Types/>")
             archive.writestr("docProps/core.xml", "<core>by nobody</core>")
             archive.writestr("word/document.xml", f"<?xml version='1.0'?><w:document><w:p><w:r><w:t>{markup}</w:t></w:r></w:p></w:document>")
+        elif kind == "two.zip":
+            archive.writestr("first.txt", "nothing to see here")
+            archive.writestr("second.txt", text)
         else:
             archive.writestr("a.txt", text)
             archive.writestr("inner/b.txt.gz", gzip.compress(text[::-1].encode(), mtime=0))
@@ -138,6 +141,17 @@ def segments_told(spark, sf_dir):
     return _viewed(spark, made, "SELECT doc_id, kind, segment, place, CAST(length(text) AS BIGINT) AS chars, md5(CAST(text AS BINARY)) AS digest FROM {docs} d, LATERAL segments(d.content, d.path)")
 
 
+@query("archives_inspected", f"""{sql.scored()}, labels AS (SELECT doc_id, label, count(*) AS c, min(struct_pack(a := start, b := ordinal)) AS o FROM told GROUP BY doc_id, label),
+rolled AS (SELECT doc_id, string_agg(label || 'x' || c || '@second.txt', ',' ORDER BY o) AS items FROM labels GROUP BY doc_id)
+SELECT s.doc_id || '.zip' AS path, 'zip' AS true_type, CASE WHEN octet_length(encode(coalesce(d.text, ''))) > 0 THEN 2 ELSE 1 END::BIGINT AS segments, n, identities, score, band, coalesce(items, '') AS items FROM scored s JOIN documents d ON d.doc_id = s.doc_id LEFT JOIN rolled r ON r.doc_id = s.doc_id""")
+def archives_inspected(spark, sf_dir):
+    """Archives of two files each, of which the second is a text: findings of all segments as one report, each with its segment."""
+    docs = detection._texts(spark, sf_dir)
+    attached = docs.select(F.concat("doc_id", F.lit(".zip")).alias("path"), _packed(F.lit("two.zip"), F.coalesce("text", F.lit(""))).alias("content"))
+    items = F.array_join(F.transform("items", lambda i: F.concat(i["label"], F.lit("x"), i["count"], F.lit("@"), F.element_at(F.split(i["segment"], "!"), -1))), ",")
+    return inspect.inspected(attached, enabled=detection.TOLD).select("path", "true_type", "segments", "n", "identities", "score", "band", items.alias("items"))
+
+
 # --- rules of a caller's own ---
 
 OWN = Detector("OWN_PAIR", "PAIR", "BUSINESS_IDENTIFIER", "LOW", "[0-9]{2}")
