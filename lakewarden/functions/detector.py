@@ -206,7 +206,10 @@ def java_pattern(detector: Detector) -> tuple[str, int]:
 
 
 #: Cheap properties of a text, one of which a text needs for many patterns to match: the pattern of each.
-PROPERTIES = {"digit": "[0-9]", "digits": "[0-9]{4}", "number": "[0-9]{6}", "at": "@", "setter": "[:=]", "run": "[A-Za-z0-9_/+=.~-]{16}"}
+PROPERTIES = {"digit": "[0-9]", "digits": "[0-9]{4}", "number": "[0-9]{6}", "at": "@", "setter": "[:=]", "run": "[A-Za-z0-9_/+=.~-]{16}", "long": "[A-Za-z0-9_/+=.~-]{24}", "octets": "[:-][0-9A-Fa-f]{2}[:-]"}
+#: Properties that only texts with another one have: those are asked first.
+WITHIN = {"digits": "digit", "number": "digits", "long": "run"}
+_HEX = frozenset("0123456789abcdefABCDEF")
 _DIGITS, _SETTERS, _RUN = frozenset("0123456789"), frozenset(":="), frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_/+=.~-")
 
 
@@ -238,6 +241,8 @@ def _needed(tree) -> set[str]:
             times, _, inner = arg
             if not times:
                 continue
+            if times > 1 and _octet(inner):
+                out.add("octets")
             if len(inner) > 1 or _characters(*inner[0]) is None:
                 out |= _needed(inner)
                 continue
@@ -245,14 +250,38 @@ def _needed(tree) -> set[str]:
         if op is parser.SUBPATTERN:
             out |= _needed(arg[3])
         elif op is parser.BRANCH:
-            out |= set.intersection(*(_needed(b) for b in arg[1]))
+            out |= set.intersection(*(_implied(_needed(b)) for b in arg[1]))
         elif chars := _characters(op, arg):
             out |= {name for name, of in (("digit", _DIGITS), ("at", frozenset("@")), ("setter", _SETTERS)) if chars <= of}
             if times >= 16 and chars <= _RUN:
-                out.add("run")
+                out.add("long" if times >= 24 else "run")
             if chars <= _DIGITS and times >= 4:
                 out.add("number" if times >= 6 else "digits")
-    return out - {"digit"} if out & {"digits", "number"} else out
+    return out - _implied(out, own=False)
+
+
+def _implied(names: set[str], own: bool = True) -> set[str]:
+    """The properties that others imply, and those themselves."""
+    out = set(names) if own else set()
+    for name in names:
+        while name := WITHIN.get(name, ""):
+            out.add(name)
+    return out
+
+
+def _octet(tree) -> bool:
+    """Whether a piece of a pattern is two hexadecimal digits with a colon or a dash before or after them: two of it in a row hold two such signs with the digits between."""
+    if len(tree) == 1 and tree[0][0] is parser.SUBPATTERN:
+        return _octet(tree[0][1][3])
+    if len(tree) != 2:
+        return False
+    kinds = []
+    for op, arg in tree:
+        if op in (parser.MAX_REPEAT, parser.MIN_REPEAT) and arg[:2] == (2, 2) and len(arg[2]) == 1 and (chars := _characters(*arg[2][0])):
+            kinds.append("digits" if chars <= _HEX else "")
+        else:
+            kinds.append("sign" if (chars := _characters(op, arg)) and chars <= frozenset(":-") else "")
+    return sorted(kinds) == ["digits", "sign"]
 
 
 #: Least characters of a word, and most words, that are looked for before a pattern is.

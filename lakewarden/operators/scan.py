@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lakewarden.functions import folds
 from lakewarden.functions import text as texts
 from lakewarden.functions.catalogue import DETECTORS
-from lakewarden.functions.detector import PROPERTIES, Detector, java_pattern, needs, words
+from lakewarden.functions.detector import PROPERTIES, WITHIN, Detector, java_pattern, needs, words
 from lakewarden.functions.validators import VALIDATORS
 
 FINDING = "struct<start:int,rank:int,low:boolean,room:int,ordinal:int,end:int,rule_id:string,label:string,category:string,classification:string,severity:string,secret:boolean,evidence:string,token:string>"
@@ -168,7 +168,10 @@ def _masks(text: Column) -> Column:
 
 def prepared(rows: DataFrame, text: str = "scanned") -> DataFrame:
     """Adds what gates look at: ``__lower``, the text in lower case, and whether it has each property."""
-    return rows.withColumns({"__lower": F.lower(text)} | {f"__has_{name}": F.col(text).rlike(pattern) for name, pattern in PROPERTIES.items()})
+    rows = rows.withColumns({"__lower": F.lower(text)} | {f"__has_{name}": F.col(text).rlike(pattern) for name, pattern in PROPERTIES.items() if name not in WITHIN})
+    for name, other in WITHIN.items():
+        rows = rows.withColumn(f"__has_{name}", F.col(f"__has_{other}") & F.col(text).rlike(PROPERTIES[name]))
+    return rows
 
 
 def gate(d: Detector, text: str = "scanned", lower: str = "__lower") -> Column:
