@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from functools import cache
 from re import _parser as parser
 
-#: Classes of data by category; what is not listed is personal data.
+#: Classes of data by category (what is not listed is personal data), their short names, severities in their order, and tiers.
 CLASS_OF = {
     "GOVERNMENT_IDENTIFIER": "HIGH_RISK_IDENTIFIER",
     "GOVERNMENT_IDENTIFIER_GLOBAL": "HIGH_RISK_IDENTIFIER",

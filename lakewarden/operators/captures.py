@@ -34,6 +34,7 @@ KEYWORDS = (
     ("write", "Writing"), ("essay", "Writing"), ("blog", "Writing"), ("email", "Writing"), ("letter", "Writing"),
     ("math", "Math"), ("calculate", "Math"), ("equation", "Math"), ("formula", "Math"),
 )
+#: What tells code, questions and requests to explain, and code for the estimate of tokens.
 CODE = r"```|function\s|const\s|let\s|var\s|=>\s|class\s|import\s|def\s|return\s"
 QUESTION = r"(?i)^(how|what|why|when|where|can|could|should|is|are|do|does)\s"
 EXPLAIN = r"explain|describe|summarize|break down|walk me through"
