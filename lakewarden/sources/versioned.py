@@ -52,9 +52,9 @@ class Table:
         newest = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*others), "__version").alias("__row"))
         return newest.select(*self.keys, *(F.col(f"__row.`{c}`").alias(c) for c in others)).select(*schema.names)
 
-    def compact(self) -> None:
-        """Writes what a read gives as a base, so that reads need no deltas up to here."""
-        versions = self.versions()
-        rows = self.read()
+    def compact(self, before: int | None = None) -> None:
+        """Writes what a read gives as a base, so that reads need no deltas up to here (or to those before a version)."""
+        versions = [v for v in self.versions() if before is None or v < before]
+        rows = self.read(before)
         if rows is not None and versions:
             rows.write.mode("overwrite").parquet(f"{self.path}/base={versions[-1]}")

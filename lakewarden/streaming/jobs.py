@@ -14,6 +14,8 @@ from lakewarden.operators import policy as policies
 from lakewarden.sources import shared, versioned
 
 
+#: Micro-batches after which the table of receivers' states is compacted.
+COMPACTED = 32
 #: What is kept of each receiver.
 HEALTH = "profile string, sent long, failed long, last_success long, last_attempt long, last_status int, last_ms long, last_error string, consecutive_failures long"
 
@@ -114,6 +116,8 @@ def health_kept(attempts: DataFrame, folder: str) -> StreamingQuery:
 
     def put(batch: DataFrame, number: int) -> None:
         table = versioned.Table(batch.sparkSession, f"{folder}/table", ["profile"])
+        if number and number % COMPACTED == 0:
+            table.compact(before=number)
         fresh, known = forward.health(batch), table.read(before=number)
         table.put(fresh if known is None else forward.merged(known, fresh), number)
 

@@ -99,7 +99,8 @@ def test_spool_goes_out_by_size_and_age_and_fails_to_the_head(spark, tmp_path):
 ATTEMPTS = "profile string, at long, n long, ok boolean, status int, error string, ms long"
 
 
-def test_health_of_replayed_batches_is_that_of_all_attempts(spark, tmp_path):
+def test_health_of_replayed_batches_is_that_of_all_attempts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "COMPACTED", 2)
     source = tmp_path / "attempts"
     rows = [("a", 1, 3, True, 200, None, 5), ("a", 2, 2, False, 503, "busy", 6), ("b", 1, 1, False, 0, "net", 1)], [("a", 3, 2, False, 503, "busy", 7), ("c", 4, 9, True, 200, None, 1)], [("b", 5, 4, False, 0, "net", 2), ("c", 6, 1, False, 400, "no", 2)]
     for number, some in enumerate(rows):
@@ -142,7 +143,9 @@ def test_versioned_rows_are_replaced_by_key(spark, tmp_path):
     assert put([(2, True, None)]) == 1
     put([(2, True, "again")], 1)  # the same version again
     assert rows() == [(1, False, "a"), (2, True, "again"), (None, True, "n")] and rows(before=1)[1] == (2, False, None)
+    table.compact(before=1)
+    assert table.versions("base") == [0] and rows()[1] == (2, True, "again")
     table.compact()
     put([(1, True, "b")])
-    assert table.versions() == [0, 1, 2] and table.versions("base") == [1]
+    assert table.versions() == [0, 1, 2] and table.versions("base") == [0, 1]
     assert rows() == [(1, True, "b"), (2, True, "again"), (None, True, "n")]
