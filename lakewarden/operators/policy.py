@@ -31,9 +31,12 @@ def by_tenant(policies: DataFrame, detectors=DETECTORS) -> DataFrame:
     """(tenant, rule_id, label, classification, level, enabled, mask, block, warn): policies of many tenants (tenant, rules; as :func:`sanitize.policy_rows` has them), a row a tenant and detector; what a policy does not name follows the default."""
     base = sanitize.default_policy(detectors).rules
     known = F.from_json(F.lit(json.dumps([{"rule_id": d.id, "label": d.label, "classification": d.data_class, "level": d.level} | asdict(base[d.id]) for d in detectors])), "array<struct<rule_id:string,label:string,classification:string,level:string,enabled:boolean,mask:boolean,block:boolean,warn:boolean>>")
-    rows = policies.select("tenant", "rules", F.explode(known).alias("d"))
-    own = F.try_element_at("rules", F.col("d.rule_id"))
-    return rows.select("tenant", *(F.col(f"d.{c}") for c in ("rule_id", "label", "classification", "level")), *(F.coalesce(own[c], F.col(f"d.{c}")).alias(c) for c in COLUMNS))
+    catalogue = policies.sparkSession.range(1).select(F.inline(known))
+    # a look into a map goes through its keys one by one: its entries, and the detectors that it does not name, find the catalogue instead
+    named = policies.select("tenant", F.map_entries("rules").alias("own"), F.array_except(F.lit([d.id for d in detectors]).cast("array<string>"), F.coalesce(F.map_keys("rules"), F.lit([]).cast("array<string>"))).alias("others"))
+    unnamed = F.transform("others", lambda k: F.struct(k.alias("key"), F.lit(None).cast(policies.schema["rules"].dataType.valueType).alias("value")))
+    rows = named.select("tenant", F.explode(F.concat(F.coalesce("own", F.slice(unnamed, 1, 0)), unnamed)).alias("e")).join(F.broadcast(catalogue.alias("d")), F.col("e.key") == F.col("d.rule_id"))
+    return rows.select("tenant", *(F.col(f"d.{c}") for c in ("rule_id", "label", "classification", "level")), *(F.coalesce(F.col(f"e.value.{c}"), F.col(f"d.{c}")).alias(c) for c in COLUMNS))
 
 
 def summary(rules: DataFrame, *keys: str) -> DataFrame:

@@ -17,8 +17,13 @@ STRICT = sanitize.Policy({d.id: sanitize.Switches(True, True, d.secret and d.sev
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, cores = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    return _spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows of much work each, from files that are too small for all cores."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 @query("findings_told", f"""{sql.FOUND} SELECT doc_id, rule_id, label, classification, severity, start, stop AS "end", evidence FROM told""")
@@ -156,7 +161,8 @@ def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     switches = lambda d: F.struct((d["on"] & ((key * 7 + d["k"]) % 10 != 0)).alias("enabled"), (d["on"] & ((key + d["k"]) % 3 != 0)).alias("mask"), (d["secret"] & d["on"] & (F.col("c_acctbal") < 0)).alias("block"), (d["on"] & (key % 5 != 0)).alias("warn"))
     rules = F.map_from_entries(F.transform(known, lambda d: F.struct(d["id"].alias("key"), switches(d).alias("value"))))
-    return policy.by_tenant(spark.read.parquet(f"{sf_dir}/customer.parquet").select(key.cast("string").alias("tenant"), rules.alias("rules")))
+    customers = _spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_acctbal"))
+    return policy.by_tenant(customers.select(key.cast("string").alias("tenant"), rules.alias("rules")))
 
 
 @query("policy_summary", f"WITH {_RULES} SELECT tenant, count(*) AS n_rules, count(*) FILTER (enabled) AS detecting, count(*) FILTER (enabled AND mask) AS masking, count(*) FILTER (enabled AND block) AS blocking, count(*) FILTER (block) AS block_switches FROM rules GROUP BY tenant")

@@ -332,3 +332,15 @@ def test_empty_tables(spark):
     assert audit.stats(empty).first().n_entries == 0 and audit.hits(empty, datetime(2024, 1, 1)).count() == 0
     docs = spark.createDataFrame([], "id long, text string")
     assert sanitize.sanitize(docs).count() == 0 and sanitize.risk(scan.scan(docs), "id", F.octet_length("text")).count() == 0
+
+
+def test_policies_of_tenants_find_the_catalogue_by_their_entries(spark):
+    schema = "tenant string, rules map<string,struct<enabled:boolean,mask:boolean,block:boolean,warn:boolean>>"
+    a, b, c = policy.DETECTORS[:3]
+    given = [("t", {a.id: (False, None, True, False), b.id: None, "gone": (True, True, True, True)}), ("none", {}), ("null", None)]
+    rows = policy.by_tenant(spark.createDataFrame(given, schema), (a, b, c))
+    base = sanitize.default_policy((a, b, c)).rules
+    usual = {d.id: (base[d.id].enabled, base[d.id].mask, base[d.id].block, base[d.id].warn) for d in (a, b, c)}
+    want = {(t, k): v for t in ("t", "none", "null") for k, v in usual.items()} | {("t", a.id): (False, usual[a.id][1], True, False)}
+    assert {(r.tenant, r.rule_id): (r.enabled, r.mask, r.block, r.warn) for r in rows.collect()} == want and rows.count() == 9
+    assert "element_at" not in rows._jdf.queryExecution().optimizedPlan().toString()  # a look into a map for each detector goes through all its keys
