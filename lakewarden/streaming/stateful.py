@@ -3,14 +3,19 @@
 Rows of a key may come in any order within the time that the watermark allows.
 They wait in the state until it has passed them, and are then taken in the
 order of time and id, so results do not depend on how a stream is cut into
-micro-batches. State is what is that young, and what each rule keeps.
+micro-batches. State is what is that young, and what each rule keeps. A task
+holds some rows of a key at a time, however many wait: the others lie in the
+state by slices of time, and are taken a slice after the other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
+import json
+import pickle
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
@@ -21,6 +26,8 @@ from lakewarden.operators import forward
 SECOND, NEVER = 1_000_000, 1 << 62
 #: Seconds after which a batch that could not be delivered is sent again if no event comes before.
 AGAIN = 60
+#: Rows of a key that a task holds before they go into the state by slices of time, the length of these, and rows of output that are held.
+HELD, SLICE, MADE = 65_536, 3600 * SECOND, 500
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -42,8 +49,8 @@ class Ordered(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        columns = zip(("ts", "id", *self.fields), ("long", "string", *self.types), strict=True)
-        self.waiting = handle.getListState("waiting", ", ".join(f"`{n}` {t}" for n, t in columns))
+        self.waiting = handle.getValueState("waiting_rows", "rows string, slices string")
+        self.parts = handle.getMapState("waiting_parts", "slice long, part long", "size long, rows binary")
         self.opened(handle)
 
     def opened(self, handle) -> None:
@@ -65,36 +72,72 @@ class Ordered(StatefulProcessor):
         return NEVER
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fresh = []
-        for frame in rows:
-            columns = [frame[n].astype(object).where(frame[n].notna(), None) for n in ("micros", "id", *self.fields)]
-            fresh += [(int(r[0]), *r[1:]) for r in zip(*columns, strict=True)]
-        yield from self._advanced(key, fresh, timerValues)
+        yield from self._advanced(key, map(self._plain, rows), timerValues)
+
+    def _plain(self, frame: pd.DataFrame) -> list[tuple]:
+        columns = [frame[n].astype(object).where(frame[n].notna(), None) for n in ("micros", "id", *self.fields)]
+        return [(int(r[0]), *r[1:]) for r in zip(*columns, strict=True)]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._advanced(key, [], timerValues)
+        yield from self._advanced(key, (), timerValues)
 
     def close(self) -> None:
         pass
 
-    def _advanced(self, key: tuple, fresh: list[tuple], timers) -> Iterator[pd.DataFrame]:
+    def _stored(self, rows: list, slices: dict[int, list[int]]) -> None:
+        """Puts rows into the state, as one more part of each slice of time; ``slices`` tells how many parts each has, and its first time."""
+        found: dict[int, list] = {}
+        for r in rows:
+            found.setdefault(r[0] // SLICE, []).append(r)
+        for name, some in found.items():
+            data, first = pickle.dumps(some, 5), min(r[0] for r in some)
+            parts, before = slices.get(name, (0, first))
+            self.parts.updateValue((name, parts), (len(data), pa.compress(data, "zstd", asbytes=True)))
+            slices[name] = [parts + 1, min(first, before)]
+
+    def _taken(self, name: int, parts: int) -> list:
+        """The rows of a slice, which go from the state."""
+        rows: list = []
+        for k in range(parts):
+            size, data = self.parts.getValue((name, k))
+            rows += pickle.loads(pa.decompress(bytes(data), size, "zstd", asbytes=True))
+            self.parts.removeKey((name, k))
+        return rows
+
+    def _advanced(self, key: tuple, fresh: Iterable[list[tuple]], timers) -> Iterator[pd.DataFrame]:
         now = (timers.getCurrentProcessingTimeInMs() if self.processing else timers.getCurrentWatermarkInMs()) * 1000
-        rows = [*(self.waiting.get() if self.waiting.exists() else ()), *fresh]
-        rows.sort(key=lambda r: (r[0], r[1] or ""))
-        ready, rest = (rows, []) if self.processing else ([r for r in rows if r[0] <= now], [r for r in rows if r[0] > now])
+        until = NEVER if self.processing else now
+        known = self.waiting.get()
+        held, slices = ([], {}) if known is None else (json.loads(known[0]), {int(k): v for k, v in json.loads(known[1]).items()})
+        for rows in fresh:
+            held += rows
+            if len(held) >= HELD:
+                self._stored(held, slices)
+                held = []
+        if slices:  # rows that are held may belong before those of any slice
+            self._stored(held, slices)
+            held = []
         self.begun(key)
+        due = [None] if not slices else sorted(k for k, (_, first) in slices.items() if first <= until)
         out = []
-        for row in ready:
-            at = now if self.processing else row[0]
-            out += self.passed(key, at - 1)
-            out += self.take(key, row, at)
+        for name in due:
+            rows = held if name is None else self._taken(name, slices.pop(name)[0])
+            rows.sort(key=lambda r: (r[0], r[1] or ""))
+            held = [r for r in rows if r[0] > until]
+            for row in rows[: len(rows) - len(held)]:
+                at = now if self.processing else row[0]
+                out += self.passed(key, at - 1)
+                out += self.take(key, row, at)
+                if len(out) >= MADE:
+                    yield pd.DataFrame(out, columns=list(self.output))
+                    out = []
         out += self.passed(key, now)
         self.ended(key)
-        if rest:
-            self.waiting.put([tuple(r) for r in rest])
-        else:
+        if held or slices:
+            self.waiting.update((json.dumps(held), json.dumps(slices)))
+        elif known is not None:
             self.waiting.clear()
-        wake = min(rest[0][0] if rest else NEVER, self.wakes())
+        wake = min(min((r[0] for r in held), default=NEVER), min((first for _, first in slices.values()), default=NEVER), self.wakes())
         if wake < NEVER:  # a timer goes off once its time lies behind, so one millisecond before the time that has to be reached
             self.handle.registerTimer(-(-wake // 1000) - 1)
         if out:
@@ -111,10 +154,11 @@ class Changes(Ordered):
         self.last = handle.getValueState("last", "fingerprint string")
 
     def begun(self, key: tuple) -> None:
-        self.seen = self.last.get()[0] if self.last.exists() else None
+        found = self.last.get()
+        self.seen = self.before = found and found[0]
 
     def ended(self, key: tuple) -> None:
-        if self.seen is not None:
+        if self.seen != self.before:
             self.last.update((self.seen,))
 
     def take(self, key: tuple, row: tuple, now: int) -> list[tuple]:

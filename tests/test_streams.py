@@ -3,6 +3,7 @@
 import time
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from lakewarden.operators import audit, forward
@@ -96,6 +97,39 @@ def test_spool_goes_out_by_size_and_age_and_fails_to_the_head(spark, tmp_path):
     assert [r for r in run() if r[0] >= 2 and r[4]] == [(2, "e013", "e015", "size", True, 2, 0), (3, "e016", "e098", "age", True, 0, 0)]
 
 
+def test_rows_of_a_key_that_wait_lie_in_the_state_by_slices_of_time(spark, tmp_path):
+    """With few rows held at a time the batches are the same, from files that are out of order, and over restarts."""
+    source, most = tmp_path / "events", tmp_path / "most"
+    profiles = [forward.Profile("a", batch_size=7, flush_seconds=900, form="ndjson")]
+    seconds = [(k * 2_477) % 40_000 for k in range(400)]
+
+    class Small(stateful.Spool):
+        def init(self, handle):
+            stateful.HELD, stateful.MADE = 16, 3
+            super().init(handle)
+
+        def _advanced(self, key, fresh, timers):
+            yield from super()._advanced(key, ([r] for rows in fresh for r in rows), timers)
+
+        def _stored(self, rows, slices):
+            most.mkdir(exist_ok=True)
+            (most / str(len(rows))).touch()
+            super()._stored(rows, slices)
+
+    def run(kind, name):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(stateful, "Spool", kind)
+            rows = stateful.spooled(forward.events(stream(spark, source, EVENTS)), profiles, late="10 seconds")
+        return sorted((r.batch, r.first_id, r.last_id, r.n, r.reason, r.at, tuple(r.lines)) for r in jobs.drained(rows, str(tmp_path / name / "out"), str(tmp_path / name / "state")).collect())
+
+    fed(spark, source, [event(k, s) for k, s in enumerate(seconds)], EVENTS, 0)
+    run(stateful.Spool, "plain"), run(Small, "small")
+    fed(spark, source, [event(k, 40_000 + s) for k, s in enumerate(seconds, 400)] + [event(999, 90_000)], EVENTS, 1)
+    want = run(stateful.Spool, "plain")
+    assert sum(r[3] for r in want) == 800 and run(Small, "small") == want
+    assert most.exists() and max(int(p.name) for p in most.iterdir()) <= 16
+
+
 ATTEMPTS = "profile string, at long, n long, ok boolean, status int, error string, ms long"
 
 
