@@ -344,3 +344,12 @@ def test_policies_of_tenants_find_the_catalogue_by_their_entries(spark):
     want = {(t, k): v for t in ("t", "none", "null") for k, v in usual.items()} | {("t", a.id): (False, usual[a.id][1], True, False)}
     assert {(r.tenant, r.rule_id): (r.enabled, r.mask, r.block, r.warn) for r in rows.collect()} == want and rows.count() == 9
     assert "element_at" not in rows._jdf.queryExecution().optimizedPlan().toString()  # a look into a map for each detector goes through all its keys
+
+
+def test_texts_of_files_leave_a_task_a_few_at_a_time(spark):
+    rows = [(f"{k}.txt", bytes(f"{k} " * 200_000, "utf-8"), str(k)) for k in range(12)] + [("none", None, None), ("empty", b"", "e")]
+    made = files.segments(spark.createDataFrame(rows, "path string, content binary, own string").coalesce(1), facts="own")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+    want = {(f"{k}.txt", f"{k} " * 200_000, None, str(k)) for k in range(12)} | {("none", None, "unreadable", None), ("empty", "", None, "e")}
+    assert {(r.path, r.text, r.skipped, r.own) for r in made.collect()} == want
