@@ -136,7 +136,7 @@ UNION ALL SELECT doc_id, 'zip', doc_id || '.zip', doc_id || '.zip!a.txt', 0, t F
 SELECT doc_id, kind, segment, place, length(text) AS chars, md5(text) AS digest FROM s""")
 def segments_told(spark, sf_dir):
     """Every text packed as gzip, PDF, office document and zip, and what a lateral join with ``segments`` takes out again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat(F.lit("T:"), F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", "?")).alias("text"))
+    docs = detection._texts(spark, sf_dir).select("doc_id", F.concat(F.lit("T:"), F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", "?")).alias("text"))
     made = docs.withColumn("kind", F.explode(F.array(*map(F.lit, _KINDS)))).select("doc_id", "kind", F.concat_ws(".", "doc_id", "kind").alias("path"), _packed("kind", "text").alias("content"))
     return _viewed(spark, made, "SELECT doc_id, kind, segment, place, CAST(length(text) AS BIGINT) AS chars, md5(CAST(text AS BINARY)) AS digest FROM {docs} d, LATERAL segments(d.content, d.path)")
 

@@ -353,3 +353,12 @@ def test_texts_of_files_leave_a_task_a_few_at_a_time(spark):
     assert "MapInArrow" in plan and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
     want = {(f"{k}.txt", f"{k} " * 200_000, None, str(k)) for k in range(12)} | {("none", None, "unreadable", None), ("empty", "", None, "e")}
     assert {(r.path, r.text, r.skipped, r.own) for r in made.collect()} == want
+
+
+def test_segments_of_sql_are_no_arrow_table_a_file(spark):
+    from lakewarden.functions import sqlnames
+
+    sqlnames.register(spark)
+    rows = spark.sql("SELECT path, s.text FROM {f}, LATERAL segments(content, path) s", f=spark.createDataFrame([("a.txt", b"abc"), ("b.txt", b"x")], "path string, content binary"))
+    assert "ArrowEvalPythonUDTF" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, rows.collect())) == [("a.txt", "abc"), ("b.txt", "x")]
