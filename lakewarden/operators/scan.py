@@ -1,13 +1,13 @@
 """Detection: candidates of every detector, gates, and the resolution of overlaps.
 
-All of it is one narrow stage of built-in expressions. Each detector that the
-policy leaves on costs the plan one gate: its literal, the words and a few
-properties that a text needs (both are derived from the pattern), and its
-pattern. What is known of the detectors is
-data: the gates yield the numbers of those that match, and all that follows is
-written once, over the rows of a constant table that these numbers name. The
-plan thus stays small, and texts without matches cost one search a detector at
-most.
+All of it is one narrow stage. One pass over a batch of texts (:mod:`hints`)
+tells the detectors whose needs a text has: a literal, words and a few
+properties, which are derived from the pattern. Only the patterns of these are
+searched for, by built-in expressions, one gate for each detector that the
+policy leaves on. What is known of the detectors is data: the gates yield the
+numbers of those that match, and all that follows is written once, over the
+rows of a constant table that these numbers name. The plan thus stays small,
+and texts without matches cost little more than that one pass.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.functions import folds
+from lakewarden.functions import folds, hints
 from lakewarden.functions import text as texts
 from lakewarden.functions.catalogue import DETECTORS
 from lakewarden.functions.detector import PROPERTIES, WITHIN, Detector, java_pattern, needs, words
@@ -66,10 +66,14 @@ def _gate(d: Detector, text: str, lower: str) -> str:
 Predicate = Callable[[Column, Column, Column], Column]
 
 
-def candidates(text: str, lower: str, detectors: Sequence[tuple[int, Detector]], switches: str | None = None) -> Column:
-    """Of the columns of a text and its lower-case form: the detectors that match anywhere in it, each with the pieces between its matches, the matches, and the values of those that have a group."""
-    gates = ", ".join(f"CASE WHEN {_gate(d, text, lower)} THEN {place} END" for place, (_, d) in enumerate(detectors, 1))
-    numbers, text = F.expr(f"array_compact(array({gates}))"), F.col(text)
+def candidates(text: str, lower: str | None, detectors: Sequence[tuple[int, Detector]], switches: str | None = None, possible: str | None = None) -> Column:
+    """Of the columns of a text and its lower-case form: the detectors that match anywhere in it, each with the pieces between its matches, the matches, and the values of those that have a group.
+
+    ``possible`` names a column of the places, from 1, of the detectors that may match, in the place of gates that look for words and properties.
+    """
+    gate = lambda place, d: _gate(d, text, lower) if possible is None else f"array_contains({possible}, {place}) AND {text} RLIKE {_quoted(java_pattern(d)[0])}"
+    gates = ", ".join(f"CASE WHEN {gate(place, d)} THEN {place} END" for place, (_, d) in enumerate(detectors, 1))
+    numbers, text = F.expr(f"array_compact(array({gates}))" if possible is None else f"CASE WHEN size({possible}) > 0 THEN array_compact(array({gates})) ELSE array() END"), F.col(text)
     known = folds.let(_table(detectors), lambda t: F.transform(numbers, lambda k: F.element_at(t, k)))
     if switches is not None:
         known = F.filter(known, lambda d: F.coalesce(F.try_element_at(F.col(switches), d["rule_id"])["enabled"], F.lit(False)))
@@ -196,7 +200,7 @@ def _expressions(gateway: int, detectors: tuple[tuple[int, Detector], ...], code
     spans = lambda masks: F.transform("__matched", lambda c: F.transform(F.filter(_placed(c, most), lambda s: _kept(c["d"], s, body, masks, detectors, codes, dict(predicates))), lambda s: _finding(c["d"], s)))
     found = folds.let(_masks(body), lambda masks: _resolved(F.flatten(spans(masks)).cast(f"array<{FINDING}>")))
     more = F.lit(False) if most is None else F.exists("__matched", lambda c: F.size(c["matches"]) > most)
-    return candidates("scanned", "__lower", detectors, switches), F.when(F.size("__matched") > 0, found).otherwise(empty), more
+    return candidates("scanned", None, detectors, switches, "__possible"), F.when(F.size("__matched") > 0, found).otherwise(empty), more
 
 
 def scan(docs: DataFrame, text: str = "text", enabled: Sequence[str] | None = None, normalize: bool = True, only: Sequence[Detector] = DETECTORS, most_matches: int | None = None, predicates: Mapping[str, Predicate] | None = None, switches: str | None = None) -> DataFrame:
@@ -212,15 +216,15 @@ def scan(docs: DataFrame, text: str = "text", enabled: Sequence[str] | None = No
     """
     chosen = None if enabled is None else set(enabled)
     detectors = [(k, d) for k, d in enumerate(only) if (d.on if chosen is None else d.id in chosen)]
-    ready = texts.normalized(docs, text, "scanned") if normalize else docs.withColumn("scanned", F.col(text))
-    ready = prepared(ready)
-    empty, extra = F.array().cast(f"array<{FINDING}>"), [f"__has_{name}" for name in PROPERTIES]
+    told = F.arrow_udf(hints.teller([d for _, d in detectors], normalize), hints.TOLD)
+    ready = docs.withColumn("__told", told(F.col(text))).withColumns({"scanned": F.coalesce("__told.normal", F.col(text)), "__possible": F.when(F.col(text).isNotNull(), F.col("__told.possible"))}).drop("__told")
+    empty = F.array().cast(f"array<{FINDING}>")
     if not detectors:
-        return ready.drop("__lower", *extra).withColumns({"findings": empty, "truncated": F.lit(False)})
+        return ready.drop("__possible").withColumns({"findings": empty, "truncated": F.lit(False)})
     codes = countries(docs) if any(d.id == "SWIFT_BIC" for _, d in detectors) else ("AD",)
     matched, found, more = _expressions(id(docs.sparkSession.sparkContext._gateway), tuple(detectors), codes, most_matches, tuple(sorted((predicates or {}).items())), switches)
     rows = ready.withColumn("__matched", matched).withColumns({"findings": found, "truncated": more})
-    return rows.drop("__lower", "__matched", *extra)
+    return rows.drop("__possible", "__matched")
 
 
 def exploded(rows: DataFrame, *keys: str) -> DataFrame:
