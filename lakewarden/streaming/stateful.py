@@ -5,7 +5,9 @@ They wait in the state until it has passed them, and are then taken in the
 order of time and id, so results do not depend on how a stream is cut into
 micro-batches. State is what is that young, and what each rule keeps. A task
 holds some rows of a key at a time, however many wait: the others lie in the
-state by slices of time, and are taken a slice after the other.
+state by slices of time, and are taken a slice after the other. Sessions are
+many and short, and each key costs several calls to the state, so a key is a
+share of them: its rows are taken in one order, and its state is by session.
 """
 
 from __future__ import annotations
@@ -28,14 +30,16 @@ SECOND, NEVER = 1_000_000, 1 << 62
 AGAIN = 60
 #: Rows of a key that a task holds before they go into the state by slices of time, the length of these, and rows of output that are held.
 HELD, SLICE, MADE = 65_536, 3600 * SECOND, 500
+#: Shares of the sessions of a stream; a stream that restarts needs as many as it had.
+SHARES = 1024
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class Ordered(StatefulProcessor):
     """Rows (ts in microseconds, id, and ``fields``) of a key, in order, once time has passed them.
 
-    ``take`` gets one row, ``passed`` is told before each row, and at the end,
-    up to which time all is known; both return output rows. ``wakes`` tells
+    ``take`` gets one row, ``passed`` is told before each row, and at the end
+    (without a row), up to which time all is known; both return output rows. ``wakes`` tells
     when the key has to be looked at again though no row may come. In
     processing time the clock is the machine's, and rows are taken as they come.
     """
@@ -65,7 +69,7 @@ class Ordered(StatefulProcessor):
     def take(self, key: tuple, row: tuple, now: int) -> list[tuple]:
         raise NotImplementedError
 
-    def passed(self, key: tuple, until: int) -> list[tuple]:
+    def passed(self, key: tuple, until: int, row: tuple | None = None) -> list[tuple]:
         return []
 
     def wakes(self) -> int:
@@ -126,7 +130,7 @@ class Ordered(StatefulProcessor):
             held = [r for r in rows if r[0] > until]
             for row in rows[: len(rows) - len(held)]:
                 at = now if self.processing else row[0]
-                out += self.passed(key, at - 1)
+                out += self.passed(key, at - 1, row)
                 out += self.take(key, row, at)
                 if len(out) >= MADE:
                     yield pd.DataFrame(out, columns=list(self.output))
@@ -145,34 +149,34 @@ class Ordered(StatefulProcessor):
 
 
 class Changes(Ordered):
-    """Rows whose fingerprint differs from that of the row before them: the last one is kept, so a text that comes back later counts again."""
+    """Rows whose fingerprint differs from that of the row before them in their session: the last one is kept, so a text that comes back later counts again."""
 
-    fields, types = ("fingerprint", "body"), ("string", "string")
+    fields, types = ("session", "fingerprint", "body"), ("string", "string", "string")
     output = ("session", "id", "micros", "fingerprint", "body")
 
     def opened(self, handle) -> None:
-        self.last = handle.getValueState("last", "fingerprint string")
+        self.last = handle.getValueState("last", "fingerprints string")
 
     def begun(self, key: tuple) -> None:
         found = self.last.get()
-        self.seen = self.before = found and found[0]
+        self.seen, self.changed = json.loads(found[0]) if found else {}, False
 
     def ended(self, key: tuple) -> None:
-        if self.seen != self.before:
-            self.last.update((self.seen,))
+        if self.changed:
+            self.last.update((json.dumps(self.seen),))
 
     def take(self, key: tuple, row: tuple, now: int) -> list[tuple]:
-        ts, name, fingerprint, body = row
-        if fingerprint == self.seen:
+        ts, name, session, fingerprint, body = row
+        if fingerprint == self.seen.get(session):
             return []
-        self.seen = fingerprint
-        return [(key[0], name, ts, fingerprint, body)]
+        self.seen[session], self.changed = fingerprint, True
+        return [(session, name, ts, fingerprint, body)]
 
 
 class Pending(Ordered):
     """Prompts that wait for the next turn of their session and a moment more, but no longer than their patience, and take the last address until then."""
 
-    fields, types = ("kind", "url"), ("string", "string")
+    fields, types = ("session", "kind", "url"), ("string", "string", "string")
     output = ("session", "id", "micros", "url")
 
     def __init__(self, patience: float, settle: float, processing: bool = False):
@@ -180,37 +184,48 @@ class Pending(Ordered):
         self.patience, self.settle = int(patience * SECOND), int(settle * SECOND)
 
     def opened(self, handle) -> None:
-        self.pending = handle.getListState("pending", "id string, since long, deadline long, url string")
+        self.pending = handle.getListState("pending", "session string, id string, since long, deadline long, url string")
 
     def begun(self, key: tuple) -> None:
-        self.queue = [list(r) for r in self.pending.get()] if self.pending.exists() else []
+        self.queues: dict[str | None, list[list]] = {}
+        for session, *prompt in self.pending.get() if self.pending.exists() else ():
+            self.queues.setdefault(session, []).append(prompt)
 
     def ended(self, key: tuple) -> None:
-        if self.queue:
-            self.pending.put([tuple(r) for r in self.queue])
+        rows = [(session, *r) for session, queue in self.queues.items() for r in queue]
+        if rows:
+            self.pending.put(rows)
         else:
             self.pending.clear()
 
-    def passed(self, key: tuple, until: int) -> list[tuple]:
-        over = [r for r in self.queue if r[2] <= until]
-        self.queue = [r for r in self.queue if r[2] > until]
-        return [(key[0], name, deadline, url) for name, _, deadline, url in over]
+    def passed(self, key: tuple, until: int, row: tuple | None = None) -> list[tuple]:
+        out = []
+        for session in list(self.queues) if row is None else [row[2]]:
+            queue = self.queues.get(session, [])
+            out += [(session, name, deadline, url) for name, _, deadline, url in queue if deadline <= until]
+            left = [r for r in queue if r[2] > until]
+            if left:
+                self.queues[session] = left
+            else:
+                self.queues.pop(session, None)
+        return out
 
     def take(self, key: tuple, row: tuple, now: int) -> list[tuple]:
-        ts, name, kind, url = row
+        ts, name, session, kind, url = row
+        queue = self.queues.get(session, [])
         if kind == "move":
-            for r in self.queue:
+            for r in queue:
                 if ts > r[1]:
                     r[3] = url
             return []
-        for r in self.queue:
+        for r in queue:
             r[2] = min(r[2], now + self.settle)
         if kind == "prompt":
-            self.queue.append([name, ts, now + self.patience, url])
+            self.queues.setdefault(session, []).append([name, ts, now + self.patience, url])
         return []
 
     def wakes(self) -> int:
-        return min((r[2] for r in self.queue), default=NEVER)
+        return min((r[2] for queue in self.queues.values() for r in queue), default=NEVER)
 
 
 class Spool(Ordered):
@@ -265,7 +280,7 @@ class Spool(Ordered):
             self.failed, self.consecutive = self.failed + 1, self.consecutive + 1
         return (key[0], number, at, reason, len(batch), batch[0][1], batch[-1][1], taken, len(self.queue), self.ok, self.failed, self.consecutive, lines if taken else [])
 
-    def passed(self, key: tuple, until: int) -> list[tuple]:
+    def passed(self, key: tuple, until: int, row: tuple | None = None) -> list[tuple]:
         out = []
         while (due := self._due()) <= until:
             out.append(self._sent(key, due, "age"))
@@ -295,18 +310,25 @@ def _run(rows: DataFrame, processor: Ordered, key: Column, name: str, columns: M
     return ready.groupBy(name).transformWithStateInPandas(processor, schema, "Append", "ProcessingTime" if processor.processing else "EventTime")
 
 
+def _share(session: Column) -> Column:
+    """The share that a session belongs to."""
+    return F.pmod(F.xxhash64(session), F.lit(SHARES))
+
+
 def changes(rows: DataFrame, session: Column, fingerprint: Column, body: Column | None = None, id: str = "id", ts: str = "ts", late: str = "1 minute") -> DataFrame:
     """(session, id, ts, fingerprint, body): the rows of a stream that differ from the one before them in their session."""
-    columns = {"id": F.col(id).cast("string"), "fingerprint": F.coalesce(fingerprint.cast("string"), F.lit("")), "body": F.lit(None).cast("string") if body is None else body.cast("string")}
-    out = _run(rows.withWatermark(ts, late), Changes(), F.coalesce(session.cast("string"), F.lit("unknown")), "session", columns, "session string, id string, micros long, fingerprint string, body string", ts)
+    own = F.coalesce(session.cast("string"), F.lit("unknown"))
+    columns = {"id": F.col(id).cast("string"), "session": own, "fingerprint": F.coalesce(fingerprint.cast("string"), F.lit("")), "body": F.lit(None).cast("string") if body is None else body.cast("string")}
+    out = _run(rows.withWatermark(ts, late), Changes(), _share(own), "share", columns, "session string, id string, micros long, fingerprint string, body string", ts)
     return out.select("session", "id", F.timestamp_micros("micros").alias("ts"), "fingerprint", "body")
 
 
 def finalized(rows: DataFrame, patience: float = 15, settle: float = 0.5, late: str = "1 minute", processing: bool = False) -> DataFrame:
     """(session, id, final_ts, url): the prompts of a stream of turns and changes of address (session, id, ts, kind, url), where ``kind`` is ``prompt``, ``move`` or that of another turn, as soon as each is given up as pending. The same rule as :func:`jobs.finalized`."""
-    columns = {"id": F.coalesce(F.col("id").cast("string"), F.lit("")), "kind": F.col("kind"), "url": F.col("url")}
+    own = F.col("session").cast("string")
+    columns = {"id": F.coalesce(F.col("id").cast("string"), F.lit("")), "session": own, "kind": F.col("kind"), "url": F.col("url")}
     source = rows if processing else rows.withWatermark("ts", late)
-    out = _run(source, Pending(patience, settle, processing), F.col("session"), "session", columns, "session string, id string, micros long, url string", "ts")
+    out = _run(source, Pending(patience, settle, processing), _share(own), "share", columns, "session string, id string, micros long, url string", "ts")
     return out.select("session", "id", F.timestamp_micros("micros").alias("final_ts"), "url")
 
 

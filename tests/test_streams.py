@@ -41,6 +41,41 @@ def test_changes_keep_what_comes_back_and_survive_a_restart(spark, tmp_path):
     assert {(r.session, r.id) for r in run().collect()} == found | {("s", "9"), ("s", "11")}
 
 
+def test_sessions_share_keys_and_keep_their_state_apart(spark, tmp_path):
+    """Changes and pending prompts of many sessions are those of each session by itself, over a restart, from few keys."""
+    source, moves, calls = tmp_path / "turns", tmp_path / "moves", tmp_path / "calls"
+    calls.mkdir()
+
+    def counted(kind):
+        class Counted(kind):
+            def begun(self, key):
+                (calls / f"{kind.__name__}-{key[0]}").touch()
+                super().begun(key)
+
+        return Counted
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(stateful, "SHARES", 3)
+        patch.setattr(stateful, "Changes", counted(stateful.Changes))
+        patch.setattr(stateful, "Pending", counted(stateful.Pending))
+        said, shown, want, urls, last = [], [], set(), {}, {}
+        for k in range(400):
+            name, text, second = f"s{k % 40}", "ABA"[k // 40 % 3] if k % 7 else "C", k * 3
+            said.append((f"{k:03d}", name, at(second), text))
+            want |= {(name, f"{k:03d}")} if last.get(name) != text else set()
+            last[name] = text
+            shown += [(name, f"{k:03d}", at(second), "prompt", name), (name, f"m{k:03d}", at(second + 9), "move", f"{name}/{k}")]
+            urls[f"{k:03d}"] = (at(second + 15), f"{name}/{k}")
+        for part in (slice(0, 250), slice(250, 400)):
+            fed(spark, source, [*said[part][::-1], ("end", "end", at(749 if part.start == 0 else 2000), "A")], TURNS, part.start)
+            fed(spark, moves, [*shown[2 * part.start : 2 * part.stop][::-1], ("end", f"end{part.start}", at(749 if part.start == 0 else 2000), "move", None)], MOVES, part.start)
+            changed = jobs.drained(stateful.changes(stream(spark, source, TURNS), F.col("session"), F.col("text"), late="30 seconds"), str(tmp_path / "c"), str(tmp_path / "c-state"))
+            given_up = jobs.drained(stateful.finalized(stream(spark, moves, MOVES), late="30 seconds"), str(tmp_path / "p"), str(tmp_path / "p-state"))
+    assert {(r.session, r.id) for r in changed.collect() if r.session != "end"} == want and changed.where("session != 'end'").count() == len(want)
+    assert {r.id: (r.final_ts, r.url) for r in given_up.collect()} == urls
+    assert sorted(p.name for p in calls.iterdir()) == [f"{kind}-{k}" for kind in ("Changes", "Pending") for k in range(3)]
+
+
 MOVES = "session string, id string, ts timestamp, kind string, url string"
 
 
