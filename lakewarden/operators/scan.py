@@ -216,7 +216,8 @@ def scan(docs: DataFrame, text: str = "text", enabled: Sequence[str] | None = No
     """
     chosen = None if enabled is None else set(enabled)
     detectors = [(k, d) for k, d in enumerate(only) if (d.on if chosen is None else d.id in chosen)]
-    told = F.arrow_udf(hints.teller([d for _, d in detectors], normalize), hints.TOLD)
+    # marked so that the planner keeps it where it stands: merged into what a second scan takes, it could not be evaluated
+    told = F.arrow_udf(hints.teller([d for _, d in detectors], normalize), hints.TOLD).asNondeterministic()
     ready = docs.withColumn("__told", told(F.col(text))).withColumns({"scanned": F.coalesce("__told.normal", F.col(text)), "__possible": F.when(F.col(text).isNotNull(), F.col("__told.possible"))}).drop("__told")
     empty = F.array().cast(f"array<{FINDING}>")
     if not detectors:
